@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, token_output
 
 _OPS = {
     "op9_exact_dedup": exact_dedup,
+    "op10_token_output": token_output,
 }
 
 
