@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_output
+from . import exact_dedup, token_output, toxicity
 
 _OPS = {
+    "op5_toxicity": toxicity,
     "op9_exact_dedup": exact_dedup,
     "op10_token_output": token_output,
 }
