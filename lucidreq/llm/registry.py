@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_output, toxicity
+from . import exact_dedup, html_extract, token_output, toxicity
 
 _OPS = {
     "op5_toxicity": toxicity,
+    "op8_html_extract": html_extract,
     "op9_exact_dedup": exact_dedup,
     "op10_token_output": token_output,
 }
