@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, token_output, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_extract, mixing, token_output, toxicity
 
 _OPS = {
+    "op2_mixing": mixing,
     "op5_toxicity": toxicity,
+    "op6_decontaminate": decontaminate,
+    "op7_chat_format": chat_format,
     "op8_html_extract": html_extract,
     "op9_exact_dedup": exact_dedup,
     "op10_token_output": token_output,
