@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rans
+from . import rans, word_tokenizer
 from .common import discard, materialize, scratch_path, table, text_or_empty
-from .word_tokenizer import WordTokenizer, default_path
+from .word_tokenizer import default_path
 
 BLOCK_TOKENS = 1 << 19
 _BLOCKS = "part int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, block binary"
@@ -31,7 +31,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """doc_id, part, local_start, n_tokens, ids (packed u16, or u32 for large vocabularies); sorted within each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk, at, part = WordTokenizer(path, end_id), 0, TaskContext.get().partitionId()
+        tk, at, part = word_tokenizer.shared(path, end_id), 0, TaskContext.get().partitionId()
         kind = np.dtype("<u2") if tk.size <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             doc_ids = batch.column(0)
@@ -169,7 +169,7 @@ def encode_corpus(docs: DataFrame, path: str | None = None, end_id: int = 1, blo
     no part; an empty table gives an empty result.
     """
     spark, path = docs.sparkSession, path or default_path()
-    size = WordTokenizer(path, end_id).size
+    size = word_tokenizer.shared(path, end_id).size
     spool = materialize(tokenised(docs, path, end_id), "token-spool", compression="zstd")
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffled texts before the blocks are written
     freq = rans.Table(id_counts(spool, size))

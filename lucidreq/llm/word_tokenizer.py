@@ -9,6 +9,7 @@ it is.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -45,6 +46,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.lru_cache(maxsize=2)
+def shared(path: str, end_id: int = 1) -> WordTokenizer:
+    """One tokenizer for a worker's lifetime: its tasks share the cache of words."""
+    return WordTokenizer(path, end_id)
+
+
 class WordTokenizer:
     def __init__(self, path: str, end_id: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
