@@ -1,0 +1,46 @@
+"""Connected components by alternating large-star and small-star steps.
+
+Edges live in tables of the shared folder; each step links nodes to the smallest
+neighbour, so the steps needed grow with the logarithm of the longest path. A
+node with very many neighbours costs an aggregation and a join, never a group in
+one task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, materialize
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) of every node that ``edges`` (columns a, b) name.
+
+    Self-links name a node without linking it; nulls are ignored.
+    """
+    start = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = materialize(start, "cc")
+    before = None
+    while (state := _state(now)) != before:
+        before = state
+        # Large star: larger neighbours go to the smallest neighbour.
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        alone = now.where("u = v")
+        large = large.unionAll(alone).distinct()
+        # Small star: a node and its smaller neighbours go to the smallest of them.
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.where("u <> v").join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(small.unionAll(down.select("u", F.col("m").alias("v"))).unionAll(alone).distinct(), "cc")
+        discard(now)
+        now = after
+    # Each node now has one edge, to the smallest node; that one has none of its own.
+    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    nodes = nodes.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    return nodes.groupBy("node").agg(F.min("component").alias("component"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, mixing, token_output, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, mixing, token_output, toxicity
 
 _OPS = {
+    "op1_jaccard_join": jaccard_join,
     "op2_mixing": mixing,
     "op5_toxicity": toxicity,
     "op6_decontaminate": decontaminate,
