@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, mixing, suffix_dedup, token_output, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, mixing, suffix_dedup, token_output, toxicity
 
 _OPS = {
     "op1_jaccard_join": jaccard_join,
     "op2_mixing": mixing,
+    "op3_line_dedup": line_dedup,
     "op4_suffix_dedup": suffix_dedup,
     "op5_toxicity": toxicity,
     "op6_decontaminate": decontaminate,
