@@ -158,7 +158,7 @@ class Order:
 
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
-    """doc_id, node (hash of the set), n, group (hash of prefix and n), prefix; node 0 is the empty set."""
+    """doc_id, th (hash of the text), node (hash of the set), n, group (hash of prefix and n), prefix; node 0 is the empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +174,12 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
             flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "node", "n", "group", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["doc_id", "th", "node", "n", "group", "prefix"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, group long, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("th"))
+    return rows.mapInArrow(run, "doc_id long, th long, node long, n long, group long, prefix array<long>")
 
 
 # ---------------------------------------------------------------- candidates
@@ -343,15 +343,16 @@ def _release(spark: SparkSession) -> None:
 
 
 def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, node, is_first.
+    """One row per input row: doc_id, th, n_shingles, component_id, component.
 
     component_id is the smallest doc_id reachable by links, the own one included.
     Null, empty and blank texts have no shingles and link with nothing; texts of
     one to four words have one shingle. Rows that repeat a text are in one
     component. A null doc_id is never the smallest unless a component has no
-    other. Rows of one doc_id with different texts are judged apart. is_first
-    marks, in each component, the rows that hold its smallest doc_id. Other
-    columns of ``docs`` play no part; an empty table gives an empty result.
+    other. Rows of one doc_id with different texts are judged apart; th is the
+    text's hash and component tells components apart even so (null without
+    shingles). Other columns of ``docs`` play no part; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     tokens = token_bound(docs)
@@ -379,16 +380,24 @@ def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     component = connected_components(links.unionByName(more))
     label = nodes.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = materialize(label.join(least, "component").select(F.col("node").alias("k"), "component_id"), "labels")
+    label = materialize(label.join(least, "component").select(F.col("node").alias("k"), "component", "component_id"), "labels")
     discard(shared)
-    out = sets.select("doc_id", "node", "n").join(label, F.col("node") == F.col("k"), "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "node",
-        F.when(F.col("n") > 0, same(F.col("doc_id"), F.col("component_id"))).otherwise(F.lit(True)).alias("is_first"),
-    )
+    out = sets.select("doc_id", "th", "node", "n").join(label, F.col("node") == F.col("k"), "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each component (smallest doc_id, then text hash), with their own columns.
+
+    Rows without shingles all stay; of rows that repeat doc_id and text one stays.
+    """
+    rows = jaccard_components(docs)
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th")).alias("k"))
+    keep = first.select("k.doc_id", "k.th").unionAll(rows.where("component is null").select("doc_id", "th").distinct())
+    keep = keep.select(F.col("doc_id").alias("__k"), F.col("th").alias("__t"))
+    own = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__h": F.xxhash64(text_or_empty())})
+    out = own.join(keep, same(F.col("__d"), F.col("__k")) & (F.col("__h") == F.col("__t")))
+    return out.dropDuplicates(["__d", "__h"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
