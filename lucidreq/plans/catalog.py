@@ -1,11 +1,469 @@
-"""All registered queries of the requirement operators, with their SQL."""
+"""All registered queries of the requirement operators, with their SQL.
+
+The tables stand in for catalogs: documents are requirements, embeddings are
+encoded requirements, benchmark items are reference texts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as L
+from ..functions import text as T
+from ..operators import cleaning, consistency, readability, redundancy, smell_report, smells, vectors
+from ..sources import readers
+from ..storage import materialize
+
+#: No pair of the test embeddings reaches the default threshold of 0.90.
+PAIR_THRESHOLD = 0.35
+TOP_K = 5
+STOP_WORDS = ["the", "of", "and", "a", "to", "in", "is", "was", "that", "for", "on", "with", "as", "by", "be", "are", "this", "it", "from", "or", "an"]
+_MODALS = ["shall", "may", "will", "should", "Could", "is required to", "provides", "might"]
+_PHRASES = ["ensure security of", "as appropriate use", "be able to audit", "support e.g. a table of", "take into account similarly", "whenever willing", ""]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pick(values: list[str], key) -> F.Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(key, F.lit(len(values))).cast("int"))
+
+
+def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents as requirements: pos, req_id, text."""
+    docs = _table(spark, sf_dir, "documents").where("lang = 'en'")
+    text = F.concat(F.lit("The system "), _pick(_MODALS, F.col("doc_id")), F.lit(" "), _pick(_PHRASES, F.col("doc_id")), F.lit(" "), F.col("text"))
+    return docs.select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("req_id"), text.alias("text"))
+
+
+def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.concat(F.lit("R"), F.col("vec_id")).alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+# ------------------------------------------------------------------- readability
+
+
+def readability_en(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    return _rounded(readability.readability_en(docs).drop("text"), 9)
+
+
+def readability_es(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "text")
+    return _rounded(readability.readability_es(docs).drop("text"), 6)
+
+
+# ------------------------------------------------------------------- smells
+
+
+def smell_findings(spark, sf_dir):
+    out = smells.detect_smells(requirements(spark, sf_dir))
+    return out.drop("Requirement", "Subjectivity Detected").withColumn("Low Readability", F.col("`Low Readability`").isNotNull())
+
+
+def smell_subjectivity(spark, sf_dir):
+    rows = requirements(spark, sf_dir)
+    return rows.select("req_id", F.round(smells.subjectivity_score(F.col("text")), 9).alias("subjectivity"))
+
+
+def smell_default_rules(spark, sf_dir):
+    out = smells.detect_smells(requirements(spark, sf_dir), all_checks=False)
+    return out.select("ID", F.col("`Ambiguity Detected`").alias("ambiguity"), F.coalesce("`Security Related`", F.lit(False)).alias("security"), F.coalesce("`Not a Requirement`", F.lit(False)).alias("not_a_requirement"))
+
+
+def _report(spark, sf_dir) -> DataFrame:
+    rows = requirements(spark, sf_dir)
+    return smell_report.by_requirement(rows, smells.detect_smells(rows))
+
+
+def report_by_requirement(spark, sf_dir):
+    return _report(spark, sf_dir).drop("text")
+
+
+def report_stats(spark, sf_dir):
+    return _rounded(smell_report.smell_stats(_report(spark, sf_dir)))
+
+
+def report_summary(spark, sf_dir):
+    return _rounded(smell_report.summary(_report(spark, sf_dir)))
+
+
+def smell_input(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("R"), F.col("doc_id"))).alias("id"), "text")
+    return readers.smell_input(rows).select("req_id", F.md5("text").alias("text_md5"))
+
+
+# ------------------------------------------------------------------- cleaning
+
+_HEADS = ["", "Artículo 33.1 - ", "[op.pl.2] a) ", "Refuerzo R1- ", "(1) ", "- ", "Reinforcement R2 – "]
+
+
+def _norms(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.concat(_pick(_HEADS, F.col("doc_id")), F.col("text"), F.lit(" (a) b; 2. C (3);")).alias("text"), "lang")
+
+
+def cleaned_texts(spark, sf_dir):
+    return _norms(spark, sf_dir).select("doc_id", cleaning.clean_text(F.col("text")).alias("cleaned"))
+
+
+def cleaned_counts(spark, sf_dir):
+    rows = _norms(spark, sf_dir).select("doc_id", F.when(F.col("lang") == "es", F.col("text")).alias("texto_normativo_es"), F.when(F.col("lang") == "en", F.col("text")).alias("texto_normativo_en"))
+    return cleaning.clean_counts(cleaning.clean_references(rows))
+
+
+# ------------------------------------------------------------------- redundancy
+
+
+def _pairs(spark, sf_dir, top_k=None):
+    v = vectors_of(spark, sf_dir)
+    return v, redundancy.redundant_pairs(v, PAIR_THRESHOLD, top_k)
+
+
+def redundant_pairs(spark, sf_dir):
+    return _rounded(_pairs(spark, sf_dir)[1].drop("pos_a", "pos_b"))
+
+
+def redundant_pairs_top_k(spark, sf_dir):
+    return _rounded(_pairs(spark, sf_dir, TOP_K)[1].drop("pos_a", "pos_b"))
+
+
+def neighbour_ranks(spark, sf_dir):
+    return redundancy.neighbour_ranks(vectors_of(spark, sf_dir), TOP_K)
+
+
+def requirement_metrics(spark, sf_dir):
+    v, p = _pairs(spark, sf_dir)
+    return _rounded(redundancy.requirement_metrics(v, p).drop("pos"))
+
+
+def requirement_clusters(spark, sf_dir):
+    v, p = _pairs(spark, sf_dir)
+    out = redundancy.clusters(v, materialize(p, "pairs"))
+    return out.select("cluster_id", "size", "representative", F.array_join("members", ",").alias("members"))
+
+
+def redundancy_summary(spark, sf_dir):
+    v, p = _pairs(spark, sf_dir)
+    return _rounded(redundancy.redundancy_summary(v, materialize(p, "pairs")))
+
+
+def similarity_cells(spark, sf_dir):
+    return _rounded(redundancy.similarity_cells(vectors_of(spark, sf_dir)).drop("pos_a", "pos_b"))
+
+
+def pooled_vectors(spark, sf_dir):
+    """Each embedding read as eight token vectors of eight dimensions; the mask leaves every third token out."""
+    v = vectors_of(spark, sf_dir)
+    tokens = F.array(*[F.slice("vec", 8 * k + 1, 8) for k in range(8)])
+    mask = F.array(*[F.lit(0 if k % 3 == 2 else 1) for k in range(8)])
+    pooled = vectors.mean_pool(tokens, mask)
+    return _rounded(v.select("id", *[F.get(pooled, F.lit(k)).alias(f"x{k}") for k in range(8)]), 9)
+
+
+def preprocessed_texts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", vectors.preprocess(F.col("text"), STOP_WORDS).alias("words"))
+
+
+def hashed_texts(spark, sf_dir):
+    """Norms of the stand-in encoder's vectors (1, or 0 for texts without words)."""
+    docs = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return vectors.HashingEncoder(64).encode(docs, "text").select("item_id", F.round(vectors.norm(F.col("vec")), 6).alias("norm"))
+
+
+# ------------------------------------------------------------------- consistency
+
+
+def best_reference_similarity(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    group = lambda shift: F.concat(F.lit("G"), F.floor((F.col("vec_id") + shift) / 4).cast("string"))
+    reqs = e.select(F.col("vec_id").alias("pos"), group(0).alias("id"), F.concat(F.lit("T"), F.col("vec_id")).alias("title"), F.lit("").alias("text"), F.col("embedding").alias("vec"))
+    refs = e.select(
+        F.col("vec_id").alias("ref_pos"),
+        group(6).alias("id"),
+        F.when(F.col("label") == 9, F.lit("  ")).otherwise(F.concat(F.lit("text "), F.col("vec_id"))).alias("text"),
+        F.concat(F.lit("law "), F.col("label")).alias("legal_reference"),
+        F.when(F.col("label") % 2 == 0, F.lit("es")).otherwise(F.lit("en")).alias("original_language"),
+        F.col("embedding").alias("vec"),
+    )
+    return _rounded(consistency.best_by_similarity(reqs, refs).drop("pos"), 9)
+
+
+def best_reference_tokens(spark, sf_dir):
+    reqs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.col("item_id").alias("id"), F.lit("item").alias("title"), "text")
+    refs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_pos"), (F.col("doc_id") % 200).alias("id"), "text", F.concat(F.lit("doc "), F.col("doc_id")).alias("legal_reference"))
+    own = lambda d: d.withColumn("tokens", T.tokens_en(F.lower("text")))
+    return _rounded(consistency.best_by_token_match(own(reqs), own(refs)).drop("pos", "best_normative_excerpt"), 9)
+
+
+def f1_histogram(spark, sf_dir):
+    rows = best_reference_tokens(spark, sf_dir)
+    return consistency.histogram(rows, "f1")
+
+
+_QUERIES: dict[str, Callable] = {
+    f.__name__: f
+    for f in (
+        readability_en,
+        readability_es,
+        smell_findings,
+        smell_subjectivity,
+        smell_default_rules,
+        report_by_requirement,
+        report_stats,
+        report_summary,
+        smell_input,
+        cleaned_texts,
+        cleaned_counts,
+        redundant_pairs,
+        redundant_pairs_top_k,
+        neighbour_ranks,
+        requirement_metrics,
+        requirement_clusters,
+        redundancy_summary,
+        similarity_cells,
+        pooled_vectors,
+        preprocessed_texts,
+        hashed_texts,
+        best_reference_similarity,
+        best_reference_tokens,
+        f1_histogram,
+    )
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+# ------------------------------------------------------------------- SQL
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(map(_q, values)) + "]"
+
+
+def _squeeze(c: str) -> str:
+    return f"trim(regexp_replace(coalesce({c}, ''), '{T.WS}+', ' ', 'g'))"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace(coalesce({c}, ''), '^{T.WS}+|{T.WS}+$', '', 'g')"
+
+
+def _sentences(t: str) -> str:
+    # RE2 has no look-around: a mark ends a sentence if it follows a character other than a digit and no digit comes next.
+    chars = f"string_split({t}, '')"
+    return f"""CASE WHEN {t} = '' THEN 0 ELSE greatest(1, len(list_filter(string_split(array_to_string(list_transform(
+      list_zip({chars}, list_concat([''], {chars}), list_concat({chars}[2:], [''])),
+      lambda z: CASE WHEN z[1] IN ('.', '!', '?') AND z[2] <> '' AND NOT regexp_matches(z[2], '[0-9]') AND NOT regexp_matches(coalesce(z[3], ''), '[0-9]')
+                THEN chr(1) ELSE z[1] END), ''), chr(1)), lambda x: trim(x) <> ''))) END"""
+
+
+def _metrics(pairs: dict[str, str], digits: int) -> str:
+    return ",\n".join(f"round(CASE WHEN words >= 10 AND sentences > 0 THEN {v} END, {digits}) AS {k}" for k, v in pairs.items())
+
+
+_W, _S, _C, _Y, _P = (f"{x}::DOUBLE" for x in readability.EN_COUNTS)
+_SMOG = f"CASE WHEN polysyllables > 0 THEN 1.043::DOUBLE * sqrt({_P} * 30::DOUBLE / {_S}) + 3.1291::DOUBLE END"
+
+
+def _en_counts(source: str, keep: str) -> str:
+    return f"""
+  t AS (SELECT {keep}, {_squeeze('text')} AS t FROM {source}),
+  k AS (SELECT *, regexp_extract_all(t, '{T.TOKEN_EN}') AS k FROM t),
+  y AS (SELECT *, list_transform(list_filter(list_transform(k, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')), lambda x: x <> ''),
+          lambda c: greatest(1, len(regexp_extract_all(c, '{T.VOWELS_EN}')) - CASE WHEN c LIKE '%e' AND len(regexp_extract_all(c, '{T.VOWELS_EN}')) > 1 THEN 1 ELSE 0 END)) AS y FROM k),
+  c AS (SELECT {keep}, t, len(k)::INT AS words, ({_sentences('t')})::INT AS sentences, length(regexp_replace(array_to_string(k, ''), '[^A-Za-z0-9]', '', 'g'))::INT AS chars,
+          coalesce(list_sum(y), 0)::INT AS syllables, len(list_filter(y, lambda n: n >= 3))::INT AS polysyllables FROM y)"""
+
+
+_FLESCH = f"206.835::DOUBLE - 1.015::DOUBLE * ({_W} / {_S}) - 84.6::DOUBLE * ({_Y} / {_W})"
+
+
+def _sql_readability_en() -> str:
+    m = {
+        "flesch": _FLESCH,
+        "fkgl": f"0.39::DOUBLE * ({_W} / {_S}) + 11.8::DOUBLE * ({_Y} / {_W}) - 15.59::DOUBLE",
+        "fog": f"0.4::DOUBLE * (({_W} / {_S}) + 100::DOUBLE * ({_P} / {_W}))",
+        "smog": _SMOG,
+        "ari": f"4.71::DOUBLE * ({_C} / {_W}) + 0.5::DOUBLE * ({_W} / {_S}) - 21.43::DOUBLE",
+        "coleman_liau": f"0.0588::DOUBLE * (({_C} / {_W}) * 100::DOUBLE) - 0.296::DOUBLE * (({_S} / {_W}) * 100::DOUBLE) - 15.8::DOUBLE",
+    }
+    return f"WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {_en_counts('d', 'doc_id')} SELECT doc_id, {', '.join(readability.EN_COUNTS)}, {_metrics(m, 9)} FROM c"
+
+
+def _sql_readability_es() -> str:
+    ifsz = f"206.835::DOUBLE - 62.3::DOUBLE * ({_Y} / {_W}) - ({_W} / {_S})"
+    m = {
+        "ifsz": ifsz,
+        "inflesz": ifsz,
+        "fernandez_huerta": f"206.84::DOUBLE - 60::DOUBLE * ({_Y} / {_W}) - 1.02::DOUBLE * ({_W} / {_S})",
+        "smog": _SMOG,
+        "gutierrez_polini": f"95.2::DOUBLE - 9.7::DOUBLE * ({_C} / {_W}) - 0.35::DOUBLE * ({_W} / {_S})",
+        "mu": f"CASE WHEN words > 1 AND mean_letters > 0 AND var_letters > 0 THEN ({_W} / ({_W} - 1)) * (mean_letters / var_letters) * 100::DOUBLE END",
+    }
+    return f"""WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'es'),
+  t AS (SELECT doc_id, {_squeeze('text')} AS t FROM d),
+  k AS (SELECT *, list_filter(list_transform(regexp_extract_all(t, '{T.TOKEN_ES}'), lambda x: regexp_replace(x, '[^{T.LETTERS_ES}]', '', 'g')), lambda x: x <> '') AS k FROM t),
+  y AS (SELECT *, list_transform(k, lambda x: length(x)) AS n,
+          list_transform(list_filter(list_transform(k, lambda x: regexp_replace(lower(x), '[^a-záéíóúüñ]', '', 'g')), lambda x: x <> ''), lambda c: greatest(1, len(regexp_extract_all(c, '{T.VOWELS_ES}')))) AS y FROM k),
+  m AS (SELECT *, CASE WHEN len(k) > 0 THEN list_sum(n)::DOUBLE / len(k) ELSE 0 END AS mean_letters FROM y),
+  c AS (SELECT doc_id, len(k)::INT AS words, ({_sentences('t')})::INT AS sentences, coalesce(list_sum(n), 0)::INT AS chars, coalesce(list_sum(y), 0)::INT AS syllables,
+          len(list_filter(y, lambda v: v >= 3))::INT AS polysyllables, mean_letters,
+          CASE WHEN len(k) > 0 THEN list_sum(list_transform(n, lambda x: (x - mean_letters) * (x - mean_letters))) / len(k) ELSE 0::DOUBLE END AS var_letters FROM m)
+SELECT doc_id, words, sentences, chars, syllables, polysyllables, round(mean_letters, 6) AS mean_letters, round(var_letters, 6) AS var_letters, {_metrics(m, 6)} FROM c"""
+
+
+_REQ = f"""r AS (SELECT doc_id AS pos, doc_id::VARCHAR AS req_id,
+    'The system ' || ({_list(_MODALS)})[(doc_id % {len(_MODALS)}) + 1] || ' ' || ({_list(_PHRASES)})[(doc_id % {len(_PHRASES)}) + 1] || ' ' || text AS text
+  FROM documents WHERE lang = 'en')"""
+
+
+def _counted(phrases: list[str]) -> str:
+    lines = ", ".join(
+        f"CASE WHEN contains(text, {_q(p)}) THEN {_q(p + ': ')} || ((length(text) - length(replace(text, {_q(p)}, ''))) // {len(p)})::VARCHAR END" for p in sorted(set(phrases))
+    )
+    return f"nullif(array_to_string(list_filter([{lines}], lambda x: x IS NOT NULL), chr(10)), '')"
+
+
+def _any(phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), {_q(p)})" for p in phrases) + ")"
+
+
+def _findings_ctes() -> str:
+    ambiguous = f"nullif(array_to_string(list_filter(regexp_extract_all(text, '{T.WORD}+'), lambda x: list_contains({_list(L.AMBIGUOUS)}, lower(x))), ', '), '')"
+    words = f"regexp_extract_all(lower(text), '{T.WORD}+')"
+    share = f"CASE WHEN len({words}) > 0 THEN least(1::DOUBLE, len(list_filter({words}, lambda x: list_contains({_list(L.SUBJECTIVITY)}, x))) * 5::DOUBLE / len({words})) ELSE 0::DOUBLE END"
+    counters = ", ".join(f'{_counted(p)} AS "{h}"' for h, p in L.COUNTERS.items())
+    return f"""{_REQ}, {_en_counts('r', 'req_id, text')},
+  f AS (SELECT req_id AS "ID", text, {ambiguous} AS "Ambiguity Detected",
+          coalesce(CASE WHEN words > 0 AND sentences > 0 THEN {_FLESCH} END, 206.835::DOUBLE) < 30 AS "Low Readability",
+          CASE WHEN {_any(L.SECURITY)} THEN true END AS "Security Related", CASE WHEN NOT {_any(L.REQUIREMENT)} THEN true END AS "Not a Requirement",
+          {share} AS subj_score, {counters} FROM c)"""
+
+
+_HEADERS = ['"Ambiguity Detected"', '"Low Readability"', '"Security Related"', '"Not a Requirement"', *[f'"{h}"' for h in L.COUNTERS]]
+
+
+def _sql_smell_findings() -> str:
+    fired = " OR ".join([f"{h} IS NOT NULL" for h in _HEADERS if h != '"Low Readability"'] + ['"Low Readability"', "subj_score > 0.5"])
+    return f'WITH {_findings_ctes()} SELECT "ID", {", ".join(_HEADERS)} FROM f WHERE {fired}'
+
+
+def _report_ctes() -> str:
+    flag = {k: f'coalesce("{k}", false)' if k in ("Low Readability", "Not a Requirement") else ("subj_score > 0.5" if k == "Subjectivity Detected" else f'"{k}" IS NOT NULL') for k in L.NEGATIVE}
+    fired = " OR ".join([f"{h} IS NOT NULL" for h in _HEADERS if h != '"Low Readability"'] + ['"Low Readability"', "subj_score > 0.5"])
+    flags = ", ".join(f'({v}) AS "smell__{k}"' for k, v in flag.items())
+    names = ", ".join(f'CASE WHEN "smell__{k}" THEN {_q(k)} END' for k in L.NEGATIVE)
+    count = " + ".join(f'"smell__{k}"::INT' for k in L.NEGATIVE)
+    return f"""{_findings_ctes()},
+  g AS (SELECT "ID" AS req_id, coalesce("Security Related", false) AS security_related, {flags}, ({fired}) AS in_output FROM f),
+  b AS (SELECT req_id, security_related, ({count})::INT AS issues_count, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ';') AS negative_smells_list,
+          {", ".join(f'"smell__{k}"' for k in L.NEGATIVE)}, in_output FROM g)"""
+
+
+def _sql_report_summary() -> str:
+    return f"""WITH {_report_ctes()}, s AS (SELECT list_sort(list(issues_count)) AS v FROM b)
+SELECT count(*) AS total_requirements, count(*) FILTER (NOT in_output) AS missing_in_output, sum(issues_count)::BIGINT AS total_issues,
+  count(*) FILTER (issues_count > 0) AS requirements_with_issues, count(*) FILTER (issues_count = 0) AS clean_count,
+  round(count(*) FILTER (issues_count = 0) / count(*) * 100::DOUBLE, 6) AS clean_percent, round(count(*) FILTER (issues_count > 0) / count(*) * 100::DOUBLE, 6) AS any_issue_percent,
+  round(avg(issues_count), 6) AS issues_mean, median(issues_count)::DOUBLE AS issues_median, max(issues_count) AS issues_max,
+  count(*) FILTER (security_related) AS security_related_count, round(count(*) FILTER (security_related) / count(*) * 100::DOUBLE, 6) AS security_related_percent,
+  (SELECT v[floor(0.9::DOUBLE * (len(v) - 1))::INT + 1] FROM s) AS issues_p90 FROM b"""
+
+
+def _sql_report_stats() -> str:
+    return f"WITH {_report_ctes()} " + " UNION ALL ".join(
+        f'SELECT {_q(k)} AS smell, count(*) FILTER ("smell__{k}") AS count, round(count(*) FILTER ("smell__{k}") / count(*) * 100::DOUBLE, 6) AS percent FROM b' for k in L.NEGATIVE
+    )
+
+
+_NORM_TEXT = f"({_list(_HEADS)})[(doc_id % {len(_HEADS)}) + 1] || text || ' (a) b; 2. C (3);'"
+
+
+def _sql_cleaned() -> str:
+    return f"WITH c AS (SELECT doc_id, {cleaning.sql(_NORM_TEXT)} AS c FROM documents) SELECT doc_id, CASE WHEN c <> '' AND NOT regexp_matches(c, '[.!?]$') THEN c || '.' ELSE c END AS cleaned FROM c"
+
+
+_VEC = "v AS (SELECT vec_id AS pos, 'R' || vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)"
+_ALL = f"""{_VEC}, p AS (SELECT a.pos AS pos_a, b.pos AS pos_b, a.id AS id_a, b.id AS id_b, list_dot_product(a.vec, b.vec) AS score FROM v a JOIN v b ON a.pos < b.pos)"""
+_BOTH = f"""{_ALL}, d AS (SELECT pos_a AS pos, pos_b AS other, score FROM p UNION ALL SELECT pos_b, pos_a, score FROM p),
+  n AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(score, 9) DESC, other) AS rank FROM d)"""
+_RED = f"{_ALL}, e AS (SELECT * FROM p WHERE score >= {PAIR_THRESHOLD}::DOUBLE)"
+_CC = f"""WITH RECURSIVE {_RED}, x AS (SELECT pos_a AS a, pos_b AS b FROM e UNION ALL SELECT pos_b, pos_a FROM e),
+  reach AS (SELECT pos AS node, pos AS root FROM v UNION SELECT x.b, reach.root FROM reach JOIN x ON x.a = reach.node WHERE reach.root < x.b),
+  m AS (SELECT node AS pos, min(root) AS root FROM reach GROUP BY node)"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    best_sim = """
+WITH q AS (SELECT vec_id AS pos, 'G' || (vec_id // 4) AS id, 'T' || vec_id AS title, embedding::DOUBLE[] AS vec FROM embeddings),
+r AS (SELECT vec_id AS ref_pos, 'G' || ((vec_id + 6) // 4) AS id, 'text ' || vec_id AS text, 'law ' || label AS legal, CASE WHEN label % 2 = 0 THEN 'es' ELSE 'en' END AS lang, embedding::DOUBLE[] AS vec
+      FROM embeddings WHERE label <> 9),
+s AS (SELECT q.pos, q.id, q.title, r.*, CASE WHEN r.vec IS NOT NULL THEN list_dot_product(q.vec, r.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(r.vec, r.vec))) END AS sim FROM q LEFT JOIN r ON q.id = r.id),
+w AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(sim, 12) DESC, ref_pos) AS rn, count(ref_pos) OVER (PARTITION BY pos) AS n FROM s)
+SELECT id, title, '' AS requirement_text, n::INT AS num_valid_references, round(sim, 9) AS best_cosine_similarity, legal AS best_legal_reference, lang AS best_reference_language, text AS best_reference_text FROM w WHERE rn = 1"""
+    best_tok = f"""
+WITH q AS (SELECT item_id AS id, regexp_extract_all(lower(text), '{T.TOKEN_EN}') AS k FROM benchmark WHERE text IS NOT NULL),
+r AS (SELECT doc_id AS ref_pos, doc_id % 200 AS id, regexp_extract_all(lower(text), '{T.TOKEN_EN}') AS k FROM documents WHERE text IS NOT NULL),
+j AS (SELECT q.id, r.ref_pos, q.k AS a, r.k AS b, list_distinct(q.k) AS da, list_distinct(r.k) AS db FROM q JOIN r ON q.id = r.id),
+s AS (SELECT id, ref_pos, CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda t: list_contains(db, t))) / len(a) ELSE 0 END AS p, CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda t: list_contains(da, t))) / len(b) ELSE 0 END AS r FROM j),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(f1, 12) DESC, ref_pos) AS rn FROM f),
+o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, 'doc ' || ref_pos AS best_legal_reference FROM w WHERE rn = 1)"""
+    words = f"list_filter(regexp_extract_all(lower({_squeeze('text')}), '{T.WORD}+'), lambda x: NOT list_contains({_list(STOP_WORDS)}, x))"
+    share = f"regexp_extract_all(lower(text), '{T.WORD}+')"
+    kept = [k for k in range(8) if k % 3 != 2]
+    pool = [f"(({' + '.join(f'vec[{8 * t + d + 1}]' for t in kept)}) / {len(kept)}::DOUBLE)" for d in range(8)]
+    return {
+        "readability_en": _sql_readability_en(),
+        "readability_es": _sql_readability_es(),
+        "smell_findings": _sql_smell_findings(),
+        "smell_subjectivity": f"WITH {_REQ} SELECT req_id, round(CASE WHEN len({share}) > 0 THEN least(1::DOUBLE, len(list_filter({share}, lambda x: list_contains({_list(L.SUBJECTIVITY)}, x))) * 5::DOUBLE / len({share})) ELSE 0 END, 9) AS subjectivity FROM r",
+        "smell_default_rules": f"""WITH {_findings_ctes()} SELECT "ID", "Ambiguity Detected" AS ambiguity, coalesce("Security Related", false) AS security, coalesce("Not a Requirement", false) AS not_a_requirement FROM f
+            WHERE "Ambiguity Detected" IS NOT NULL OR "Low Readability" OR subj_score > 0.5 OR "Security Related" IS NOT NULL OR "Not a Requirement" IS NOT NULL""",
+        "report_by_requirement": f"WITH {_report_ctes()} SELECT * FROM b",
+        "report_stats": _sql_report_stats(),
+        "report_summary": _sql_report_summary(),
+        "smell_input": f"SELECT CASE WHEN doc_id % 3 > 0 THEN 'R' || doc_id ELSE printf('REQ-%04d', doc_id + 1) END AS req_id, md5({_strip('text')}) AS text_md5 FROM documents",
+        "cleaned_texts": _sql_cleaned(),
+        "cleaned_counts": "SELECT count(*) AS total, count(*) FILTER (lang = 'es') AS cleaned_es, count(*) FILTER (lang = 'en') AS cleaned_en FROM documents",
+        "redundant_pairs": f"WITH {_RED} SELECT id_a, id_b, round(score, 6) AS score, 0 AS rank_from_a, 0 AS rank_from_b FROM e",
+        "redundant_pairs_top_k": f"""WITH {_BOTH}, k AS (SELECT * FROM n WHERE rank <= {TOP_K})
+            SELECT id_a, id_b, round(p.score, 6) AS score, coalesce(ka.rank, 0)::INT AS rank_from_a, coalesce(kb.rank, 0)::INT AS rank_from_b FROM p
+            LEFT JOIN k ka ON ka.pos = pos_a AND ka.other = pos_b LEFT JOIN k kb ON kb.pos = pos_b AND kb.other = pos_a
+            WHERE p.score >= {PAIR_THRESHOLD}::DOUBLE AND (ka.rank IS NOT NULL OR kb.rank IS NOT NULL)""",
+        "neighbour_ranks": f"WITH {_BOTH} SELECT pos, other, rank::INT AS rank FROM n WHERE rank <= {TOP_K}",
+        "requirement_metrics": f"""WITH {_RED}, d AS (SELECT pos_a AS pos, score FROM p UNION ALL SELECT pos_b, score FROM p),
+            s AS (SELECT pos, sum(score) AS s FROM d GROUP BY pos), g AS (SELECT pos, count(*) AS n FROM (SELECT pos_a AS pos FROM e UNION ALL SELECT pos_b FROM e) GROUP BY pos)
+            SELECT id, round(coalesce(s, 0) / (SELECT count(*) - 1 FROM v), 6) AS mean_sim, coalesce(n, 0) AS degree_t FROM v LEFT JOIN s USING (pos) LEFT JOIN g USING (pos)""",
+        "requirement_clusters": f"""{_CC}, sc AS (SELECT a.pos, a.root, avg(list_dot_product(va.vec, vb.vec)) AS mean FROM m a JOIN m b ON a.root = b.root AND a.pos <> b.pos JOIN v va ON va.pos = a.pos JOIN v vb ON vb.pos = b.pos GROUP BY a.pos, a.root),
+            rep AS (SELECT root, arg_min(pos, (-round(mean, 9), pos)) AS pos FROM (SELECT root, pos, mean FROM sc) GROUP BY root),
+            g AS (SELECT root, count(*) AS size, string_agg('R' || pos, ',' ORDER BY pos) AS members FROM m GROUP BY root)
+            SELECT (row_number() OVER (ORDER BY size DESC, root))::INT AS cluster_id, size::INT AS size, 'R' || coalesce(rep.pos, g.root) AS representative, members FROM g LEFT JOIN rep USING (root)""",
+        "redundancy_summary": f"""{_CC}, g AS (SELECT root, count(*) AS n FROM m GROUP BY root)
+            SELECT (SELECT count(*) FROM v) AS n_requirements, (SELECT count(*) * (count(*) - 1) // 2 FROM v) AS n_pairs_total, (SELECT count(*) FROM e) AS n_pairs_redundant, count(*) AS n_clusters,
+            coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS redundant_requirements, round(coalesce(sum(n) FILTER (n > 1), 0) / (SELECT count(*) FROM v), 6) AS redundancy_rate FROM g""",
+        "similarity_cells": f"WITH {_VEC} SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.vec, b.vec), 6) AS score FROM v a CROSS JOIN v b",
+        "pooled_vectors": f"WITH {_VEC}, m AS (SELECT id, [{', '.join(pool)}] AS x FROM v), n AS (SELECT id, x, greatest(sqrt(list_dot_product(x, x)), 1e-12) AS l FROM m) SELECT id, {', '.join(f'round(x[{d + 1}] / l, 9) AS x{d}' for d in range(8))} FROM n",
+        "preprocessed_texts": f"SELECT doc_id, array_to_string({words}, ' ') AS words FROM documents",
+        "hashed_texts": f"SELECT item_id, CASE WHEN len(regexp_extract_all(text, '{T.WORD}+')) > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS norm FROM benchmark",
+        "best_reference_similarity": best_sim,
+        "best_reference_tokens": best_tok + " SELECT * FROM o",
+        "f1_histogram": best_tok
+        + ", e AS (SELECT min(f1) AS lo, max(f1) AS hi FROM o) SELECT (CASE WHEN hi > lo THEN least(19, floor((f1 - lo) / (hi - lo) * 20)) ELSE 0 END)::INT AS bin, count(*) AS count FROM o, e GROUP BY 1",
+    }

@@ -1 +1 @@
-
+"""The row-wise operators work on streaming DataFrames as they are; there are no stateful ones."""
