@@ -1,13 +1,12 @@
-"""Shared helpers: reading tables, materialising in the shared folder, row keys."""
+"""Shared helpers: reading tables, texts and keys; tables in the shared folder come from ``storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, scratch_path, shared_dir  # noqa: F401
+
 #: The six ASCII white-space characters U+0020, U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -16,40 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests on one machine) a temporary folder
-    is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="lucidreq-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lucidreq/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut."""
-    path = scratch_path(df.sparkSession, name)
-    (df.write.option("compression", compression) if compression else df.write).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def discard(*dfs: DataFrame) -> None:
-    """Delete tables written by :func:`materialize` that no plan reads any more."""
-    for df in dfs:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import discard, materialize, same, table, text_or_empty
-from .components import connected_components
 from .exact_dedup import squeeze
 from .shingles import mix, set_hash, shingle_sets
 

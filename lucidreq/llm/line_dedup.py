@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import materialize, same, table, text_or_empty
-from .components import connected_components
 from .shingles import _BASE, _INVERSE, _power, mix
 
 MAX_BITS = 3
