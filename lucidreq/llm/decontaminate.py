@@ -158,38 +158,44 @@ class Items:
         diagonals: set[tuple[int, int]] = set()
         for p, x, y in zip(at.tolist(), a.tolist(), b.tolist()):
             diagonals.update(zip(self.owner[x:y].tolist(), (p - self.pos[x:y]).tolist()))
-        best: dict[int, list] = {}
+        pieces: dict[int, list] = {}
         for item, diagonal in diagonals:
             own = self.tokens[item]
             first, last = max(0, diagonal), min(len(tokens), diagonal + len(own))
             equal = tokens[first:last] == own[first - diagonal : last - diagonal]
             runs = np.flatnonzero(np.diff(np.concatenate([[0], equal, [0]])))
             for s, e in zip(runs[::2].tolist(), runs[1::2].tolist()):
-                if e - s < WINDOW:
-                    continue
-                for c, d in self._consistent(words, tokens, item, first + s, first + e, diagonal):
-                    found = best.setdefault(item, [0, np.zeros(len(own), bool)])
-                    found[0] = max(found[0], d - c)
-                    found[1][c - diagonal : d - diagonal] = True
+                if e - s >= WINDOW:
+                    pieces.setdefault(item, []).extend(self._consistent(words, tokens, item, first + s, first + e, diagonal))
         out = []
-        for item, (run, covered) in best.items():
-            share = float(covered.mean())
+        for item, found in pieces.items():
+            found.sort(key=lambda x: (x[0] - x[1], x[0]))
+            covered, there, back = np.zeros(len(self.tokens[item]), bool), {}, {}
+            # From the longest on, pieces count that agree with those before.
+            for c, d, slots in found:
+                if all(there.get(own, doc) == doc and back.get(doc, own) == own for own, doc in slots.items()):
+                    there.update(slots)
+                    back.update((doc, own) for own, doc in slots.items())
+                    covered[c:d] = True
+            run, share = max((d - c for c, d, _ in found), default=0), float(covered.mean())
             if run >= min(LEAST_RUN, len(covered)) or share >= LEAST_COVER:
                 out.append((self.ids[item], run, share))
         return sorted(out, key=lambda x: (-x[2], -x[1], str(x[0])))
 
     def _consistent(self, words, tokens, item, a, b, diagonal):
-        """Pieces of a run in each of which slots map one to one."""
-        there, back, start = {}, {}, a
+        """Pieces of a run (places in the item, slots) in each of which slots map one to one."""
+        there, back, start, out = {}, {}, a, []
         for i in range(a, b):
             if tokens[i] <= NAME:
                 doc, own = _EDGE.sub("", words[i]).lower(), self.words[item][i - diagonal]
-                if there.setdefault(own, doc) != doc or back.setdefault(doc, own) != own:
+                if there.get(own, doc) != doc or back.get(doc, own) != own:
                     if i - start >= WINDOW:
-                        yield start, i
-                    there, back, start = {own: doc}, {doc: own}, i
+                        out.append((start - diagonal, i - diagonal, there))
+                    there, back, start = {}, {}, i
+                there[own], back[doc] = doc, own
         if b - start >= WINDOW:
-            yield start, b
+            out.append((start - diagonal, b - diagonal, there))
+        return out
 
 
 def _passes(benchmark: DataFrame, max_tokens: int) -> int:
