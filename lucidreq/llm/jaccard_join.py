@@ -265,10 +265,14 @@ def _prefix_sql(n: str) -> str:
 
 
 def leader_pairs(shared: DataFrame) -> DataFrame:
-    """For each group the earlier group with which it shares the most prefix shingles: a, b."""
-    first = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m")).select("key", F.col("m.node").alias("a"), F.col("m.n").alias("an"))
-    pairs = shared.join(first, "key").where(f"a <> node and {size_ok('n', 'an')}").groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"))
-    best = pairs.groupBy("node").agg(F.max(F.struct("both", "a")).alias("m"), F.max("n").alias("n"))
+    """For each group another one, that leads most of the prefix shingles they share: a, b.
+
+    A shingle's leader is the group in whose prefix it comes first: fewer rare
+    shingles precede it, so of near copies it is the one with the fewest changes.
+    """
+    first = shared.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("m")).select("key", F.col("m.node").alias("a"), F.col("m.n").alias("an"), F.col("m.pos").alias("ap"))
+    pairs = shared.join(first, "key").where(f"a <> node and {size_ok('n', 'an')}").groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"), F.min("ap").alias("ap"))
+    best = pairs.groupBy("node").agg(F.max(F.struct("both", (-F.col("ap")).alias("early"), "a")).alias("m"), F.max("n").alias("n"))
     return best.where(f"4 * m.both >= {_prefix_sql('n')}").select(F.col("m.a").alias("a"), F.col("node").alias("b"))
 
 
@@ -276,17 +280,23 @@ def cross_pairs(shared: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs of nodes in different components that may link: a, b.
 
     Keys that are in one component alone drop out first, so a group of near
-    copies that is linked already makes no pairs. A pair is kept if its common
-    prefix shingles, and all that could follow them, reach the needed overlap.
+    copies that is linked already makes no pairs. A pair meets at a shingle that
+    is in the shorter set's indexing prefix and from which on both sets can still
+    reach the overlap they need; a pair that links has such a shingle, the first
+    that they share. Then all their common prefix shingles are counted: with
+    everything that could follow them, they must reach that overlap too.
     """
     own = shared.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     own = materialize(own.join(mixed, "key", "left_semi"), "cross-postings")
-    kinds = own.select("key", "c").distinct()
-    meet = kinds.select("key", F.col("c").alias("ca")).join(kinds.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    a = own.select("key", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"))
+    a = own.where(f"pos <= n - {_overlap_sql('n', 'n')}").select("key", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"))
     b = own.select("key", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
-    rows = meet.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(size_ok("an", "bn"))
+    fits = F.expr(f"ca <> cb and an <= bn and {size_ok('an', 'bn')} and least(an - ap, bn - bp) >= {_overlap_sql('an', 'bn')}")
+    met = a.join(b, (a["key"] == b["key"]) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = materialize(met, "met")
+    post = own.select("key", "node", "n", "pos")
+    rows = met.join(post.select(F.col("node").alias("a"), "key", F.col("n").alias("an"), F.col("pos").alias("ap")), "a")
+    rows = rows.join(post.select(F.col("node").alias("b"), "key", F.col("n").alias("bn"), F.col("pos").alias("bp")), ["b", "key"])
     pairs = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("an").alias("an"), F.max("bn").alias("bn"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
     after = f"least(least(an - 1 - ap, bn - 1 - bp), greatest(an - {_prefix_sql('an')}, bn - {_prefix_sql('bn')}))"
     return pairs.where(f"both + {after} >= {_overlap_sql('an', 'bn')}").select("a", "b")
