@@ -38,8 +38,6 @@ GRAM = 96
 HOT_CLASSES = 2000
 #: Classes that one task sorts together, about.
 BUCKET_CLASSES = 8000
-#: Representatives' places are broadcast up to so many; beyond, they are joined by a shuffle.
-BROADCAST_PLACES = 200_000
 PIECE_BYTES = 2 << 20
 
 
@@ -206,8 +204,7 @@ def _contexts(docs: DataFrame, chosen: DataFrame, min_bytes: int) -> DataFrame:
     """Adds the bytes of each representative's windows."""
     per_doc = chosen.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "ctx", "size", "span", "kinds", "lo")).alias("c"))
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "c")
-    small = chosen.count() <= BROADCAST_PLACES
-    joined = _rows(docs).join(F.broadcast(per_doc) if small else per_doc, same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t")))
+    joined = _rows(docs).join(per_doc, same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
