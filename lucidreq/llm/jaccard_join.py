@@ -284,7 +284,9 @@ def cross_pairs(shared: DataFrame, component: DataFrame) -> DataFrame:
     is in the shorter set's indexing prefix and from which on both sets can still
     reach the overlap they need; a pair that links has such a shingle, the first
     that they share. Then all their common prefix shingles are counted: with
-    everything that could follow them, they must reach that overlap too.
+    everything that could follow them, they must reach that overlap too. ``weight``
+    is the number of prefix shingles a row stands for: 1, or the whole prefix for
+    a group's own key, as its members share all of it, postings or not.
     """
     own = shared.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
@@ -294,10 +296,10 @@ def cross_pairs(shared: DataFrame, component: DataFrame) -> DataFrame:
     fits = F.expr(f"ca <> cb and an <= bn and {size_ok('an', 'bn')} and least(an - ap, bn - bp) >= {_overlap_sql('an', 'bn')}")
     met = a.join(b, (a["key"] == b["key"]) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = materialize(met, "met")
-    post = own.select("key", "node", "n", "pos")
-    rows = met.join(post.select(F.col("node").alias("a"), "key", F.col("n").alias("an"), F.col("pos").alias("ap")), "a")
+    post = own.select("key", "node", "n", "pos", "weight")
+    rows = met.join(post.select(F.col("node").alias("a"), "key", F.col("n").alias("an"), F.col("pos").alias("ap"), "weight"), "a")
     rows = rows.join(post.select(F.col("node").alias("b"), "key", F.col("n").alias("bn"), F.col("pos").alias("bp")), ["b", "key"])
-    pairs = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("an").alias("an"), F.max("bn").alias("bn"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
+    pairs = rows.groupBy("a", "b").agg(F.sum("weight").alias("both"), F.max("an").alias("an"), F.max("bn").alias("bn"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
     after = f"least(least(an - 1 - ap, bn - 1 - bp), greatest(an - {_prefix_sql('an')}, bn - {_prefix_sql('bn')}))"
     return pairs.where(f"both + {after} >= {_overlap_sql('an', 'bn')}").select("a", "b")
 
@@ -383,8 +385,10 @@ def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     so_far = materialize(connected_components(links), "components")
     # All that may still link components: shared shingles of groups, expanded to members, and groups' own members.
     several = members.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("lead")
-    expanded = shared.withColumnRenamed("node", "lead").join(members.select("node", "lead"), "lead").select("key", "node", "n", "pos")
-    own = members.join(several, "lead", "left_semi").select((-F.abs(F.col("lead")) - 1).alias("key"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
+    expanded = shared.withColumnRenamed("node", "lead").join(members.select("node", "lead"), "lead").select("key", "node", "n", "pos", F.lit(1).alias("weight"))
+    # Members are different sets of one size, so they can link only where one may lack a shingle of the other.
+    own = members.join(several, "lead", "left_semi").where(f"n > {_overlap_sql('n', 'n')}")
+    own = own.select((-F.abs(F.col("lead")) - 1).alias("key"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"), F.expr(f"cast({_prefix_sql('n')} as int)").alias("weight"))
     more = verified(cross_pairs(expanded.unionByName(own), so_far), docs, nodes)
     _release(spark)
     component = connected_components(links.unionByName(more))

@@ -178,3 +178,18 @@ def test_hot_shingles_count_all_documents(docs_of):
     keys, counts = jaccard_join.hot_shingles(df, jaccard_join.token_bound(df), hot=10)
     assert counts.tolist() == [30, 30, 30]
     assert df.select(F.count("*")).first()[0] == 31 and hashlib.sha256(b"").hexdigest()
+
+
+def test_jaccard_members_link_without_their_leader(docs_of):
+    """Isolated triples: B and C link, A doesn't; in some A leads a group of all three, so B and C meet in it alone."""
+    rows, alone = [], 0
+    for k in range(200):
+        base = [f"w{k}x{i}" for i in range(24)]
+        texts = [" ".join(base[: 24 - d] + [f"{c}{k}x{i}" for i in range(d)]) for c, d in (("a", 3), ("b", 0), ("c", 1))]
+        rows += [(3 * k + i, t) for i, t in enumerate(texts)]
+        sets = list(shingles.shingle_sets(texts))
+        same_group = len({bytes(np.sort(s)[: jaccard_join.prefix_size(len(s))]) for s in sets}) == 1
+        alone += same_group and min(sets, key=shingles.set_hash) is sets[0]
+    assert alone >= 3
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs_of(rows)).collect()}
+    assert got == {d: d - (d % 3 == 2) for d, _ in rows}
