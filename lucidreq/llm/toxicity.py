@@ -14,6 +14,7 @@ document frequencies under either label, counted on the executors.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -44,12 +45,35 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 CACHE_WORDS = 500_000
 
 
+#: Longer words are marked by a digest and kept out of caches.
+LONG_WORD = 200
+
+
+def _stream(word: str) -> Iterator[str]:
+    if len(word) <= LONG_WORD:
+        w = _EDGE.sub("", word)
+    else:  # the expression takes quadratic time on long punctuation
+        a, b = 0, len(word)
+        while a < b and not word[a].isalnum():
+            a += 1
+        while b > a and not word[b - 1].isalnum():
+            b -= 1
+        w = word[a:b]
+    if w:
+        yield f"={w}" if len(w) <= LONG_WORD else "=#" + hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    for n in (3, 4, 5):
+        for i in range(len(w) - n + 1):
+            yield w[i : i + n]
+
+
 def fragments(word: str) -> set[str]:
     """The word itself (marked) and its 3- to 5-grams, without outer punctuation."""
-    w = _EDGE.sub("", word)[:200] if len(word) <= 200 else ""
-    if not w:
-        return set()
-    return {f"={w}", *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))}
+    return set(_stream(word))
+
+
+def pieces(word: str) -> list[str]:
+    """What of a word as it stands lies in one sentence or another, in lower case."""
+    return [p.lower() for p in _SENTENCE.findall(word)]
 
 
 @dataclass
@@ -106,10 +130,12 @@ def _fragment_counts(sample: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows[toxic] += 1
                 seen: set[str] = set()
-                for w in set(text.lower().split()):
+                for w in set(text.split()):
                     f = cache.get(w)
                     if f is None:
-                        f = cache[w] = fragments(w)
+                        f = {x for p in pieces(w) for x in _stream(p)}
+                        if len(w) <= LONG_WORD:
+                            cache[w] = f
                     seen |= f
                 counts[toxic].update(seen)
                 if len(cache) > 50_000:
@@ -152,23 +178,29 @@ class _Finder:
     """Which of the model's fragments a word holds; most words hold none."""
 
     def __init__(self, names):
-        self.names, self.cache = frozenset(names), {}
+        self.names, self.cache, self.raw = frozenset(names), {}, {}
 
     def word(self, w: str) -> frozenset:
         hit = self.cache.get(w)
         if hit is None:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            hit = self.cache[w] = frozenset(fragments(w) & self.names) or _NONE
+            hit = frozenset(self.names.intersection(_stream(w))) or _NONE
+            if len(w) <= LONG_WORD:
+                if len(self.cache) > CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[w] = hit
         return hit
 
-    def text(self, lower: str) -> bool:
-        """Whether any word of the text holds a fragment."""
-        cache, word = self.cache, self.word
-        for w in set(lower.split()):
-            hit = cache.get(w)
+    def text(self, text: str) -> bool:
+        """Whether any word of any sentence holds a fragment."""
+        raw = self.raw
+        for w in set(text.split()):
+            hit = raw.get(w)
             if hit is None:
-                hit = word(w)
+                hit = any(map(self.word, pieces(w)))
+                if len(w) <= LONG_WORD:
+                    if len(raw) > CACHE_WORDS:
+                        raw.clear()
+                    raw[w] = hit
             if hit:
                 return True
         return False
@@ -266,7 +298,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
             for text in batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist():
                 spans = sentences(text or "")
                 log_no, hot = -quiet * len(spans), []
-                if spans and finder.text(text.lower()):
+                if spans and finder.text(text):
                     for a, b in spans:
                         hits = finder.sentence(text[a:b])
                         if hits:

@@ -131,6 +131,21 @@ def test_decontaminate(docs_of, spark):
     assert decontaminate.decontaminate(docs, bench.where("false")).count() == 5 and decontaminate.decontaminate(docs.where("false"), bench).count() == 0
 
 
+# ------------------------------------------------------------------- toxicity, long and joined words
+
+
+def test_toxicity_reads_long_and_joined_words(docs_of, spark):
+    model = toxicity.ToxicityModel({"=fool": 9.0, "idio": 9.0}, -2.0)
+    joined = "-".join(f"plain{i}" for i in range(60))
+    texts = ["you fool.You are", "a.b.c.fool." + "x." * 200, f"{joined}-idiot-{joined}", joined, "-" * 300_000 + "a" + "-" * 300_000 + "b", "no harm. None"]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs_of(list(enumerate(texts))), model).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+    r = random.Random(4)
+    rows = [(i, "_".join(r.choices(["tree", "house", "river", "stone"], k=60) + ["gromble"] * (i % 2))) for i in range(80)]
+    sample = spark.createDataFrame([(t, i % 2) for i, t in rows], "text string, toxic int")
+    assert "gromb" in toxicity.choose_fragments(sample)[0]
+
+
 # ------------------------------------------------------------------- chats
 
 
