@@ -122,22 +122,41 @@ def windows(tokens: np.ndarray) -> np.ndarray:
     return h
 
 
+def _bare(word: str) -> str:
+    return _EDGE.sub("", word).lower()
+
+
+def _verbatim(words: list[str], tokens: np.ndarray) -> list[tuple]:
+    """Template token and value of each word: what a window is hashed by where its template alone says too little."""
+    return [(t, _bare(w)) for t, w in zip(tokens.tolist(), words)]
+
+
 class Items:
-    """The benchmark's side of the hash join."""
+    """The benchmark's side of the hash join.
+
+    Items in which no window may start a match (fewer than five words, or too few
+    that are no placeholders) are met by windows that hold the item's own values;
+    of an item of fewer than five words the window is the whole item.
+    """
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         canon = Canonical()
+        self.plain: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
         self.ids, self.words, self.tokens, hashes, owner, pos = [], [], [], [], [], []
         for i, text in rows:
             words, tokens = canon(text or "")
             if not words:
                 continue
             h = windows(tokens)
+            if not h.any():
+                size, own = min(WINDOW, len(words)), _verbatim(words, tokens)
+                for k in range(len(own) - size + 1):
+                    self.plain.setdefault(size, {}).setdefault(tuple(own[k : k + size]), []).append((len(self.ids), k))
             hashes.append(h)
             owner.append(np.full(len(h), len(self.ids)))
             pos.append(np.arange(len(h)))
             self.ids.append(i)
-            self.words.append([_EDGE.sub("", w).lower() for w in words])
+            self.words.append([_bare(w) for w in words])
             self.tokens.append(tokens)
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         h = cat(hashes, np.uint64)
@@ -152,10 +171,15 @@ class Items:
         h = windows(tokens)
         at = np.flatnonzero(self.bits[h & np.uint64((1 << 22) - 1)])
         at = at[h[at] > 0]
-        if not len(at):
+        diagonals: set[tuple[int, int]] = set()
+        if self.plain:
+            doc = _verbatim(words, tokens)
+            for size, seeds in self.plain.items():
+                for p in range(len(doc) - size + 1):
+                    diagonals.update((item, p - k) for item, k in seeds.get(tuple(doc[p : p + size]), ()))
+        if not len(at) and not diagonals:
             return []
         a, b = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        diagonals: set[tuple[int, int]] = set()
         for p, x, y in zip(at.tolist(), a.tolist(), b.tolist()):
             diagonals.update(zip(self.owner[x:y].tolist(), (p - self.pos[x:y]).tolist()))
         pieces: dict[int, list] = {}
@@ -165,7 +189,7 @@ class Items:
             equal = tokens[first:last] == own[first - diagonal : last - diagonal]
             runs = np.flatnonzero(np.diff(np.concatenate([[0], equal, [0]])))
             for s, e in zip(runs[::2].tolist(), runs[1::2].tolist()):
-                if e - s >= WINDOW:
+                if e - s >= min(WINDOW, len(own)):
                     pieces.setdefault(item, []).extend(self._consistent(words, tokens, item, first + s, first + e, diagonal))
         out = []
         for item, found in pieces.items():
@@ -185,15 +209,16 @@ class Items:
     def _consistent(self, words, tokens, item, a, b, diagonal):
         """Pieces of a run (places in the item, slots) in each of which slots map one to one."""
         there, back, start, out = {}, {}, a, []
+        least = min(WINDOW, len(self.words[item]))
         for i in range(a, b):
             if tokens[i] <= NAME:
                 doc, own = _EDGE.sub("", words[i]).lower(), self.words[item][i - diagonal]
                 if there.get(own, doc) != doc or back.get(doc, own) != own:
-                    if i - start >= WINDOW:
+                    if i - start >= least:
                         out.append((start - diagonal, i - diagonal, there))
                     there, back, start = {}, {}, i
                 there[own], back[doc] = doc, own
-        if b - start >= WINDOW:
+        if b - start >= least:
             out.append((start - diagonal, b - diagonal, there))
         return out
 
@@ -206,8 +231,9 @@ def _passes(benchmark: DataFrame, max_tokens: int) -> int:
 def find_items(docs: DataFrame, benchmark: DataFrame, max_tokens: int = MAX_ITEM_TOKENS) -> DataFrame:
     """The rows of ``docs`` with hits: array of (item_id, run, cover), best first.
 
-    Null and empty texts, and items without words, give no hits; texts of fewer
-    than five words can't match. Repeated rows are judged alike. A column named
+    Null and empty texts, and items without words, give no hits. Items of fewer
+    than five words, or without a window of enough plain words, need a window with
+    their own values to start a match. Repeated rows are judged alike. A column named
     hits is replaced. No shuffle of the documents.
     """
     spark = docs.sparkSession

@@ -131,6 +131,21 @@ def test_decontaminate(docs_of, spark):
     assert decontaminate.decontaminate(docs, bench.where("false")).count() == 5 and decontaminate.decontaminate(docs.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize(
+    "item, text, found",
+    [
+        ("Add 12, 47 and 90 to 33.", "they say: Add 12, 47 and 90 to 33. And more", True),
+        ("Add 12, 47 and 90 to 33.", "they say: Add 13, 48 and 91 to 34. And more", False),
+        ("Who wrote Hamlet?", "a list. Who wrote Hamlet? Someone did", True),
+        ("Who wrote Hamlet?", "a list. Who wrote Faust? Someone did", False),
+        ("12 47", "there were 12 47 of them", True),
+        ("12 47", "there were 13 48 of them", False),
+    ],
+)
+def test_items_without_a_seeding_window(item, text, found):
+    assert bool(hits(text, [(1, item), (2, ITEM)])) == found
+
+
 # ------------------------------------------------------------------- toxicity, long and joined words
 
 
