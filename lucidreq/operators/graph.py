@@ -14,30 +14,26 @@ from pyspark.sql import functions as F
 from ..storage import discard, materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node that ``edges`` (columns a, b) name.
 
-    Self-links name a node without linking it; nulls are ignored.
+    Self-links name a node without linking it; nulls are ignored. Each step marks
+    the edges that it made anew; the first step without any ends the loop.
     """
     start = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(start, "cc")
-    before = None
-    while (state := _state(now)) != before:
-        before = state
+    now = materialize(start.withColumn("c", F.lit(True)), "cc")
+    while not now.where("c").isEmpty():
         # Large star: larger neighbours go to the smallest neighbour.
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        alone = now.where("u = v")
-        large = large.unionAll(alone).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("c"))
+        alone = now.where("u = v").select("u", "v", F.lit(False).alias("c"))
+        large = large.unionAll(alone).groupBy("u", "v").agg(F.max("c").alias("c"))
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.where("u <> v").join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(small.unionAll(down.select("u", F.col("m").alias("v"))).unionAll(alone).distinct(), "cc")
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.max("c").alias("c"))
+        small = large.where("u <> v").join(down.select("u", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("c"))
+        after = small.unionAll(down.select("u", F.col("m").alias("v"), "c")).groupBy("u", "v").agg(F.max("c").alias("c"))
+        after = materialize(after, "cc")
         discard(now)
         now = after
     # Each node now has one edge, to the smallest node; that one has none of its own.
