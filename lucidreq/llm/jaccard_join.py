@@ -2,7 +2,7 @@
 
 Two documents link when their sets of 5-word shingles have a Jaccard similarity
 of at least 0.8. Exact copies of a set collapse into one node. Shingles are put
-in one global order, those in very many documents last and by their counts; two
+in one global order, those whose slot of a frequency sketch counts few first; two
 sets that link share a shingle in their prefixes of that order. Nodes with the
 same prefix and size collapse into one group; group pairs are found through
 shared prefix shingles and filtered by size, position and overlap; the pairs that
@@ -15,33 +15,38 @@ components so far* are filtered and verified, so no link between components is
 lost, and pairs inside a component, of which a group of near copies has a number
 that grows with its square, are never made.
 
-Sizes: the list of shingles in more than ``HOT`` documents is the only thing sent
-to all workers; its entries are at most all shingles / HOT, and HOT grows with
-their number so that this stays under ``MAX_HOT_ENTRIES``.
+Sizes: the sketch, of a fixed size, is all that goes to every worker. Rows of one
+shingle are met in sorted order, one held at a time, and a shingle that the sketch
+finds in very many documents is split by a salt; a leader's members are verified
+one after the other against its set, in portions. Shingles are 64-bit hashes and
+sets are compared by them: two different shingles of a corpus of n have a chance
+of about n * n / 2**65 to be taken for one another, which only moves one count.
 """
 
 from __future__ import annotations
 
-import gc
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import discard, materialize, same, table, text_or_empty
-from .exact_dedup import squeeze
+from .common import discard, materialize, number_batches, release, same, table, text_batches, text_or_empty
 from .shingles import mix, set_hash, shingle_sets
 
 #: Link when THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
 THRESHOLD = (80, 100)
-HOT = 64
-MAX_HOT_ENTRIES = 2_000_000
-BUCKET_TOKENS = 1_000_000
+#: Slots of the frequency sketch, and how many of them travel together.
+SLOT_BITS, SLOTS_A_ROW = 18, 4096
+#: Rows of one prefix shingle that a task meets, about; beyond, the shingle is split.
+SPLIT = 1 << 18
+#: Members that are verified against one copy of their leader's text, about.
+PORTION = 256
 #: Wanted documents are broadcast by id up to so many; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 
 
 def prefix_size(n, num: int = THRESHOLD[0], den: int = THRESHOLD[1]):
@@ -49,112 +54,61 @@ def prefix_size(n, num: int = THRESHOLD[0], den: int = THRESHOLD[1]):
     return n - (num * n + den - 1) // den + 1
 
 
-def least_overlap(n, m, num: int = THRESHOLD[0], den: int = THRESHOLD[1]):
-    """The smallest intersection with which sets of n and m link (Python ints or columns' SQL)."""
-    return -(-num * (n + m) // (num + den))
-
-
 # ---------------------------------------------------------------- global order
 
 
-def token_bound(docs: DataFrame) -> int:
-    """At least as many shingles as all documents have: white-space characters and rows."""
-    text = text_or_empty()
-    return docs.agg(F.sum(F.octet_length(text) - F.octet_length(squeeze(text)) + 1)).first()[0] or 0
-
-
-def bucket_bits(tokens: int) -> int:
-    return max(3, int(np.ceil(np.log2(max(1, tokens / BUCKET_TOKENS)))))
-
-
-def key_of(tokens: np.ndarray, bits: int) -> np.ndarray:
-    """The leading 32 + bits bits; that two shingles share them only moves their place in the order."""
-    return tokens >> np.uint64(32 - bits)
+def sketch(docs: DataFrame) -> np.ndarray:
+    """How many documents have a shingle of each slot (the leading bits of its hash), over all documents."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
+        held, size = [], 0
 
-def hot_shingles(docs: DataFrame, tokens: int, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys, and document counts, of the shingles in more than so many documents.
+        def add():
+            slots = np.concatenate([*held, np.zeros(0, np.uint64)]) >> np.uint64(64 - SLOT_BITS)
+            total[:] += np.bincount(slots.astype(np.int64), minlength=len(total)).astype(np.uint64)
 
-    Counted over all documents: keys are dealt to buckets of about a million, in
-    sorted packs of three or four bytes a key.
-    """
-    bits = bucket_bits(tokens)
-    least = max(hot, -(-tokens // MAX_HOT_ENTRIES))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
             for s in shingle_sets(batch.column(0).to_pylist()):
                 held.append(s)
                 size += len(s)
-                if size >= 4_000_000:
-                    yield packed(held)
+                if size >= 500_000:
+                    add()
                     held, size = [], 0
-            if size:
-                yield packed(held)
-
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(key_of(np.concatenate(held), bits))
-        cut = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-        buckets, blobs = [], []
-        for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-            if b > a:
-                step = np.diff(keys[a:b] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4")
-                small = not (step >> 24).any()
-                raw = step.view(np.uint8).reshape(-1, 4)
-                blobs.append((b"3" + raw[:, :3].tobytes()) if small else (b"4" + raw.tobytes()))
-                buckets.append(k)
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "keys"])
-
-    def unpacked(blob: bytes) -> np.ndarray:
-        wide = int(blob[:1])
-        raw = np.zeros(((len(blob) - 1) // wide, 4), dtype=np.uint8)
-        raw[:, :wide] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, wide)
-        return np.cumsum(raw.reshape(-1).view("<u4"), dtype=np.uint64)
-
-    def count(group: pa.Table) -> pa.Table:
-        keys, n = np.unique(np.concatenate([unpacked(x) for x in group.column("keys").to_pylist()]), return_counts=True)
-        keys += np.uint64(group.column("bucket")[0].as_py()) << np.uint64(32)
-        often = n > least
-        return pa.table({"key": keys[often].astype(np.int64), "n": n[often].astype(np.int64)})
-
-    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(deal, "bucket int, keys binary")
-    found = dealt.groupBy("bucket").applyInArrow(count, "key long, n long").toPandas()
-    found = found.sort_values("key")
-    return found["key"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)
+        add()
+        parts = [(k, x) for k, x in enumerate(total.reshape(-1, SLOTS_A_ROW)) if x.any()]
+        blobs = [zlib.compress(x.astype("<u8").tobytes(), 1) for _, x in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(blobs, pa.binary())], names=["row", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = sums.setdefault(k, np.zeros(SLOTS_A_ROW, np.uint64))
+                own += np.frombuffer(zlib.decompress(blob), "<u8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["row", "counts"])
+
+    kind = "row int, counts binary"
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, kind).repartition("row").mapInArrow(add_up, kind)
+    out = np.zeros((1 << SLOT_BITS) // SLOTS_A_ROW * SLOTS_A_ROW, dtype=np.uint64).reshape(-1, SLOTS_A_ROW)
+    for r in rows.collect():  # at most one row for each of the sketch's rows
+        out[r.row] = np.frombuffer(r.counts, "<u8")
+    return out.ravel()
 
 
 class Order:
-    """Puts a set's shingles in the global order."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int):
-        self.keys, self.counts, self.bits = keys, counts, bits
-        self.bloom = np.zeros(1 << 22, dtype=bool)
-        self.bloom[keys & np.uint64((1 << 22) - 1)] = True
-
-    def count(self, tokens: np.ndarray) -> np.ndarray:
-        """Documents of each hot shingle, 0 for the others."""
-        k = key_of(tokens, self.bits)
-        out = np.zeros(len(tokens), dtype=np.int64)
-        maybe = np.flatnonzero(self.bloom[k & np.uint64((1 << 22) - 1)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.keys, k[maybe]), len(self.keys) - 1)
-            hit = self.keys[at] == k[maybe]
-            out[maybe[hit]] = self.counts[at[hit]]
-        return out
+    """Puts a set's shingles in the global order: rare slots first, then by hash."""
+
+    def __init__(self, counts: np.ndarray, split: int = SPLIT):
+        self.counts = np.minimum(counts, (1 << 63) - 1).astype(np.int64)
+        # What stands out of twice the mean is one shingle in many documents, more or less.
+        self.salts = 1 + np.maximum(0, self.counts - 2 * int(self.counts.mean())) // split
+
+    def slot(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def prefix(self, tokens: np.ndarray) -> np.ndarray:
-        """``tokens`` is sorted: those that aren't hot, then the hot ones by count."""
-        p = prefix_size(len(tokens))
-        n = self.count(tokens) if len(self.keys) else np.zeros(0, np.int64)
-        if not n.any():
-            return tokens[:p]
-        cold = tokens[n == 0]
-        if len(cold) >= p:
-            return cold[:p]
-        rest = np.flatnonzero(n)
-        rest = rest[np.lexsort((tokens[rest], n[rest]))]
-        return np.concatenate([cold, tokens[rest]])[:p]
+        return tokens[np.argsort(self.counts[self.slot(tokens)], kind="stable")[: prefix_size(len(tokens))]]
 
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
@@ -184,70 +138,82 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
 
 # ---------------------------------------------------------------- candidates
 
-_POSTINGS = "key long, node long, n int, pos int"
 
+def postings(leaders: DataFrame, order: Order) -> DataFrame:
+    """Prefix shingles of groups (columns node, n, prefix): key, salt, node, n, pos."""
+    shared = leaders.sparkSession.sparkContext.broadcast(order)
 
-def postings(leaders: DataFrame, order: Order, tokens: int) -> DataFrame:
-    """Prefix shingles that two or more groups share: key, node, n, pos.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                own = batch.slice(a, 1000)
+                col = own.column(2)
+                key = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                size = np.diff(col.offsets.to_numpy())
+                node = np.repeat(own.column(0).to_numpy(), size)
+                salt = mix(node.view(np.uint64)) % order.salts[order.slot(key)].astype(np.uint64)
+                pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+                arrays = (key.view(np.int64), salt.astype(np.int32), node, np.repeat(own.column(1).to_numpy(), size).astype(np.int32), pos.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "salt", "node", "n", "pos"])
 
-    A shingle that isn't hot is in at most ``HOT`` documents or so, so buckets of
-    them are of bounded size and can be counted in tasks. Hot ones stay rows.
-    """
-    bits = bucket_bits(tokens // 4)
-    key_bits = order.bits
-    shared = leaders.sparkSession.sparkContext.broadcast(order)
-    kind = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+    side = leaders.select("node", F.col("n").cast("int").alias("n"), "prefix")
+    return side.mapInArrow(run, "key long, salt int, node long, n int, pos int")
 
-    def flat(batch: pa.RecordBatch, hot: bool) -> np.ndarray:
-        col = batch.column(2)
-        tok = col.values.to_numpy(zero_copy_only=False).view(np.uint64)[col.offsets[0].as_py() : col.offsets[-1].as_py()]
-        size = np.diff(col.offsets.to_numpy())
-        rows = np.empty(len(tok), dtype=kind)
-        rows["key"] = key_of(tok, key_bits)
-        rows["node"] = np.repeat(batch.column(0).to_numpy(), size)
-        rows["n"] = np.repeat(batch.column(1).to_numpy(), size)
-        rows["pos"] = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
-        return rows[(shared.value.count(tok) > 0) == hot] if len(shared.value.keys) else rows[: 0 if hot else None]
 
-    def table_of(rows: np.ndarray) -> list[pa.Array]:
-        return [pa.array(rows["key"].astype(np.int64)), pa.array(rows["node"].astype(np.int64)), pa.array(rows["n"].astype(np.int32)), pa.array(rows["pos"].astype(np.int32))]
+_MET = ["key", "salt", "node", "n", "pos"]
 
-    names = ["key", "node", "n", "pos"]
 
-    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(table_of(flat(batch, True)), names=names)
+def met_postings(rows: DataFrame, order: Order) -> DataFrame:
+    """The postings of shingles that several groups have, each with its key's first row in its salt: a, an, ap.
 
-    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = flat(batch, False)
-            bucket = (mix(rows["key"].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[by], bucket[by]
-            cut = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
-            have = [k for k in range(1 << bits) if cut[k + 1] > cut[k]]
-            # Columns one after the other compress better than rows.
-            blobs = [b"".join(rows[c][cut[k] : cut[k + 1]].tobytes() for c in names) for k in have]
-            yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
-
-    def joined(group: pa.Table) -> pa.Table:
-        parts = []
-        for blob in group.column("rows").to_pylist():
-            size = len(blob) // kind.itemsize
-            rows = np.empty(size, dtype=kind)
-            at = 0
-            for c in names:
-                rows[c] = np.frombuffer(blob, kind[c], size, at)
-                at += size * kind[c].itemsize
-            parts.append(rows)
-        rows = np.concatenate(parts)
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        same_next = np.concatenate([rows["key"][1:] == rows["key"][:-1], [False]])
-        return pa.Table.from_arrays(table_of(rows[same_next | np.concatenate([[False], same_next[:-1]])]), names=names)
+    ``rows`` are the :func:`postings`; they are sorted by key, salt, pos and node and
+    read as a stream in which only the first row of the current key is held.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(order)
+    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
 
-    side = leaders.select("node", F.col("n").cast("int").alias("n"), "prefix")
-    few = side.mapInArrow(cold, "bucket int, rows binary").groupBy("bucket").applyInArrow(joined, _POSTINGS)
-    return few.unionByName(side.mapInArrow(hot, _POSTINGS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = shared.value
+        head, told = None, True  # the first row of the key at the end of the last batch, and whether it was given out
+
+        def out(c: list[np.ndarray], keep: np.ndarray, first: np.ndarray):
+            arrays = [x[keep] for x in c] + [c[i][first[keep]] for i in (2, 3, 4)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[*_MET, "a", "an", "ap"])
+
+        def alone(c: list[np.ndarray]) -> np.ndarray:
+            """Rows of split shingles stay even where a salt has no other."""
+            return salts.salts[salts.slot(c[0].view(np.uint64))] > 1
+
+        for batch in batches:
+            c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if not len(c[0]):
+                continue
+            goes_on = head is not None and head[0] == c[0][0] and head[1] == c[1][0]
+            if head is not None and not goes_on and not told and alone([np.array([v], x.dtype) for v, x in zip(head, c)])[0]:
+                yield out([np.array([v], x.dtype) for v, x in zip(head, c)], np.array([True]), np.array([0]))
+            if goes_on:
+                c = [np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(head, c)]
+            new = np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])])
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(new)))
+            first = np.repeat(start, size)
+            keep = np.repeat(size > 1, size) | alone(c)
+            last = start[-1]
+            if size[-1] == 1:
+                keep[last] = False
+            done = size[-1] > 1
+            if goes_on and told:
+                keep[0] = False
+            head, told = [x[last] for x in c], bool(done or (goes_on and told and last == 0))
+            yield out(c, keep, first)
+        if head is not None and not told:
+            c = [np.array([v], x.dtype) for v, x in zip(head, c)]
+            if alone(c)[0]:
+                yield out(c, np.array([True]), np.array([0]))
+
+    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "pos", "node")
+    return dealt.mapInArrow(run, f"{fields}, a long, an int, ap int")
 
 
 def size_ok(a: str, b: str) -> str:
@@ -255,6 +221,7 @@ def size_ok(a: str, b: str) -> str:
 
 
 def _overlap_sql(a: str, b: str) -> str:
+    """The smallest intersection with which sets of a and b link."""
     num, den = THRESHOLD
     return f"cast(ceil({num} * ({a} + {b}) / {num + den}D - 1e-9) as int)"
 
@@ -264,18 +231,21 @@ def _prefix_sql(n: str) -> str:
     return f"({n} - cast(ceil({num} * {n} / {den}D - 1e-9) as int) + 1)"
 
 
-def leader_pairs(shared: DataFrame) -> DataFrame:
+def leader_pairs(met: DataFrame) -> DataFrame:
     """For each group another one, that leads most of the prefix shingles they share: a, b.
 
     A shingle's leader is the group in whose prefix it comes first: fewer rare
     shingles precede it, so of near copies it is the one with the fewest changes.
+    The leaders of a split shingle's salts are led by the first of them.
     """
-    first = shared.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("m")).select("key", F.col("m.node").alias("a"), F.col("m.n").alias("an"), F.col("m.pos").alias("ap"))
-    pairs = shared.join(first, "key").where(f"a <> node and {size_ok('n', 'an')}").groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"), F.min("ap").alias("ap"))
+    split = met.where("salt > 0").select("key").distinct()
+    heads = met.where("a = node").join(split, "key", "left_semi").select("key", "node", "n", "pos")
+    top = heads.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("t")).select("key", F.col("t.node").alias("a"), F.col("t.n").alias("an"), F.col("t.pos").alias("ap"))
+    votes = met.select("a", "an", "ap", "node", "n").unionByName(heads.join(top, "key").select("a", "an", "ap", "node", "n"))
+    pairs = votes.where(f"a <> node and {size_ok('n', 'an')}").groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"), F.min("ap").alias("ap"))
     best = pairs.groupBy("node").agg(F.max(F.struct("both", (-F.col("ap")).alias("early"), "a")).alias("m"), F.max("n").alias("n"))
     return best.where(f"4 * m.both >= {_prefix_sql('n')}").select(F.col("m.a").alias("a"), F.col("node").alias("b"))
 
-
 def cross_pairs(shared: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs of nodes in different components that may link: a, b.
 
@@ -308,53 +278,45 @@ def cross_pairs(shared: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b of nodes) whose whole texts' sets link."""
-    spark = docs.sparkSession
+    """The pairs (a, b of nodes) whose whole texts' sets link.
+
+    Each b comes with its text after its a, whose set alone is held: an a with many
+    partners is copied for every ``PORTION`` of them, so no key is large.
+    """
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(wanted.join(nodes, "node").select("node", F.col("doc_id").alias("want")), "wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.join(F.broadcast(wanted) if small else wanted, same(F.col("doc_id"), F.col("want"))).select("node", "text")
-    texts = materialize(_of_node(rows), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
+    firsts = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    roles = firsts.unionByName(pairs.join(many, "a").select("a", salt.alias("salt"), "b", F.col("b").alias("node")))
+    roles = materialize(roles.join(nodes.select("node", "doc_id", "th"), "node").select("a", "salt", "b", F.col("doc_id").alias("d"), F.col("th").alias("t")), "roles")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("th"))
+    side = F.broadcast(roles) if roles.count() <= BROADCAST_IDS else roles
+    rows = rows.join(side, same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t"))).select("a", "salt", "b", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num, den = THRESHOLD
+        own, held = None, None
         for batch in batches:
-            keep = []
-            sets_a = shingle_sets(batch.column(2).to_pylist())
-            sets_b = shingle_sets(batch.column(3).to_pylist())
-            for x, y in zip(sets_a, sets_b):
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * inter >= num * (len(x) + len(y) - inter))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
-
-
-def _of_node(rows: DataFrame) -> DataFrame:
-    """One text for each node: rows whose text has another set (a doc_id that repeats) drop out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want = batch.column(0).to_pylist()
-            yield batch.filter(pa.array([set_hash(s) == w for s, w in zip(shingle_sets(batch.column(1).to_pylist()), want)], pa.bool_()))
-
-    own = rows.mapInArrow(run, "node long, text string")
-    return own.groupBy("node").agg(F.min("text").alias("text"))
+            found: tuple[list, list] = ([], [])
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for (a, salt, b), s in zip(keys, shingle_sets(batch.column(3).to_pylist())):
+                if b is None:
+                    own, held = (a, salt), s
+                elif own == (a, salt):
+                    both = len(np.intersect1d(held, s, assume_unique=True))
+                    if den * both >= num * (len(held) + len(s) - both):
+                        found[0].append(a)
+                        found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return materialize(dealt.mapInArrow(check, "a long, b long"), "links")
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are done."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """One row per input row: doc_id, th, n_shingles, component_id, component.
 
     component_id is the smallest doc_id reachable by links, the own one included.
@@ -367,35 +329,38 @@ def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     empty result.
     """
     spark = docs.sparkSession
-    tokens = token_bound(docs)
-    keys, counts = hot_shingles(docs, tokens, hot)
-    _release(spark)
-    order = Order(keys, counts, bucket_bits(tokens))
+    text_batches(spark)
+    order = Order(sketch(docs), split)
     sets = materialize(prefixes(docs, order), "prefixes")
-    nodes = materialize(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("group").alias("group")), "nodes")
+    first = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th")
+    nodes = sets.where("n > 0").groupBy("node").agg(F.min(first).alias("f"), F.max("n").alias("n"), F.max("group").alias("group"))
+    nodes = materialize(nodes.select("node", "f.doc_id", "f.th", "n", "group"), "nodes")
     lead = nodes.groupBy("group", "n").agg(F.min("node").alias("lead"))
     members = materialize(nodes.join(lead, ["group", "n"]).select("node", "lead", "n"), "members")
-    leaders = nodes.join(members.where("node = lead").select("node"), "node", "left_semi").select(F.col("node").alias("l"), F.col("doc_id").alias("d"))
-    of_leader = sets.join(leaders, (F.col("node") == F.col("l")) & same(F.col("doc_id"), F.col("d"))).select("node", "n", "prefix")
-    shared = materialize(postings(of_leader, order, tokens), "postings")
-    _release(spark)
+    leaders = nodes.join(members.where("node = lead").select("node"), "node", "left_semi").select(F.col("node").alias("l"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    of_leader = sets.join(leaders, (F.col("node") == F.col("l")) & same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t"))).select("node", "n", "prefix")
+    # A row of documents that repeats would meet itself; the first of a key passes over equal nodes.
+    with number_batches(spark):
+        met = materialize(met_postings(postings(of_leader, order), order), "postings")
+    release(spark)
     # One leader for each group, and the group's own for each member.
     inside = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = verified(leader_pairs(shared).unionByName(inside), docs, nodes)
+    links = verified(leader_pairs(met).unionByName(inside), docs, nodes)
     so_far = materialize(connected_components(links), "components")
     # All that may still link components: shared shingles of groups, expanded to members, and groups' own members.
     several = members.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("lead")
-    expanded = shared.withColumnRenamed("node", "lead").join(members.select("node", "lead"), "lead").select("key", "node", "n", "pos", F.lit(1).alias("weight"))
+    shared = met.select("key", F.col("node").alias("lead"), "n", "pos")
+    expanded = shared.join(members.select("node", "lead"), "lead").select("key", "node", "n", "pos", F.lit(1).alias("weight"))
     # Members are different sets of one size, so they can link only where one may lack a shingle of the other.
     own = members.join(several, "lead", "left_semi").where(f"n > {_overlap_sql('n', 'n')}")
     own = own.select((-F.abs(F.col("lead")) - 1).alias("key"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"), F.expr(f"cast({_prefix_sql('n')} as int)").alias("weight"))
     more = verified(cross_pairs(expanded.unionByName(own), so_far), docs, nodes)
-    _release(spark)
+    release(spark)
     component = connected_components(links.unionByName(more))
     label = nodes.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = materialize(label.join(least, "component").select(F.col("node").alias("k"), "component", "component_id"), "labels")
-    discard(shared)
+    discard(met)
     out = sets.select("doc_id", "th", "node", "n").join(label, F.col("node") == F.col("k"), "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _powers: dict[int, np.ndarray] = {}
-CHUNK_BYTES = 4 << 20
+#: Bytes that are hashed at a time; a longer text goes in pieces, so memory is bounded whatever its length.
+CHUNK_BYTES = 1 << 19
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -42,37 +45,69 @@ def mix(x: np.ndarray) -> np.ndarray:
 _PLACE = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
 
 
-def _chunk(raws: list[bytes]) -> list[np.ndarray]:
-    buffer = b" ".join(raws).translate(_LOWER) + b" "
-    data = np.frombuffer(buffer, dtype=np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
+def _words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and where it begins: its bytes as a polynomial, shifted back to its own start."""
+    data = np.frombuffer(buffer.translate(_LOWER) + b" ", dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
     begin, end = edge[::2], edge[1::2]
-    # A word's hash: its bytes as a polynomial, shifted back to its own start.
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
-    word = mix((total[end] - total[begin]) * _power(_INVERSE, len(data))[begin] + (end - begin).astype(np.uint64))
-    sizes = np.array([len(x) + 1 for x in raws], dtype=np.int64)
-    stops = np.cumsum(sizes)
-    bounds = np.searchsorted(begin, np.concatenate([[0], stops]))
-    n = len(word) - WORDS + 1
-    if n > 0:
-        shingle = np.zeros(n, dtype=np.uint64)
-        for k in range(WORDS):
-            shingle += word[k : k + n] * _PLACE[k]
-        shingle = mix(shingle)
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= WORDS:
-            out.append(np.unique(shingle[a : b - WORDS + 1]))
-        elif b > a:  # fewer words: the whole sequence is one shingle
-            h = np.array([b - a], dtype=np.uint64)
-            for k in range(b - a):
-                h = mix(h + word[a + k : a + k + 1] * _PLACE[k])
-            out.append(h)
-        else:
-            out.append(np.zeros(0, dtype=np.uint64))
-    return out
+    return mix((total[end] - total[begin]) * _power(_INVERSE, len(data))[begin] + (end - begin).astype(np.uint64)), begin
+
+
+def _giant(word: bytes) -> np.ndarray:
+    """The hash of one word of any length, the same as in :func:`_words`."""
+    total = 0
+    for a in range(0, len(word), CHUNK_BYTES):
+        data = np.frombuffer(word[a : a + CHUNK_BYTES].translate(_LOWER), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        total += int(np.add.reduce(data * _power(_BASE, len(data)))) * pow(_BASE, a, 1 << 64)
+    return mix(np.array([(total + len(word)) % (1 << 64)], dtype=np.uint64))
+
+
+def _long(raw: bytes) -> np.ndarray:
+    """The words' hashes of a text of any length, piece by piece; pieces end at white space."""
+    parts, a = [np.zeros(0, np.uint64)], 0
+    while a < len(raw):
+        b = a + CHUNK_BYTES
+        gap = _GAP.search(raw, b)
+        end = gap.start() if gap else len(raw)
+        if end - b <= CHUNK_BYTES:
+            parts.append(_words(raw[a:end])[0])
+        else:  # a word longer than a chunk crosses the cut
+            start = max(raw.rfind(bytes([c]), a, b) for c in b" \t\n\x0b\x0c\r") + 1 or a
+            parts += [_words(raw[a:start])[0], _giant(raw[start:end])]
+        a = end
+    return np.concatenate(parts)
+
+
+def _rolled(word: np.ndarray) -> np.ndarray:
+    """The hash of the five words from each place on."""
+    n = max(0, len(word) - WORDS + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(WORDS if n else 0):
+        out += word[k : k + n] * _PLACE[k]
+    return mix(out)
+
+
+def _few(word: np.ndarray) -> np.ndarray:
+    """Fewer words than a shingle has: the whole sequence is one."""
+    if not len(word):
+        return np.zeros(0, dtype=np.uint64)
+    h = np.array([len(word)], dtype=np.uint64)
+    for k in range(len(word)):
+        h = mix(h + word[k : k + 1] * _PLACE[k])
+    return h
+
+
+def _chunk(raws: list[bytes]) -> list[np.ndarray]:
+    if len(raws) == 1 and len(raws[0]) > 2 * CHUNK_BYTES:
+        word = _long(raws[0])
+        return [np.unique(_rolled(word)) if len(word) >= WORDS else _few(word)]
+    word, begin = _words(b" ".join(raws))
+    shingle = _rolled(word)
+    stops = np.cumsum([len(x) + 1 for x in raws])
+    bounds = np.searchsorted(begin, np.concatenate([[0], stops])).tolist()
+    return [np.unique(shingle[a : b - WORDS + 1]) if b - a >= WORDS else _few(word[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -80,11 +115,11 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     held, size = [], 0
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        held.append(raw)
-        size += len(raw)
-        if size >= CHUNK_BYTES:
+        if size + len(raw) > CHUNK_BYTES and held:
             yield from _chunk(held)
             held, size = [], 0
+        held.append(raw)
+        size += len(raw) + 1
     if held:
         yield from _chunk(held)
 

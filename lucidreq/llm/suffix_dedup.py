@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, same, table, text_or_empty
-from .jaccard_join import _release
+from .common import release
 from .shingles import _BASE, _INVERSE, _power, mix
 
 MIN_BYTES = 400
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, keep: str = "first", min_bytes: int = MIN_BY
     spark = docs.sparkSession
     runs = duplicate_windows(docs, keep, min_bytes, gram, hot)
     runs = materialize(runs, "runs")
-    _release(spark)
+    release(spark)
     spans = runs.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "runs")
     joined = _rows(docs).join(spans, same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "runs")

@@ -172,12 +172,30 @@ def test_line_dedup(docs_of):
     assert sorted((str(x.doc_id), x.n_removed) for x in twice) == [("1", 0), ("1", 0), ("None", 1)]
 
 
-def test_hot_shingles_count_all_documents(docs_of):
-    rows = [(i, "a b c d e f g") for i in range(30)] + [(100, "p q r s t u")]
-    df = docs_of(rows)
-    keys, counts = jaccard_join.hot_shingles(df, jaccard_join.token_bound(df), hot=10)
-    assert counts.tolist() == [30, 30, 30]
-    assert df.select(F.count("*")).first()[0] == 31 and hashlib.sha256(b"").hexdigest()
+def test_sketch_counts_all_documents(docs_of):
+    rows = [(i, "a b c d e f g") for i in range(30)] + [(100, "p q r s t u"), (101, None)]
+    counts = jaccard_join.sketch(docs_of(rows))
+    want = Counter(int(t) >> (64 - jaccard_join.SLOT_BITS) for _, x in rows for t in next(shingles.shingle_sets([x])))
+    assert {i: n for i, n in enumerate(counts.tolist()) if n} == want
+    order = jaccard_join.Order(counts, 10)
+    both = next(shingles.shingle_sets(["a b c d e f g p q r s t u"]))
+    assert sorted(order.counts[order.slot(both)])[: len(order.prefix(both))] == order.counts[order.slot(order.prefix(both))].tolist()
+
+
+@pytest.mark.parametrize("split, ids", [(2, 0), (1 << 18, 0)])
+def test_jaccard_components_by_other_plans(docs_of, monkeypatch, split, ids):
+    """Shingles split over many salts, leaders' members in portions of three, and texts joined by a shuffle."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(jaccard_join, "PORTION", 3)
+    test_jaccard_components(docs_of, split)
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choices("abC", k=r.choice([1, 3, 40, 900]))) for _ in range(r.randint(0, 60))) for _ in range(60)] + ["x" * 5000, " " + "y" * 4000 + "\tz", ""]
+    want = [x.tolist() for t in texts for x in shingles.shingle_sets([t])]
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 100)
+    assert [x.tolist() for x in shingles.shingle_sets(texts)] == want
 
 
 def test_jaccard_members_link_without_their_leader(docs_of):
