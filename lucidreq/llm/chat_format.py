@@ -1,13 +1,13 @@
 """Chat messages with their tool calls linked, ordered, validated and serialised.
 
-An assistant's text that is a JSON object with ``tool_calls`` (id, name,
-arguments, optionally ``after``: ids of calls whose results it waits for) makes
-calls; the text of a ``tool`` message that is a JSON object with
+An assistant's text that is a JSON object with ``tool_calls`` (objects with id,
+name, arguments, optionally ``after``: ids of calls whose results it waits for)
+makes calls; the text of a ``tool`` message that is a JSON object with
 ``tool_call_id`` is the result of one. Results are hash-joined with calls by
 (conv_id, id); a result comes after its call, and a call after the results it
-waits for, which gives a topological level; arguments are checked against the
-tools' schemas; every message becomes one line of canonical JSON (sorted keys,
-no spaces).
+waits for, which gives a topological order; arguments are checked against the
+tools' schemas; every message becomes one line of canonical JSON (all keys of the
+message, sorted, no spaces).
 
 Rows stay one for each message, so no conversation is ever gathered in a task.
 Only DataFrame and SQL functions are used.
@@ -15,13 +15,11 @@ Only DataFrame and SQL functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, same, table
+from .common import materialize, table
 
-_CALLS = "content string, tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
-_RESULT = "tool_call_id string, content string"
 TOOL_SCHEMA = "name string, parameter string, type string, required boolean"
 
 #: The tools that calls are checked against unless others are given: one row for each parameter.
@@ -34,24 +32,45 @@ DEFAULT_TOOLS = [
 ]
 
 
+_LAST = 2**63 - 1
+
+
+def _variant(c: Column, kind: str) -> Column:
+    return F.try_variant_get(c, "$", kind)
+
+
+def _object(json: Column) -> Column:
+    """The JSON object's entries; null for any other text, and for objects that repeat a key."""
+    return F.when(F.try_parse_json(json).isNotNull(), F.from_json(json, "map<string,variant>"))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, key (a hash that tells messages of one turn apart), calls, result."""
+    """conv_id, turn, role, text, mid (a digest of the four, the same for repeated rows), at (turn, null ones last), entries, calls, result."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.lower(F.trim(F.coalesce(F.col("role").cast("string"), F.lit(""))))
-    brace = F.ltrim(text).startswith("{")
-    calls = F.when((role == "assistant") & brace, F.from_json(text, _CALLS))
-    result = F.when((role == "tool") & brace, F.from_json(text, _RESULT))
-    out = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.xxhash64(role, text).alias("key"), calls.alias("calls"), result.alias("result"))
-    return out.withColumn("calls", F.when(F.col("calls.tool_calls").isNotNull(), F.col("calls"))).withColumn("result", F.when(F.col("result.tool_call_id").isNotNull(), F.col("result")))
+    out = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    mid = F.md5(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}))
+    entries = F.when(F.col("role").isin("assistant", "tool") & F.ltrim("text").startswith("{"), _object(F.col("text")))
+    out = out.withColumns({"mid": mid, "at": F.coalesce(F.col("turn").cast("long"), F.lit(_LAST)), "entries": entries})
+    listed = F.from_json(F.col("entries")["tool_calls"].cast("string"), "array<map<string,variant>>")
+    calls = F.when((F.col("role") == "assistant") & F.col("entries")["tool_calls"].isNotNull(), listed)
+    result = F.when(F.col("role") == "tool", _variant(F.col("entries")["tool_call_id"], "string"))
+    return out.withColumns({"calls": F.when(~F.exists(calls, lambda c: c.isNull()), calls), "result": result})
+
+
+def _arguments(call: Column) -> Column:
+    """The call's arguments; a string is read as JSON where it is some."""
+    own = call["arguments"]
+    return F.coalesce(F.try_parse_json(_variant(own, "string")), own)
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
-    """One row for each call: conv_id, turn, key, call_id, name, arguments, after."""
+    """One row for each call: conv_id, at, mid, place, call_id, name, args, after. A repeated message makes its calls once."""
+    own = messages.where("calls is not null").select("conv_id", "at", "mid", "calls").dropDuplicates(["mid"])
+    own = own.select("conv_id", "at", "mid", F.posexplode("calls").alias("place", "c"))
     c = F.col("c")
-    return (
-        messages.where("calls is not null")
-        .select("conv_id", "turn", "key", F.explode("calls.tool_calls").alias("c"))
-        .select("conv_id", "turn", "key", c["id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments"), c["after"].alias("after"))
+    return own.select(
+        "conv_id", "at", "mid", "place", _variant(c["id"], "string").alias("call_id"), _variant(c["name"], "string").alias("name"), _arguments(c).alias("args"), _variant(c["after"], "array<string>").alias("after")
     )
 
 
@@ -60,25 +79,24 @@ def first_calls(calls: DataFrame) -> DataFrame:
     return (
         calls.where("conv_id is not null and call_id is not null")
         .groupBy("conv_id", "call_id")
-        .agg(F.min(F.struct("turn", "key")).alias("m"))
-        .select("conv_id", "call_id", F.col("m.turn").alias("call_turn"), F.col("m.key").alias("call_key"))
+        .agg(F.min(F.struct("at", "mid")).alias("m"))
+        .select("conv_id", "call_id", F.col("m.at").alias("s_at"), F.col("m.mid").alias("s"))
     )
 
 
 def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """Calls (distinct by conv_id, turn, key, call_id) with n_errors.
+    """mid, place and n_errors of each call.
 
     An error is: an unknown tool, arguments that are no JSON object, a required
     parameter that is absent, a parameter that the tool lacks, a value of another
     type (integers are numbers too).
     """
     spark = calls.sparkSession
-    rows = calls.select("conv_id", "turn", "key", "call_id", "name", "arguments").distinct()
-    rows = rows.withColumn("cid", F.xxhash64("conv_id", "turn", "key", "call_id", "name", "arguments")).withColumn("args", F.try_parse_json("arguments"))
+    key = ["mid", "place"]
     is_object = F.coalesce(F.schema_of_variant("args").startswith("OBJECT"), F.lit(False))
-    rows = rows.withColumn("args", F.when(is_object, F.col("args")))
-    given = spark.sql("SELECT c.cid, c.name, v.key AS parameter, schema_of_variant(v.value) AS kind FROM {c} c, LATERAL variant_explode(c.args) v", c=rows)
-    names = tools.select("name").distinct().withColumn("known", F.lit(True))
+    rows = calls.select(*key, "name", F.when(is_object, F.col("args")).alias("args"))
+    given = spark.sql("SELECT c.mid, c.place, c.name, v.key AS parameter, schema_of_variant(v.value) AS kind FROM {c} c, LATERAL variant_explode(c.args) v", c=rows)
+    names = tools.select("name").distinct()
     kind = (
         F.when(F.col("kind").isin("BIGINT"), "integer")
         .when(F.col("kind").rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
@@ -88,97 +106,98 @@ def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
         .when(F.col("kind").startswith("OBJECT"), "object")
         .otherwise("null")
     )
-    wanted = tools.select("name", "parameter", "type")
     wrong = (
         given.join(names, "name")
-        .join(wanted, ["name", "parameter"], "left")
+        .join(tools.select("name", "parameter", "type"), ["name", "parameter"], "left")
         .where(F.col("type").isNull() | ~((F.col("type") == kind) | ((F.col("type") == "number") & (kind == "integer"))))
-        .select("cid")
-    )
-    absent = (
-        rows.join(tools.where("required").select("name", "parameter"), "name")
-        .join(given.select("cid", "parameter"), ["cid", "parameter"], "left_anti")
-        .select("cid")
+        .select(*key)
     )
-    unknown = rows.join(names, "name", "left_anti").select("cid")
-    broken = rows.where("args is null").select("cid")
-    errors = wrong.unionAll(absent).unionAll(unknown).unionAll(broken).groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(errors, "cid", "left").select("conv_id", "turn", "key", "call_id", F.coalesce("n", F.lit(0)).alias("n_errors"))
-
-
-def ordered(messages: DataFrame, calls: DataFrame, links: DataFrame) -> DataFrame:
-    """Topological levels of the messages that depend on others or are depended on.
-
-    conv_id, turn, key, level, order_turn; a message in a cycle has no level. Each
-    round settles the messages whose dependencies all are settled, so the rounds
-    are as many as the longest chain of calls that wait for each other's results.
+    wanted = rows.join(tools.where("required").select("name", "parameter"), "name")
+    absent = wanted.join(given.select(*key, "parameter"), [*key, "parameter"], "left_anti").select(*key)
+    unknown = rows.join(names, "name", "left_anti").select(*key)
+    broken = rows.where("args is null").select(*key)
+    errors = wrong.unionAll(absent).unionAll(unknown).unionAll(broken).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(errors, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("n_errors"))
+
+
+def dependencies(messages: DataFrame, calls: DataFrame, links: DataFrame) -> DataFrame:
+    """conv_id, s, s_at, t, t_at: message t comes after message s."""
+    results = messages.where("result is not null").select("conv_id", "at", "mid", F.col("result").alias("call_id")).dropDuplicates(["mid"])
+    of_result = results.join(links, ["conv_id", "call_id"]).select("conv_id", "s", "s_at", F.col("mid").alias("t"), F.col("at").alias("t_at"))
+    waits = calls.select("conv_id", "mid", "at", F.explode("after").alias("call_id"))
+    done = results.select("conv_id", "call_id", F.col("mid").alias("s"), F.col("at").alias("s_at"))
+    of_call = waits.join(done, ["conv_id", "call_id"]).select("conv_id", "s", "s_at", F.col("mid").alias("t"), F.col("at").alias("t_at"))
+    return of_result.unionByName(of_call).distinct()
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """mid, level, order_at of the messages whose turns alone don't put them in order.
+
+    A conversation in which every message's turn is later than those it depends on
+    needs nothing. In the others a message moves behind what it depends on: (order_at,
+    level) is the greatest of (its turn, 0) and (order_at, level + 1) of those. A
+    message in a cycle, or behind one, has no level. Rounds are as many as the
+    longest chain in a conversation that is out of order.
     """
-    node = ["conv_id", "turn", "key"]
-    results = messages.where("result is not null").select(*node, F.col("result.tool_call_id").alias("call_id"))
-    src = lambda d, t, k: d.select("conv_id", F.col(t).alias("s_turn"), F.col(k).alias("s_key"), "turn", "key")
-    of_result = src(results.join(links, ["conv_id", "call_id"]), "call_turn", "call_key")
-    waits = calls.select(*node, F.explode("after").alias("call_id"))
-    of_call = src(waits.join(results.select("conv_id", "call_id", F.col("turn").alias("r_turn"), F.col("key").alias("r_key")), ["conv_id", "call_id"]), "r_turn", "r_key")
-    edges = materialize(of_result.unionByName(of_call).distinct(), "chat-edges")
-    heads = edges.select("conv_id", F.col("s_turn").alias("turn"), F.col("s_key").alias("key")).distinct()
-    tails = edges.select(*node).distinct()
-    level = 0
-    front = materialize(heads.join(tails, node, "left_anti").select(*node, F.lit(0).alias("level"), F.col("turn").alias("order_turn")), "chat-level")
-    settled = front
+    odd = edges.where("s_at >= t_at").select("conv_id").distinct()
+    edges = materialize(edges.join(odd, "conv_id", "left_semi"), "chat-edges")
+    heads = edges.select(F.col("s").alias("mid"), F.col("s_at").alias("order_at")).distinct()
+    tails = edges.select(F.col("t").alias("mid"), F.col("t_at").alias("at")).distinct()
+    front = materialize(heads.join(tails, "mid", "left_anti").select("mid", F.lit(0).alias("level"), "order_at"), "chat-level")
+    settled = [front]
     while not front.isEmpty():
-        level += 1
-        f = front.select("conv_id", F.col("turn").alias("s_turn"), F.col("key").alias("s_key"), F.col("order_turn").alias("s_order"))
-        open_ = edges.join(settled.select("conv_id", F.col("turn").alias("s_turn"), F.col("key").alias("s_key")), ["conv_id", "s_turn", "s_key"], "left_anti")
-        ready = edges.join(f, ["conv_id", "s_turn", "s_key"]).select(*node).distinct()
-        ready = ready.join(open_.select(*node).distinct(), node, "left_anti")
-        s = settled.select("conv_id", F.col("turn").alias("s_turn"), F.col("key").alias("s_key"), F.col("order_turn").alias("s_order"))
-        order = edges.join(ready, node).join(s, ["conv_id", "s_turn", "s_key"]).groupBy(*node).agg(F.max("s_order").alias("o"))
-        front = materialize(order.select(*node, F.lit(level).alias("level"), F.greatest("turn", "o").alias("order_turn")), "chat-level")
-        settled = settled.unionByName(front)
-    cyclic = tails.join(settled.select(*node), node, "left_anti").select(*node, F.lit(None).cast("int").alias("level"), F.col("turn").alias("order_turn"))
-    return settled.unionByName(cyclic)
+        so_far = settled[0]
+        for x in settled[1:]:
+            so_far = so_far.unionByName(x)
+        at = so_far.select(F.col("mid").alias("s"), "level", "order_at")
+        near = edges.join(front.select(F.col("mid").alias("s")), "s", "left_semi").select("t").distinct()
+        into = edges.join(near, "t", "left_semi").join(at, "s", "left")
+        last = F.max(F.struct("order_at", (F.col("level") + 1).alias("level")))
+        ready = into.groupBy("t", "t_at").agg(F.count(F.lit(1)).alias("n"), F.count("order_at").alias("k"), last.alias("m")).where("n = k")
+        moved = F.greatest(F.struct(F.col("t_at").alias("order_at"), F.lit(0).alias("level")), F.col("m"))
+        front = materialize(ready.select(F.col("t").alias("mid"), moved.alias("p")).select("mid", "p.level", "p.order_at"), "chat-level")
+        settled.append(front)
+    done = settled[0]
+    for x in settled[1:]:
+        done = done.unionByName(x)
+    cyclic = tails.join(done.select("mid"), "mid", "left_anti").select("mid", F.lit(None).cast("int").alias("level"), F.col("at").alias("order_at"))
+    return done.unionByName(cyclic)
 
 
 def canonical(messages: DataFrame) -> DataFrame:
-    """Adds json: one line with sorted keys; arguments are canonical JSON of their own."""
-    call = lambda c: F.struct(
-        F.coalesce(F.try_parse_json(c["arguments"]), F.to_variant_object(F.struct(c["arguments"].alias("text")))).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")
-    )
-    with_calls = F.to_json(
-        F.struct(F.coalesce(F.col("calls.content"), F.lit("")).alias("content"), F.col("role").alias("role"), F.transform("calls.tool_calls", call).alias("tool_calls"))
-    )
-    with_result = F.to_json(
-        F.struct(F.coalesce(F.col("result.content"), F.lit("")).alias("content"), F.col("role").alias("role"), F.col("result.tool_call_id").alias("tool_call_id"))
-    )
+    """Adds json: one line with all keys, sorted at every depth; arguments given as a string of JSON are that JSON."""
+    put = lambda m, **new: F.map_concat(F.map_filter(m, lambda k, _: ~k.isin(*new)), F.create_map(*[x for k, v in new.items() for x in (F.lit(k), v)]))
+    string = lambda c: F.parse_json(F.to_json(F.array(c)))  # noqa: E731  an array of the one string
+    one = lambda c: F.variant_get(string(c), "$[0]", "variant")
+    content = F.coalesce(F.col("entries")["content"], one(F.lit("")))
+    calls = F.parse_json(F.to_json(F.transform("calls", lambda c: F.when(c["arguments"].isNotNull(), put(c, arguments=_arguments(c))).otherwise(c))))
+    with_calls = put(F.col("entries"), content=content, role=one(F.col("role")), tool_calls=calls)
+    with_result = put(F.col("entries"), content=content, role=one(F.col("role")))
+    line = lambda m: F.to_json(F.parse_json(F.to_json(m)))
     plain = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")))
-    return messages.withColumn("json", F.when(F.col("calls").isNotNull(), with_calls).when(F.col("result").isNotNull(), with_result).otherwise(plain))
+    return messages.withColumn("json", F.when(F.col("calls").isNotNull(), line(with_calls)).when(F.col("result").isNotNull(), line(with_result)).otherwise(plain))
 
 
 def format_chats(messages: DataFrame, tools: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, json, n_calls, n_invalid, linked, level, order_turn.
 
-    Sorting by (conv_id, order_turn, level, turn) gives a conversation in a valid
-    order; level is null in a cycle. linked is null for messages that are no
+    Sorting by (conv_id, order_turn, level, turn), nulls last, gives a conversation in a
+    valid order; level is null in a cycle. linked is null for messages that are no
     result, false for a result without its call. Null role and text count as
-    empty; a null conv_id or call id links with nothing; of calls that share an
-    id the first counts; a repeated message is repeated in the result. A JSON
-    text of another shape is an ordinary text. Other columns play no part.
+    empty; a null conv_id or call id links with nothing; a null turn is later than
+    any other; of calls that share an id the first counts; a repeated message is
+    repeated in the result, and its calls count once. A JSON text of another shape,
+    or with a key twice, is an ordinary text. Other columns play no part.
     """
     rows = parsed(messages)
-    calls = calls_of(rows)
-    node = ["conv_id", "turn", "key"]
-    out = canonical(rows)
-    if rows.where("calls is not null or result is not null").isEmpty():
-        blank = {"n_calls": F.lit(0), "n_invalid": F.lit(0), "linked": F.lit(None).cast("boolean"), "level": F.lit(0), "order_turn": F.col("turn")}
-        return out.withColumns(blank).select("conv_id", "turn", "role", "json", *blank)
+    calls = materialize(calls_of(rows), "chat-calls")
     links = first_calls(calls)
-    checked = validated(calls, tools).groupBy(*node).agg(F.count(F.lit(1)).cast("int").alias("n_calls"), F.sum((F.col("n_errors") > 0).cast("int")).cast("int").alias("n_invalid"))
-    levels = ordered(rows, calls, links).withColumn("has_level", F.lit(True))
-    keyed = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") if c in node else F.col(c) for c in d.columns])
-    match = lambda p: same(F.col("conv_id"), F.col(f"{p}_conv_id")) & same(F.col("turn"), F.col(f"{p}_turn")) & (F.col("key") == F.col(f"{p}_key"))
-    out = out.join(keyed(checked, "c"), match("c"), "left").join(keyed(levels, "l"), match("l"), "left")
+    checked = validated(calls, tools).groupBy("mid").agg(F.count(F.lit(1)).cast("int").alias("n_calls"), F.sum((F.col("n_errors") > 0).cast("int")).cast("int").alias("n_invalid"))
+    levels = ordered(dependencies(rows, calls, links)).withColumn("moved", F.lit(True))
+    out = canonical(rows).join(checked, "mid", "left").join(levels, "mid", "left")
     found = links.select(F.col("conv_id").alias("f_conv_id"), F.col("call_id").alias("f_call_id"), F.lit(True).alias("found"))
-    out = out.join(found, (F.col("conv_id") == F.col("f_conv_id")) & (F.col("result.tool_call_id") == F.col("f_call_id")), "left")
+    out = out.join(found, (F.col("conv_id") == F.col("f_conv_id")) & (F.col("result") == F.col("f_call_id")), "left")
+    order_turn = F.when(F.col("moved"), F.when(F.col("order_at") < F.lit(_LAST), F.col("order_at"))).otherwise(F.col("turn"))
     return out.select(
         "conv_id",
         "turn",
@@ -187,8 +206,8 @@ def format_chats(messages: DataFrame, tools: DataFrame) -> DataFrame:
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
         F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"),
         F.when(F.col("result").isNotNull(), F.coalesce("found", F.lit(False))).alias("linked"),
-        F.when(F.col("has_level"), F.col("level")).otherwise(F.lit(0)).alias("level"),
-        F.coalesce("order_turn", "turn").alias("order_turn"),
+        F.when(F.col("moved"), F.col("level")).otherwise(F.lit(0)).alias("level"),
+        order_turn.cast(messages.schema["turn"].dataType).alias("order_turn"),
     )
 
 

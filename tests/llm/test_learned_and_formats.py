@@ -194,7 +194,7 @@ def test_chats(spark):
     # The call waits for its own message's result: the two depend on each other.
     assert by[1, 1].level is None and by[1, 2].level is None
     assert (by[1, 1].n_calls, by[1, 1].n_invalid) == (2, 1)
-    assert by[1, 1].json == '{"content":"c","role":"assistant","tool_calls":[{"arguments":{"limit":3,"query":"q"},"id":"a","name":"search"},{"arguments":{"limit":"three"},"id":"b","name":"search"}]}'
+    assert by[1, 1].json == '{"content":"c","role":"assistant","tool_calls":[{"arguments":{"limit":3,"query":"q"},"id":"a","name":"search"},{"after":["a"],"arguments":{"limit":"three"},"id":"b","name":"search"}]}'
     assert by[1, 2].linked is True and by[1, 3].linked is False and by[1, 0].linked is None
     order = sorted((r for r in got if r.conv_id == 2), key=lambda r: (r.order_turn, r.level, r.turn))
     assert [r.turn for r in order] == [5, 0, 6, 7]
@@ -206,6 +206,101 @@ def test_chats(spark):
     assert len(plain) == 3 and all(r.n_calls == 0 and r.level == 0 for r in plain)
 
 
+def plain_chats(rows, tools):
+    """The same by plain Python: (conv_id, turn, json, n_calls, n_invalid, linked, level, order_turn) of each row."""
+    last = 1 << 62
+    kinds = {str: "string", bool: "boolean", int: "integer", float: "number", list: "array", dict: "object", type(None): "null"}
+    info = {}
+    for conv, turn, role, text in rows:
+        role, text = (role or "").strip().lower(), text or ""
+        try:
+            obj = json.loads(text) if text.lstrip().startswith("{") and role in ("assistant", "tool") else None
+        except ValueError:
+            obj = None
+        calls = obj.get("tool_calls") if role == "assistant" and isinstance(obj, dict) else None
+        result = obj.get("tool_call_id") if role == "tool" and isinstance(obj, dict) else None
+        if calls is not None:
+            for c in calls:
+                if isinstance(c.get("arguments"), str):
+                    try:
+                        c["arguments"] = json.loads(c["arguments"])
+                    except ValueError:
+                        pass
+        known = obj if calls is not None or result is not None else {"content": text}
+        line = json.dumps({"content": "", **known, "role": role}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        info[conv, turn, role, text] = {"at": last if turn is None else turn, "calls": calls or [], "result": result, "json": line, "conv": conv}
+    first, done = {}, {}
+    for k, m in sorted(info.items(), key=lambda x: x[1]["at"]):
+        for c in m["calls"]:
+            if m["conv"] is not None and c.get("id") is not None:
+                first.setdefault((m["conv"], c["id"]), k)
+        if m["result"] is not None and m["conv"] is not None:
+            done.setdefault((m["conv"], m["result"]), []).append(k)
+    before = {k: set() for k in info}
+    for k, m in info.items():
+        if m["result"] is not None and (s := first.get((m["conv"], m["result"]))):
+            before[k].add(s)
+        for c in m["calls"]:
+            for i in c.get("after", []):
+                before[k].update(done.get((m["conv"], i), []))
+    odd = {info[k]["conv"] for k, own in before.items() for s in own if info[s]["at"] >= info[k]["at"]}
+    place = {}
+    for _ in info:
+        for k, own in before.items():
+            if k not in place and all(s in place for s in own):
+                place[k] = max([(info[k]["at"], 0), *((place[s][0], place[s][1] + 1) for s in own)])
+    schema = {n: {p: (t, r) for m, p, t, r in tools if m == n} for n, *_ in tools}
+
+    def invalid(c):
+        own, args = schema.get(c.get("name")), c.get("arguments")
+        if own is None or not isinstance(args, dict) or any(r and p not in args for p, (_, r) in own.items()):
+            return True
+        return any(p not in own or (kinds[type(v)] != own[p][0] and (kinds[type(v)], own[p][0]) != ("integer", "number")) for p, v in args.items())
+
+    out = []
+    for conv, turn, role, text in rows:
+        k = conv, turn, (role or "").strip().lower(), text or ""
+        m = info[k]
+        at, level = place.get(k, (m["at"], None)) if conv in odd and (before[k] or any(k in b for b in before.values())) else (m["at"], 0)
+        out.append((conv, turn, m["json"], len(m["calls"]), sum(map(invalid, m["calls"])), None if m["result"] is None else (conv, m["result"]) in first, level, None if at == last else at))
+    return out
+
+
+def test_chats_against_plain_python(spark):
+    r = random.Random(11)
+    tools = [*chat_format.DEFAULT_TOOLS, ("mix", "x", "number", True), ("mix", "flag", "boolean", False)]
+    rows = []
+    for conv in [*range(60), None]:
+        turns = list(range(12))
+        if conv is not None and conv % 3 == 0:
+            r.shuffle(turns)  # out of order, some of them in cycles
+        ids = [f"c{i}" for i in range(4)]
+        for k in range(12):
+            turn, at = (None if r.random() < 0.05 else turns[k]), r.random()
+            if at < 0.35:
+                calls = []
+                for i in r.sample(ids, r.randint(1, 2)):
+                    args = r.choice([{"query": "q"}, {"query": 3}, {}, {"x": 1}, {"x": 1.5, "flag": True}, {"x": "s", "z": [1]}, '{"query":"é"}', "no json", {"expression": "1", "n": {"b": 1, "a": None}}])
+                    call_ = {"id": i, "name": r.choice(["search", "mix", "calculator", "none"]), "arguments": args, "extra": {"z": 1, "a": [2]}}
+                    if r.random() < 0.4:
+                        call_["after"] = r.sample(ids, 1)
+                    if r.random() < 0.1:
+                        del call_["id"]
+                    calls.append(call_)
+                calls += calls[:1] * (r.random() < 0.2)
+                rows.append((conv, turn, " Assistant", json.dumps({"tool_calls": calls, "meta": k}, ensure_ascii=False)))
+            elif at < 0.7:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": r.choice(ids), "content": f"r{k}", "ok": True})))
+            else:
+                rows.append((conv, turn, r.choice(["user", "assistant", "tool", None]), r.choice([f"text {k}", "{broken", '["x"]', None, '{"a": 1}'])))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = [tuple(x) for x in chat_format.format_chats(df, spark.createDataFrame(tools, chat_format.TOOL_SCHEMA)).drop("role").collect()]
+    want = plain_chats(rows, tools)
+    assert len(got) == len(rows) and any(x[6] is None for x in want) and any(x[6] for x in want)
+    assert Counter(got) == Counter(want)
+
+
 # ------------------------------------------------------------------- pages
 
 
