@@ -6,8 +6,11 @@ its nodes; the two ratios (text per node, punctuation per node) are smoothed ove
 neighbouring paths in page order and fused by their product. Paths near the
 strongest one are content, and so are the paths that live in the same container
 (headings, lists, quotes of the article). Paths through boilerplate containers
-(navigation, footers, forms, asides, and classes that name such things) have a
-ratio of 0, and so do paths that are mostly links.
+(navigation, footers, forms, asides, and containers whose classes name such
+things) have a ratio of 0, and so do paths that are mostly links, unless they lie
+in the article element itself; the header of an article is part of it. Elements
+that a browser doesn't show as text (scripts, fallbacks of media and noscript,
+option lists) have none.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 #: HTML's elements by role.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow msup msub msubsup mfrac msqrt mroot mtext mstyle mspace semantics svg text tspan g".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math select object canvas audio video".split())
-BOILERPLATE = frozenset("nav footer aside form header menu dialog button fieldset head figcaption address".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp select object canvas audio video".split())
+BOILERPLATE = frozenset("nav footer aside form header menu dialog button fieldset head".split())
+#: Elements that hold the article's own text: what their class says about them drops nothing.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figure figcaption caption article main code em strong b i span a mark small sup sub q cite math svg text".split())
 #: An open element of the set is closed by the start of the key's element.
 CLOSES = {
     "li": {"li"},
@@ -46,7 +51,8 @@ _BAD = re.compile(
     re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_TAG = re.compile(r"""<!--|<[!?]|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+#: A comment, a declaration, a tag; or a tag in which a quote is left open, which ends at the next bracket.
+_TAG = re.compile(r"""<!--|<[!?]|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?([a-zA-Z][^\s/>]*)([^>]*)>""")
 _PUNCT = re.compile(r"[.,;:!?。，、；：！？؟،]")
 
 #: A path is content from this share of the strongest path's fused ratio.
@@ -64,7 +70,7 @@ def _is_bad(tag: str, attrs: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and tag not in ("html", "body") and _BAD.search(value):
+        if name in ("class", "id", "role") and tag not in ("html", "body") and tag not in TEXT and _BAD.search(value):
             return True
     return False
 
@@ -104,12 +110,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if m is None:
             break
         at = m.end()
-        if m.group(1) is None:  # a comment or declaration
+        tag, attrs = m.group(1) or m.group(3), m.group(2) or m.group(4) or ""
+        if tag is None:  # a comment or declaration
             end = page.find("-->" if m.group() == "<!--" else ">", at)
             at = n if end < 0 else end + (3 if m.group() == "<!--" else 1)
             continue
-        tag, close = m.group(1).lower(), page[m.start() + 1] == "/"
-        attrs = m.group(2)
+        tag, close = tag.lower(), page[m.start() + 1] == "/"
         if tag in RAW and not close:
             if not attrs.endswith("/"):
                 end = lower.find(f"</{tag}", at)
@@ -153,7 +159,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag == "body":
             stack = [x for x in stack if x[0] == "html"]
         if not attrs.endswith("/"):
-            stack.append((tag, f"!{tag}" if _is_bad(tag, attrs) else tag))
+            bad = _is_bad(tag, attrs) and not (tag == "header" and any(x[1] in ("article", "main") for x in stack))
+            stack.append((tag, f"!{tag}" if bad else tag))
     flush()
     return out
 
@@ -175,9 +182,11 @@ def content_paths(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[st
         s[3] += linked
     paths = list(order)
 
+    def shown(p: tuple[str, ...]) -> bool:
+        return not any(x[0] == "!" for x in p)
+
     def usable(p: tuple[str, ...]) -> bool:
-        s = order[p]
-        return not any(x[0] == "!" for x in p) and s[3] <= LINK_SHARE * s[1]
+        return shown(p) and order[p][3] <= LINK_SHARE * order[p][1]
 
     text_ratio = [order[p][1] / order[p][0] if usable(p) else 0.0 for p in paths]
     punct_ratio = [order[p][2] / order[p][0] if usable(p) else 0.0 for p in paths]
@@ -197,7 +206,8 @@ def content_paths(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[st
     home = top[:depth]
     inside = lambda p: p[:depth] == home
     named = any(x in ("article", "main") for x in home)
-    return {p for p in paths if usable(p) and (inside(p) or (p in strong and not named))}
+    # Lists of links are the article's own where an element says what the article is.
+    return {p for p in paths if (shown(p) if named else usable(p)) and (inside(p) or (p in strong and not named))}
 
 
 def main_text(page: str | None) -> str:
@@ -213,6 +223,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     Null and empty pages have the empty text. Every row stays, repeated rows
     too; columns named text or n_chars are replaced. No shuffle.
     """
+    text_batches(pages.sparkSession)
     added = ["text", "n_chars"]
     kept = pages.select(*[c for c in pages.columns if c not in (column, *added)], F.col(column).cast("string").alias("__page"))
 
