@@ -14,7 +14,6 @@ to ``MAX_ITEM_TOKENS`` tokens at a time; a larger benchmark takes several passes
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, materialize, table, text_batches, worker_cache
 
 WINDOW = 5
 #: Fewest words, other than placeholders, in a window that may start a match.
@@ -43,7 +42,8 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[$€£+-]?\d[\d.,/:]*")
 _NUMBER_UNIT = re.compile(r"[$€£+-]?\d[\d.,/:]*([^\W\d]+|%)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-CACHE_WORDS = 500_000
+#: Words that a worker remembers the template tokens of.
+CACHE_WORDS = 200_000
 
 _LOWER, _TITLE, _ENDS, _UNITLIKE, _NUMBERLIKE = 0, 1, 2, 4, 8
 
@@ -74,12 +74,6 @@ def _word(raw: str) -> int:
     return _packed(low, flags)
 
 
-@functools.lru_cache(maxsize=1)
-def shared_canonical() -> Canonical:
-    """One for a worker's lifetime: its tasks share the cache."""
-    return Canonical()
-
-
 class Canonical:
     """Template tokens of texts, with a cache of words."""
 
@@ -228,19 +222,21 @@ def _passes(benchmark: DataFrame, max_tokens: int) -> int:
     return max(1, -(-size // max_tokens))
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, max_tokens: int = MAX_ITEM_TOKENS) -> DataFrame:
-    """The rows of ``docs`` with hits: array of (item_id, run, cover), best first.
+def find_items(docs: DataFrame, benchmark: DataFrame, max_tokens: int = MAX_ITEM_TOKENS, name: str = "hits") -> DataFrame:
+    """The rows of ``docs`` with hits (or another ``name``): array of (item_id, run, cover), best first.
 
     Null and empty texts, and items without words, give no hits. Items of fewer
     than five words, or without a window of enough plain words, need a window with
     their own values to start a match. Repeated rows are judged alike. A column named
-    hits is replaced. No shuffle of the documents.
+    hits is replaced. No shuffle of the documents; where the benchmark takes several
+    passes, each is written before the next, so a worker holds one pass's items.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     passes = _passes(benchmark, max_tokens)
-    kept = docs.drop("hits")
+    kept = docs.drop(name)
     kind = "array<struct<item_id:long,run:int,cover:double>>"
-    out = kept.withColumn("hits", F.array().cast(kind))
+    out = kept.withColumn(name, F.array().cast(kind))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     for k in range(passes):
@@ -248,7 +244,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_tokens: int = MAX_ITEM
         shared = spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in part.collect()]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            canon, side = shared_canonical(), shared.value
+            canon, side = worker_cache("canonical", Canonical), shared.value
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist()
                 earlier = batch.column(batch.num_columns - 1).to_pylist()
@@ -259,13 +255,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_tokens: int = MAX_ITEM
                 hit = pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("run", pa.int32()), ("cover", pa.float64())])))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hit], names=batch.schema.names)
 
-        out = out.mapInArrow(run, f"{fields}, hits {kind}")
+        out = out.mapInArrow(run, f"{fields}, `{name}` {kind}")
+        if k + 1 < passes:
+            out = materialize(out, "decontaminate-pass")
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark, with their own columns."""
-    return find_items(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
+    [name] = free_names(docs, ["hits"])
+    return find_items(docs, benchmark, name=name).where(F.size(f"`{name}`") == 0).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import free_names, table, text_batches, text_or_empty
 
 #: Labelled rows the classifier is fitted on, at most so many of either label (the
 #: rows with the smallest hash of doc_id); everything else covers all rows.
@@ -42,7 +42,8 @@ EVIDENCE = 20.0
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-CACHE_WORDS = 500_000
+#: Words that a task remembers the fragments of.
+CACHE_WORDS = 150_000
 
 
 #: Longer words are marked by a digest and kept out of caches.
@@ -101,8 +102,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int) ->
         own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label) for k in (0, 1)
     ]
     sample = ranked[0].unionByName(ranked[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    # A doc_id that repeats counts once, with its text of the smallest hash, so the sample stays bounded.
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")).select("r.text", "r.toxic")
 
 
 def held_out(doc_id: str):
@@ -267,6 +269,7 @@ def train_noisy_or(bags: list, n_fragments: int, steps: int = 400, rate: float =
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = FIT_ROWS_PER_LABEL, most_fragments: int = FRAGMENTS) -> ToxicityModel:
     """Fit on labelled rows that aren't held out; without both labels the model scores everything near 0."""
+    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, rows_per_label)
     names, clean, toxic = choose_fragments(sample, most_fragments)
     if not clean or not toxic or not names:
@@ -275,8 +278,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = FIT_ROWS_PER_L
     return ToxicityModel({f: float(w) for f, w in zip(names, weights)}, bias)
 
 
-def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with toxicity, predicted, n_sentences and offending.
+ADDED = ["toxicity", "predicted", "n_sentences", "offending"]
+
+
+def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, names: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` with toxicity, predicted, n_sentences and offending (or other ``names`` for the four).
 
     toxicity is the noisy-or over all sentences of the whole text (0 for an empty
     or null text, which has none); offending lists the spans (code points) and
@@ -286,7 +292,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    added = ["toxicity", "predicted", "n_sentences", "offending"]
+    text_batches(spark)
+    added = names or ADDED
     kept = docs.drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +329,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, toxicity double, predicted int, n_sentences long, offending array<struct<begin:long,end:long,score:double>>")
+    kinds = ["double", "int", "long", "array<struct<begin:long,end:long,score:double>>"]
+    return kept.mapInArrow(run, ", ".join([fields, *(f"`{c}` {k}" for c, k in zip(added, kinds))]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,4 +349,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the fitted model doesn't reject, with their own columns."""
-    return score(docs, fit(docs, labels), threshold).where("predicted = 0").select(*docs.columns)
+    names = free_names(docs, ADDED)
+    return score(docs, fit(docs, labels), threshold, names).where(F.col(f"`{names[1]}`") == 0).select([F.col(f"`{c}`") for c in docs.columns])
