@@ -24,8 +24,8 @@ LOW = np.uint64(1 << 31)
 MASK = np.uint64((1 << SCALE_BITS) - 1)
 WORD = np.uint64(32)
 SHIFT = np.uint64(SCALE_BITS)
-MAX_LANES = 1024
-CHECK_STEPS = 256
+MAX_LANES = 4096
+CHECK_STEPS = 64
 _HEAD = struct.Struct("<4sIQIIII")
 
 
@@ -85,8 +85,8 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
     return _HEAD.pack(b"RANB", lanes, n, len(words), len(marks), crc, zlib.crc32(body)) + body
 
 
-def decode(block: bytes, table: Table, checkpoint: int | None = None) -> np.ndarray:
-    """All ids, or those from one checkpoint up to the next (0 is the block's start)."""
+def _opened(block) -> tuple:
+    """lanes, ids, words, crc, where the words begin, and (step, word, states) of the start and each checkpoint."""
     magic, lanes, n, n_words, n_marks, crc, body_crc = _HEAD.unpack_from(block)
     if magic != b"RANB" or zlib.crc32(memoryview(block)[_HEAD.size :]) != body_crc:
         raise ValueError("damaged block")
@@ -96,6 +96,19 @@ def decode(block: bytes, table: Table, checkpoint: int | None = None) -> np.ndar
         t, word = struct.unpack_from("<II", block, at)
         starts.append((t, word, np.frombuffer(block, "<u8", lanes, at + 8)))
         at += 8 + 8 * lanes
+    return lanes, n, n_words, crc, at, starts
+
+
+def checkpoints(block) -> list[tuple[int, int]]:
+    """The first id and the end of what each checkpoint decodes (see :func:`decode`)."""
+    lanes, n, _, _, _, starts = _opened(block)
+    edges = [min(n, t * lanes) for t, _, _ in starts] + [n]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def decode(block, table: Table, checkpoint: int | None = None) -> np.ndarray:
+    """All ids, or those from one checkpoint up to the next (0 is the block's start)."""
+    lanes, n, n_words, crc, at, starts = _opened(block)
     words = np.frombuffer(block, "<u4", n_words, at)
     steps = -(-n // lanes)
     first, word, states = starts[checkpoint or 0]

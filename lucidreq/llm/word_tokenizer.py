@@ -9,7 +9,6 @@ it is.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -36,7 +35,8 @@ def is_odd(text: str) -> bool:
     return bool(raw.translate(None, _PLAIN)) or b"<|" in raw or b"\xc4\xb0" in raw or (b"\xc2" in raw and bool(_CONTROL.search(raw)))
 
 
-CACHE_WORDS = 700_000
+#: Words that are remembered; then those that came again stay.
+CACHE_WORDS = 400_000
 CHUNK_CHARS = 1 << 20
 
 
@@ -46,12 +46,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def shared(path: str, end_id: int = 1) -> WordTokenizer:
-    """One tokenizer for a worker's lifetime: its tasks share the cache of words."""
-    return WordTokenizer(path, end_id)
-
-
 class WordTokenizer:
     def __init__(self, path: str, end_id: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,6 +67,33 @@ class WordTokenizer:
         self.flat = np.array([self.end_id], dtype=np.uint32)
         self.first = np.array([0], dtype=np.int64)
         self.count = np.array([1], dtype=np.int64)
+        self.uses = np.array([0], dtype=np.int64)
+        self.n, self.n_ids = 1, 1  # what is filled of the arrays
+
+    def _forget(self) -> None:
+        """Keep the words that came twice or more since the last time, half of the cache at most."""
+        often = self.uses[: self.n]
+        least = max(2, int(np.partition(often, -CACHE_WORDS // 2)[-CACHE_WORDS // 2]) + 1) if self.n > CACHE_WORDS // 2 else 2
+        words = list(self.index)
+        kept = np.flatnonzero(often >= least)
+        kept = kept[kept > 0]
+        count, first, flat = self.count[kept], self.first[kept], self.flat
+        place = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+        ids = flat[place]
+        self._reset()
+        self._add([words[i] for i in kept.tolist()], ids, count)
+
+    def _add(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        n, n_ids = self.n + len(words), self.n_ids + len(ids)
+        for name, need in (("first", n), ("count", n), ("uses", n), ("flat", n_ids)):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
+        self.index.update(zip(words, range(self.n, n)))
+        self.first[self.n : n] = self.n_ids + np.cumsum(count) - count
+        self.count[self.n : n] = count
+        self.flat[self.n_ids : n_ids] = ids
+        self.n, self.n_ids = n, n_ids
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words, many in one call; a word-end piece closes each unit of a word."""
@@ -90,12 +111,7 @@ class WordTokenizer:
                 stop = np.cumsum([len(x) for x in each])
             parts.append(ids)
             counts.append(np.diff(stop, prepend=0))
-        n = len(self.first)
-        self.index.update(zip(words, range(n, n + len(words))))
-        count = np.concatenate(counts)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, *parts])
+        self._add(words, np.concatenate(parts), np.concatenate(counts))
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words: list = []
@@ -104,14 +120,15 @@ class WordTokenizer:
             words += x.lower().split()
             words.append(None)
             bounds.append(len(words))
-        if len(self.index) > CACHE_WORDS:
-            self._reset()
+        if self.n > CACHE_WORDS:
+            self._forget()
         at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(at < 0).tolist()
         if new:
             missed = [words[i] for i in new]
             self._learn(list(dict.fromkeys(missed)))
             at[new] = list(map(self.index.__getitem__, missed))
+        self.uses[: self.n] += np.bincount(at, minlength=self.n)
         count = self.count[at]
         ends = np.cumsum(count)
         place = np.arange(int(ends[-1])) + np.repeat(self.first[at] - (ends - count), count)
@@ -120,10 +137,11 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]):
         """Yields (first text, ids of some texts in turn, ids of each text); each text ends with the end id."""
+        kinds = [is_odd(x or "") for x in texts]
         a = 0
         while a < len(texts):
-            b, size, odd = a, 0, is_odd(texts[a] or "")
-            while b < len(texts) and size < CHUNK_CHARS and is_odd(texts[b] or "") == odd:
+            b, size, odd = a, 0, kinds[a]
+            while b < len(texts) and size < CHUNK_CHARS and kinds[b] == odd:
                 size += len(texts[b] or "")
                 b += 1
             own = [x or "" for x in texts[a:b]]

@@ -1,8 +1,12 @@
 """op9 and op10: brute force, odd rows, damaged blocks."""
 
 import hashlib
+import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -104,3 +108,37 @@ def test_token_files(docs_of):
     ids = [r.doc_id for r in out]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
     assert token_output.encode_corpus(docs_of(rows).where("false")).count() == 0
+
+
+def test_token_files_are_read_from_their_folder_alone(docs_of, tmp_path):
+    """In a session of its own, by another process: all documents, and any range of tokens from its checkpoint on."""
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choices("abcdefghij", k=4)) for _ in range(r.randint(0, 400)))) for i in range(300)]
+    out = f"file://{tmp_path}/files"
+    token_output.write_corpus(docs_of(rows), out, block_tokens=30_000)
+    code = f"""
+from lucidreq.session import local_session
+from lucidreq.llm import token_output
+spark = local_session("2", 2)
+rows = token_output.read_corpus(spark, {out!r}, with_ids=True).orderBy("start").collect()
+stream = [i for x in rows for i in x.ids]
+assert [x.doc_id for x in rows] == list(range(300)) and [x.start for x in rows][1] == rows[0].n_tokens
+for a, b in ((0, 1), (5_000, 90_001), (29_999, 30_001), (len(stream) - 3, len(stream) + 9)):
+    assert [i for x in token_output.read_tokens(spark, {out!r}, a, b).orderBy("start").collect() for i in x.ids] == stream[a:b]
+print("SUM", sum(stream), len(stream))
+"""
+    tk = word_tokenizer.WordTokenizer(word_tokenizer.default_path()).tk
+    want = [i for _, t in rows for i in [*tk.encode(t, add_special_tokens=False).ids, 1]]
+    top = Path(token_output.__file__).parents[2]
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=top, timeout=300)
+    assert f"SUM {sum(want)} {len(want)}" in done.stdout, done.stderr[-3000:]
+
+
+def test_words_are_forgotten_without_harm(monkeypatch):
+    monkeypatch.setattr(word_tokenizer, "CACHE_WORDS", 50)
+    r = random.Random(6)
+    tk = word_tokenizer.WordTokenizer(word_tokenizer.default_path())
+    texts = [" ".join(r.choice(["the", "of", "and", "".join(r.choices("xyzuvw", k=3))]) for _ in range(30)) for _ in range(200)]
+    for a in range(0, 200, 10):
+        got = [p.tolist() for _, ids, n in tk.encode(texts[a : a + 10]) for p in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [[*tk.tk.encode(t, add_special_tokens=False).ids, 1] for t in texts[a : a + 10]]
