@@ -40,7 +40,7 @@ from .shingles import mix, set_hash, shingle_sets
 #: Link when THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
 THRESHOLD = (80, 100)
 #: Slots of the frequency sketch, and how many of them travel together.
-SLOT_BITS, SLOTS_A_ROW = 18, 4096
+SLOT_BITS, SLOTS_A_ROW = 22, 1 << 16
 #: Rows of one prefix shingle that a task meets, about; beyond, the shingle is split.
 SPLIT = 1 << 18
 #: Members that are verified against one copy of their leader's text, about.
@@ -61,54 +61,63 @@ def sketch(docs: DataFrame) -> np.ndarray:
     """How many documents have a shingle of each slot (the leading bits of its hash), over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
+        total = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         held, size = [], 0
 
         def add():
             slots = np.concatenate([*held, np.zeros(0, np.uint64)]) >> np.uint64(64 - SLOT_BITS)
-            total[:] += np.bincount(slots.astype(np.int64), minlength=len(total)).astype(np.uint64)
+            total[:] += np.bincount(slots.astype(np.int32), minlength=len(total)).astype(np.uint32)
 
         for batch in batches:
             for s in shingle_sets(batch.column(0).to_pylist()):
                 held.append(s)
                 size += len(s)
-                if size >= 500_000:
+                if size >= 2_000_000:
                     add()
                     held, size = [], 0
         add()
+        kind = "<u1" if total.max() < 256 else "<u4"
         parts = [(k, x) for k, x in enumerate(total.reshape(-1, SLOTS_A_ROW)) if x.any()]
-        blobs = [zlib.compress(x.astype("<u8").tobytes(), 1) for _, x in parts]
+        blobs = [kind[2:].encode() + zlib.compress(x.astype(kind).tobytes(), 1) for _, x in parts]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(blobs, pa.binary())], names=["row", "counts"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                blob = blob.as_py()
                 own = sums.setdefault(k, np.zeros(SLOTS_A_ROW, np.uint64))
-                own += np.frombuffer(zlib.decompress(blob), "<u8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["row", "counts"])
+                own += np.frombuffer(zlib.decompress(memoryview(blob)[1:]), f"<u{blob[:1].decode()}")
+        blobs = [zlib.compress(np.minimum(x, _MOST).astype("<u4").tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], names=["row", "counts"])
 
     kind = "row int, counts binary"
     rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, kind).repartition("row").mapInArrow(add_up, kind)
-    out = np.zeros((1 << SLOT_BITS) // SLOTS_A_ROW * SLOTS_A_ROW, dtype=np.uint64).reshape(-1, SLOTS_A_ROW)
+    out = np.zeros((1 << SLOT_BITS) // SLOTS_A_ROW * SLOTS_A_ROW, dtype=np.uint32).reshape(-1, SLOTS_A_ROW)
     for r in rows.collect():  # at most one row for each of the sketch's rows
-        out[r.row] = np.frombuffer(r.counts, "<u8")
+        out[r.row] = np.frombuffer(zlib.decompress(r.counts), "<u4")
     return out.ravel()
 
 
+_MOST = np.uint64((1 << 32) - 1)
+
+
 class Order:
     """Puts a set's shingles in the global order: rare slots first, then by hash."""
 
     def __init__(self, counts: np.ndarray, split: int = SPLIT):
-        self.counts = np.minimum(counts, (1 << 63) - 1).astype(np.int64)
         # What stands out of twice the mean is one shingle in many documents, more or less.
-        self.salts = 1 + np.maximum(0, self.counts - 2 * int(self.counts.mean())) // split
+        self.counts, self.usual, self.split = counts, 2 * int(counts.mean()), split
+
+    def count(self, tokens: np.ndarray) -> np.ndarray:
+        return self.counts[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
 
-    def slot(self, tokens: np.ndarray) -> np.ndarray:
-        return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    def salts(self, tokens: np.ndarray) -> np.ndarray:
+        """Over how many tasks the rows of each shingle are dealt."""
+        return 1 + np.maximum(0, self.count(tokens).astype(np.int64) - self.usual) // self.split
 
     def prefix(self, tokens: np.ndarray) -> np.ndarray:
-        return tokens[np.argsort(self.counts[self.slot(tokens)], kind="stable")[: prefix_size(len(tokens))]]
+        return tokens[np.argsort(self.count(tokens), kind="stable")[: prefix_size(len(tokens))]]
 
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
@@ -152,7 +161,7 @@ def postings(leaders: DataFrame, order: Order) -> DataFrame:
                 key = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 size = np.diff(col.offsets.to_numpy())
                 node = np.repeat(own.column(0).to_numpy(), size)
-                salt = mix(node.view(np.uint64)) % order.salts[order.slot(key)].astype(np.uint64)
+                salt = mix(node.view(np.uint64)) % order.salts(key).astype(np.uint64)
                 pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
                 arrays = (key.view(np.int64), salt.astype(np.int32), node, np.repeat(own.column(1).to_numpy(), size).astype(np.int32), pos.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "salt", "node", "n", "pos"])
@@ -174,7 +183,6 @@ def met_postings(rows: DataFrame, order: Order) -> DataFrame:
     fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = shared.value
         head, told = None, True  # the first row of the key at the end of the last batch, and whether it was given out
 
         def out(c: list[np.ndarray], keep: np.ndarray, first: np.ndarray):
@@ -183,7 +191,7 @@ def met_postings(rows: DataFrame, order: Order) -> DataFrame:
 
         def alone(c: list[np.ndarray]) -> np.ndarray:
             """Rows of split shingles stay even where a salt has no other."""
-            return salts.salts[salts.slot(c[0].view(np.uint64))] > 1
+            return shared.value.salts(c[0].view(np.uint64)) > 1
 
         for batch in batches:
             c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]

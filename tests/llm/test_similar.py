@@ -179,7 +179,7 @@ def test_sketch_counts_all_documents(docs_of):
     assert {i: n for i, n in enumerate(counts.tolist()) if n} == want
     order = jaccard_join.Order(counts, 10)
     both = next(shingles.shingle_sets(["a b c d e f g p q r s t u"]))
-    assert sorted(order.counts[order.slot(both)])[: len(order.prefix(both))] == order.counts[order.slot(order.prefix(both))].tolist()
+    assert sorted(order.count(both))[: len(order.prefix(both))] == order.count(order.prefix(both)).tolist()
 
 
 @pytest.mark.parametrize("split, ids", [(2, 0), (1 << 18, 0)])
