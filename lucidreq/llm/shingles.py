@@ -45,18 +45,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 _PLACE = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
 
 
-def _words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, and where it begins: its bytes as a polynomial, shifted back to its own start."""
-    data = np.frombuffer(buffer.translate(_LOWER) + b" ", dtype=np.uint8)
+def hashed_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word, its begin and end: its bytes as a polynomial, shifted back to its own start."""
+    data = np.frombuffer(buffer + b" ", dtype=np.uint8)
     edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
     begin, end = edge[::2], edge[1::2]
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
-    return mix((total[end] - total[begin]) * _power(_INVERSE, len(data))[begin] + (end - begin).astype(np.uint64)), begin
+    return mix((total[end] - total[begin]) * _power(_INVERSE, len(data))[begin] + (end - begin).astype(np.uint64)), begin, end
+
+
+def _words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return hashed_words(buffer.translate(_LOWER))[:2]
 
 
 def _giant(word: bytes) -> np.ndarray:
-    """The hash of one word of any length, the same as in :func:`_words`."""
+    """The hash of one word of any length, the same as in :func:`hashed_words`."""
     total = 0
     for a in range(0, len(word), CHUNK_BYTES):
         data = np.frombuffer(word[a : a + CHUNK_BYTES].translate(_LOWER), dtype=np.uint8).astype(np.uint64) + np.uint64(1)

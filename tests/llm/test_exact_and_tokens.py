@@ -134,6 +134,15 @@ print("SUM", sum(stream), len(stream))
     assert f"SUM {sum(want)} {len(want)}" in done.stdout, done.stderr[-3000:]
 
 
+def test_long_plain_texts_go_in_parts(monkeypatch):
+    monkeypatch.setattr(word_tokenizer, "CHUNK_BYTES", 100)
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["the", "École", "naïve.\xa0It's", "x" * 300]) for _ in range(r.randint(0, 200))) for _ in range(20)]
+    tk = word_tokenizer.WordTokenizer(word_tokenizer.default_path())
+    got = [p.tolist() for _, ids, n in tk.encode(texts) for p in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [[*tk.tk.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_words_are_forgotten_without_harm(monkeypatch):
     monkeypatch.setattr(word_tokenizer, "CACHE_WORDS", 50)
     r = random.Random(6)
