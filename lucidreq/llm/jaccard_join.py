@@ -25,7 +25,6 @@ of about n * n / 2**65 to be taken for one another, which only moves one count.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +34,11 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import discard, materialize, number_batches, release, same, table, text_batches, text_or_empty
-from .shingles import mix, set_hash, shingle_sets
+from .meeting import SPLIT, Slots, met, postings, sketch, votes
+from .shingles import set_hash, shingle_sets
 
 #: Link when THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
 THRESHOLD = (80, 100)
-#: Slots of the frequency sketch, and how many of them travel together.
-SLOT_BITS, SLOTS_A_ROW = 22, 1 << 16
-#: Rows of one prefix shingle that a task meets, about; beyond, the shingle is split.
-SPLIT = 1 << 18
 #: Members that are verified against one copy of their leader's text, about.
 PORTION = 256
 #: Wanted documents are broadcast by id up to so many; beyond, they are joined by a shuffle.
@@ -57,69 +53,18 @@ def prefix_size(n, num: int = THRESHOLD[0], den: int = THRESHOLD[1]):
 # ---------------------------------------------------------------- global order
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """How many documents have a shingle of each slot (the leading bits of its hash), over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
-        held, size = [], 0
-
-        def add():
-            slots = np.concatenate([*held, np.zeros(0, np.uint64)]) >> np.uint64(64 - SLOT_BITS)
-            total[:] += np.bincount(slots.astype(np.int32), minlength=len(total)).astype(np.uint32)
-
-        for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                held.append(s)
-                size += len(s)
-                if size >= 2_000_000:
-                    add()
-                    held, size = [], 0
-        add()
-        kind = "<u1" if total.max() < 256 else "<u4"
-        parts = [(k, x) for k, x in enumerate(total.reshape(-1, SLOTS_A_ROW)) if x.any()]
-        blobs = [kind[2:].encode() + zlib.compress(x.astype(kind).tobytes(), 1) for _, x in parts]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(blobs, pa.binary())], names=["row", "counts"])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                blob = blob.as_py()
-                own = sums.setdefault(k, np.zeros(SLOTS_A_ROW, np.uint64))
-                own += np.frombuffer(zlib.decompress(memoryview(blob)[1:]), f"<u{blob[:1].decode()}")
-        blobs = [zlib.compress(np.minimum(x, _MOST).astype("<u4").tobytes(), 1) for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], names=["row", "counts"])
-
-    kind = "row int, counts binary"
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, kind).repartition("row").mapInArrow(add_up, kind)
-    out = np.zeros((1 << SLOT_BITS) // SLOTS_A_ROW * SLOTS_A_ROW, dtype=np.uint32).reshape(-1, SLOTS_A_ROW)
-    for r in rows.collect():  # at most one row for each of the sketch's rows
-        out[r.row] = np.frombuffer(zlib.decompress(r.counts), "<u4")
-    return out.ravel()
-
-
-_MOST = np.uint64((1 << 32) - 1)
-
-
-class Order:
+class Order(Slots):
     """Puts a set's shingles in the global order: rare slots first, then by hash."""
 
-    def __init__(self, counts: np.ndarray, split: int = SPLIT):
-        # What stands out of twice the mean is one shingle in many documents, more or less.
-        self.counts, self.usual, self.split = counts, 2 * int(counts.mean()), split
-
-    def count(self, tokens: np.ndarray) -> np.ndarray:
-        return self.counts[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-
-    def salts(self, tokens: np.ndarray) -> np.ndarray:
-        """Over how many tasks the rows of each shingle are dealt."""
-        return 1 + np.maximum(0, self.count(tokens).astype(np.int64) - self.usual) // self.split
-
     def prefix(self, tokens: np.ndarray) -> np.ndarray:
         return tokens[np.argsort(self.count(tokens), kind="stable")[: prefix_size(len(tokens))]]
 
 
+def document_counts(docs: DataFrame) -> np.ndarray:
+    """How many documents have a shingle of each slot, over all documents."""
+    return sketch(docs.select(text_or_empty().alias("text")), lambda batch: shingle_sets(batch.column(0).to_pylist()))
+
+
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
     """doc_id, th (hash of the text), node (hash of the set), n, group (hash of prefix and n), prefix; node 0 is the empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
@@ -148,82 +93,6 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
-def postings(leaders: DataFrame, order: Order) -> DataFrame:
-    """Prefix shingles of groups (columns node, n, prefix): key, salt, node, n, pos."""
-    shared = leaders.sparkSession.sparkContext.broadcast(order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                own = batch.slice(a, 1000)
-                col = own.column(2)
-                key = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                size = np.diff(col.offsets.to_numpy())
-                node = np.repeat(own.column(0).to_numpy(), size)
-                salt = mix(node.view(np.uint64)) % order.salts(key).astype(np.uint64)
-                pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
-                arrays = (key.view(np.int64), salt.astype(np.int32), node, np.repeat(own.column(1).to_numpy(), size).astype(np.int32), pos.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "salt", "node", "n", "pos"])
-
-    side = leaders.select("node", F.col("n").cast("int").alias("n"), "prefix")
-    return side.mapInArrow(run, "key long, salt int, node long, n int, pos int")
-
-
-_MET = ["key", "salt", "node", "n", "pos"]
-
-
-def met_postings(rows: DataFrame, order: Order) -> DataFrame:
-    """The postings of shingles that several groups have, each with its key's first row in its salt: a, an, ap.
-
-    ``rows`` are the :func:`postings`; they are sorted by key, salt, pos and node and
-    read as a stream in which only the first row of the current key is held.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(order)
-    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, told = None, True  # the first row of the key at the end of the last batch, and whether it was given out
-
-        def out(c: list[np.ndarray], keep: np.ndarray, first: np.ndarray):
-            arrays = [x[keep] for x in c] + [c[i][first[keep]] for i in (2, 3, 4)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[*_MET, "a", "an", "ap"])
-
-        def alone(c: list[np.ndarray]) -> np.ndarray:
-            """Rows of split shingles stay even where a salt has no other."""
-            return shared.value.salts(c[0].view(np.uint64)) > 1
-
-        for batch in batches:
-            c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            if not len(c[0]):
-                continue
-            goes_on = head is not None and head[0] == c[0][0] and head[1] == c[1][0]
-            if head is not None and not goes_on and not told and alone([np.array([v], x.dtype) for v, x in zip(head, c)])[0]:
-                yield out([np.array([v], x.dtype) for v, x in zip(head, c)], np.array([True]), np.array([0]))
-            if goes_on:
-                c = [np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(head, c)]
-            new = np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])])
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(new)))
-            first = np.repeat(start, size)
-            keep = np.repeat(size > 1, size) | alone(c)
-            last = start[-1]
-            if size[-1] == 1:
-                keep[last] = False
-            done = size[-1] > 1
-            if goes_on and told:
-                keep[0] = False
-            head, told = [x[last] for x in c], bool(done or (goes_on and told and last == 0))
-            yield out(c, keep, first)
-        if head is not None and not told:
-            c = [np.array([v], x.dtype) for v, x in zip(head, c)]
-            if alone(c)[0]:
-                yield out(c, np.array([True]), np.array([0]))
-
-    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "pos", "node")
-    return dealt.mapInArrow(run, f"{fields}, a long, an int, ap int")
-
-
 def size_ok(a: str, b: str) -> str:
     return f"{THRESHOLD[1]} * least({a}, {b}) >= {THRESHOLD[0]} * greatest({a}, {b})"
 
@@ -244,16 +113,12 @@ def leader_pairs(met: DataFrame) -> DataFrame:
 
     A shingle's leader is the group in whose prefix it comes first: fewer rare
     shingles precede it, so of near copies it is the one with the fewest changes.
-    The leaders of a split shingle's salts are led by the first of them.
     """
-    split = met.where("salt > 0").select("key").distinct()
-    heads = met.where("a = node").join(split, "key", "left_semi").select("key", "node", "n", "pos")
-    top = heads.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("t")).select("key", F.col("t.node").alias("a"), F.col("t.n").alias("an"), F.col("t.pos").alias("ap"))
-    votes = met.select("a", "an", "ap", "node", "n").unionByName(heads.join(top, "key").select("a", "an", "ap", "node", "n"))
-    pairs = votes.where(f"a <> node and {size_ok('n', 'an')}").groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"), F.min("ap").alias("ap"))
+    pairs = votes(met).where(size_ok("n", "an")).groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"), F.min("ap").alias("ap"))
     best = pairs.groupBy("node").agg(F.max(F.struct("both", (-F.col("ap")).alias("early"), "a")).alias("m"), F.max("n").alias("n"))
     return best.where(f"4 * m.both >= {_prefix_sql('n')}").select(F.col("m.a").alias("a"), F.col("node").alias("b"))
 
+
 def cross_pairs(shared: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs of nodes in different components that may link: a, b.
 
@@ -338,7 +203,7 @@ def jaccard_components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """
     spark = docs.sparkSession
     text_batches(spark)
-    order = Order(sketch(docs), split)
+    order = Order(document_counts(docs), split)
     sets = materialize(prefixes(docs, order), "prefixes")
     first = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th")
     nodes = sets.where("n > 0").groupBy("node").agg(F.min(first).alias("f"), F.max("n").alias("n"), F.max("group").alias("group"))
@@ -349,16 +214,15 @@ def jaccard_components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     of_leader = sets.join(leaders, (F.col("node") == F.col("l")) & same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t"))).select("node", "n", "prefix")
     # A row of documents that repeats would meet itself; the first of a key passes over equal nodes.
     with number_batches(spark):
-        met = materialize(met_postings(postings(of_leader, order), order), "postings")
+        shared = materialize(met(postings(of_leader.select("node", F.col("n").cast("int").alias("n"), "prefix"), order), order), "postings")
     release(spark)
     # One leader for each group, and the group's own for each member.
     inside = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = verified(leader_pairs(met).unionByName(inside), docs, nodes)
+    links = verified(leader_pairs(shared).unionByName(inside), docs, nodes)
     so_far = materialize(connected_components(links), "components")
     # All that may still link components: shared shingles of groups, expanded to members, and groups' own members.
     several = members.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("lead")
-    shared = met.select("key", F.col("node").alias("lead"), "n", "pos")
-    expanded = shared.join(members.select("node", "lead"), "lead").select("key", "node", "n", "pos", F.lit(1).alias("weight"))
+    expanded = shared.select("key", F.col("node").alias("lead"), "n", "pos").join(members.select("node", "lead"), "lead").select("key", "node", "n", "pos", F.lit(1).alias("weight"))
     # Members are different sets of one size, so they can link only where one may lack a shingle of the other.
     own = members.join(several, "lead", "left_semi").where(f"n > {_overlap_sql('n', 'n')}")
     own = own.select((-F.abs(F.col("lead")) - 1).alias("key"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"), F.expr(f"cast({_prefix_sql('n')} as int)").alias("weight"))
@@ -368,7 +232,7 @@ def jaccard_components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     label = nodes.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = materialize(label.join(least, "component").select(F.col("node").alias("k"), "component", "component_id"), "labels")
-    discard(met)
+    discard(shared)
     out = sets.select("doc_id", "th", "node", "n").join(label, F.col("node") == F.col("k"), "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 

@@ -1,145 +1,245 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (case, digits, punctuation, white space) and hashed to 64-bit
-SimHashes, of words or, in lines of few words, of character trigrams. Two
-different lines link when their SimHashes differ in at most three bits and their
-edit similarity is at least 0.8. SimHashes that close agree in two of five blocks
-of bits (pigeonhole), so lines are joined on the ten pairs of blocks. Of every
-connected group the first occurrence stays.
-
-As groups are all that matters, a key's lines are first verified against one
-leader; then all pairs that share a key and lie in different components are
-verified, so no link between components is lost and a group of many variants
-never makes all its pairs.
+Lines are normalised (case, punctuation, white space; digits stay as they are).
+Two different lines link when their edit similarity is at least 0.8. Candidates
+share a key:
+
+* Lines of ``FEW_WORDS`` distinct words or more have a SimHash in blocks: the
+  distinct words are dealt to the blocks by their hashes, and a block's 64 bits are
+  the majority over its own words. A change of few words leaves the other blocks as
+  they were (pigeonhole), so lines are joined on each block's bits; longer lines
+  have more blocks, and lengths near a bound have those of both sides.
+* Shorter lines have too few words for that and are joined on what is left when one
+  or two of their words, or of their characters, are left out.
+
+Of every connected group the first occurrence stays.
+
+As groups are all that matters, a line is first verified against one leader, the
+line with which it shares the most keys; then all pairs that share a key and lie in
+different components are verified, so no link between candidates is lost and a
+group of many variants never makes all its pairs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import materialize, same, table, text_or_empty
-from .shingles import _BASE, _INVERSE, _power, mix
+from .common import materialize, number_batches, release, same, table, text_batches, text_or_empty
+from .meeting import SPLIT, Slots, met, postings, sketch, votes
+from .shingles import CHUNK_BYTES, _power, all_words, mix
 
-MAX_BITS = 3
 MIN_SIMILARITY = 0.8
-#: Lines of fewer words are hashed by character trigrams.
+#: Lines of at least so many distinct words have a SimHash.
 FEW_WORDS = 8
-#: Widths of the five blocks.
-BLOCKS = (13, 13, 13, 13, 12)
+#: (blocks, fewest and most distinct words, fewest bytes of a block's words); the ranges overlap.
+FAMILIES = ((6, FEW_WORDS, 24, 10), (8, 16, 40, 12), (10, 30, 1 << 62, 14))
+#: Most words of lines that are joined by leaving out one word, or two; most characters, for characters.
+LEAVE_WORDS = (12, 7)
+LEAVE_CHARACTERS = (24, 14)
+#: Lines that are fetched to be verified are broadcast by place up to so many; beyond, they are joined by a shuffle.
 BROADCAST_PLACES = 500_000
-CHUNK_BYTES = 1 << 20
 
-_NORMAL = {c: (ord("0") if chr(c).isdigit() else ord(" ")) for c in range(128) if not chr(c).isalpha()}
+#: Lines that a task remembers to have given the keys of.
+SEEN_LINES = 200_000
+
+_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_KEPT = bytes(c if c >= 128 or c == 10 or chr(c).isalnum() else 32 for c in range(256))
+_STEP, _BACK = 0x9E3779B97F4A7C55 | 1, pow(0x9E3779B97F4A7C55 | 1, -1, 1 << 64)
+
+
+def _bytes(text: str) -> bytes:
+    """The text in lower case, letters and digits and line ends only, words still apart."""
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    return (raw if raw.isascii() else _SPACES.sub(b" ", raw)).translate(_KEPT)
 
 
 def normalise(line: str) -> str:
-    return " ".join(line.lower().translate(_NORMAL).split())
-
-
-def _signs(features: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The majority of each bit over each line's features."""
-    bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def simhashes(lines: list[str]) -> np.ndarray:
-    """SimHash of each normalised, non-empty line."""
-    out = np.zeros(len(lines), dtype=np.uint64)
-    long = np.array([x.count(" ") + 1 >= FEW_WORDS for x in lines], dtype=bool)
-    for words in (True, False):
-        own = np.flatnonzero(long == words)
-        if not len(own):
-            continue
-        raws = [lines[i].encode("utf-8", "surrogatepass") if words else f"  {lines[i]}".encode("utf-8", "surrogatepass") for i in own]
-        data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
-        stops = np.cumsum([len(r) + 1 for r in raws])
-        begins = np.concatenate([[0], stops[:-1]])
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
-        if words:
-            cut = np.flatnonzero((data == 32) | (data == 10))
-            a = np.concatenate([[0], cut[:-1] + 1])
-            b = cut
-        else:
-            inside = np.ones(len(data), dtype=bool)
-            inside[stops - 1] = inside[stops - 2] = inside[np.maximum(stops - 3, 0)] = False
-            a = np.flatnonzero(inside)
-            b = a + 3
-        features = mix((total[b] - total[a]) * _power(_INVERSE, len(data))[a])
-        first = np.searchsorted(a, begins)
-        size = np.diff(np.concatenate([first, [len(a)]]))
-        out[own] = _signs(features, first, size)
-    return out
+    return b" ".join(_bytes(line).split()).decode("utf-8", "surrogatepass")
+
+
+class Lines:
+    """The lines of normalised bytes: which words they hold, what they are called, and their keys.
+
+    ``place`` (the line's number), ``name`` (a hash of its words in order) and ``size``
+    (characters) of the lines that aren't blank.
+    """
+
+    def __init__(self, buffer: bytes):
+        self.buffer = buffer
+        data = np.frombuffer(buffer + b"\n", np.uint8)
+        word, self.begin, self.end = all_words(buffer)
+        starts = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+        of = np.searchsorted(starts, self.begin, side="right") - 1
+        self.first = np.flatnonzero(np.diff(of, prepend=-1))
+        self.words = np.diff(np.append(self.first, len(of)))
+        self.place = of[self.first]
+        self.word, self.line = word, np.repeat(np.arange(len(self.first)), self.words)
+        more = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])  # bytes that go on a character
+        width = self.end - self.begin - (more[self.end] - more[self.begin])
+        self.size = (np.add.reduceat(width, self.first) if len(self.first) else width) + self.words - 1
+        self.name = self._names()
+
+    def _names(self) -> np.ndarray:
+        if not len(self.first):
+            return np.zeros(0, np.uint64)
+        at = np.arange(len(self.word)) - self.first[self.line]
+        h = self.word * _power(_STEP, int(at.max()) + 1)[at]
+        return mix(np.add.reduceat(h, self.first) + self.words.astype(np.uint64))
+
+    def keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) pairs, sorted by line, of the given lines (numbers among those that aren't blank)."""
+        wanted = np.zeros(len(self.first), dtype=bool)
+        wanted[lines] = True
+        parts = [*self._simhashes(wanted), *self._left_words(wanted), *self._left_characters(wanted)]
+        line = np.concatenate([x[0] for x in parts])
+        key = np.concatenate([x[1] for x in parts])
+        order = np.lexsort((key, line))
+        line, key = line[order], key[order]
+        new = np.ones(len(line), dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+        return line[new], key[new]
+
+    def _simhashes(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = np.flatnonzero(wanted[self.line])
+        own = own[np.lexsort((self.word[own], self.line[own]))]
+        line, word, width = self.line[own], self.word[own], (self.end - self.begin)[own]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
+        line, word, width = line[new], word[new], width[new]
+        distinct = np.bincount(line, minlength=len(wanted))
+        for blocks, fewest, most, least in FAMILIES:
+            of = np.flatnonzero((distinct[line] >= fewest) & (distinct[line] <= most))
+            block = line[of] * blocks + (mix(word[of] ^ np.uint64(blocks)) % np.uint64(blocks)).astype(np.int64)
+            by = np.argsort(block, kind="stable")
+            block, w, size = block[by], word[of][by], width[of][by]
+            if not len(block):
+                yield np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                continue
+            start = np.flatnonzero(np.diff(block, prepend=-1))
+            count = np.diff(np.append(start, len(block)))
+            bits = np.unpackbits(w.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+            sim = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            kept = np.add.reduceat(size, start) >= least
+            block = block[start][kept]
+            yield block // blocks, mix(sim[kept] + (block % blocks + 100 * blocks).astype(np.uint64) * np.uint64(_STEP))
+
+    def _left_words(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for n in range(1, LEAVE_WORDS[0] + 1):
+            own = np.flatnonzero(wanted & (self.words == n))
+            if len(own):
+                rows = self.word[self.first[own][:, None] + np.arange(n)]
+                yield from _left_out(own, rows, 2 if 4 <= n <= LEAVE_WORDS[1] else 1, 1)
+
+    def _left_characters(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = np.flatnonzero(wanted & (self.size <= LEAVE_CHARACTERS[0]))
+        texts = [b" ".join(self.buffer[a:b].split()).decode("utf-8", "replace") for a, b in zip(self.begin[self.first[own]].tolist(), self.end[(self.first + self.words)[own] - 1].tolist())]
+        sizes = np.array([len(x) for x in texts], dtype=np.int64)
+        for n in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == n)
+            rows = np.frombuffer("".join(texts[i] for i in of.tolist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+            # 0.8 allows no edit below five characters, one below ten.
+            out = 0 if n < 4 else 2 if 9 <= n <= LEAVE_CHARACTERS[1] else 1
+            yield from _left_out(own[of], mix(rows.astype(np.uint64)), out, 2)
+
+
+def _left_out(line: np.ndarray, rows: np.ndarray, most: int, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the sequences in ``rows`` with up to ``most`` of their members left out."""
+    n = rows.shape[1]
+    power = _power(_STEP, n)
+    total = np.zeros((len(rows), n + 1), dtype=np.uint64)
+    np.cumsum(rows * power, axis=1, out=total[:, 1:])
+    back, twice = np.uint64(_BACK), np.uint64(_BACK * _BACK % (1 << 64))
+    whole = total[:, -1]
+    for k in range(most + 1):
+        if k >= n:
+            return
+        for out in combinations(range(n), k):
+            if k == 0:
+                h = whole
+            elif k == 1:
+                h = total[:, out[0]] + (whole - total[:, out[0] + 1]) * back
+            else:
+                i, j = out
+                h = total[:, i] + (total[:, j] - total[:, i + 1]) * back + (whole - total[:, j + 1]) * twice
+            yield line, mix(h + np.uint64(1000 * kind + n - k))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, th, pos, line (hash of the normalised line), sim of every line that isn't blank."""
+    """doc_id, th, pos, line (a hash of the normalised line), n (characters), keys of every line that isn't blank.
+
+    keys is null where the task has given the line's keys already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def rows(batch: pa.RecordBatch, own: list[int], first: list[int], raws: list[bytes]) -> pa.RecordBatch:
+            found = Lines(b"\n".join(raws))
+            piece = np.searchsorted(np.cumsum([x.count(b"\n") + 1 for x in raws]), found.place, side="right")
+            before = np.concatenate([[0], np.cumsum([x.count(b"\n") + 1 for x in raws])])
+            pos = found.place - before[piece] + np.array(first, dtype=np.int64)[piece]
+            _, once = np.unique(found.name, return_index=True)
+            new = np.array([i for i, x in zip(once.tolist(), found.name[once].tolist()) if x not in seen], dtype=np.int64)
+            if len(seen) > SEEN_LINES:
+                seen.clear()
+            seen.update(found.name[new].tolist())
+            line, key = found.keys(new)
+            size = np.bincount(line, minlength=len(found.place))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64)))
+            of = pa.array(np.array(own, dtype=np.int64)[piece])
+            columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(pos.astype(np.int64)), pa.array(found.name.view(np.int64)), pa.array(found.size.astype(np.int32)), lists]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "pos", "line", "n", "keys"])
+
         for batch in batches:
             held: tuple[list, list, list] = ([], [], [])
             size = 0
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for pos, line in enumerate(text.split("\n")):
-                    line = normalise(line)
-                    if line:
-                        for col, v in zip(held, (i, pos, line)):
-                            col.append(v)
-                        size += len(line)
-                    if size >= CHUNK_BYTES:
+                raw, a, pos = _bytes(text), 0, 0
+                while a <= len(raw):  # a long text goes in pieces that end at line ends
+                    b = raw.find(b"\n", a + CHUNK_BYTES) if len(raw) - a > CHUNK_BYTES else -1
+                    piece = raw[a : b if b >= 0 else len(raw)]
+                    if size + len(piece) > CHUNK_BYTES and size:
                         yield rows(batch, *held)
                         held, size = ([], [], []), 0
+                    for col, v in zip(held, (i, pos, piece)):
+                        col.append(v)
+                    size += len(piece) + 1
+                    pos += piece.count(b"\n") + 1
+                    a = b + 1 if b >= 0 else len(raw) + 1
             if size:
                 yield rows(batch, *held)
 
-    def rows(batch: pa.RecordBatch, own: list[int], pos: list[int], lines: list[str]) -> pa.RecordBatch:
-        digest = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], dtype=np.uint64).view(np.int64)
-        own_rows = pa.array(own, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(own_rows), batch.column(1).take(own_rows), pa.array(pos, pa.int32()), pa.array(digest), pa.array(simhashes(lines).view(np.int64))],
-            names=["doc_id", "th", "pos", "line", "sim"],
-        )
-
-    return _rows(docs).mapInArrow(run, "doc_id long, th long, pos int, line long, sim long")
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
-
-
-def block_keys(sim: str = "sim"):
-    """The ten keys of a SimHash: two blocks' bits and which two they are."""
-    at, parts = 0, []
-    for width in BLOCKS:
-        parts.append(F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1)))
-        at += width
-    pairs = [
-        F.lit(k).cast("long") + F.shiftleft(parts[i] + F.shiftleft(parts[j].cast("long"), 13), 4) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_BITS))
-    ]
-    return F.array(*pairs)
+    return _rows(docs).mapInArrow(run, "doc_id long, th long, pos long, line long, n int, keys array<long>")
 
 
-def _close(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+def _near_sizes(a: str, b: str):
+    """What of the longer line may differ, if the lengths' difference is within it."""
+    most = F.floor(F.greatest(a, b) * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
+    return F.abs(F.col(a) - F.col(b)) <= most
 
 
 def verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b of line hashes) whose normalised lines' edit similarity is enough."""
-    pairs = materialize(pairs.distinct(), "line-pairs")
+    pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("line")).unionAll(pairs.select(F.col("b").alias("line"))).distinct()
     places = materialize(wanted.join(lines, "line").select("line", "first.doc_id", "first.th", "first.pos"), "line-places")
     per_doc = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "pos")).alias("c")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "c")
-    small = places.count() <= BROADCAST_PLACES
-    rows = _rows(docs).join(F.broadcast(per_doc) if small else per_doc, same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t")))
+    side = F.broadcast(per_doc) if places.count() <= BROADCAST_PLACES else per_doc
+    rows = _rows(docs).join(side, same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,34 +249,43 @@ def verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame) -> DataFrame:
                 found.update((w["line"], normalise(own[w["pos"]])) for w in wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["line", "text"])
 
-    texts = materialize(rows.select("text", "c").mapInArrow(run, "line long, text string").groupBy("line").agg(F.min("text").alias("text")), "line-texts")
+    texts = rows.select("text", "c").mapInArrow(run, "line long, text string").groupBy("line").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "line-texts")
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b")
     both = both.withColumn("most", F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - MIN_SIMILARITY) + 1e-9).cast("int"))
-    near = both.where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most")).where(F.levenshtein("ta", "tb") <= F.col("most"))
+    # Most candidates differ in a few words: a narrow band decides them, the whole one the rest.
+    within = lambda k: F.expr(f"levenshtein(ta, tb, cast({k} as int))") >= 0
+    near = both.where(F.when(within("most / 6"), F.lit(True)).otherwise(within("most")))
     return materialize(near.select("a", "b"), "line-links")
 
 
-def line_groups(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
+def line_groups(docs: DataFrame, occurrences: DataFrame, split: int = SPLIT) -> DataFrame:
     """line, component of the lines that link with another one."""
+    spark = docs.sparkSession
     first = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th", "pos")
-    lines = materialize(occurrences.groupBy("line").agg(F.min("sim").alias("sim"), F.min(first).alias("first")), "lines")
-    keyed = lines.select("line", "sim", F.explode(block_keys()).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min(F.struct("line", "sim")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = materialize(keyed.join(shared, "key").select("key", "line", "sim", F.col("m.line").alias("a"), F.col("m.sim").alias("asim")), "line-keys")
-    links = verified(own.where("a <> line").where(_close("sim", "asim")).select("a", F.col("line").alias("b")), docs, lines)
-    so_far = connected_components(links).withColumnRenamed("node", "line")
-    rows = own.select("key", "line", "sim").join(so_far, "line", "left").withColumn("c", F.coalesce("component", "line"))
+    lines = materialize(occurrences.groupBy("line").agg(F.min(first).alias("first")), "lines")
+    lists = occurrences.where("size(keys) > 0").select(F.col("line").alias("node"), "n", "keys")
+    with number_batches(spark):
+        slots = Slots(sketch(lists.select("keys"), lambda batch: iter([batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)])), split)
+        # A key's leader is its first line, so the place of the key among a line's keys plays no part.
+        rows = postings(lists, slots).withColumn("pos", F.lit(0))
+        shared = materialize(met(rows, slots), "line-postings")
+    release(spark)
+    pairs = votes(shared).where(_near_sizes("n", "an")).groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"))
+    best = pairs.groupBy("node").agg(F.max(F.struct("both", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("node").alias("b"))
+    links = verified(best, docs, lines)
+    so_far = materialize(connected_components(links), "line-components")
+    rows = shared.select("key", "node", "n").distinct().join(so_far, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rows = materialize(rows.join(mixed, "key", "left_semi").select("key", "line", "sim", "c"), "line-cross")
-    kinds = rows.select("key", "c").distinct()
-    meet = kinds.select("key", F.col("c").alias("ca")).join(kinds.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    a = rows.select("key", F.col("c").alias("ca"), F.col("line").alias("a"), F.col("sim").alias("sa"))
-    b = rows.select("key", F.col("c").alias("cb"), F.col("line").alias("b"), F.col("sim").alias("sb"))
-    more = verified(meet.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(_close("sa", "sb")).select("a", "b"), docs, lines)
+    rows = materialize(rows.join(mixed, "key", "left_semi").select("key", "node", "n", "c"), "line-cross")
+    a = rows.select("key", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("an"))
+    b = rows.select("key", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("n").alias("bn"))
+    apart = a.join(b, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _near_sizes("an", "bn"))
+    more = verified(apart.select("a", "b").distinct(), docs, lines)
     return connected_components(links.unionByName(more)).withColumnRenamed("node", "line")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, n_groups (groups that its removed lines are in), kept_text.
 
     Lines end at \\n. Of all lines that are equal when normalised, or linked, the
@@ -185,22 +294,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     nothing. Rows that repeat doc_id and text have the same result. Other
     columns of ``docs`` play no part; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     occurrences = materialize(line_rows(docs), "line-rows")
-    groups = materialize(line_groups(docs, occurrences), "line-groups")
+    groups = materialize(line_groups(docs, occurrences, split), "line-groups")
     place = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th", "pos")
     # Lines by their group; most groups are one line that never repeats.
     lines = occurrences.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     grouped = lines.join(groups, "line", "left").withColumn("g", F.coalesce("component", "line"))
     keeper = grouped.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     told = materialize(grouped.select("line", "g").join(keeper, "g").select("line", "g", "keep"), "line-keepers")
-    gone = occurrences.join(told, "line").where(~(same(F.col("doc_id"), F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th")) & (F.col("pos") == F.col("keep.pos"))))
-    per_doc = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"), F.count_distinct("g").alias("groups")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "gone", "groups")
+    gone = occurrences.select("doc_id", "th", "pos", "line").join(told, "line").where(~(same(F.col("doc_id"), F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th")) & (F.col("pos") == F.col("keep.pos"))))
+    per_doc = gone.groupBy("doc_id", "th").agg(F.collect_set(F.col("pos").cast("int")).alias("gone"), F.count_distinct("g").alias("groups")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "gone", "groups")
     rows = _rows(docs).join(per_doc, same(F.col("doc_id"), F.col("d")) & (F.col("th") == F.col("t")), "left")
-    split = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    split_ = F.split("text", "\n", -1)
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split_, lambda _, i: ~F.array_contains("gone", i)), "\n"))
     return rows.select(
         "doc_id",
-        F.size(split).cast("long").alias("n_lines"),
+        F.size(split_).cast("long").alias("n_lines"),
         F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("groups", F.lit(0)).cast("long").alias("n_groups"),
         kept.alias("kept_text"),

@@ -63,25 +63,27 @@ def _giant(word: bytes) -> np.ndarray:
     """The hash of one word of any length, the same as in :func:`hashed_words`."""
     total = 0
     for a in range(0, len(word), CHUNK_BYTES):
-        data = np.frombuffer(word[a : a + CHUNK_BYTES].translate(_LOWER), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        data = np.frombuffer(word[a : a + CHUNK_BYTES], dtype=np.uint8).astype(np.uint64) + np.uint64(1)
         total += int(np.add.reduce(data * _power(_BASE, len(data)))) * pow(_BASE, a, 1 << 64)
     return mix(np.array([(total + len(word)) % (1 << 64)], dtype=np.uint64))
 
 
-def _long(raw: bytes) -> np.ndarray:
-    """The words' hashes of a text of any length, piece by piece; pieces end at white space."""
-    parts, a = [np.zeros(0, np.uint64)], 0
-    while a < len(raw):
+def all_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`hashed_words` of a buffer of any length, piece by piece; pieces end at white space."""
+    if len(buffer) <= 2 * CHUNK_BYTES:
+        return hashed_words(buffer)
+    parts, a = [], 0
+    while a < len(buffer):
         b = a + CHUNK_BYTES
-        gap = _GAP.search(raw, b)
-        end = gap.start() if gap else len(raw)
+        gap = _GAP.search(buffer, b)
+        end = gap.start() if gap else len(buffer)
         if end - b <= CHUNK_BYTES:
-            parts.append(_words(raw[a:end])[0])
+            parts.append((a, hashed_words(buffer[a:end])))
         else:  # a word longer than a chunk crosses the cut
-            start = max(raw.rfind(bytes([c]), a, b) for c in b" \t\n\x0b\x0c\r") + 1 or a
-            parts += [_words(raw[a:start])[0], _giant(raw[start:end])]
+            start = max(buffer.rfind(bytes([c]), a, b) for c in b" \t\n\x0b\x0c\r") + 1 or a
+            parts += [(a, hashed_words(buffer[a:start])), (start, (_giant(buffer[start:end]), np.array([0]), np.array([end - start])))]
         a = end
-    return np.concatenate(parts)
+    return np.concatenate([x[0] for _, x in parts]), np.concatenate([x[1] + a for a, x in parts]), np.concatenate([x[2] + a for a, x in parts])
 
 
 def _rolled(word: np.ndarray) -> np.ndarray:
@@ -105,7 +107,7 @@ def _few(word: np.ndarray) -> np.ndarray:
 
 def _chunk(raws: list[bytes]) -> list[np.ndarray]:
     if len(raws) == 1 and len(raws[0]) > 2 * CHUNK_BYTES:
-        word = _long(raws[0])
+        word = all_words(raws[0].translate(_LOWER))[0]
         return [np.unique(_rolled(word)) if len(word) >= WORDS else _few(word)]
     word, begin = _words(b" ".join(raws))
     shingle = _rolled(word)

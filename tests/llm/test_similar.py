@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lucidreq.llm import jaccard_join, line_dedup, shingles, suffix_dedup
+from lucidreq.llm import jaccard_join, line_dedup, meeting, shingles, suffix_dedup
 
 
 def union_find(nodes, links):
@@ -135,47 +135,116 @@ def test_longest_previous_factor():
 
 
 def edit(a, b):
-    p = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        c = [i]
-        for j, y in enumerate(b, 1):
-            c.append(min(p[j] + 1, c[-1] + 1, p[j - 1] + (x != y)))
-        p = c
-    return p[-1]
-
-
-def test_line_dedup(docs_of):
-    r = random.Random(5)
-    line = "the quick brown fox jumps over the lazy dog and runs far away from here today"
-    rows = [(i, "\n".join(r.sample([line, line.upper() + "!", line.replace("fox", "cat"), line + " 12", f"own line {i} of text {i * 7}", "", "short", "Short.", "shart"], 6))) for i in range(40)]
-    rows += [(90, None), (91, ""), (92, "--\n\n..")]
+    """Edit distance, a column of the table at a time in the bits of one number."""
+    if not a or not b:
+        return len(a) + len(b)
+    at, full = defaultdict(int), (1 << len(a)) - 1
+    for i, x in enumerate(a):
+        at[x] |= 1 << i
+    up, down, score, last = full, 0, len(a), 1 << (len(a) - 1)
+    for x in b:
+        eq = at[x] | down
+        zero = ((((at[x] & up) + up) ^ up) | at[x] | down) & full
+        right_up, right_down = (down | ~(zero | up)) & full, up & zero
+        score += bool(right_up & last) - bool(right_down & last)
+        right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
+        up, down = (right_down | ~(zero | right_up)) & full, right_up & zero
+    return score
+
+
+def near(a, b):
+    most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+    return abs(len(a) - len(b)) <= most and edit(a, b) <= most
+
+
+def test_edit():
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(2))
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            c = [i]
+            for j, y in enumerate(b, 1):
+                c.append(min(p[j] + 1, c[-1] + 1, p[j - 1] + (x != y)))
+            p = c
+        assert edit(a, b) == p[-1]
+
+
+def brute_lines(rows):
+    """(n_lines, n_removed, kept_text) of each document, by comparing all lines."""
     occ = defaultdict(list)
     for d, t in rows:
         for i, x in enumerate((t or "").split("\n")):
             if n := line_dedup.normalise(x):
                 occ[n].append((d, i))
     lines = sorted(occ)
-    sim = line_dedup.simhashes(lines)
-    near = lambda a, b: edit(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
-    links = [(lines[i], lines[j]) for i in range(len(lines)) for j in range(i + 1, len(lines)) if np.bitwise_count(sim[i] ^ sim[j]) <= 3 and near(lines[i], lines[j])]
+    links = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if near(a, b)]
     groups = defaultdict(list)
     for n, root in union_find(lines, links).items():
         groups[root] += occ[n]
     gone = {x for g in groups.values() for x in sorted(g)[1:]}
-    got = line_dedup.dedup_lines(docs_of(rows)).collect()
-    for x in got:
-        own = (dict(rows)[x.doc_id] or "").split("\n")
-        kept = [y for i, y in enumerate(own) if (x.doc_id, i) not in gone]
-        assert (x.n_lines, x.n_removed, x.kept_text) == (len(own), len(own) - len(kept), "\n".join(kept))
+    out = {}
+    for d, t in rows:
+        own = (t or "").split("\n")
+        kept = [y for i, y in enumerate(own) if (d, i) not in gone]
+        out[d] = (len(own), len(own) - len(kept), "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("split, places", [(1 << 18, 500_000), (2, 0)])
+def test_line_dedup(docs_of, monkeypatch, split, places):
+    monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", places)
+    r = random.Random(5)
+    line = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    rows = [(i, "\n".join(r.sample([line, line.upper() + "!", line.replace("fox", "cat"), line + " 12", f"own line {i} of text {i * 7}", "", "short", "Short.", "shart", "1999", "2004", "a 1", "a 2"], 8))) for i in range(40)]
+    rows += [(90, None), (91, ""), (92, "--\n\n.."), (93, "Ünï\xa0cödé\u2003x\n\nünï cödé x"), (94, "\n")]
+    got = line_dedup.dedup_lines(docs_of(rows), split).collect()
+    assert {x.doc_id: (x.n_lines, x.n_removed, x.kept_text) for x in got} == brute_lines(rows)
     assert len(got) == len(rows) and line_dedup.dedup_lines(docs_of(rows).where("false")).count() == 0
     twice = line_dedup.dedup_lines(docs_of([(1, "same line here"), (1, "same line here"), (None, "same line here")])).collect()
     assert sorted((str(x.doc_id), x.n_removed) for x in twice) == [("1", 0), ("1", 0), ("None", 1)]
 
 
+def test_line_candidates_against_all_pairs():
+    """Of lines changed in up to a tenth of their words, at least 0.95 share a key; of those changed in up to a fifth, 0.8."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9)))
+    for share, least in ((0.1, 0.95), (0.2, 0.8)):
+        found = total = 0
+        for _ in range(2000):
+            a = [word() for _ in range(r.choice([1, 2, 3, 5, 8, 12, 16, 20, 28, 40, 60]))]
+            b = list(a)
+            for _ in range(r.randint(1, max(1, int(len(a) * share)))):
+                kind, k = r.random(), r.randrange(len(b))
+                if kind < 0.7:
+                    b[k] = word() if r.random() < 0.6 else b[k][:1] + "z" + b[k][2:]
+                elif kind < 0.85:
+                    b.insert(k, word())
+                elif len(b) > 1:
+                    del b[k]
+            if not near(" ".join(a), " ".join(b)) or a == b:
+                continue
+            line, key = line_dedup.Lines(" ".join(a).encode() + b"\n" + " ".join(b).encode()).keys(np.arange(2))
+            total += 1
+            found += len(np.intersect1d(key[line == 0], key[line == 1])) > 0
+        assert total > 500 and found >= least * total, (share, found, total)
+
+
+def test_long_lines_go_in_pieces(docs_of, monkeypatch):
+    r = random.Random(3)
+    text = "\n".join(" ".join(r.choices(["a", "bb", "ccc", "x" * 300], k=r.randint(0, 30))) for _ in range(60))
+    want = [(x.pos, x.line, x.n) for x in line_dedup.line_rows(docs_of([(1, text)])).orderBy("pos").collect()]
+    assert [n for _, _, n in want] == [len(line_dedup.normalise(x)) for x in text.split("\n") if x.strip()]
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(line_dedup, "CHUNK_BYTES", 200)
+    found = line_dedup.Lines(line_dedup._bytes(text))
+    assert [(int(p), int(x), int(n)) for p, x, n in zip(found.place, found.name.view(np.int64), found.size)] == want
+
+
 def test_sketch_counts_all_documents(docs_of):
     rows = [(i, "a b c d e f g") for i in range(30)] + [(100, "p q r s t u"), (101, None)]
-    counts = jaccard_join.sketch(docs_of(rows))
-    want = Counter(int(t) >> (64 - jaccard_join.SLOT_BITS) for _, x in rows for t in next(shingles.shingle_sets([x])))
+    counts = jaccard_join.document_counts(docs_of(rows))
+    want = Counter(int(t) >> (64 - meeting.SLOT_BITS) for _, x in rows for t in next(shingles.shingle_sets([x])))
     assert {i: n for i, n in enumerate(counts.tolist()) if n} == want
     order = jaccard_join.Order(counts, 10)
     both = next(shingles.shingle_sets(["a b c d e f g p q r s t u"]))
