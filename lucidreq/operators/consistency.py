@@ -44,9 +44,11 @@ def token_match(candidate: Column, reference: Column) -> Column:
     Each token takes its best partner; with one-hot vectors that is 1 if the
     other side holds the token. Empty sides score 0.
     """
-    hit = lambda x, y: F.size(F.filter(x, lambda t: F.array_contains(y, t))) / F.size(x)
-    p = F.when(F.size(candidate) > 0, hit(candidate, F.array_distinct(reference))).otherwise(F.lit(0.0))
-    r = F.when(F.size(reference) > 0, hit(reference, F.array_distinct(candidate))).otherwise(F.lit(0.0))
+    # The tokens of both sides are found once; what is bound in a lambda isn't computed anew for each element.
+    both = F.array(F.array_intersect(candidate, reference))
+    hit = lambda x: F.transform(both, lambda c: F.size(F.filter(x, lambda t: F.array_contains(c, t))))[0] / F.size(x)
+    p = F.when(F.size(candidate) > 0, hit(candidate)).otherwise(F.lit(0.0))
+    r = F.when(F.size(reference) > 0, hit(reference)).otherwise(F.lit(0.0))
     return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"))
 
 

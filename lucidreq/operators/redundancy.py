@@ -24,10 +24,28 @@ THRESHOLD = 0.90
 
 
 def _blocks(vectors: DataFrame, block: int) -> DataFrame:
-    packed = vectors.select((F.col("pos") / block).cast("long").alias("block"), F.struct("pos", F.col("vec").cast("array<double>").alias("vec")).alias("v"))
+    """Blocks of up to ``block`` vectors that are neighbours by place, however far apart their places are."""
+    own = numbered(vectors.select("pos", F.col("vec").cast("array<double>").alias("vec")), "n", F.col("pos"))
+    packed = own.select(F.floor(F.col("n") / block).cast("long").alias("block"), F.struct("pos", "vec").alias("v"))
     return packed.groupBy("block").agg(F.collect_list("v").alias("rows"))
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """Adds the rows' places (from 0) in an order, without gathering them in one task.
+
+    Ranges are sorted apart and written; the counts of earlier ranges, one for each
+    partition, are added.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = materialize(rows, "numbered")
+    part = F.shiftrightunsigned("__at", 33)
+    ends = rows.groupBy(part.alias("__p")).agg((F.max(F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))) + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = ends.select("__p", before.alias("__base"))  # a row for each partition
+    out = rows.withColumn("__p", part).join(F.broadcast(base), "__p")
+    return out.withColumn(name, F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__p", "__base")
+
+
 def block_pairs(vectors: DataFrame, block: int = BLOCK, both: bool = False) -> DataFrame:
     """Block rows met with each other: a block with those from its own on (or with all); a block holds ``block`` positions at most."""
     packed = materialize(_blocks(vectors, block), "blocks")
@@ -55,9 +73,8 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
             for i in range(batch.num_rows):
                 (pa_, a), (pb, b) = (_matrix(batch.column(k).slice(i, 1)) for k in (0, 1))
                 score = a @ b.T
-                x, y = np.nonzero((score >= threshold) & (pa_[:, None] < pb[None, :]))
-                flip = np.zeros(0, int)
-                if len(x) or len(flip):
+                x, y = np.nonzero((score >= threshold) & (pa_[:, None] < pb[None, :]))  # blocks are in order of place
+                if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(pa_[x]), pa.array(pb[y]), pa.array(score[x, y])], names=["pos_a", "pos_b", "score"])
 
     return block_pairs(vectors, block).select("a", "b").mapInArrow(run, "pos_a long, pos_b long, score double")
@@ -153,12 +170,8 @@ def clusters(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     best = score.groupBy("root").agg(F.min(F.struct((-F.round("mean", 9)).alias("m"), "pos", "id")).alias("b")).select("root", F.col("b.id").alias("rep"))
     grouped = members.groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("members"))
     out = grouped.join(best, "root", "left").withColumn("representative", F.coalesce("rep", F.col("members")[0]))
-    return out.withColumn("cluster_id", cluster_number()).select("cluster_id", "size", "representative", "members", "root")
-
-
-def cluster_number():
-    """Numbers need one order of all clusters; clusters are one narrow row each by then."""
-    return F.row_number().over(Window.orderBy(F.desc("size"), "root"))
+    ids = numbered(out.select("size", "root"), "cluster_id", F.desc("size"), F.col("root")).select("root", (F.col("cluster_id") + 1).cast("int").alias("cluster_id"))
+    return out.join(ids, "root").select("cluster_id", "size", "representative", "members", "root")
 
 
 def redundancy_summary(vectors: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ def phrase_count(text: Column, phrase: Column | str) -> Column:
 
 
 def counted_phrases(text: Column, phrases: list[str]) -> Column:
-    """Lines "phrase: n" of the phrases that occur, sorted by phrase; null if none does."""
-    counted = F.transform(F.array(*[F.lit(p) for p in sorted(set(phrases))]), lambda p: F.struct(p.alias("p"), phrase_count(text, p).alias("n")))
-    lines = F.transform(F.filter(counted, lambda x: x["n"] > 0), lambda x: F.concat(x["p"], F.lit(": "), x["n"].cast("string")))
+    """Lines "phrase: n" of the phrases that occur, sorted by phrase; null if none does. Only those that occur are counted."""
+    found = F.filter(F.array(*[F.lit(p) for p in sorted(set(phrases))]), lambda p: F.contains(text, p))
+    lines = F.transform(found, lambda p: F.concat(p, F.lit(": "), phrase_count(text, p).cast("string")))
     return F.nullif(F.array_join(lines, "\n"), F.lit(""))
 
 

@@ -76,16 +76,37 @@ class HashingEncoder:
         words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"{T.WORD}+"), F.lit(0))
         if self.max_words:
             words = F.slice(words, 1, self.max_words)
-        h = F.transform(words, lambda x: F.xxhash64(x))
-        zero = F.array_repeat(F.lit(0.0), self.dims)
-        place = F.transform(h, lambda x: F.pmod(x, F.lit(self.dims)).cast("int"))
-        sign = F.transform(h, lambda x: F.when(F.shiftrightunsigned(x, 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0))
-        vec = F.aggregate(
-            F.zip_with(place, sign, lambda p, s: F.struct(p.alias("p"), s.alias("s"))),
-            zero,
-            lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x["p"], v + x["s"]).otherwise(v)),
-        )
-        return df.withColumn(out, normalised(vec))
+        # The leading 60 bits of a word's MD5 give its place, the next bit its sign. A word is its place + 1, with the sign.
+        place = lambda m: (F.conv(F.substring(m, 1, 15), 16, 10).cast("long") % self.dims + 1).cast("int")
+        code = F.transform(F.transform(words, F.md5), lambda m: F.when(F.substring(m, 16, 1) >= "8", place(m)).otherwise(-place(m)))
+        sums = lambda c, i: F.size(F.filter(c, lambda v: v == i + 1)) - F.size(F.filter(c, lambda v: v == -i - 1))
+        vec = F.transform(F.array(code), lambda c: F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda i: sums(c, i).cast("double")))[0]
+        return df.withColumn(out, vec).withColumn(out, normalised(F.col(out)))
+
+
+def token_encoder(load, max_length: int = 256):
+    """A loader for :class:`ModelEncoder` from one that gives (tokenize, model).
+
+    tokenize(text) is a list of token ids; they are cut to ``max_length`` and padded
+    with 0 to the batch's longest. model(ids, mask) is an array of (texts, tokens,
+    dimensions); the tokens under the mask are averaged and scaled to length 1.
+    """
+
+    def made():
+        tokenize, model = load()
+
+        def run(texts: list[str]) -> np.ndarray:
+            ids = [list(tokenize(t))[:max_length] for t in texts]
+            wide = max(1, max(map(len, ids), default=1))
+            padded = np.array([x + [0] * (wide - len(x)) for x in ids], dtype=np.int64).reshape(len(ids), wide)
+            mask = np.array([[1] * len(x) + [0] * (wide - len(x)) for x in ids], dtype=np.int64).reshape(len(ids), wide)
+            hidden = np.asarray(model(padded, mask), dtype=np.float64)
+            pooled = (hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9)[:, None]
+            return pooled / np.maximum(np.linalg.norm(pooled, axis=1), 1e-12)[:, None]
+
+        return run
+
+    return made
 
 
 class ModelEncoder:

@@ -20,6 +20,8 @@ from ..storage import materialize
 #: No pair of the test embeddings reaches the default threshold of 0.90.
 PAIR_THRESHOLD = 0.35
 TOP_K = 5
+#: Dimensions of the stand-in encoder's vectors.
+HASHED = 16
 STOP_WORDS = ["the", "of", "and", "a", "to", "in", "is", "was", "that", "for", "on", "with", "as", "by", "be", "are", "this", "it", "from", "or", "an"]
 _MODALS = ["shall", "may", "will", "should", "Could", "is required to", "provides", "might"]
 _PHRASES = ["ensure security of", "as appropriate use", "be able to audit", "support e.g. a table of", "take into account similarly", "whenever willing", ""]
@@ -146,6 +148,12 @@ def requirement_metrics(spark, sf_dir):
     return _rounded(redundancy.requirement_metrics(v, p).drop("pos"))
 
 
+def requirement_metrics_top_k(spark, sf_dir):
+    """Degrees counted from the pairs that one of the two has among its nearest."""
+    v, p = _pairs(spark, sf_dir, TOP_K)
+    return _rounded(redundancy.requirement_metrics(v, p).drop("pos"))
+
+
 def requirement_clusters(spark, sf_dir):
     v, p = _pairs(spark, sf_dir)
     out = redundancy.clusters(v, materialize(p, "pairs"))
@@ -175,9 +183,10 @@ def preprocessed_texts(spark, sf_dir):
 
 
 def hashed_texts(spark, sf_dir):
-    """Norms of the stand-in encoder's vectors (1, or 0 for texts without words)."""
-    docs = _table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return vectors.HashingEncoder(64).encode(docs, "text").select("item_id", F.round(vectors.norm(F.col("vec")), 6).alias("norm"))
+    """The stand-in encoder's vectors of all documents, and their norms (1, or 0 for texts without words)."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = vectors.HashingEncoder(HASHED).encode(docs, "text")
+    return coded.select("doc_id", F.round(vectors.norm(F.col("vec")), 6).alias("norm"), *[F.round(F.get("vec", F.lit(k)), 9).alias(f"x{k}") for k in range(HASHED)])
 
 
 # ------------------------------------------------------------------- consistency
@@ -200,9 +209,13 @@ def best_reference_similarity(spark, sf_dir):
 
 def best_reference_tokens(spark, sf_dir):
     reqs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.col("item_id").alias("id"), F.lit("item").alias("title"), "text")
-    refs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_pos"), (F.col("doc_id") % 200).alias("id"), "text", F.concat(F.lit("doc "), F.col("doc_id")).alias("legal_reference"))
+    # Every document is a reference of one of the items.
+    items = reqs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("items"))
+    docs = _table(spark, sf_dir, "documents").crossJoin(F.broadcast(items))
+    refs = docs.select(F.col("doc_id").alias("ref_pos"), (F.col("doc_id") % F.col("items")).alias("id"), "text", F.concat(F.lit("doc "), F.col("doc_id")).alias("legal_reference"))
     own = lambda d: d.withColumn("tokens", T.tokens_en(F.lower("text")))
-    return _rounded(consistency.best_by_token_match(own(reqs), own(refs)).drop("pos", "best_normative_excerpt"), 9)
+    out = consistency.best_by_token_match(own(reqs), own(refs)).drop("pos")
+    return _rounded(out.withColumn("best_normative_excerpt", F.md5("best_normative_excerpt")), 9)
 
 
 def f1_histogram(spark, sf_dir):
@@ -228,6 +241,7 @@ _QUERIES: dict[str, Callable] = {
         redundant_pairs_top_k,
         neighbour_ranks,
         requirement_metrics,
+        requirement_metrics_top_k,
         requirement_clusters,
         redundancy_summary,
         similarity_cells,
@@ -401,8 +415,11 @@ def _sql_cleaned() -> str:
 
 _VEC = "v AS (SELECT vec_id AS pos, 'R' || vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)"
 _ALL = f"""{_VEC}, p AS (SELECT a.pos AS pos_a, b.pos AS pos_b, a.id AS id_a, b.id AS id_b, list_dot_product(a.vec, b.vec) AS score FROM v a JOIN v b ON a.pos < b.pos)"""
-_BOTH = f"""{_ALL}, d AS (SELECT pos_a AS pos, pos_b AS other, score FROM p UNION ALL SELECT pos_b, pos_a, score FROM p),
+_BOTH = f"""{_ALL.replace("p AS (", "p AS MATERIALIZED (")}, d AS MATERIALIZED (SELECT pos_a AS pos, pos_b AS other, score FROM p UNION ALL SELECT pos_b, pos_a, score FROM p),
   n AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(score, 9) DESC, other) AS rank FROM d)"""
+_TOP = f"""{_BOTH}, k AS MATERIALIZED (SELECT * FROM n WHERE rank <= {TOP_K}), e AS MATERIALIZED (SELECT * FROM p WHERE score >= {PAIR_THRESHOLD}::DOUBLE),
+  r AS (SELECT e.*, coalesce(ka.rank, 0)::INT AS rank_from_a, coalesce(kb.rank, 0)::INT AS rank_from_b FROM e
+    LEFT JOIN k ka ON ka.pos = pos_a AND ka.other = pos_b LEFT JOIN k kb ON kb.pos = pos_b AND kb.other = pos_a WHERE ka.rank IS NOT NULL OR kb.rank IS NOT NULL)"""
 _RED = f"{_ALL}, e AS (SELECT * FROM p WHERE score >= {PAIR_THRESHOLD}::DOUBLE)"
 _CC = f"""WITH RECURSIVE {_RED}, x AS (SELECT pos_a AS a, pos_b AS b FROM e UNION ALL SELECT pos_b, pos_a FROM e),
   reach AS (SELECT pos AS node, pos AS root FROM v UNION SELECT x.b, reach.root FROM reach JOIN x ON x.a = reach.node WHERE reach.root < x.b),
@@ -419,12 +436,12 @@ w AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(sim, 12) DESC
 SELECT id, title, '' AS requirement_text, n::INT AS num_valid_references, round(sim, 9) AS best_cosine_similarity, legal AS best_legal_reference, lang AS best_reference_language, text AS best_reference_text FROM w WHERE rn = 1"""
     best_tok = f"""
 WITH q AS (SELECT item_id AS id, regexp_extract_all(lower(text), '{T.TOKEN_EN}') AS k FROM benchmark WHERE text IS NOT NULL),
-r AS (SELECT doc_id AS ref_pos, doc_id % 200 AS id, regexp_extract_all(lower(text), '{T.TOKEN_EN}') AS k FROM documents WHERE text IS NOT NULL),
-j AS (SELECT q.id, r.ref_pos, q.k AS a, r.k AS b, list_distinct(q.k) AS da, list_distinct(r.k) AS db FROM q JOIN r ON q.id = r.id),
-s AS (SELECT id, ref_pos, CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda t: list_contains(db, t))) / len(a) ELSE 0 END AS p, CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda t: list_contains(da, t))) / len(b) ELSE 0 END AS r FROM j),
+r AS (SELECT doc_id AS ref_pos, doc_id % (SELECT greatest(count(*), 1) FROM benchmark) AS id, regexp_extract_all(lower(text), '{T.TOKEN_EN}') AS k, md5(text) AS excerpt FROM documents WHERE text IS NOT NULL),
+j AS (SELECT q.id, r.ref_pos, r.excerpt, q.k AS a, r.k AS b, list_distinct(q.k) AS da, list_distinct(r.k) AS db FROM q JOIN r ON q.id = r.id),
+s AS (SELECT id, ref_pos, excerpt, CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda t: list_contains(db, t))) / len(a) ELSE 0 END AS p, CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda t: list_contains(da, t))) / len(b) ELSE 0 END AS r FROM j),
 f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM s),
 w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(f1, 12) DESC, ref_pos) AS rn FROM f),
-o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, 'doc ' || ref_pos AS best_legal_reference FROM w WHERE rn = 1)"""
+o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, 'doc ' || ref_pos AS best_legal_reference, excerpt AS best_normative_excerpt FROM w WHERE rn = 1)"""
     words = f"list_filter(regexp_extract_all(lower({_squeeze('text')}), '{T.WORD}+'), lambda x: NOT list_contains({_list(STOP_WORDS)}, x))"
     share = f"regexp_extract_all(lower(text), '{T.WORD}+')"
     kept = [k for k in range(8) if k % 3 != 2]
@@ -443,10 +460,9 @@ o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recal
         "cleaned_texts": _sql_cleaned(),
         "cleaned_counts": "SELECT count(*) AS total, count(*) FILTER (lang = 'es') AS cleaned_es, count(*) FILTER (lang = 'en') AS cleaned_en FROM documents",
         "redundant_pairs": f"WITH {_RED} SELECT id_a, id_b, round(score, 6) AS score, 0 AS rank_from_a, 0 AS rank_from_b FROM e",
-        "redundant_pairs_top_k": f"""WITH {_BOTH}, k AS (SELECT * FROM n WHERE rank <= {TOP_K})
-            SELECT id_a, id_b, round(p.score, 6) AS score, coalesce(ka.rank, 0)::INT AS rank_from_a, coalesce(kb.rank, 0)::INT AS rank_from_b FROM p
-            LEFT JOIN k ka ON ka.pos = pos_a AND ka.other = pos_b LEFT JOIN k kb ON kb.pos = pos_b AND kb.other = pos_a
-            WHERE p.score >= {PAIR_THRESHOLD}::DOUBLE AND (ka.rank IS NOT NULL OR kb.rank IS NOT NULL)""",
+        "redundant_pairs_top_k": f"WITH {_TOP} SELECT id_a, id_b, round(score, 6) AS score, rank_from_a, rank_from_b FROM r",
+        "requirement_metrics_top_k": f"""WITH {_TOP}, s AS (SELECT pos, sum(score) AS s FROM d GROUP BY pos), g AS (SELECT pos, count(*) AS n FROM (SELECT pos_a AS pos FROM r UNION ALL SELECT pos_b FROM r) GROUP BY pos)
+            SELECT id, round(coalesce(s, 0) / (SELECT count(*) - 1 FROM v), 6) AS mean_sim, coalesce(n, 0) AS degree_t FROM v LEFT JOIN s USING (pos) LEFT JOIN g USING (pos)""",
         "neighbour_ranks": f"WITH {_BOTH} SELECT pos, other, rank::INT AS rank FROM n WHERE rank <= {TOP_K}",
         "requirement_metrics": f"""WITH {_RED}, d AS (SELECT pos_a AS pos, score FROM p UNION ALL SELECT pos_b, score FROM p),
             s AS (SELECT pos, sum(score) AS s FROM d GROUP BY pos), g AS (SELECT pos, count(*) AS n FROM (SELECT pos_a AS pos FROM e UNION ALL SELECT pos_b FROM e) GROUP BY pos)
@@ -461,7 +477,10 @@ o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recal
         "similarity_cells": f"WITH {_VEC} SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.vec, b.vec), 6) AS score FROM v a CROSS JOIN v b",
         "pooled_vectors": f"WITH {_VEC}, m AS (SELECT id, [{', '.join(pool)}] AS x FROM v), n AS (SELECT id, x, greatest(sqrt(list_dot_product(x, x)), 1e-12) AS l FROM m) SELECT id, {', '.join(f'round(x[{d + 1}] / l, 9) AS x{d}' for d in range(8))} FROM n",
         "preprocessed_texts": f"SELECT doc_id, array_to_string({words}, ' ') AS words FROM documents",
-        "hashed_texts": f"SELECT item_id, CASE WHEN len(regexp_extract_all(text, '{T.WORD}+')) > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS norm FROM benchmark",
+        "hashed_texts": f"""WITH c AS (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}+'), lambda x: (('0x' || substr(md5(x), 1, 15))::BIGINT % {HASHED} + 1) * CASE WHEN substr(md5(x), 16, 1) >= '8' THEN 1 ELSE -1 END) AS h FROM documents),
+            s AS (SELECT doc_id, [{", ".join(f"len(list_filter(h, lambda v: v = {k + 1})) - len(list_filter(h, lambda v: v = -{k + 1}))" for k in range(HASHED))}]::DOUBLE[] AS x FROM c),
+            n AS (SELECT doc_id, x, sqrt(list_dot_product(x, x)) AS l FROM s)
+            SELECT doc_id, CASE WHEN l > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS norm, {", ".join(f"round(x[{k + 1}] / greatest(l, 1e-12), 9) AS x{k}" for k in range(HASHED))} FROM n""",
         "best_reference_similarity": best_sim,
         "best_reference_tokens": best_tok + " SELECT * FROM o",
         "f1_histogram": best_tok

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import lexicons as L
 from ..functions import text as T
@@ -33,12 +34,16 @@ def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return _require(rows, F.col("id").isNotNull(), "each requirement must have an id") if strict else rows
 
 
+def requirement_rows(catalog: DataFrame) -> DataFrame:
+    """pos, id, title, text of a catalog; absent titles and texts are empty."""
+    return catalog.select("pos", "id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def read_requirements(spark: SparkSession, path: str) -> DataFrame:
     """pos, id, title, text from JSON or a workbook, told by the ending; absent titles and texts are empty."""
     kind = path.lower().rsplit(".", 1)[-1]
     if kind == "json":
-        rows = read_catalog(spark, path, strict=False)
-        return rows.select("pos", "id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+        return requirement_rows(read_catalog(spark, path, strict=False))
     if kind in ("xlsx", "xls"):
         return _workbook(spark, path, ["ID", "Título", "Texto"], ["id", "title", "text"], "pos")
     raise ValueError(f"unknown kind of file: {path}")
@@ -103,9 +108,12 @@ def read_rows(spark: SparkSession, path: str, id_header: str = "ID", text_header
     return rows.select(F.col(f"`{id_header}`").alias("req_id"), F.col(f"`{text_header}`").alias("text"))
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Smell findings as written; absent headers are null."""
-    return _json(spark, path, FINDINGS)
+def read_findings(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """Smell findings as written, with their places in the file if a name for them is given; absent headers are null."""
+    if place is None:
+        return _json(spark, path, FINDINGS)
+    listed = F.from_json("value", ArrayType(StructType.fromDDL(FINDINGS)))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias(place, "r")).select(place, "r.*")
 
 
 def smell_input(requirements: DataFrame) -> DataFrame:
@@ -116,6 +124,32 @@ def smell_input(requirements: DataFrame) -> DataFrame:
 
 
 def read_traceability(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The document (catalog_id, idioma_catalogo) and its references (ref_pos and all known keys)."""
-    doc = _json(spark, path, REFERENCES)
-    return doc.select("catalog_id", "idioma_catalogo"), doc.select(F.posexplode("referencias").alias("ref_pos", "r")).select("ref_pos", "r.*")
+    """The document (one row, column ``document``) and its references (ref_pos, column ``reference``).
+
+    Both are variants, so keys that nobody knows beforehand stay; the document is
+    without its references. The known texts of a reference are columns besides: null
+    where the key is absent, empty where it is null.
+    """
+    text = spark.read.text(path, wholetext=True)
+    doc = text.select(F.from_json("value", "map<string,variant>").alias("m"))
+    head = doc.select(F.parse_json(F.to_json(F.map_filter("m", lambda k, _: k != "referencias"))).alias("document"))
+    listed = F.from_json(F.col("m")["referencias"].cast("string"), "array<map<string,variant>>")
+    refs = doc.select(F.posexplode(listed).alias("ref_pos", "r"))
+    known = lambda c: F.when(F.map_contains_key("r", c), F.coalesce(F.try_variant_get(F.col("r")[c], "$", "string"), F.lit("")))
+    names = ["texto_normativo_es", "texto_normativo_en"]
+    return head, refs.select("ref_pos", F.parse_json(F.to_json("r")).alias("reference"), *[known(c).alias(c) for c in names])
+
+
+def requirements_or_findings(spark: SparkSession, findings_path: str, input_path: str | None = None) -> DataFrame | None:
+    """The rows a report counts: those of the input (by default the file nalabs_input.json beside the findings), or none if there is no such file.
+
+    The id is req_id, or else id where that is absent or empty.
+    """
+    path = input_path or f"{findings_path.rsplit('/', 1)[0]}/nalabs_input.json"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    items = F.from_json("value", "array<struct<req_id:string,id:string,text:string>>")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(items).alias("pos", "r"))
+    key = F.coalesce(F.nullif(F.col("r.req_id"), F.lit("")), F.col("r.id"))
+    return rows.select("pos", key.alias("req_id"), F.coalesce("r.text", F.lit("")).alias("text")).where("req_id is not null")

@@ -6,16 +6,37 @@ for reports that a person opens.
 
 from __future__ import annotations
 
+import io
 import json
+import re
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.redundancy import sorted_pairs
 
 
+def local_path(path: str | Path) -> str:
+    """The path without the scheme of local files."""
+    return re.sub(r"^file:(//)?", "", str(path))
+
+
+def _put(path: str | Path, data: bytes) -> None:
+    """One file, on the driver's disk or in any store that Spark reaches by a URL."""
+    place = local_path(path)
+    if "://" not in place:
+        Path(place).parent.mkdir(parents=True, exist_ok=True)
+        Path(place).write_bytes(data)
+        return
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(place)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def run_dir(root: str | Path, stem: str) -> Path:
     """A new folder root/stem_YYYYmmdd_HHMMSS."""
     out = Path(root) / f"{stem}_{datetime.now():%Y%m%d_%H%M%S}"
@@ -39,7 +60,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def single_csv(df: DataFrame, path: str | Path) -> None:
     """One file with semicolons, a header and a byte-order mark."""
-    df.toPandas().to_csv(path, sep=";", index=False, encoding="utf-8-sig")
+    _put(path, df.toPandas().to_csv(sep=";", index=False).encode("utf-8-sig"))
 
 
 def single_matrix_csv(cells: DataFrame, path: str | Path) -> None:
@@ -48,7 +69,7 @@ def single_matrix_csv(cells: DataFrame, path: str | Path) -> None:
     ids = data.drop_duplicates("pos_a")["id_a"].tolist()
     wide = data.pivot(index="pos_a", columns="pos_b", values="score")
     wide.index, wide.columns = ids, ids
-    wide.to_csv(path, sep=";", encoding="utf-8-sig")
+    _put(path, wide.to_csv(sep=";").encode("utf-8-sig"))
 
 
 def matrix(cells: DataFrame) -> DataFrame:
@@ -60,32 +81,74 @@ def single_xlsx(sheets: dict[str, DataFrame], path: str | Path) -> None:
     """A workbook with one sheet for each table; needs a workbook library for pandas."""
     import pandas as pd
 
-    with pd.ExcelWriter(path) as book:
+    held = io.BytesIO()
+    with pd.ExcelWriter(held) as book:
         for name, df in sheets.items():
             df.toPandas().to_excel(book, sheet_name=name, index=False)
+    _put(path, held.getvalue())
 
 
 def single_json(rows: DataFrame, path: str | Path, ascii_only: bool = False, drop_null: bool = False) -> None:
     """An array of records, indented; an empty table gives an empty array."""
     out = [json.loads(x) for x in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(drop_null).lower()}).alias("j")).toPandas()["j"]]
-    Path(path).write_text(json.dumps(out, ensure_ascii=ascii_only, indent=2), encoding="utf-8")
+    _put(path, json.dumps(out, ensure_ascii=ascii_only, indent=2).encode())
 
 
 def single_record(row: DataFrame, path: str | Path, **extra) -> None:
     """One record, with extra entries, indented."""
     first = row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()
-    Path(path).write_text(json.dumps({**extra, **json.loads(first.j)}, ensure_ascii=False, indent=2), encoding="utf-8")
+    _put(path, json.dumps({**extra, **json.loads(first.j)}, ensure_ascii=False, indent=2).encode())
+
+
+def cleaned_rows(refs: DataFrame) -> DataFrame:
+    """ref_pos and json: the references of :func:`readers.read_traceability` with their cleaned texts and all their other keys."""
+    own = F.from_json(F.to_json("reference"), "map<string,variant>")
+    kept = F.map_filter(own, lambda k, _: ~k.isin("texto_normativo_es", "texto_normativo_en"))
+    texts = F.from_json(F.to_json(F.struct("texto_normativo_es", "texto_normativo_en")), "map<string,variant>")
+    return refs.select("ref_pos", F.to_json(F.map_concat(kept, texts)).alias("json"))
 
 
 def write_cleaned(doc: DataFrame, refs: DataFrame, path: str | Path | None, source: str | Path) -> Path:
     """The traceability document with its cleaned references; named <source>_clean.json unless a path is given."""
     out = Path(path) if path else Path(source).with_name(f"{Path(source).stem}_clean.json")
-    head = doc.first().asDict()
-    rows = [json.loads(x.j) for x in refs.orderBy("ref_pos").drop("ref_pos").select(F.to_json(F.struct("*")).alias("j")).collect()]
+    head = json.loads(doc.select(F.to_json("document").alias("j")).first().j)
+    rows = [json.loads(x.json) for x in cleaned_rows(refs).orderBy("ref_pos").collect()]
     out.write_text(json.dumps({**head, "referencias": rows}, ensure_ascii=False, indent=2), encoding="utf-8")
     return out
 
 
+def write_report(rows: DataFrame, folder: str | Path, stem: str, workbook: bool = False, negative: list[str] | None = None) -> Path:
+    """The smell report's files: <stem>_summary.json, and its four tables (as <stem>_report.xlsx, or as CSV files)."""
+    from ..operators import smell_report
+
+    out = run_dir(folder, stem)
+    total = smell_report.summary(rows)
+    stats = smell_report.smell_stats(rows, negative)
+    spark = rows.sparkSession
+    tables = {
+        "Summary": smell_report.summary_pairs(total),
+        "SmellStats": stats,
+        "ByRequirement": rows.drop("in_output"),
+        "Notes": spark.createDataFrame([(x,) for x in smell_report.NOTES], "note string"),
+    }
+    by_smell = [r.asDict() for r in stats.collect()]
+    single_record(
+        total,
+        out / f"{stem}_summary.json",
+        negative_smells_used=[r["smell"] for r in by_smell],
+        excluded_fields=smell_report.excluded_fields(),
+        count_by_smell={r["smell"]: r["count"] for r in by_smell},
+        percent_by_smell={r["smell"]: round(r["percent"], 2) for r in by_smell},
+        notes=smell_report.NOTES,
+    )
+    if workbook:
+        single_xlsx(tables, out / f"{stem}_report.xlsx")
+    else:
+        for name, df in tables.items():
+            single_csv(df, out / f"{stem}_{name}.csv")
+    return out
+
+
 def with_run_columns(metrics: DataFrame, catalog_id: str, lang: str, threshold: float, top_k: int | None) -> DataFrame:
     """The requirement metrics with the run's settings in front; no top_k is -1."""
     return metrics.select(

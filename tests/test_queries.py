@@ -2,19 +2,19 @@
 
 import pytest
 
-from lucidreq.plans import catalog
+from lucidreq.plans import registry
 
 from .conftest import DATA, duck_rows, rows_of
 
 
 def test_all_have_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(catalog.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query_equals_sql(spark, duck, name):
-    got = rows_of(catalog.queries()[name](spark, f"{DATA}/sf0.001"))
-    want = duck_rows(duck, catalog.oracle_sql()[name])
+    got = rows_of(registry.queries()[name](spark, f"{DATA}/sf0.001"))
+    want = duck_rows(duck, registry.oracle_sql()[name])
     assert got[0] == want[0]
     assert got[1] == want[1]
 
@@ -22,12 +22,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert set(catalog.queries()) <= set(entry.queries())
+    assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
 
 
 def test_row_wise_plans_have_no_shuffle(spark):
     for name in ("readability_en", "readability_es", "smell_findings", "cleaned_texts"):
-        plan = catalog.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        plan = registry.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan
