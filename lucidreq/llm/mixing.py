@@ -5,11 +5,13 @@ and 1 (as they are); the exponent is bisected until the weights meet a target
 entropy or a limit on how often a source repeats. The weights are realised as
 block permutations: a source's documents are dealt into blocks by a hash, each
 epoch permutes the blocks and the documents in them, and the last epoch is cut
-where the source's token budget is spent.
+where the source's token budget is spent. A document's place in an epoch is a
+64-bit number whose upper half permutes the blocks, its lower half the documents
+of a block; the places are given out, so sorting by (epoch, place) plays a source.
 
-Everything is aggregates: per-source totals, per-block totals of the last epoch,
-and the documents of the one block in which the budget ends. The decision for a
-document needs only its source's row, so documents are never shuffled by source.
+Everything is aggregates: per-source totals, and for the cut a descent by the
+places' digits, 4096 sums for each source at a time. The decision for a document
+needs only its source's row, so documents are never shuffled by source.
 """
 
 from __future__ import annotations
@@ -23,12 +25,9 @@ from .common import materialize, same, table, text_or_empty
 
 #: A source is repeated at most so often.
 MAX_REPETITION = 2.0
-#: About so many tokens make a block, and a source has so many blocks at most.
+#: About so many tokens make a block.
 BLOCK_TOKENS = 1 << 16
-MAX_BLOCKS = 4096
 SEED = 17
-#: Weights are broadcast up to so many sources; beyond, they are joined by a shuffle.
-BROADCAST_SOURCES = 100_000
 GRID, PASSES = 32, 5
 
 
@@ -114,6 +113,16 @@ def _hash(*parts) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, (int, str)) else p for p in parts])
 
 
+def _place(source: Column, block: Column, key: Column, epoch: Column, seed: int) -> Column:
+    """A document's place in an epoch of its source; signed order is the order of play."""
+    upper = _hash(seed + 2, source, block, epoch).bitwiseAND(F.lit(-(1 << 32)))
+    return upper.bitwiseOR(_hash(seed + 3, key, epoch).bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+def _block(key: Column, n_blocks: Column, seed: int) -> Column:
+    return F.pmod(_hash(seed + 1, key), n_blocks)
+
+
 def plan(docs: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **target) -> tuple[Mixture, DataFrame]:
     """The mixture, and for each source its repetition, blocks and where its last epoch is cut."""
     text = text_or_empty()
@@ -122,52 +131,64 @@ def plan(docs: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **
     )
     totals = materialize(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "mixing-totals")
     mix = mixture(totals, **target)
-    n_blocks = F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens))).cast("int")
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("long")
     whole = F.floor("repetition").cast("int")
     # Tokens of the last, partial epoch.
     source = mix.weights.select("source", "weight", "repetition", n_blocks.alias("n_blocks"), whole.alias("whole"), ((F.col("repetition") - whole) * F.col("tokens")).alias("rest"))
     source = materialize(source, "mixing-sources")
-    small = source.count() <= BROADCAST_SOURCES
-    side = lambda d: F.broadcast(d) if small else d
-    placed = _placed(rows.join(side(source.withColumnRenamed("source", "s")), same(F.col("source"), F.col("s"))), seed).where("rest > 0")
-    order = Window.partitionBy("source").orderBy("block_order", "block").rowsBetween(Window.unboundedPreceding, 0)
-    block = (
-        placed.groupBy("source", "block", "block_order", "rest")
-        .agg(F.sum("tokens").alias("tokens"))
-        .withColumn("done", F.sum("tokens").over(order))
-        .where("done >= rest")
-        .withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("block_order", "block")))
-        .where("rn = 1")
-        .select(F.col("source").alias("s2"), F.col("block_order").alias("cut_order"), F.col("block").alias("cut_block"), (F.col("rest") - F.col("done") + F.col("tokens")).alias("left"))
-    )
-    block = materialize(block, "mixing-cuts")
-    inside = placed.join(side(block), same(F.col("source"), F.col("s2")) & (F.col("block") == F.col("cut_block")))
-    within = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    cut = inside.withColumn("done", F.sum("tokens").over(within)).where("done >= left").groupBy("source").agg(F.min("key").alias("cut_key"))
-    cut = cut.withColumnRenamed("source", "s3")
-    out = source.join(block, same(F.col("source"), F.col("s2")), "left").join(cut, same(F.col("source"), F.col("s3")), "left")
-    return mix, materialize(out.select("source", "weight", "repetition", "n_blocks", "whole", "rest", "cut_order", "cut_block", "cut_key"), "mixing-plan")
+    cut = _cuts(rows, source, seed).withColumnRenamed("source", "s")
+    out = source.join(cut, same(F.col("source"), F.col("s")), "left")
+    return mix, materialize(out.select("source", "weight", "repetition", "n_blocks", "whole", "rest", "cut"), "mixing-plan")
+
 
+def _cuts(rows: DataFrame, source: DataFrame, seed: int) -> DataFrame:
+    """source and cut: the first place up to which the last epoch's documents have ``rest`` tokens.
 
-def _placed(rows: DataFrame, seed: int) -> DataFrame:
-    """Each row's block, and the block's place in the last epoch."""
-    rows = rows.withColumn("block", F.pmod(_hash(seed + 1, F.col("key")), F.col("n_blocks")).cast("int"))
-    return rows.withColumn("block_order", _hash(seed + 2, F.col("source"), F.col("block"), F.col("whole")))
+    Digit by digit: of each source's rows that begin as the cut does, the sums by
+    the next twelve bits tell the next digit. Most sources are done when one place is
+    left, after about log(rows) / 12 bits; none takes more than six rounds.
+    """
+    state = source.where("rest > 0").select(F.col("source").alias("s"), "n_blocks", "whole", F.col("rest").alias("left"), F.lit(0).cast("long").alias("prefix"))
+    found, shift = [], 64
+    while shift:
+        wide = min(12, shift)
+        own = rows.join(state, same(F.col("source"), F.col("s")))
+        own = own.withColumn("place", _place(F.col("source"), _block(F.col("key"), F.col("n_blocks"), seed), F.col("key"), F.col("whole"), seed))
+        bits = F.col("place").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
+        if shift < 64:
+            own = own.where(F.shiftrightunsigned(bits, shift) == F.col("prefix"))
+        shift -= wide
+        sums = own.groupBy("source", "n_blocks", "whole", "left", "prefix", F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << wide) - 1)).alias("digit")).agg(
+            F.sum("tokens").alias("tokens"), F.min("place").alias("lo"), F.max("place").alias("hi")
+        )
+        w = Window.partitionBy("source").orderBy("digit")
+        at = sums.withColumn("done", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("done >= left")
+        at = at.withColumn("k", F.row_number().over(w)).where("k = 1")
+        after = (F.col("left") - F.col("done") + F.col("tokens")).alias("left")
+        state = at.select(F.col("source").alias("s"), "n_blocks", "whole", after, (F.shiftleft("prefix", wide) + F.col("digit")).alias("prefix"), "lo", "hi")
+        state = materialize(state, "mixing-cuts")
+        found.append(state.where("lo = hi").select(F.col("s").alias("source"), F.col("lo").alias("cut")))
+        state = state.where("lo < hi").drop("lo", "hi")
+        if state.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def apply_plan(docs: DataFrame, steps: DataFrame, seed: int = SEED) -> DataFrame:
-    """Columns of ``docs`` with __block, __weight and __copies; nothing but a join with one row for each source."""
-    text = text_or_empty()
-    small = steps.count() <= BROADCAST_SOURCES
+    """Columns of ``docs`` with __block, __weight, __repetition, __copies and __places (one for each copy); nothing but a join with one row for each source."""
     side = steps.select([F.col(c).alias(f"__{c}") for c in steps.columns])
-    out = docs.withColumn("__key", _hash(seed, F.col("doc_id"), text))
-    out = out.join(F.broadcast(side) if small else side, same(F.col("source").cast("string"), F.col("__source")))
-    out = out.withColumn("__block", F.pmod(_hash(seed + 1, F.col("__key")), F.col("__n_blocks")).cast("int"))
-    out = out.withColumn("__block_order", _hash(seed + 2, F.col("__source"), F.col("__block"), F.col("__whole")))
-    before = (F.col("__block_order") < F.col("__cut_order")) | ((F.col("__block_order") == F.col("__cut_order")) & (F.col("__block") < F.col("__cut_block")))
-    at = (F.col("__block") == F.col("__cut_block")) & (F.col("__key") <= F.coalesce(F.col("__cut_key"), F.lit(2**63 - 1)))
-    more = (F.col("__rest") > 0) & F.coalesce(before | at, F.lit(True))
-    return out.withColumn("__copies", F.col("__whole") + more.cast("int"))
+    own = docs.select([F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
+    out = own.withColumn("__key", _hash(seed, F.col("doc_id"), text_or_empty()))
+    out = out.join(side, same(F.col("source").cast("string"), F.col("__source")))
+    out = out.withColumn("__block", _block(F.col("__key"), F.col("__n_blocks"), seed))
+    place = lambda e: _place(F.col("__source"), F.col("__block"), F.col("__key"), e, seed)
+    more = (F.col("__rest") > 0) & F.coalesce(place(F.col("__whole")) <= F.col("__cut"), F.lit(True))
+    out = out.withColumn("__copies", F.col("__whole") + more.cast("int"))
+    epochs = F.filter(F.sequence(F.lit(0), F.col("__copies")), lambda e: e < F.col("__copies"))
+    return out.withColumn("__places", F.transform(epochs, place))
 
 
 def mixed(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
@@ -175,15 +196,25 @@ def mixed(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
 
     A null source is a source of its own; a null or empty text has no tokens and
     stays once for each whole epoch; rows that repeat doc_id and text share one
-    decision. An empty table gives an empty result.
+    decision. Columns whose names begin with two underscores stay too. An empty
+    table gives an empty result.
     """
+    # The operator's own columns begin with two underscores; those of the input go along in one struct.
+    held = docs.select("doc_id", F.col("text"), F.col("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    _, steps = plan(docs, seed, **target)
+    out = apply_plan(held, steps, seed)
+    return out.select(F.explode("__places"), "row").select([F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def scheduled(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
+    """source, epoch, place, block, doc_id: the order in which each source's documents are played, a row for each copy."""
     _, steps = plan(docs, seed, **target)
-    out = apply_plan(docs, steps, seed).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    out = apply_plan(docs.select("doc_id", "text", "source"), steps, seed)
+    return out.select("source", F.posexplode("__places").alias("epoch", "place"), F.col("__block").alias("block"), "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: doc_id, source, n_tokens, block, weight, repetition, copies of every document."""
+    """op2: doc_id, source, n_tokens, block, weight, repetition, copies and places (in the permutation of each epoch) of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     _, steps = plan(docs)
     return apply_plan(docs, steps).select(
@@ -194,4 +225,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__weight").alias("weight"),
         F.col("__repetition").alias("repetition"),
         F.col("__copies").alias("copies"),
+        F.array_join(F.transform("__places", lambda x: x.cast("string")), ",").alias("places"),
     )

@@ -43,6 +43,44 @@ def test_mixing(docs_of):
         assert budget - 1e-6 <= got[s] <= budget + 2 * longest
 
 
+@pytest.mark.parametrize("block_tokens", [1, 64, 1 << 16])
+def test_mixing_is_cut_where_the_budget_is_spent(docs_of, block_tokens):
+    """By plain Python: each epoch's order from the places, whole blocks together, and the last one cut at the first document that spends the budget."""
+    r = random.Random(7)
+    rows = [(i, " ".join("w" for _ in range(r.randint(0, 40))), r.choice(["a"] * 6 + ["b"] * 3 + ["c"])) for i in range(1500)]
+    docs = docs_of(rows)
+    mix, steps = mixing.plan(docs, block_tokens=block_tokens, max_repetition=3.0)
+    w = {x.source: x for x in mix.weights.collect()}
+    got = mixing.apply_plan(docs, steps).select("doc_id", "source", "text", "__block", "__copies", "__places").collect()
+    assert len(got) == len(rows)
+    for source in "abc":
+        own = [x for x in got if x.source == source]
+        whole, total = int(w[source].repetition), w[source].tokens
+        rest = (w[source].repetition - whole) * total
+        orders = []
+        for epoch in range(whole):
+            orders.append([x.doc_id for x in sorted(own, key=lambda x: x["__places"][epoch])])
+            blocks = [x["__block"] for x in sorted(own, key=lambda x: x["__places"][epoch])]
+            runs = [b for i, b in enumerate(blocks) if not i or blocks[i - 1] != b]
+            assert len(runs) == len(set(runs))
+        assert len({tuple(o) for o in orders}) == whole
+        last = sorted((x for x in own if x["__copies"] > whole), key=lambda x: x["__places"][whole])
+        spent = [len(x.text.split()) for x in last]
+        if rest > 0:
+            assert sum(spent) >= rest - 1e-6 > sum(spent[:-1]) - 1e-6
+        else:
+            assert not last
+    assert {x["__copies"] for x in got} <= {1, 2, 3, 4}
+    played = mixing.scheduled(docs, max_repetition=3.0).collect()
+    assert Counter(x.doc_id for x in played) == Counter({x.doc_id: x["__copies"] for x in mixing.apply_plan(docs, mixing.plan(docs, max_repetition=3.0)[1]).collect()})
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 5, 6), (2, None, None, 7, 8)], "doc_id long, text string, source string, __copies int, __key int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and sorted((x.doc_id, x["__copies"], x["__key"]) for x in out.collect()) == [(1, 5, 6), (2, 7, 8)]
+
+
 def test_mixing_targets_and_nothing(docs_of):
     docs = docs_of([(i, "w " * 10, "a" if i < 90 else "b") for i in range(100)])
     totals = docs.groupBy("source").agg(F.sum(F.lit(10).cast("long")).alias("tokens"), F.count("*").alias("rows"))
