@@ -1,12 +1,17 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
 Every input task is a memtable: its digests are sorted and flushed as one
-immutable run (a Parquet file whose footer carries a Bloom filter and the
-digest range, so a point lookup skips runs that can't hold the digest).
-Compaction merges all runs and keeps, for each digest, the identifier of the
-row that stays. A hit - a digest with more than one row - is only believed
-after the bytes of each row were compared with those of the row that stays;
-rows that fail (a digest collision) are grouped by their bytes instead.
+immutable run (a Parquet file whose footer carries the digest range and a Bloom
+filter). Compaction merges all runs into the next level: one row for each digest
+with the identifier of the row that stays and the number of rows, in files of
+ranges that don't overlap, each sorted and with a filter too. A point lookup reads
+only row groups whose range and filter may hold the digest.
+
+A hit - a digest with more than one row - is only believed after the bytes of its
+rows were compared: the least and the greatest text of each hit's rows must be the
+same. That is an aggregation with map-side combine over rows that have a hit, so
+a digest of a third of all rows is a few texts from each task. Rows of a digest that
+fails (a collision) are grouped by their bytes instead.
 
 Only DataFrame functions are used.
 """
@@ -18,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, same, scratch_path, table, text_or_empty
+from .common import ASCII_SPACE, materialize, same, scratch_path, table, text_or_empty
 
 
 def squeeze(text: Column) -> Column:
@@ -33,56 +38,59 @@ def sha256_hex(normal: Column) -> Column:
 
 
 class DigestIndex:
-    """Sorted digest runs in the shared folder.
+    """Sorted digest runs, and the levels they are merged into, in the shared folder.
 
-    ``flush`` adds the rows of a DataFrame as level-0 runs, ``compacted`` merges
-    all runs, ``lookup`` finds the keeper of given digests.
+    ``flush`` adds the rows of a DataFrame as runs, ``compact`` merges what there is
+    into the next level, ``level`` is the last one, and ``lookup`` finds the keepers
+    of some digests.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch_path(spark, "digest-runs")
+        self.spark, self.path, self.levels = spark, path or scratch_path(spark, "digest-index"), 0
+
+    def _write(self, rows: DataFrame, *order, to: str) -> None:
+        rows.sortWithinPartitions(*order).write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/{to}")
 
     def flush(self, hashed: DataFrame) -> None:
         """Columns doc_id, digest, n_cp; one sorted run for each task."""
-        (
-            hashed.select("doc_id", "digest", "n_cp")
-            .sortWithinPartitions("digest", F.desc("n_cp"), "doc_id")
-            .write.mode("append")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .parquet(self.path)
-        )
+        self._write(hashed.select("doc_id", "digest", "n_cp"), "digest", F.desc("n_cp"), "doc_id", to="runs")
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(f"{self.path}/runs")
 
-    def compacted(self) -> DataFrame:
-        """digest, keep_id, keep_n, group_size: most code points, then smallest id.
+    def compact(self) -> DataFrame:
+        """Merge all runs: digest, keep_id, keep_n, group_size; most code points, then smallest id.
 
         Partial aggregation shrinks every run before the shuffle, so a digest
         that holds a third of all rows costs one row for each run.
         """
         rank = F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("u"), "doc_id")
-        return (
+        merged = (
             self.runs()
             .groupBy("digest")
             .agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
             .select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.n")).alias("keep_n"), "group_size")
         )
+        self.levels += 1
+        self._write(merged.repartitionByRange("digest"), "digest", to=f"level={self.levels}")
+        return self.level()
 
-    def lookup(self, digests: DataFrame) -> DataFrame:
-        return digests.join(self.compacted(), "digest", "left")
+    def level(self) -> DataFrame:
+        return self.spark.read.schema("digest string, keep_id long, keep_n long, group_size long").parquet(f"{self.path}/level={self.levels}")
 
+    def lookup(self, digests: list[str]) -> DataFrame:
+        """The level's rows of some digests, given one by one: ranges and filters skip what can't hold them."""
+        wanted = F.lit(False)
+        for d in digests:
+            wanted = wanted | (F.col("digest") == d)
+        return self.level().where(wanted)
 
-def collided(hashed: DataFrame, index: DataFrame) -> DataFrame:
-    """Digests of which some row's bytes differ from those of the row that stays."""
-    hits = index.where("group_size > 1").select("digest", "keep_id", "keep_n")
-    rows = hashed.join(hits, "digest")
-    keeper = (
-        rows.where(same(F.col("doc_id"), F.col("keep_id")) & (F.col("n_cp") == F.col("keep_n")))
-        .groupBy("digest")
-        .agg(F.min(F.struct("normal")).alias("kept"))
-    )
-    return rows.join(keeper, "digest").where(F.col("normal") != F.col("kept.normal")).select("digest").distinct()
+
+def collided(hashed: DataFrame, level: DataFrame) -> DataFrame:
+    """Digests of which not all rows have the same bytes."""
+    hits = level.where("group_size > 1").select("digest")
+    rows = hashed.select("digest", "normal").join(hits, "digest", "left_semi")
+    return rows.groupBy("digest").agg(F.min("normal").alias("lo"), F.max("normal").alias("hi")).where("lo <> hi").select("digest")
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
@@ -96,17 +104,17 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex
     """
     spark = docs.sparkSession
     text = text_or_empty()
-    hashed = docs.select("doc_id", F.char_length(text).cast("long").alias("n_cp"), squeeze(text).alias("normal"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("n_cp"), squeeze(text).alias("normal"))
     hashed = hashed.select("doc_id", "n_cp", "normal", digest(F.col("normal")).alias("digest"))
     lsm = DigestIndex(spark)
     lsm.flush(hashed)
-    index = lsm.compacted()
-    bad = collided(hashed, index)
+    index = lsm.compact()
+    bad = materialize(collided(hashed, index), "digest-collisions")
     rows = lsm.runs()
     if bad.isEmpty():
         return _decide(rows, index, ["digest"])
     # Bytes decide where a digest can't.
-    told = hashed.join(bad, "digest", "left_semi").select("doc_id", "n_cp", "digest", F.sha2(F.col("normal"), 512).alias("bytes"), "normal")
+    told = hashed.join(bad, "digest", "left_semi").select("doc_id", "n_cp", "digest", "normal")
     rank = F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("u"), "doc_id")
     by_bytes = (
         told.groupBy("digest", "normal")

@@ -50,9 +50,14 @@ def test_index_lookup_and_no_python(docs_of, spark):
     index = exact_dedup.DigestIndex(spark)
     index.flush(hashed.where("doc_id < 3"))
     index.flush(hashed.where("doc_id >= 3"))
-    want = spark.createDataFrame([(hashlib.sha256(b"ab").hexdigest(),), ("none",)], "digest string")
-    found = {r.digest: r.keep_id for r in index.lookup(want).collect()}
-    assert found[hashlib.sha256(b"ab").hexdigest()] == 3 and found["none"] is None
+    index.compact()
+    ab = hashlib.sha256(b"ab").hexdigest()
+    found = index.lookup([ab, "none"])
+    assert [(r.digest, r.keep_id, r.group_size) for r in found.collect()] == [(ab, 3, 4)]
+    # The reader gets the digests, so it can skip by range and filter.
+    assert "PushedFilters: [Or(EqualTo(digest" in found._jdf.queryExecution().executedPlan().toString()
+    more = index.compact()
+    assert index.levels == 2 and more.count() == hashed.where("doc_id is not null").select("digest").distinct().count()
     plan = exact_dedup.exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
