@@ -11,8 +11,12 @@ whose gram occurs once hold no repeated window. Of the rest:
   class of two or more, every window is repeated, without comparing anything;
 * one representative of each class goes, with the other classes of its gram, to a
   suffix array over their windows: in suffix order, previous and next smaller
-  positions give each window's longest previous (and next) factor, so windows
-  with an earlier, or any other, occurrence are told apart.
+  positions give each window's longest previous factor, and in the mirrored order
+  of positions its longest following one. A window with a previous factor of
+  ``min_bytes`` has an earlier occurrence, one with either has any other.
+
+Contexts are the same class when the 64-bit hashes of their anchor and of all their
+bytes are: 128 bits together.
 
 A gram with more than ``HOT_CLASSES`` classes (a common passage in changing
 surroundings) isn't gathered in a task: its windows are counted by their 128-bit
@@ -29,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, same, table, text_or_empty
-from .common import release
+from .common import materialize, release, same, table, text_batches, text_or_empty
 from .shingles import _BASE, _INVERSE, _power, mix
 
 MIN_BYTES = 400
@@ -140,23 +143,32 @@ def longest_previous(position: list, lcp: list[int]) -> list[int]:
     return out
 
 
-def repeated_windows(classes: list[tuple[bytes, int, tuple]], min_bytes: int) -> list[tuple[list, list]]:
+def common_prefix(a: bytes, b: bytes) -> int:
+    """Equal leading bytes of two strings of one length."""
+    return len(a) - ((int.from_bytes(a) ^ int.from_bytes(b)).bit_length() + 7) // 8
+
+
+def repeated_windows(classes: list[tuple[bytes, int, tuple]], min_bytes: int, both: bool = True) -> list[tuple[list, list]]:
     """For classes of one gram - (context, size, place of its first window) - the repeated windows of each.
 
     Returns, for each class, the runs of offsets with an earlier occurrence, and
-    with any other occurrence outside the class.
+    with any other occurrence outside the class: a longest previous factor, or, in
+    the mirrored order of places, a longest following one, of ``min_bytes``.
+    Without ``both`` the following ones aren't computed.
     """
     windows = [(ctx[o : o + min_bytes], k, o) for k, (ctx, _, _) in enumerate(classes) for o in range(len(ctx) - min_bytes + 1)]
     windows.sort(key=lambda w: w[0])
-    # Suffixes are compared up to min_bytes; whatever is shorter counts as no match.
-    lcp = [0] + [min_bytes if a[0] == b[0] else 0 for a, b in zip(windows, windows[1:])]
-    place = [(*classes[k][2][:-1], classes[k][2][-1] + o) for _, k, o in windows]
+    # Suffixes are compared up to min_bytes.
+    lcp = [0] + [common_prefix(a[0], b[0]) for a, b in zip(windows, windows[1:])]
+    rank = {p: i for i, p in enumerate(sorted((*classes[k][2][:-1], classes[k][2][-1] + o) for _, k, o in windows))}
+    place = [rank[(*classes[k][2][:-1], classes[k][2][-1] + o)] for _, k, o in windows]
     previous = longest_previous(place, lcp)
+    following = longest_previous([-p for p in place], lcp) if both else previous
     flags = [(set(), set()) for _ in classes]
-    for i, (_, k, o) in enumerate(windows):
-        if previous[i] >= min_bytes:
+    for (_, k, o), before, after in zip(windows, previous, following):
+        if before >= min_bytes:
             flags[k][0].add(o)
-        if lcp[i] or (i + 1 < len(windows) and lcp[i + 1]):
+        if before >= min_bytes or after >= min_bytes:
             flags[k][1].add(o)
     return [(_runs(a), _runs(b)) for a, b in flags]
 
@@ -235,7 +247,7 @@ def _by_suffix_order(contexts: DataFrame, keep: str, min_bytes: int) -> DataFram
                 own.setdefault(rows[b][1], rows[b])  # a row of documents that repeats is one class still
                 b += 1
             own_rows = list(own.values())
-            flags = repeated_windows([(r[6], r[5], (r[2] is None, r[2] or 0, r[3], r[4])) for r in own_rows], min_bytes)
+            flags = repeated_windows([(r[6], r[5], (r[2] is None, r[2] or 0, r[3], r[4])) for r in own_rows], min_bytes, keep == "none")
             for r, (earlier, other) in zip(own_rows, flags):
                 if keep == "none" and r[5] > 1:
                     continue  # removed as copies already
@@ -296,6 +308,7 @@ def remove_repeats(docs: DataFrame, keep: str = "first", min_bytes: int = MIN_BY
     Other columns of ``docs`` play no part; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     runs = duplicate_windows(docs, keep, min_bytes, gram, hot)
     runs = materialize(runs, "runs")
     release(spark)
