@@ -67,11 +67,15 @@ def worker_cache(key: object, make: Callable[[], object]) -> object:
     """One object for a worker's lifetime, shared by its tasks until another operator asks for its own."""
     if _held[0] != key:
         _held[:] = [None, None]
-        gc.collect()
         _held[:] = [key, make()]
     return _held[1]
 
 
+def drop_worker_cache() -> None:
+    """Called where a task begins that has no use for what an earlier operator left in its worker."""
+    worker_cache(None, lambda: None)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are done."""
     gc.collect()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import discard, materialize, number_batches, release, same, table, text_batches, text_or_empty
+from .common import discard, drop_worker_cache, materialize, number_batches, release, same, table, text_batches, text_or_empty
 from .meeting import SPLIT, Slots, met, postings, sketch, votes
 from .shingles import set_hash, shingle_sets
 
@@ -70,6 +70,7 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         order = shared.value
         for batch in batches:
             nodes, ns, groups, parts = [], [], [], []

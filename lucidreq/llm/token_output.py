@@ -155,7 +155,7 @@ def write_corpus(docs: DataFrame, out: str, path: str | None = None, end_id: int
     spark, path = docs.sparkSession, path or default_path()
     text_batches(spark)
     size = WordTokenizer(path, end_id).size
-    spool = materialize(tokenised(docs, path, size, end_id), "token-spool", compression="uncompressed")
+    spool = materialize(tokenised(docs, path, size, end_id), "token-spool", compression="zstd")
     id_counts(spool).write.parquet(f"{out}/frequencies")
     freq = frequency_table(spark.read.schema("id int, count long").parquet(f"{out}/frequencies"), size)
     write_blocks(spool, freq, size, f"{out}/blocks", block_tokens)

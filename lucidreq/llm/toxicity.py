@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, table, text_batches, text_or_empty
+from .common import drop_worker_cache, free_names, materialize, table, text_batches, text_or_empty
 
 #: Labelled rows the classifier is fitted on, at most so many of either label (the
 #: rows with the smallest hash of doc_id); everything else covers all rows.
 FIT_ROWS_PER_LABEL = 4000
+#: The sample is written once, in so many files.
+SAMPLE_FILES = 64
 #: Fragments in the model, at most.
 FRAGMENTS = 1024
 THRESHOLD = 0.3
@@ -92,7 +94,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int) -> DataFrame:
-    """text and toxic of the rows to fit on; the sample is bounded, so it is broadcast."""
+    """doc_id, text and toxic of the rows to fit on; the labels of the sample are bounded, so they are broadcast."""
     own = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -104,7 +106,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int) ->
     sample = ranked[0].unionByName(ranked[1])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
     # A doc_id that repeats counts once, with its text of the smallest hash, so the sample stays bounded.
-    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")).select("r.text", "r.toxic")
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")).select("doc_id", "r.text", "r.toxic")
 
 
 def held_out(doc_id: str):
@@ -114,6 +116,7 @@ def held_out(doc_id: str):
 
 def _fragment_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         counts: tuple[Counter, Counter] = Counter(), Counter()
         rows, cache = [0, 0], {}
 
@@ -140,9 +143,9 @@ def _fragment_counts(sample: DataFrame) -> DataFrame:
                             cache[w] = f
                     seen |= f
                 counts[toxic].update(seen)
-                if len(cache) > 50_000:
+                if len(cache) > 10_000:
                     cache.clear()
-                if len(counts[0]) + len(counts[1]) > 1_000_000:
+                if len(counts[0]) + len(counts[1]) > 300_000:
                     yield out()
                     counts, rows = (Counter(), Counter()), [0, 0]
         yield out()
@@ -270,7 +273,8 @@ def train_noisy_or(bags: list, n_fragments: int, steps: int = 400, rate: float =
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = FIT_ROWS_PER_LABEL, most_fragments: int = FRAGMENTS) -> ToxicityModel:
     """Fit on labelled rows that aren't held out; without both labels the model scores everything near 0."""
     text_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, rows_per_label)
+    sample = labelled_sample(docs, labels, rows_per_label).repartition(SAMPLE_FILES, "doc_id")
+    sample = materialize(sample.select("text", "toxic"), "toxicity-sample")
     names, clean, toxic = choose_fragments(sample, most_fragments)
     if not clean or not toxic or not names:
         return ToxicityModel({}, -20.0)
@@ -297,6 +301,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, n
     kept = docs.drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         model = shared.value
         finder = _Finder(model.weights)
         quiet = -float(np.log1p(-QUIET))
