@@ -184,6 +184,75 @@ def test_items_without_a_seeding_window(item, text, found):
     assert bool(hits(text, [(1, item), (2, ITEM)])) == found
 
 
+def plain_hits(items, text):
+    """(item, longest run, share) by trying every diagonal of every item, without windows or hashes."""
+    words, tokens = decontaminate.Canonical()(text)
+    tokens, out = tokens.tolist(), []
+    bare = decontaminate._bare
+    for item, own_text in items:
+        own_words, own = decontaminate.Canonical()(own_text or "")
+        own, pieces = own.tolist(), []
+        plain = lambda t: sum(x > 4 for x in t) >= decontaminate.LEAST_WORDS
+        seeded = any(plain(own[k : k + 5]) for k in range(len(own) - 4))
+        for shift in range(1 - len(own), len(tokens)):
+            pairs = [(k, k + shift) for k in range(len(own)) if 0 <= k + shift < len(tokens)]
+            size = min(5, len(own))
+            meets = False
+            for at in range(len(pairs) - size + 1):
+                part = pairs[at : at + size]
+                if all(own[a] == tokens[b] for a, b in part):
+                    meets |= plain([own[a] for a, _ in part]) if seeded else all(bare(own_words[a]) == bare(words[b]) for a, b in part)
+            run: list = []
+            for a, b in [*pairs, (None, None)] if meets else []:
+                if a is not None and own[a] == tokens[b]:
+                    run.append((a, b))
+                    continue
+                if len(run) >= size:
+                    there, back, start = {}, {}, 0
+                    for n, (x, y) in enumerate(run):
+                        if own[x] <= 4:
+                            mine, other = bare(own_words[x]), bare(words[y])
+                            if there.get(mine, other) != other or back.get(other, mine) != mine:
+                                if n - start >= size:
+                                    pieces.append((run[start][0], run[n - 1][0] + 1, there))
+                                there, back, start = {}, {}, n
+                            there[mine], back[other] = other, mine
+                    if len(run) - start >= size:
+                        pieces.append((run[start][0], run[-1][0] + 1, there))
+                run = []
+        covered, there, back = set(), {}, {}
+        for c, d, slots in sorted(pieces, key=lambda x: (x[0] - x[1], x[0])):
+            if all(there.get(k, v) == v and back.get(v, k) == k for k, v in slots.items()):
+                there.update(slots)
+                back.update((v, k) for k, v in slots.items())
+                covered |= set(range(c, d))
+        longest = max((d - c for c, d, _ in pieces), default=0)
+        if own and (longest >= min(decontaminate.LEAST_RUN, len(own)) or len(covered) / len(own) >= decontaminate.LEAST_COVER):
+            out.append((item, longest, len(covered) / len(own)))
+    return out
+
+
+def test_templates_against_every_diagonal():
+    r = random.Random(12)
+    plain = ["train", "leaves", "the", "station", "after", "basket", "old", "wooden", "counts", "near", "home", "and", "of"]
+    slot = lambda: r.choice([str(r.randint(1, 99)), r.choice(["Maria", "Peter", "Ann"]), f"{r.randint(1, 9)} km", f"{r.randint(1, 9)}kg"])
+    make = lambda n, share: " ".join(slot() if r.random() < share else r.choice(plain) for _ in range(n))
+    items = [(k, make(r.choice([3, 6, 12, 25]), r.choice([0.1, 0.3, 0.7]))) for k in range(30)]
+    side, found = decontaminate.Items(items), 0
+    for _ in range(300):
+        words = items[r.randrange(30)][1].split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = r.choice([slot().split()[0], r.choice(plain)])
+        cut = r.randint(0, len(words) // 3)
+        text = f"{make(r.randint(0, 6), 0.2)} {' '.join(words[cut:])} {make(r.randint(0, 6), 0.2)}"
+        got = {i: (run, round(share, 9)) for i, run, share in side.hits(*decontaminate.Canonical()(text))}
+        want = {i: (run, round(share, 9)) for i, run, share in plain_hits(items, text)}
+        # An item may share a diagonal's run without a seed of its own elsewhere; what is found must be the same.
+        assert got == want, text
+        found += bool(got)
+    assert found > 100
+
+
 # ------------------------------------------------------------------- toxicity, long and joined words
 
 
@@ -358,6 +427,58 @@ def test_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_generated_pages():
+    """Articles of random blocks among menus, adverts, forms, notices and comments come out whole."""
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(n))
+    sentence = lambda: f"{words(r.randint(6, 20)).capitalize()}, {words(r.randint(3, 9))}."
+    for _ in range(150):
+        blocks, html = [], []
+        for k in range(r.randint(3, 12)):
+            kind = r.choice(["p", "p", "p", "h2", "ul", "blockquote", "links", "figure", "warning", "inline"])
+            t = sentence()
+            blocks += [t] if kind not in ("ul", "links") else [t, "other one"]
+            html.append(
+                {
+                    "p": f"<p>{t}</p>",
+                    "h2": f"<h2>{t}</h2>",
+                    "ul": f"<ul><li>{t}<li>other   one</ul>",
+                    "links": f'<ul><li><a href="/x">{t}</a></li><li><a href=/y>other one</a></li></ul>',
+                    "blockquote": f"<blockquote>{t}</blockquote>",
+                    "figure": f"<figure><img src=a.png><figcaption>{t}</figcaption></figure>",
+                    "warning": f'<p class="warning">{t}</p>',
+                    "inline": "<p>" + t.replace(", ", ", <b>", 1).replace(".", "</b>.") + "</p>",
+                }[kind]
+            )
+        title = words(4)
+        head = f"<header><h1>{title}</h1></header>" if r.random() < 0.5 else f"<h1>{title}</h1>"
+        around = [
+            f"<nav><ul>{''.join(f'<li><a href=/{i}>{words(1)}</a>' for i in range(5))}</ul></nav>",
+            f'<div class="ad">{sentence()}</div>',
+            f"<form><p>{sentence()}</p><select><option>{words(2)}</select></form>",
+            f'<div id="cookie-notice"><p>{sentence()}</p></div>',
+            f"<aside><p>{sentence()}</p></aside>",
+            f"<script>var a = '<p>{words(3)}</p>';</script>",
+        ]
+        r.shuffle(around)
+        comments = f'<section class="comments"><p>{sentence()}</p></section>'
+        inside = comments if r.random() < 0.5 else ""
+        page = f"<html><head><title>{title}</title></head><body><header>{words(3)}</header>{''.join(around[:3])}<article>{head}{''.join(html)}{inside}</article>{''.join(around[3:])}{comments}<footer>{words(4)}</footer></body></html>"
+        assert html_extract.main_text(page) == "\n".join([title, *blocks])
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>Formula <math><mi>x</mi></math> here. <a href="x>link</a> two, three.</p></article>', "Formula x here. link two, three."),
+        ("<article><address>By me, there.</address><p>Text, long enough.</p><canvas>no</canvas><noscript>no</noscript></article>", "By me, there.\nText, long enough."),
+        ("<header>Site</header><main><p>One, two.</p></main>", "One, two."),
+    ],
+)
+def test_pages_keep_what_the_article_holds(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>A, b.</p></article>", "x"), (1, "u", None, "y")], "page_id long, url string, html string, n_chars string")
     out = html_extract.extract(pages)
