@@ -83,6 +83,15 @@ def best_by_token_match(requirements: DataFrame, references: DataFrame, scorer=t
     return best.select("pos", "id", "title", "b.s.precision", "b.s.recall", "b.s.f1", F.col("b.legal_reference").alias("best_legal_reference"), F.col("b.__text").alias("best_normative_excerpt"))
 
 
+def series(df: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """place (from 1, in the given order), metric, value: the lines of a plot; rows without a value drop out."""
+    from .redundancy import numbered
+
+    rows = numbered(df, "place", F.col(order)).withColumn("place", (F.col("place") + 1).cast("long"))
+    points = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in values]))
+    return rows.select("place", points.alias("p")).select("place", "p.metric", "p.value").where("value is not null")
+
+
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     """bin, count of equal-width bins between the least and the largest value; the last bin holds its right end."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

@@ -40,3 +40,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     nodes = nodes.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
     return nodes.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def merged_components(first: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (node, component) after further links (a, b): only the components that these touch are worked on."""
+    a = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    own = more.join(a, "a", "left").join(b, "b", "left")
+    links = own.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = materialize(connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("root")), "cc-roots")
+    known = first.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    new = roots.join(first.select(F.col("node").alias("component")), "component", "left_anti")
+    return known.unionByName(new.select(F.col("component").alias("node"), F.col("root").alias("component")))

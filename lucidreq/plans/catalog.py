@@ -223,6 +223,13 @@ def f1_histogram(spark, sf_dir):
     return consistency.histogram(rows, "f1")
 
 
+def match_series(spark, sf_dir):
+    """The lines of precision, recall and F1 over the requirements, and of the similarities."""
+    tokens = consistency.series(best_reference_tokens(spark, sf_dir), "id", ["precision", "recall", "f1"])
+    e = best_reference_similarity(spark, sf_dir).withColumn("pos", F.substring("title", 2, 20).cast("long"))
+    return tokens.unionByName(consistency.series(e, "pos", ["best_cosine_similarity"]))
+
+
 _QUERIES: dict[str, Callable] = {
     f.__name__: f
     for f in (
@@ -251,6 +258,7 @@ _QUERIES: dict[str, Callable] = {
         best_reference_similarity,
         best_reference_tokens,
         f1_histogram,
+        match_series,
     )
 }
 
@@ -483,6 +491,8 @@ o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recal
             SELECT doc_id, CASE WHEN l > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS norm, {", ".join(f"round(x[{k + 1}] / greatest(l, 1e-12), 9) AS x{k}" for k in range(HASHED))} FROM n""",
         "best_reference_similarity": best_sim,
         "best_reference_tokens": best_tok + " SELECT * FROM o",
+        "match_series": f"""SELECT place, metric, value FROM (SELECT row_number() OVER (ORDER BY id) AS place, precision, recall, f1 FROM ({best_tok} SELECT * FROM o)) UNPIVOT (value FOR metric IN (precision, recall, f1))
+            UNION ALL SELECT place, 'best_cosine_similarity', s FROM (SELECT row_number() OVER (ORDER BY substr(title, 2)::BIGINT) AS place, best_cosine_similarity AS s FROM ({best_sim})) WHERE s IS NOT NULL""",
         "f1_histogram": best_tok
         + ", e AS (SELECT min(f1) AS lo, max(f1) AS hi FROM o) SELECT (CASE WHEN hi > lo THEN least(19, floor((f1 - lo) / (hi - lo) * 20)) ELSE 0 END)::INT AS bin, count(*) AS count FROM o, e GROUP BY 1",
     }

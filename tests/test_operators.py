@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lucidreq.operators import consistency, redundancy, smell_report, smells, vectors
-from lucidreq.operators.graph import connected_components
+from lucidreq.operators.graph import connected_components, merged_components
 from lucidreq.sources import readers, writers
 
 
@@ -103,6 +103,19 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[300] == 0 and got[100] == 100 and got[501] == 500
 
 
+def test_merged_components(spark):
+    """Components in two steps are those of all links at once, new nodes included."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(3):
+        edges = [(r.randrange(60), r.randrange(60)) for _ in range(35)]
+        more = [(r.randrange(80), r.randrange(80)) for _ in range(12)]
+        frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        once = {(x.node, x.component) for x in connected_components(frame(edges + more)).collect()}
+        assert {(x.node, x.component) for x in merged_components(connected_components(frame(edges)), frame(more)).collect()} == once
+
+
 def test_consistency(spark):
     reqs = spark.createDataFrame([(0, "1", "t", "x", [1.0, 0.0]), (1, "2", "t", "x", [1.0, 0.0]), (2, "1", "t", None, [0.0, 2.0])], "pos int, id string, title string, text string, vec array<double>")
     refs = spark.createDataFrame(
