@@ -14,8 +14,8 @@ share a key:
 
 Of every connected group the first occurrence stays.
 
-As groups are all that matters, a line is first verified against one leader, the
-line with which it shares the most keys; then all pairs that share a key and lie in
+As groups are all that matters, a line is first verified against two leaders, the
+lines with which it shares the most keys among those that lead a key; then all pairs that share a key and lie in
 different components are verified, so no link between candidates is lost and a
 group of many variants never makes all its pairs.
 """
@@ -23,6 +23,7 @@ group of many variants never makes all its pairs.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, merged_components
 from .common import materialize, number_batches, release, same, table, text_batches, text_or_empty
 from .meeting import SPLIT, Slots, met, postings, sketch, votes
 from .shingles import CHUNK_BYTES, _power, all_words, mix
@@ -40,13 +41,15 @@ MIN_SIMILARITY = 0.8
 #: Lines of at least so many distinct words have a SimHash.
 FEW_WORDS = 8
 #: (blocks, fewest and most distinct words, fewest bytes of a block's words); the ranges overlap.
-FAMILIES = ((6, FEW_WORDS, 24, 10), (8, 16, 40, 12), (10, 30, 1 << 62, 14))
+FAMILIES = ((6, FEW_WORDS, 20, 12), (8, 16, 38, 16), (9, 30, 1 << 62, 20))
 #: Most words of lines that are joined by leaving out one word, or two; most characters, for characters.
 LEAVE_WORDS = (12, 7)
 LEAVE_CHARACTERS = (24, 14)
 #: Lines that are fetched to be verified are broadcast by place up to so many; beyond, they are joined by a shuffle.
 BROADCAST_PLACES = 500_000
 
+#: Leaders that a line is verified against first.
+LEADERS = 2
 #: Lines that a task remembers to have given the keys of.
 SEEN_LINES = 200_000
 
@@ -98,7 +101,8 @@ class Lines:
         """(line, key) pairs, sorted by line, of the given lines (numbers among those that aren't blank)."""
         wanted = np.zeros(len(self.first), dtype=bool)
         wanted[lines] = True
-        parts = [*self._simhashes(wanted), *self._left_words(wanted), *self._left_characters(wanted)]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        parts = [none, *self._simhashes(wanted), *self._left_words(wanted), *self._left_characters(wanted)]
         line = np.concatenate([x[0] for x in parts])
         key = np.concatenate([x[1] for x in parts])
         order = np.lexsort((key, line))
@@ -109,28 +113,21 @@ class Lines:
 
     def _simhashes(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         own = np.flatnonzero(wanted[self.line])
-        own = own[np.lexsort((self.word[own], self.line[own]))]
-        line, word, width = self.line[own], self.word[own], (self.end - self.begin)[own]
-        new = np.ones(len(own), dtype=bool)
-        new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
-        line, word, width = line[new], word[new], width[new]
-        distinct = np.bincount(line, minlength=len(wanted))
-        for blocks, fewest, most, least in FAMILIES:
-            of = np.flatnonzero((distinct[line] >= fewest) & (distinct[line] <= most))
-            block = line[of] * blocks + (mix(word[of] ^ np.uint64(blocks)) % np.uint64(blocks)).astype(np.int64)
-            by = np.argsort(block, kind="stable")
-            block, w, size = block[by], word[of][by], width[of][by]
-            if not len(block):
-                yield np.zeros(0, np.int64), np.zeros(0, np.uint64)
-                continue
-            start = np.flatnonzero(np.diff(block, prepend=-1))
-            count = np.diff(np.append(start, len(block)))
-            bits = np.unpackbits(w.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
-            sim = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-            kept = np.add.reduceat(size, start) >= least
-            block = block[start][kept]
-            yield block // blocks, mix(sim[kept] + (block % blocks + 100 * blocks).astype(np.uint64) * np.uint64(_STEP))
+        # Distinct words of each line: line, 44 bits of the word and its length (up to 15) in one number.
+        width = np.minimum((self.end - self.begin)[own], 15).astype(np.uint64)
+        for low in range(0, max(1, len(wanted)), 1 << 16):
+            near = (self.line[own] >= low) & (self.line[own] < low + (1 << 16)) if len(wanted) > 1 << 16 else slice(None)
+            packed = (self.line[own][near] - low).astype(np.uint64) << np.uint64(48) | self.word[own][near] >> np.uint64(20) << np.uint64(4) | width[near]
+            packed.sort()
+            packed = packed[np.flatnonzero(np.diff(packed, prepend=~packed[:1]))]
+            line = (packed >> np.uint64(48)).astype(np.int64) + low
+            word, size = mix(packed >> np.uint64(4) & np.uint64((1 << 44) - 1)), (packed & np.uint64(15)).astype(np.int64)
+            distinct = np.bincount(line, minlength=len(wanted))
+            for blocks, fewest, most, least in FAMILIES:
+                of = np.flatnonzero((distinct[line] >= fewest) & (distinct[line] <= most))
+                if len(of):
+                    block = line[of] * blocks + (mix(word[of] ^ np.uint64(blocks)) % np.uint64(blocks)).astype(np.int64)
+                    yield _block_keys(block, word[of], size[of], blocks, least)
 
     def _left_words(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for n in range(1, LEAVE_WORDS[0] + 1):
@@ -151,6 +148,30 @@ class Lines:
             yield from _left_out(own[of], mix(rows.astype(np.uint64)), out, 2)
 
 
+#: A byte's bits, each in a byte of its own.
+_SPREAD = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")[:, :, None] * np.array([1] + [0] * 7, np.uint8), axis=2, bitorder="little").reshape(256, 8).copy().view(np.uint64).ravel()
+
+
+def _block_keys(block: np.ndarray, word: np.ndarray, size: np.ndarray, blocks: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """line and key of each block whose words have ``least`` bytes: the majority of each bit over the block's words."""
+    by = np.argsort(block, kind="stable")
+    block, word, size = block[by], word[by], size[by]
+    start = np.flatnonzero(np.diff(block, prepend=-1))
+    count = np.diff(np.append(start, len(block)))
+    if count.max() < 256:  # eight counters in a number
+        raw = word.view(np.uint8).reshape(-1, 8)
+        sums = np.empty((len(start), 8), dtype=np.uint64)
+        for k in range(8):
+            sums[:, k] = np.add.reduceat(_SPREAD[raw[:, k]], start)
+        ones = sums.view(np.uint8)
+    else:
+        ones = np.add.reduceat(np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), start, axis=0, dtype=np.int32)
+    sim = np.packbits(ones > (count // 2)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    kept = np.add.reduceat(size, start) >= least
+    block = block[start][kept]
+    return block // blocks, mix(sim[kept] + (block % blocks + 100 * blocks).astype(np.uint64) * np.uint64(_STEP))
+
+
 def _left_out(line: np.ndarray, rows: np.ndarray, most: int, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys of the sequences in ``rows`` with up to ``most`` of their members left out."""
     n = rows.shape[1]
@@ -252,37 +273,121 @@ def verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame) -> DataFrame:
     texts = rows.select("text", "c").mapInArrow(run, "line long, text string").groupBy("line").agg(F.min("text").alias("text"))
     texts = materialize(texts, "line-texts")
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - MIN_SIMILARITY) + 1e-9).cast("int"))
-    # Most candidates differ in a few words: a narrow band decides them, the whole one the rest.
-    within = lambda k: F.expr(f"levenshtein(ta, tb, cast({k} as int))") >= 0
-    near = both.where(F.when(within("most / 6"), F.lit(True)).otherwise(within("most")))
-    return materialize(near.select("a", "b"), "line-links")
-
 
-def line_groups(docs: DataFrame, occurrences: DataFrame, split: int = SPLIT) -> DataFrame:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "line-links")
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Exact, a column of the table at a time in the bits of one number."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for x in b:
+        eq = at.get(x, 0)
+        zero = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | (full & ~(zero | up)), up & zero
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+        more = more << 1 | 1
+        up, down = (less << 1 | (full & ~(zero | more))) & full, more & zero & full
+    return score
+
+
+def _cost(x: list[str], y: list[str]) -> int:
+    """At most so many edits turn the words x into y."""
+    a, b = len(" ".join(x)), len(" ".join(y))
+    return max(a, b) + (1 if not x or not y else 0) if x or y else 0
+
+
+def similar(a: str, b: str) -> bool:
+    """Whether the edit similarity is at least MIN_SIMILARITY: by alignments of words that can't be too good, and exactly where they don't tell."""
+    most = int(max(len(a), len(b)) * (1 - MIN_SIMILARITY) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    i, n = 0, min(len(x), len(y))
+    while i < n and x[i] == y[i]:
+        i += 1
+    j = 0
+    while j < n - i and x[-1 - j] == y[-1 - j]:
+        j += 1
+    x, y = x[i : len(x) - j], y[i : len(y) - j]
+    if _cost(x, y) <= most:
+        return True
+    if len(x) == len(y) and sum([max(len(p), len(q)) for p, q in zip(x, y) if p != q]) <= most:
+        return True
+    if _aligned(x, y) <= most:
+        return True
+    # What both begin and end with plays no part in the distance.
+    return edit_distance(" ".join(x), " ".join(y)) + (1 if not x or not y else 0) <= most
+
+
+def _aligned(x: list[str], y: list[str]) -> int:
+    """The cost of keeping words that occur once on either side, as many as stand in the same order."""
+    once: dict[str, int] = {}
+    for k, w in enumerate(y):
+        once[w] = -1 if w in once else k
+    seen: dict[str, int] = {}
+    for k, w in enumerate(x):
+        seen[w] = -1 if w in seen else k
+    ends: list[int] = []  # the last place in y of the best chain of each length, and its links
+    chain: list[tuple[int, int, int]] = []
+    tops: list[int] = []
+    for k, w in enumerate(x):
+        p = once.get(w, -1)
+        if p < 0 or seen[w] < 0:
+            continue
+        at = bisect_left(ends, p)
+        chain.append((k, p, tops[at - 1] if at else -1))
+        if at == len(ends):
+            ends.append(p)
+            tops.append(len(chain) - 1)
+        else:
+            ends[at], tops[at] = p, len(chain) - 1
+    total, i, j = 0, len(x), len(y)
+    at = tops[-1] if tops else -1
+    while at >= 0:
+        k, p, before = chain[at]
+        total += _cost(x[k + 1 : i], y[p + 1 : j])
+        i, j, at = k, p, before
+    return total + _cost(x[:i], y[:j])
+
+
+def line_groups(docs: DataFrame, occurrences: DataFrame, lines: DataFrame, split: int = SPLIT) -> DataFrame:
     """line, component of the lines that link with another one."""
     spark = docs.sparkSession
-    first = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th", "pos")
-    lines = materialize(occurrences.groupBy("line").agg(F.min(first).alias("first")), "lines")
     lists = occurrences.where("size(keys) > 0").select(F.col("line").alias("node"), "n", "keys")
     with number_batches(spark):
         slots = Slots(sketch(lists.select("keys"), lambda batch: iter([batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)])), split)
-        # A key's leader is its first line, so the place of the key among a line's keys plays no part.
-        rows = postings(lists, slots).withColumn("pos", F.lit(0))
-        shared = materialize(met(rows, slots), "line-postings")
+        # The line whose keys are the most common leads: of near copies, the one that most resemble.
+        shared = materialize(met(postings(lists, slots, central=True), slots), "line-postings")
     release(spark)
     pairs = votes(shared).where(_near_sizes("n", "an")).groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"))
-    best = pairs.groupBy("node").agg(F.max(F.struct("both", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("node").alias("b"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("both", "a")), False), 1, LEADERS)  # a line has few keys
+    best = pairs.groupBy("node").agg(best.alias("m")).select(F.explode("m.a").alias("a"), F.col("node").alias("b"))
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verified(best, docs, lines)
     so_far = materialize(connected_components(links), "line-components")
-    rows = shared.select("key", "node", "n").distinct().join(so_far, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    rows = shared.select("key", "node", "n").join(so_far, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rows = materialize(rows.join(mixed, "key", "left_semi").select("key", "node", "n", "c"), "line-cross")
     a = rows.select("key", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("an"))
     b = rows.select("key", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("n").alias("bn"))
     apart = a.join(b, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _near_sizes("an", "bn"))
-    more = verified(apart.select("a", "b").distinct(), docs, lines)
-    return connected_components(links.unionByName(more)).withColumnRenamed("node", "line")
+    apart = apart.select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
+    more = verified(apart, docs, lines)
+    return merged_components(so_far, more).withColumnRenamed("node", "line")
 
 
 def dedup_lines(docs: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -296,10 +401,10 @@ def dedup_lines(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """
     text_batches(docs.sparkSession)
     occurrences = materialize(line_rows(docs), "line-rows")
-    groups = materialize(line_groups(docs, occurrences, split), "line-groups")
     place = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th", "pos")
+    lines = materialize(occurrences.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
+    groups = materialize(line_groups(docs, occurrences, lines, split), "line-groups")
     # Lines by their group; most groups are one line that never repeats.
-    lines = occurrences.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     grouped = lines.join(groups, "line", "left").withColumn("g", F.coalesce("component", "line"))
     keeper = grouped.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     told = materialize(grouped.select("line", "g").join(keeper, "g").select("line", "g", "keep"), "line-keepers")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_worker_cache
 from .shingles import mix
 
 #: Slots of the frequency sketch, and how many of them travel together.
@@ -44,6 +45,7 @@ def sketch(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]]
     """The counts of all slots over all rows; ``keys`` gives the hashes that a batch holds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         total = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         held, size = [], 0
 
@@ -82,8 +84,12 @@ def sketch(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]]
     return out.ravel()
 
 
-def postings(lists: DataFrame, slots: Slots) -> DataFrame:
-    """key, salt, node, n, pos from rows of node, n and an array of keys (pos is a key's place in it)."""
+def postings(lists: DataFrame, slots: Slots, central: bool = False) -> DataFrame:
+    """key, salt, node, n, pos from rows of node, n and an array of keys.
+
+    pos is a key's place in its array, or, for ``central``, less the more rows have
+    the array's keys (the same for all of them).
+    """
     shared = lists.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +102,12 @@ def postings(lists: DataFrame, slots: Slots) -> DataFrame:
                 size = np.diff(col.offsets.to_numpy())
                 node = np.repeat(own.column(0).to_numpy(), size)
                 salt = mix(node.view(np.uint64)) % slots.salts(key).astype(np.uint64)
-                pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+                if central:
+                    total = np.concatenate([[0], np.cumsum(np.minimum(slots.count(key), 1 << 20).astype(np.int64))])
+                    stop = np.cumsum(size)
+                    pos = np.repeat(np.maximum(total[stop - size] - total[stop], -(1 << 31)), size)
+                else:
+                    pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
                 arrays = (key.view(np.int64), salt.astype(np.int32), node, np.repeat(own.column(1).to_numpy(), size).astype(np.int32), pos.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=_MET)
 
@@ -116,7 +127,7 @@ def met(rows: DataFrame, slots: Slots) -> DataFrame:
     fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, told = None, True  # the first row of the key at the end of the last batch, and whether it was given out
+        last, head, told = None, None, True  # the last row; the first row of the key at the end of the last batch, and whether it was given out
 
         def out(c: list[np.ndarray], keep: np.ndarray, first: np.ndarray):
             arrays = [x[keep] for x in c] + [c[i][first[keep]] for i in (2, 3, 4)]
@@ -128,6 +139,12 @@ def met(rows: DataFrame, slots: Slots) -> DataFrame:
 
         for batch in batches:
             c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            # A row that repeats counts once.
+            again = [np.concatenate([[last is not None and x[0] == v], x[1:] == x[:-1]]) if len(x) else np.zeros(0, bool) for x, v in zip(c, last or [None] * 5)]
+            fresh = ~np.logical_and.reduce([again[0], again[1], again[2]])
+            if len(fresh):
+                last = [x[-1] for x in c]
+            c = [x[fresh] for x in c]
             if not len(c[0]):
                 continue
             goes_on = head is not None and head[0] == c[0][0] and head[1] == c[1][0]
@@ -142,12 +159,12 @@ def met(rows: DataFrame, slots: Slots) -> DataFrame:
             size = np.diff(np.append(start, len(new)))
             first = np.repeat(start, size)
             keep = np.repeat(size > 1, size) | alone(c)
-            last = start[-1]
+            end = start[-1]
             if size[-1] == 1:
-                keep[last] = False
+                keep[end] = False
             if goes_on and told:
                 keep[0] = False
-            head, told = [x[last] for x in c], bool(size[-1] > 1 or (goes_on and told and last == 0))
+            head, told = [x[end] for x in c], bool(size[-1] > 1 or (goes_on and told and end == 0))
             yield out(c, keep, first)
         if head is not None and not told:
             own = [np.array([v], x.dtype) for v, x in zip(head, c)]

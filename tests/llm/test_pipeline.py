@@ -160,3 +160,26 @@ def test_stages_keep_columns_of_any_name(spark, docs_of):
         for x in out.collect():
             got[x.doc_id] |= {x[n] == f"{n}-{x.doc_id}" for n in names}
         assert dict(got) == {1: {True}, 2: {True}, 3: {True}}
+
+
+def test_very_long_texts(spark, docs_of):
+    """Texts of a few megabytes, several in a batch, in one line or many, with and without white space."""
+    from lucidreq.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup, token_output
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(3000)]
+    long = [r.choice(words) for _ in range(300_000)]
+    near = [w if i % 997 else "changed" for i, w in enumerate(long)]
+    lines = "\n".join(" ".join(long[i : i + 40]) for i in range(0, 200_000, 40))
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, lines), (4, "x" * 1_500_000), (5, "short"), (6, "x" * 1_500_000), (7, None)]
+    docs = docs_of(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {d: (len(shingle_set(t)), {2: 1, 6: 4}.get(d, d)) for d, t in rows}
+    assert {x.doc_id: x.kept for x in exact_dedup.exact_dedup(docs).collect()} == {d: d != 6 for d, _ in rows}
+    n_lines = {x.doc_id: (x.n_lines, x.n_removed) for x in line_dedup.dedup_lines(docs).collect()}
+    assert n_lines[2] == (1, 1) and n_lines[6] == (1, 1) and n_lines[1] == (1, 0) and n_lines[3][0] == 5000
+    kept = {x.doc_id: (x.n_bytes, x.n_removed) for x in suffix_dedup.remove_repeats(docs, "none").collect()}
+    assert kept[4] == kept[6] == (1_500_000, 1_500_000) and kept[5] == (5, 0) and kept[1][1] > 1_000_000
+    tk = word_tokenizer.WordTokenizer(word_tokenizer.default_path()).tk
+    tokens = {x.doc_id: x.n_tokens for x in token_output.encode_corpus(docs.where("doc_id in (1, 3, 5, 7)")).collect()}
+    assert tokens == {d: len(tk.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows if d in (1, 3, 5, 7)}

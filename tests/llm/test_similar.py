@@ -125,6 +125,13 @@ def test_suffix_dedup_long_text_in_pieces(docs_of, monkeypatch):
     assert suffix_dedup.remove_repeats(docs_of(odd).where("false")).count() == 0
 
 
+def test_common_prefix():
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = (bytes(r.choices([0, 1, 255], k=9)) for _ in range(2))
+        assert suffix_dedup.common_prefix(a, b) == next((i for i in range(9) if a[i] != b[i]), 9)
+
+
 def test_longest_previous_factor():
     text = b"abracadabraabra"
     sa = sorted(range(len(text)), key=lambda i: text[i:])
@@ -170,6 +177,22 @@ def test_edit():
         assert edit(a, b) == p[-1]
 
 
+def test_similar_is_edit_similarity():
+    r = random.Random(4)
+    for _ in range(1500):
+        a = ["".join(r.choices("abc", k=r.randint(1, 4))) for _ in range(r.randint(1, 14))]
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            k = r.randrange(len(b))
+            b[k : k + r.randint(0, 2)] = ["".join(r.choices("abc", k=r.randint(1, 4))) for _ in range(r.randint(0, 2))]
+            b = b or ["x"]
+        if r.random() < 0.2:
+            r.shuffle(b)
+        x, y = " ".join(a), " ".join(b)
+        assert line_dedup.edit_distance(x, y) == edit(x, y)
+        assert line_dedup.similar(x, y) == near(x, y), (x, y)
+
+
 def brute_lines(rows):
     """(n_lines, n_removed, kept_text) of each document, by comparing all lines."""
     occ = defaultdict(list)
