@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, merged_components
 from .common import discard, drop_worker_cache, materialize, number_batches, release, same, table, text_batches, text_or_empty
 from .meeting import SPLIT, Slots, met, postings, sketch, votes
 from .shingles import set_hash, shingle_sets
@@ -229,7 +229,7 @@ def jaccard_components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     own = own.select((-F.abs(F.col("lead")) - 1).alias("key"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"), F.expr(f"cast({_prefix_sql('n')} as int)").alias("weight"))
     more = verified(cross_pairs(expanded.unionByName(own), so_far), docs, nodes)
     release(spark)
-    component = connected_components(links.unionByName(more))
+    component = merged_components(so_far, more)
     label = nodes.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = materialize(label.join(least, "component").select(F.col("node").alias("k"), "component", "component_id"), "labels")
@@ -255,3 +255,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: doc_id, n_shingles, component_id of every document."""
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) c USING (doc_id)
+"""

@@ -345,3 +345,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, all copies removed."""
     out = remove_repeats(table(spark, sf_dir, "documents"), keep="none")
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM
+       (SELECT doc_id, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1) THEN 1 ELSE 0 END AS new FROM r)),
+spans AS (SELECT doc_id, min(i) AS b, max(i) + 400 AS e FROM g GROUP BY doc_id, span),
+cut AS (SELECT doc_id, list(b ORDER BY b) AS b, list(e ORDER BY e) AS e, sum(e - b) AS removed FROM spans GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(len(c.b), 0) AS n_spans,
+           CASE WHEN c.b IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(c.b) + 1), lambda j: substr(h,
+             2 * CASE WHEN j = 0 THEN 0 ELSE c.e[j] END + 1, 2 * (CASE WHEN j = len(c.b) THEN len(h) // 2 ELSE c.b[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE c.e[j] END))), '') END AS h
+         FROM d LEFT JOIN cut c USING (doc_id))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(h)) AS kept_sha256 FROM kept
+"""
