@@ -51,13 +51,35 @@ STEPS: list[tuple[str, str]] = [
 ]
 
 
+#: What a text must hold for a step to change it, where a step has such a character: the steps' places and any of these.
+_DASHES = ["-", "\u2013", "\u2014"]
+NEEDS: dict[int, list[str]] = {0: ["**"], 2: ["["], 3: _DASHES, 4: _DASHES, 5: ["("], 6: [_OPEN], 7: [_OPEN], 8: [_SHUT], 11: [":", ";"], 14: [")"], 15: ["("], 17: ["\n", "\r"], 18: _DASHES, 19: _DASHES, 20: _DASHES, 21: [";"], 22: [";"], 23: [";"], 24: [":"], 27: ["(", "["], 29: [":"], 30: [".."]}
+
+
 def clean_text(c: Column) -> Column:
-    """Null becomes empty; a text that is left ends in a full stop, exclamation or question mark."""
+    """Null becomes empty; a text that is left ends in a full stop, exclamation or question mark.
+
+    Each step's input is bound once, so a step that can't change a text costs a search for a character.
+    """
     out = F.coalesce(c.cast("string"), F.lit(""))
-    for pattern, replacement in STEPS:
-        out = F.regexp_replace(out, pattern, replacement)
-    # The chain is bound once; used several times, it would be computed and compiled as often.
-    return F.transform(F.array(out), lambda t: F.when((t != "") & ~t.rlike(r"[.!?]\z"), F.concat(t, F.lit("."))).otherwise(t))[0]
+
+    def step(k: int, pattern: str, replacement: str):
+        def run(t: Column) -> Column:
+            new = F.regexp_replace(t, pattern, replacement)
+            some = NEEDS.get(k)
+            if not some:
+                return new
+            held = F.contains(t, F.lit(some[0]))
+            for x in some[1:]:
+                held = held | F.contains(t, F.lit(x))
+            return F.when(held, new).otherwise(t)
+
+        return run
+
+    out = F.array(out)
+    for k, (pattern, replacement) in enumerate(STEPS):
+        out = F.transform(out, step(k, pattern, replacement))
+    return F.transform(out, lambda t: F.when((t != "") & ~t.rlike(r"[.!?]\z"), F.concat(t, F.lit("."))).otherwise(t))[0]
 
 
 def clean_references(refs: DataFrame) -> DataFrame:
