@@ -41,7 +41,7 @@ MIN_SIMILARITY = 0.8
 #: Lines of at least so many distinct words have a SimHash.
 FEW_WORDS = 8
 #: (blocks, fewest and most distinct words, fewest bytes of a block's words); the ranges overlap.
-FAMILIES = ((6, FEW_WORDS, 20, 12), (8, 16, 38, 16), (9, 30, 1 << 62, 20))
+FAMILIES = ((6, FEW_WORDS, 20, 12), (7, 16, 38, 16), (8, 30, 1 << 62, 20))
 #: Most words of lines that are joined by leaving out one word, or two; most characters, for characters.
 LEAVE_WORDS = (12, 7)
 LEAVE_CHARACTERS = (24, 14)
@@ -121,13 +121,15 @@ class Lines:
             packed.sort()
             packed = packed[np.flatnonzero(np.diff(packed, prepend=~packed[:1]))]
             line = (packed >> np.uint64(48)).astype(np.int64) + low
-            word, size = mix(packed >> np.uint64(4) & np.uint64((1 << 44) - 1)), (packed & np.uint64(15)).astype(np.int64)
+            word, size = packed >> np.uint64(4) & np.uint64((1 << 44) - 1), (packed & np.uint64(15)).astype(np.int64)
+            bits = mix(word)
             distinct = np.bincount(line, minlength=len(wanted))
             for blocks, fewest, most, least in FAMILIES:
                 of = np.flatnonzero((distinct[line] >= fewest) & (distinct[line] <= most))
                 if len(of):
-                    block = line[of] * blocks + (mix(word[of] ^ np.uint64(blocks)) % np.uint64(blocks)).astype(np.int64)
-                    yield _block_keys(block, word[of], size[of], blocks, least)
+                    # Words are in order of their hashes, so a block, a range of them, is a run.
+                    block = line[of] * blocks + (word[of] * np.uint64(blocks) >> np.uint64(44)).astype(np.int64)
+                    yield _block_keys(block, bits[of], size[of], blocks, least)
 
     def _left_words(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for n in range(1, LEAVE_WORDS[0] + 1):
@@ -153,9 +155,7 @@ _SPREAD = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axi
 
 
 def _block_keys(block: np.ndarray, word: np.ndarray, size: np.ndarray, blocks: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """line and key of each block whose words have ``least`` bytes: the majority of each bit over the block's words."""
-    by = np.argsort(block, kind="stable")
-    block, word, size = block[by], word[by], size[by]
+    """line and key of each block (in order) whose words have ``least`` bytes: the majority of each bit over the block's words."""
     start = np.flatnonzero(np.diff(block, prepend=-1))
     count = np.diff(np.append(start, len(block)))
     if count.max() < 256:  # eight counters in a number
@@ -405,7 +405,7 @@ def dedup_lines(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     lines = materialize(occurrences.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
     groups = materialize(line_groups(docs, occurrences, lines, split), "line-groups")
     # Lines by their group; most groups are one line that never repeats.
-    grouped = lines.join(groups, "line", "left").withColumn("g", F.coalesce("component", "line"))
+    grouped = lines.join(groups, "line", "left").where("n > 1 or component is not null").withColumn("g", F.coalesce("component", "line"))
     keeper = grouped.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     told = materialize(grouped.select("line", "g").join(keeper, "g").select("line", "g", "keep"), "line-keepers")
     gone = occurrences.select("doc_id", "th", "pos", "line").join(told, "line").where(~(same(F.col("doc_id"), F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th")) & (F.col("pos") == F.col("keep.pos"))))
