@@ -1,13 +1,11 @@
 """op1, op3, op4: against brute force, with odd rows and hot groups."""
 
-import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lucidreq.llm import jaccard_join, line_dedup, meeting, shingles, suffix_dedup
 
