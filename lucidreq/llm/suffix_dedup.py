@@ -160,11 +160,16 @@ def repeated_windows(classes: list[tuple[bytes, int, tuple]], min_bytes: int, bo
     windows.sort(key=lambda w: w[0])
     # Suffixes are compared up to min_bytes.
     lcp = [0] + [common_prefix(a[0], b[0]) for a, b in zip(windows, windows[1:])]
-    rank = {p: i for i, p in enumerate(sorted((*classes[k][2][:-1], classes[k][2][-1] + o) for _, k, o in windows))}
-    place = [rank[(*classes[k][2][:-1], classes[k][2][-1] + o)] for _, k, o in windows]
+    flags: list[tuple[set, set]] = [(set(), set()) for _ in classes]
+    if max(lcp, default=0) < min_bytes:
+        return [([], []) for _ in classes]  # no factor is as long
+    # A window is in one context, so contexts in order of place, and their windows in turn, are all windows in order.
+    base, at = [0] * len(classes), 0
+    for k in sorted(range(len(classes)), key=lambda k: classes[k][2]):
+        base[k], at = at, at + len(classes[k][0])
+    place = [base[k] + o for _, k, o in windows]
     previous = longest_previous(place, lcp)
     following = longest_previous([-p for p in place], lcp) if both else previous
-    flags = [(set(), set()) for _ in classes]
     for (_, k, o), before, after in zip(windows, previous, following):
         if before >= min_bytes:
             flags[k][0].add(o)
