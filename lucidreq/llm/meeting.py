@@ -23,6 +23,8 @@ from .shingles import mix
 SLOT_BITS, SLOTS_A_ROW = 22, 1 << 16
 #: Rows of one key that a task meets, about; beyond, the key is split.
 SPLIT = 1 << 18
+#: Keys of a row that travel together.
+SLICE = 128
 _MOST = np.uint64((1 << 32) - 1)
 
 
@@ -88,7 +90,8 @@ def postings(lists: DataFrame, slots: Slots, central: bool = False) -> DataFrame
     """key, salt, node, n, pos from rows of node, n and an array of keys.
 
     pos is a key's place in its array, or, for ``central``, less the more rows have
-    the array's keys (the same for all of them).
+    the array's keys (the same for ``SLICE`` of them). Long arrays go to the workers
+    in slices, so a batch is of bounded size whatever the arrays' lengths.
     """
     shared = lists.sparkSession.sparkContext.broadcast(slots)
 
@@ -97,7 +100,7 @@ def postings(lists: DataFrame, slots: Slots, central: bool = False) -> DataFrame
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 own = batch.slice(a, 1000)
-                col = own.column(2)
+                col, base = own.column(2), own.column(3).to_numpy()
                 key = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 size = np.diff(col.offsets.to_numpy())
                 node = np.repeat(own.column(0).to_numpy(), size)
@@ -107,11 +110,15 @@ def postings(lists: DataFrame, slots: Slots, central: bool = False) -> DataFrame
                     stop = np.cumsum(size)
                     pos = np.repeat(np.maximum(total[stop - size] - total[stop], -(1 << 31)), size)
                 else:
-                    pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+                    pos = np.arange(len(key)) + np.repeat(base - (np.cumsum(size) - size), size)
                 arrays = (key.view(np.int64), salt.astype(np.int32), node, np.repeat(own.column(1).to_numpy(), size).astype(np.int32), pos.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=_MET)
 
-    return lists.mapInArrow(run, "key long, salt int, node long, n int, pos int")
+    node, n, keys = lists.columns
+    starts = F.sequence(F.lit(0), F.floor((F.size(keys) - 1) / SLICE).cast("int"))
+    parts = F.transform(starts, lambda i: F.struct(F.slice(keys, i * SLICE + 1, SLICE).alias("keys"), (i * SLICE).alias("base")))
+    rows = lists.where(F.size(keys) > 0).select(node, n, F.explode(parts).alias("p")).select(node, n, "p.keys", "p.base")
+    return rows.mapInArrow(run, "key long, salt int, node long, n int, pos int")
 
 
 _MET = ["key", "salt", "node", "n", "pos"]

@@ -277,6 +277,7 @@ def test_jaccard_components_by_other_plans(docs_of, monkeypatch, split, ids):
     """Shingles split over many salts, leaders' members in portions of three, and texts joined by a shuffle."""
     monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", ids)
     monkeypatch.setattr(jaccard_join, "PORTION", 3)
+    monkeypatch.setattr(meeting, "SLICE", 5)
     test_jaccard_components(docs_of, split)
 
 
