@@ -67,7 +67,7 @@ def document_counts(docs: DataFrame) -> np.ndarray:
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
     """doc_id, th (hash of the text), node (hash of the set), n, group (hash of prefix and n), prefix; node 0 is the empty set."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    shared = order.shared(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_cache()
@@ -216,6 +216,7 @@ def jaccard_components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     # A row of documents that repeats would meet itself; the first of a key passes over equal nodes.
     with number_batches(spark):
         shared = materialize(met(postings(of_leader.select("node", F.col("n").cast("int").alias("n"), "prefix"), order), order), "postings")
+    order.discard()
     release(spark)
     # One leader for each group, and the group's own for each member.
     inside = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))

@@ -372,6 +372,7 @@ def line_groups(docs: DataFrame, occurrences: DataFrame, lines: DataFrame, split
         slots = Slots(sketch(lists.select("keys"), lambda batch: iter([batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)])), split)
         # The line whose keys are the most common leads: of near copies, the one that most resemble.
         shared = materialize(met(postings(lists, slots, central=True), slots), "line-postings")
+    slots.discard()
     release(spark)
     pairs = votes(shared).where(_near_sizes("n", "an")).groupBy("a", "node").agg(F.count(F.lit(1)).alias("both"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("both", "a")), False), 1, LEADERS)  # a line has few keys

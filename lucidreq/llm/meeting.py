@@ -13,14 +13,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_worker_cache
 from .shingles import mix
 
 #: Slots of the frequency sketch, and how many of them travel together.
-SLOT_BITS, SLOTS_A_ROW = 22, 1 << 16
+SLOT_BITS, SLOTS_A_ROW = 21, 1 << 16
 #: Rows of one key that a task meets, about; beyond, the key is split.
 SPLIT = 1 << 18
 #: Keys of a row that travel together.
@@ -34,6 +34,22 @@ class Slots:
     def __init__(self, counts: np.ndarray, split: int = SPLIT):
         # What stands out of twice the mean is one key in many rows, more or less.
         self.counts, self.usual, self.split = counts, 2 * int(counts.mean()), split
+        self._sent = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_sent": None}
+
+    def shared(self, spark: SparkSession):
+        """Sent to the workers once, whatever uses it."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        return self._sent
+
+    def discard(self) -> None:
+        """Called when all that uses it is written."""
+        if self._sent is not None:
+            self._sent.destroy()
+        self._sent = self.counts = None
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         return self.counts[(keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
@@ -93,7 +109,7 @@ def postings(lists: DataFrame, slots: Slots, central: bool = False) -> DataFrame
     the array's keys (the same for ``SLICE`` of them). Long arrays go to the workers
     in slices, so a batch is of bounded size whatever the arrays' lengths.
     """
-    shared = lists.sparkSession.sparkContext.broadcast(slots)
+    shared = slots.shared(lists.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
@@ -130,7 +146,7 @@ def met(rows: DataFrame, slots: Slots) -> DataFrame:
     They are sorted by key, salt, pos and node and read as a stream in which only
     the first row of the current key and salt is held.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(slots)
+    shared = slots.shared(rows.sparkSession)
     fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
