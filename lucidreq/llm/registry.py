@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, importance, jaccard_join, keyed_upsert, line_dedup, mixing, suffix_dedup, token_output, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_extract, importance, jaccard_join, keyed_upsert, line_dedup, mixing, suffix_dedup, token_output, toxicity, url_filter
 
 _OPS = {
     "op1_jaccard_join": jaccard_join,
@@ -15,6 +15,7 @@ _OPS = {
     "op8_html_extract": html_extract,
     "op9_exact_dedup": exact_dedup,
     "op10_token_output": token_output,
+    "op11_url_filter": url_filter,
     "op12_importance": importance,
     "op13_keyed_upsert": keyed_upsert,
 }
