@@ -1,10 +1,10 @@
 """Redundancy of requirements from their embeddings.
 
 Input everywhere: pos (the requirement's place in the catalog), id, vec (length 1).
-The comparison of all pairs is by definition quadratic; it is done on blocks of
-vectors, one matrix product for a pair of blocks, so that only pairs over the
-threshold become rows. Means over all pairs need no pairs: they are products with
-the sum of all vectors.
+Pairs are compared by blocks of vectors, one matrix product for a pair of blocks that can
+reach what is asked (see :mod:`.vector_blocks`), so that only pairs over the threshold
+become rows. Means over all pairs need no pairs: they are products with the sum of
+all vectors.
 """
 
 from __future__ import annotations
@@ -18,18 +18,11 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .graph import connected_components
+from .vector_blocks import BLOCK, Blocks, block_pairs, blocks_of, matrix, sent
 
-BLOCK = 512
 THRESHOLD = 0.90
 
 
-def _blocks(vectors: DataFrame, block: int) -> DataFrame:
-    """Blocks of up to ``block`` vectors that are neighbours by place, however far apart their places are."""
-    own = numbered(vectors.select("pos", F.col("vec").cast("array<double>").alias("vec")), "n", F.col("pos"))
-    packed = own.select(F.floor(F.col("n") / block).cast("long").alias("block"), F.struct("pos", "vec").alias("v"))
-    return packed.groupBy("block").agg(F.collect_list("v").alias("rows"))
-
-
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """Adds the rows' places (from 0) in an order, without gathering them in one task.
 
@@ -46,61 +39,72 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     return out.withColumn(name, F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__p", "__base")
 
 
-def block_pairs(vectors: DataFrame, block: int = BLOCK, both: bool = False) -> DataFrame:
-    """Block rows met with each other: a block with those from its own on (or with all); a block holds ``block`` positions at most."""
-    packed = materialize(_blocks(vectors, block), "blocks")
-    # Each pair of blocks is one key, so the matrix products spread over all tasks.
-    ids = packed.select("block")
-    met = ids.withColumnRenamed("block", "x").join(ids.withColumnRenamed("block", "y"), F.lit(True) if both else F.col("x") <= F.col("y"), "inner")
-    left = met.join(packed.select(F.col("block").alias("x"), F.col("rows").alias("a")), "x")
-    return left.join(packed.select(F.col("block").alias("y"), F.col("rows").alias("b")), "y")
-
-
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-    values = rows.values
-    lo, hi = rows.offsets[0].as_py(), rows.offsets[-1].as_py()
-    pos = values.field("pos").to_numpy()[lo:hi]
-    vec = values.field("vec").slice(lo, hi - lo)
-    flat = vec.flatten().to_numpy(zero_copy_only=False)
-    return pos, flat.reshape(len(pos), -1)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """pos_a < pos_b and score of all pairs with score >= threshold."""
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, blocks: Blocks | None = None) -> DataFrame:
+    """pos_a < pos_b and score of all pairs with score >= threshold. Only blocks that can reach it are multiplied."""
+    kind = "pos_a long, pos_b long, score double"
+    blocks = blocks or blocks_of(vectors, block)
+    if blocks is None:
+        return vectors.sparkSession.createDataFrame([], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (pa_, a), (pb, b) = (_matrix(batch.column(k).slice(i, 1)) for k in (0, 1))
+                (pa_, a), (pb, b) = (matrix(batch.column(k).slice(i, 1)) for k in (2, 3))
                 score = a @ b.T
-                x, y = np.nonzero((score >= threshold) & (pa_[:, None] < pb[None, :]))  # blocks are in order of place
+                hit = score >= threshold
+                if batch.column(0)[i] == batch.column(1)[i]:
+                    hit &= pa_[:, None] < pb[None, :]  # a block with itself
+                x, y = np.nonzero(hit)
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(pa_[x]), pa.array(pb[y]), pa.array(score[x, y])], names=["pos_a", "pos_b", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(pa_[x], pb[y])), pa.array(np.maximum(pa_[x], pb[y])), pa.array(score[x, y])], names=["pos_a", "pos_b", "score"])
 
-    return block_pairs(vectors, block).select("a", "b").mapInArrow(run, "pos_a long, pos_b long, score double")
+    pairs = block_pairs(blocks, np.full(len(blocks.cells), threshold))
+    return sent(blocks, pairs).mapInArrow(run, kind)
 
 
-def neighbour_ranks(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """pos, other, rank: the k nearest others of each, ties by place. Each pair of blocks sends its k best."""
+def neighbour_ranks(vectors: DataFrame, k: int, block: int = BLOCK, blocks: Blocks | None = None) -> DataFrame:
+    """pos, other, rank: the k nearest others of each, ties by place.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two rounds: blocks with themselves and the one after them give each vector a
+    k-th best score; then only blocks that can reach the least of a block's k-th
+    best scores are multiplied with it. Each pair of blocks sends its k best.
+    """
+    kind = "x long, pos long, other long, score double"
+    blocks = blocks or blocks_of(vectors, block)
+    if blocks is None:
+        return vectors.sparkSession.createDataFrame([], "pos long, other long, rank int")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (pa_, a), (pb, b) = (_matrix(batch.column(j).slice(i, 1)) for j in (0, 1))
+                (pa_, a), (pb, b) = (matrix(batch.column(j).slice(i, 1)) for j in (2, 3))
                 score = a @ b.T
                 score[pa_[:, None] == pb[None, :]] = -np.inf
                 by_place = np.argsort(pb, kind="stable")
-                best = by_place[np.argsort(-score[:, by_place], axis=1, kind="stable")[:, :k]]
-                rows = np.repeat(np.arange(len(pa_)), best.shape[1])
-                cols = best.ravel()
+                order = by_place[np.argsort(-np.round(score[:, by_place], 9), axis=1, kind="stable")[:, :k]]
+                rows = np.repeat(np.arange(len(pa_)), order.shape[1])
+                cols = order.ravel()
                 value = score[rows, cols]
                 ok = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(pa_[rows[ok]]), pa.array(pb[cols[ok]]), pa.array(value[ok])], names=["pos", "other", "score"])
-
-    near = block_pairs(vectors, block, both=True).select("a", "b").mapInArrow(run, "pos long, other long, score double")
+                x = np.full(int(ok.sum()), batch.column(0)[i].as_py(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(pa_[rows[ok]]), pa.array(pb[cols[ok]]), pa.array(value[ok])], names=["x", "pos", "other", "score"])
+
+    # The blocks of a cell are numbered by its vectors' places, so the next one is ``block`` further on.
+    near = blocks.table.select(F.col("block").alias("x"), F.explode(F.array(F.col("block"), F.col("block") + block)).alias("y"))
+    near = near.join(blocks.table.select(F.col("block").alias("y")), "y", "left_semi").select("x", "y")
+    first = materialize(sent(blocks, near).mapInArrow(best, kind), "near-neighbours")
+    # Of each vector the k-th best so far; a block with a vector that has fewer than k has no floor.
+    kth = first.groupBy("x", "pos").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("kth"))
+    floors = kth.groupBy("x").agg(F.min("kth").alias("floor"), F.count("kth").alias("full"))
+    sizes = blocks.table.select("cell", F.col("block").alias("x"), F.size("rows").alias("n"))
+    floor = F.when(F.col("full") == F.col("n"), F.col("floor")).otherwise(F.lit(-np.inf))
+    floors = materialize(sizes.join(floors, "x", "left").select("cell", F.col("x").alias("block"), floor.alias("floor")), "near-floors")
+    least = {r.cell: r.f for r in floors.groupBy("cell").agg(F.min("floor").alias("f")).collect()}  # a row for each cell
+    pairs = block_pairs(blocks, np.array([least[c] for c in blocks.cells]), True, floors.select("block", "floor")).join(near, ["x", "y"], "left_anti")
+    found = first.unionAll(sent(blocks, pairs).mapInArrow(best, kind))
     # Products of different shapes may differ in the last bits; ties are judged at nine decimals.
     w = Window.partitionBy("pos").orderBy(F.desc(F.round("score", 9)), "other")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("pos", "other", "rank")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("pos", "other", "rank")
 
 
 def redundant_pairs(vectors: DataFrame, threshold: float = THRESHOLD, top_k: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -109,11 +113,12 @@ def redundant_pairs(vectors: DataFrame, threshold: float = THRESHOLD, top_k: int
     With top_k a pair stays if either is among the other's k nearest; without,
     ranks are 0.
     """
-    pairs = similar_pairs(vectors, threshold, block)
+    blocks = blocks_of(vectors, block)
+    pairs = similar_pairs(vectors, threshold, block, blocks)
     if top_k is None:
         pairs = pairs.withColumns({"rank_from_a": F.lit(0), "rank_from_b": F.lit(0)})
     else:
-        ranks = materialize(neighbour_ranks(vectors, top_k, block), "ranks")
+        ranks = materialize(neighbour_ranks(vectors, top_k, block, blocks), "ranks")
         a = ranks.select(F.col("pos").alias("pos_a"), F.col("other").alias("pos_b"), F.col("rank").alias("ra"))
         b = ranks.select(F.col("pos").alias("pos_b"), F.col("other").alias("pos_a"), F.col("rank").alias("rb"))
         pairs = pairs.join(a, ["pos_a", "pos_b"], "left").join(b, ["pos_a", "pos_b"], "left")
