@@ -9,6 +9,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import cleaning, consistency, readability, redundancy, smell_report, smells, vectors
 from ..sources import readers, writers
+from ..sources.json_document import read_document
 from ..storage import materialize, scratch_path
 from . import catalog as C
 
@@ -28,22 +29,27 @@ def _place() -> F.Column:
     return F.col("doc_id")
 
 
-def _document(rows: DataFrame, entry: str, item: F.Column, **keys) -> DataFrame:
-    """One JSON document with a list of items in order of doc_id."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("r")))), lambda x: x["r"])
-    return rows.agg(listed.alias(entry)).select(F.to_json(F.struct(*[v.alias(k) for k, v in keys.items()], entry)).alias("value"))
-
-
-def _save(document: DataFrame, spark: SparkSession) -> str:
-    path = f"{_folder(spark)}/document"
-    document.coalesce(1).write.text(path)
+def _document(rows: DataFrame, spark: SparkSession, entry: str, item: F.Column, **keys) -> str:
+    """The path of a JSON document with a list of items in order of doc_id."""
+    path = f"{_folder(spark)}/document.json"
+    writers.single_document(rows.orderBy("doc_id"), F.to_json(item), path, entry, keys)
     return path
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and line of a text file, its byte-order mark told apart."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\\r?\\n")).alias("line_no", "line"))
+    """line_no and line of a text file, in its order."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return redundancy.numbered(rows, "line_no", F.col("block"), F.col("at")).select(F.col("line_no").cast("int").alias("line_no"), "line")
+
+
+def _marked(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins with the byte-order mark of UTF-8."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    data = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return [data.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+    finally:
+        data.close()
 
 
 # ------------------------------------------------------------------- catalogs and references
@@ -55,7 +61,7 @@ def _catalog_file(spark, sf_dir) -> str:
         F.when(_place() % 4 != 0, F.concat(F.lit("title "), _place())).alias("titulo"),
         F.when(_place() % 5 != 0, F.col("text")).alias("descripcion"),
     )
-    return _save(_document(_docs(spark, sf_dir), "requisitos", item, catalog_id=F.lit("C1")), spark)
+    return _document(_docs(spark, sf_dir), spark, "requisitos", item, catalog_id="C1")
 
 
 def catalog_file(spark, sf_dir):
@@ -84,13 +90,13 @@ def _reference_item(lenient: bool) -> F.Column:
 
 def references_file(spark, sf_dir):
     """In the original language; unknown languages and absent texts are empty."""
-    path = _save(_document(_docs(spark, sf_dir), "referencias", _reference_item(True), catalog_id=F.lit("C1"), idioma_catalogo=F.lit("es")), spark)
+    path = _document(_docs(spark, sf_dir), spark, "referencias", _reference_item(True), catalog_id="C1", idioma_catalogo="es")
     return readers.read_references(spark, path).select("ref_pos", "id", "legal_reference", "original_language", F.md5("text").alias("text_md5"))
 
 
 def references_file_in_use(spark, sf_dir):
     """All in the language asked for, whatever the catalog's."""
-    path = _save(_document(_docs(spark, sf_dir), "referencias", _reference_item(False), catalog_id=F.lit("C1"), idioma_catalogo=F.lit("es")), spark)
+    path = _document(_docs(spark, sf_dir), spark, "referencias", _reference_item(False), catalog_id="C1", idioma_catalogo="es")
     rows, lang = readers.read_references_strict(spark, path, "en")
     return rows.select("ref_pos", "id", "legal_reference", "original_language", F.md5("text").alias("text_md5"), F.lit(lang).alias("used"))
 
@@ -104,12 +110,14 @@ def cleaned_file(spark, sf_dir):
         F.when(F.col("lang") != "es", F.col("text")).alias("texto_normativo_en"),
         F.struct(F.col("note").alias("nested")).alias("extra"),
     )
-    path = _save(_document(norm, "referencias", item, catalog_id=F.lit("C1"), unknown=F.lit("kept")), spark)
+    path = _document(norm, spark, "referencias", item, catalog_id="C1", unknown="kept")
     head, refs = readers.read_traceability(spark, path)
-    rows = writers.cleaned_rows(cleaning.clean_references(refs))
+    clean = f"{path.removesuffix('.json')}_clean.json"
+    writers.write_cleaned(head, cleaning.clean_references(refs), clean, path)
+    again = read_document(spark, clean, "referencias")
     own = lambda k: F.get_json_object("json", f"$.{k}")
-    out = rows.select("ref_pos", own("id").alias("id"), own("extra.nested").alias("note"), F.md5(own("texto_normativo_es")).alias("es_md5"), F.md5(own("texto_normativo_en")).alias("en_md5"))
-    return out.crossJoin(head.select(F.get_json_object(F.to_json("document"), "$.unknown").alias("unknown")))
+    out = again.elements.select(F.col("place").alias("ref_pos"), own("id").alias("id"), own("extra.nested").alias("note"), F.md5(own("texto_normativo_es")).alias("es_md5"), F.md5(own("texto_normativo_en")).alias("en_md5"))
+    return out.crossJoin(F.broadcast(again.rest.select(F.get_json_object("value", "$.unknown").alias("unknown"))))  # one row
 
 
 # ------------------------------------------------------------------- smells
@@ -198,7 +206,8 @@ def pairs_file(spark, sf_dir):
     """The lines of the pairs' file."""
     path = f"{_folder(spark)}/pairs.csv"
     writers.single_csv(writers.pair_rows(C._pairs(spark, sf_dir, C.TOP_K)[1]), path)
-    return _lines(spark, path).select("line_no", F.regexp_replace("line", "^\\x{feff}", "BOM:").alias("line"))
+    mark = F.when((F.col("line_no") == 0) & F.lit(_marked(spark, path)), F.lit("BOM:")).otherwise(F.lit(""))  # readers of text skip it
+    return _lines(spark, path).select("line_no", F.concat(mark, "line").alias("line"))
 
 
 def clusters_file(spark, sf_dir):
@@ -245,8 +254,8 @@ def readability_file(spark, sf_dir):
     metrics = ["flesch", "fkgl"]
     path = f"{_folder(spark)}/readability.json"
     writers.single_json(readability.nested_record(rows, readability.EN_COUNTS, metrics), path)
-    back = spark.read.json(path, multiLine=True).select("id", "catalog_id", F.col("readability.description.words").alias("words"), F.round("readability.description.flesch", 6).alias("flesch"))
-    flat = readability.flat_record(rows, readability.EN_COUNTS, metrics).select(F.col("id").alias("i"), F.round("FKGL", 6).alias("flat_fkgl"), F.col("SENTENCES").cast("long").alias("flat_sentences"))
+    back = spark.read.json(path, multiLine=True).select("id", "catalog_id", F.col("readability.description.words").alias("words"), F.round(F.round("readability.description.flesch", 9), 6).alias("flesch"))
+    flat = readability.flat_record(rows, readability.EN_COUNTS, metrics).select(F.col("id").alias("i"), F.round(F.round("FKGL", 9), 6).alias("flat_fkgl"), F.col("SENTENCES").cast("long").alias("flat_sentences"))
     return back.join(flat, F.col("id") == F.col("i")).drop("i")
 
 

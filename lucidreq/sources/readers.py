@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .json_document import Document, read_document
 
-CATALOG = "catalog_id string, requisitos array<struct<id:string,titulo:string,descripcion:string>>"
+REQUIREMENT = "id string, titulo string, descripcion string"
 REFERENCE = "id string, referencia_normativa string, idioma_normativo_original string, texto_normativo_es string, texto_normativo_en string"
-REFERENCES = "catalog_id string, idioma_catalogo string, referencias array<struct<{}>>".format(REFERENCE.replace(" string", ":string").replace(", ", ","))
 FINDINGS = ", ".join(["ID string", "Requirement string", *[f"`{k}` {'boolean' if k in ('Security Related', 'Not a Requirement') else 'string'}" for k in [*L.SMELLS, *L.COUNTERS]]])
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _elements(document: Document, schema: str, place: str) -> DataFrame:
+    """The list's elements as columns of a schema, with their places."""
+    return document.elements.select(F.col("place").alias(place), F.from_json("json", schema).alias("r")).select(place, "r.*")
 
 
 def _require(df: DataFrame, ok, message: str) -> DataFrame:
@@ -26,11 +26,12 @@ def _require(df: DataFrame, ok, message: str) -> DataFrame:
 
 def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """catalog_id, pos, id, title, text in list order; strict: the list and every id must be there."""
-    doc, items = _json(spark, path, CATALOG), F.col("requisitos")
-    if strict:  # inside the generator's input, which no filter can pass by
-        items = F.coalesce(items, F.raise_error(F.lit("the catalog must hold a list requisitos")).cast(doc.schema["requisitos"].dataType))
-    rows = doc.select("catalog_id", F.posexplode(items).alias("pos", "r"))
-    rows = rows.select("catalog_id", "pos", F.col("r.id").alias("id"), F.col("r.titulo").alias("title"), F.col("r.descripcion").alias("text"))
+    document = read_document(spark, path, "requisitos")
+    if strict and not document.found:
+        raise ValueError("the catalog must hold a list requisitos")
+    head = document.rest.select(F.from_json("value", "catalog_id string").alias("h")).select("h.catalog_id")
+    rows = _elements(document, REQUIREMENT, "pos").crossJoin(F.broadcast(head))  # one row
+    rows = rows.select("catalog_id", "pos", "id", F.col("titulo").alias("title"), F.col("descripcion").alias("text"))
     return _require(rows, F.col("id").isNotNull(), "each requirement must have an id") if strict else rows
 
 
@@ -74,7 +75,7 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith((".xlsx", ".xls")):
         out = _workbook(spark, path, ["ID", "Texto"], ["id", "text"], "ref_pos", {"Referencia_normativa": "", "Idioma_normativo_original": "desconocido"})
         return out.withColumnsRenamed({"referencia_normativa": "legal_reference", "idioma_normativo_original": "original_language"})
-    rows = _json(spark, path, REFERENCES).select(F.posexplode("referencias").alias("ref_pos", "r")).select("ref_pos", "r.*")
+    rows = _elements(read_document(spark, path, "referencias"), REFERENCE, "ref_pos")
     lang = F.coalesce("idioma_normativo_original", F.lit("desconocido"))
     text = F.when(lang == "es", F.col("texto_normativo_es")).when(lang == "en", F.col("texto_normativo_en"))
     return rows.select("ref_pos", "id", F.coalesce("referencia_normativa", F.lit("")).alias("legal_reference"), lang.alias("original_language"), F.coalesce(text, F.lit("")).alias("text"))
@@ -90,12 +91,12 @@ def resolve_language(catalog_language: str | None, asked: str | None) -> tuple[s
 
 def read_references_strict(spark: SparkSession, path: str, lang: str | None = None) -> tuple[DataFrame, str]:
     """References in the language of use, and that language; anything missing fails."""
-    doc = _json(spark, path, REFERENCES)
-    head = doc.select("idioma_catalogo", F.col("referencias").isNotNull().alias("ok")).first()
-    if head is None or not head.ok or head.idioma_catalogo not in ("es", "en"):
+    document = read_document(spark, path, "referencias")
+    head = document.rest.select(F.from_json("value", "idioma_catalogo string").alias("h")).first().h
+    if head is None or not document.found or head.idioma_catalogo not in ("es", "en"):
         raise ValueError("the file needs idioma_catalogo (es or en) and a list referencias")
     used, _ = resolve_language(head.idioma_catalogo, lang)
-    rows = doc.select(F.posexplode("referencias").alias("ref_pos", "r")).select("ref_pos", "r.*")
+    rows = _elements(document, REFERENCE, "ref_pos")
     complete = F.col("id").isNotNull() & F.col("referencia_normativa").isNotNull() & F.col("idioma_normativo_original").isNotNull()
     rows = _require(rows, complete, "a reference lacks a key")
     rows = _require(rows, T.strip(F.col(f"texto_normativo_{used}")) != "", f"a reference lacks its text in {used}")
@@ -104,16 +105,14 @@ def read_references_strict(spark: SparkSession, path: str, lang: str | None = No
 
 def read_rows(spark: SparkSession, path: str, id_header: str = "ID", text_header: str = "Requirement") -> DataFrame:
     """req_id, text of an array of objects with the given keys."""
-    rows = _json(spark, path, f"`{id_header}` string, `{text_header}` string")
+    rows = _elements(read_document(spark, path), f"`{id_header}` string, `{text_header}` string", "__place")
     return rows.select(F.col(f"`{id_header}`").alias("req_id"), F.col(f"`{text_header}`").alias("text"))
 
 
 def read_findings(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
     """Smell findings as written, with their places in the file if a name for them is given; absent headers are null."""
-    if place is None:
-        return _json(spark, path, FINDINGS)
-    listed = F.from_json("value", ArrayType(StructType.fromDDL(FINDINGS)))
-    return spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias(place, "r")).select(place, "r.*")
+    rows = _elements(read_document(spark, path), FINDINGS, place or "__place")
+    return rows if place else rows.drop("__place")
 
 
 def smell_input(requirements: DataFrame) -> DataFrame:
@@ -130,11 +129,10 @@ def read_traceability(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     without its references. The known texts of a reference are columns besides: null
     where the key is absent, empty where it is null.
     """
-    text = spark.read.text(path, wholetext=True)
-    doc = text.select(F.from_json("value", "map<string,variant>").alias("m"))
-    head = doc.select(F.parse_json(F.to_json(F.map_filter("m", lambda k, _: k != "referencias"))).alias("document"))
-    listed = F.from_json(F.col("m")["referencias"].cast("string"), "array<map<string,variant>>")
-    refs = doc.select(F.posexplode(listed).alias("ref_pos", "r"))
+    document = read_document(spark, path, "referencias")
+    own = document.rest.select(F.from_json("value", "map<string,variant>").alias("m"))
+    head = own.select(F.parse_json(F.to_json(F.map_filter("m", lambda k, _: k != "referencias"))).alias("document"))
+    refs = document.elements.select(F.col("place").alias("ref_pos"), F.from_json("json", "map<string,variant>").alias("r"))
     known = lambda c: F.when(F.map_contains_key("r", c), F.coalesce(F.try_variant_get(F.col("r")[c], "$", "string"), F.lit("")))
     names = ["texto_normativo_es", "texto_normativo_en"]
     return head, refs.select("ref_pos", F.parse_json(F.to_json("r")).alias("reference"), *[known(c).alias(c) for c in names])
@@ -149,7 +147,6 @@ def requirements_or_findings(spark: SparkSession, findings_path: str, input_path
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    items = F.from_json("value", "array<struct<req_id:string,id:string,text:string>>")
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(items).alias("pos", "r"))
+    rows = read_document(spark, path).elements.select(F.col("place").alias("pos"), F.from_json("json", "req_id string, id string, text string").alias("r"))
     key = F.coalesce(F.nullif(F.col("r.req_id"), F.lit("")), F.col("r.id"))
     return rows.select("pos", key.alias("req_id"), F.coalesce("r.text", F.lit("")).alias("text")).where("req_id is not null")

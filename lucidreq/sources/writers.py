@@ -1,7 +1,9 @@
 """Writers of results.
 
-Tables are written by Spark; the ``single_*`` writers make one file on the driver,
-for reports that a person opens.
+Tables are written by Spark. The ``single_*`` writers make one file for a person
+to open, in any store that Spark reaches: rows are sorted and formatted by all tasks, in the order that
+the table has, and one task streams the lines into the file. Nothing but single records passes
+through the driver.
 """
 
 from __future__ import annotations
@@ -9,13 +11,16 @@ from __future__ import annotations
 import io
 import json
 import re
+import uuid
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.redundancy import sorted_pairs
+from ..storage import materialize
 
 
 def local_path(path: str | Path) -> str:
@@ -58,18 +63,77 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(sep=";", header=True).csv(path)
 
 
+def _renamed(spark: SparkSession, folder: str, path: str) -> None:
+    """The one part file of a folder becomes the file ``path``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [x.getPath() for x in fs.listStatus(hadoop(folder)) if x.getPath().getName().startswith("part-")]
+    fs.delete(hadoop(path), False)
+    fs.rename(part, hadoop(path))
+    fs.delete(hadoop(folder), True)
+
+
+def ordered_file(rows: DataFrame, line: Column, path: str | Path, head: str | None = None, tail: str | None = None, between: str = "") -> None:
+    """One file with ``head``, a line for each row in the table's order, and ``tail``; ``between`` ends all rows but the last.
+
+    The rows are worked out once, by all tasks, into a table; a single task then sorts them by their
+    places, spilling where they don't fit, and streams them out. Lines end in a line feed.
+    """
+    spark = rows.sparkSession
+    spool = materialize(rows.select(F.monotonically_increasing_id().alias("at"), line.alias("line")), "file-lines")
+    if between:
+        last = spool.agg(F.max("at")).first()[0]
+        spool = spool.withColumn("line", F.when(F.col("at") < F.lit(last), F.concat("line", F.lit(between))).otherwise(F.col("line")))
+    ends = [(at, text) for at, text in ((-1, head), ((1 << 63) - 1, tail)) if text is not None]
+    if ends:
+        spool = spool.unionByName(spark.createDataFrame(ends, "at long, line string"))
+    place = local_path(path)
+    place = place if "://" in place or place.startswith(("viewfs:", "hdfs:")) else f"file:{Path(place).absolute()}"
+    folder = f"{place}.{uuid.uuid4().hex}"
+    spool.repartition(1).sortWithinPartitions("at").select("line").write.text(folder)
+    _renamed(spark, folder, place)
+
+
+def _number(c: Column) -> Column:
+    """Shortest decimal form that reads back the same."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None or v != v else repr(float(v)))
+
+    return run(c)
+
+
+def _field(name: str, kind: str) -> Column:
+    """A field of a CSV line: empty for null, quoted where it holds a semicolon, a quote or a line end."""
+    c = F.col(f"`{name}`")
+    if kind in ("double", "float"):
+        return F.coalesce(_number(c.cast("double")), F.lit(""))
+    if kind == "boolean":
+        return F.when(c, F.lit("True")).when(~c, F.lit("False")).otherwise(F.lit(""))
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(c.rlike('[;"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def _header(names: list[str]) -> str:
+    quoted = [f'"{n.replace(chr(34), chr(34) * 2)}"' if re.search('[;"\r\n]', n) else n for n in names]
+    return "\ufeff" + ";".join(quoted)
+
+
 def single_csv(df: DataFrame, path: str | Path) -> None:
-    """One file with semicolons, a header and a byte-order mark."""
-    _put(path, df.toPandas().to_csv(sep=";", index=False).encode("utf-8-sig"))
+    """One file with semicolons, a header and a byte-order mark; an empty table gives the header."""
+    ordered_file(df, F.concat_ws(";", *[_field(c, t) for c, t in df.dtypes]), path, _header(df.columns))
 
 
 def single_matrix_csv(cells: DataFrame, path: str | Path) -> None:
-    """The labelled square matrix of id_a, id_b, score, rows and columns in place order."""
-    data = cells.toPandas().sort_values(["pos_a", "pos_b"])
-    ids = data.drop_duplicates("pos_a")["id_a"].tolist()
-    wide = data.pivot(index="pos_a", columns="pos_b", values="score")
-    wide.index, wide.columns = ids, ids
-    _put(path, wide.to_csv(sep=";").encode("utf-8-sig"))
+    """The labelled square matrix of id_a, id_b, score, rows and columns in place order; a line is a row of the matrix."""
+    own = cells.select("pos_a", "pos_b", _field("id_a", "string").alias("id"), _number(F.col("score")).alias("x"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos_b", "x"))), lambda v: v["x"]), ";")
+    lines = materialize(own.groupBy("pos_a", "id").agg(listed.alias("line")), "matrix-lines")
+    ids = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos_a", "id"))), lambda v: v["id"]), ";").alias("line"))
+    head = ids.select(F.lit(None).cast("long").alias("pos_a"), F.concat(F.lit("\ufeff;"), "line").alias("line"))
+    rows = head.unionByName(lines.select(F.col("pos_a").cast("long").alias("pos_a"), F.concat_ws(";", "id", "line").alias("line")))
+    ordered_file(rows.orderBy(F.asc_nulls_first("pos_a")), F.col("line"), path)
 
 
 def matrix(cells: DataFrame) -> DataFrame:
@@ -88,10 +152,28 @@ def single_xlsx(sheets: dict[str, DataFrame], path: str | Path) -> None:
     _put(path, held.getvalue())
 
 
+def _pretty(ascii_only: bool, depth: int):
+    """JSON text indented by two for each level, itself ``depth`` levels deep."""
+    pad = "  " * depth
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: pad + json.dumps(json.loads(v), ensure_ascii=ascii_only, indent=2).replace("\n", "\n" + pad))
+
+    return run
+
+
 def single_json(rows: DataFrame, path: str | Path, ascii_only: bool = False, drop_null: bool = False) -> None:
     """An array of records, indented; an empty table gives an empty array."""
-    out = [json.loads(x) for x in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(drop_null).lower()}).alias("j")).toPandas()["j"]]
-    _put(path, json.dumps(out, ensure_ascii=ascii_only, indent=2).encode())
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": str(drop_null).lower()})
+    ordered_file(rows, _pretty(ascii_only, 1)(record), path, "[", "]", ",")
+
+
+def single_document(rows: DataFrame, record: Column, path: str | Path, entry: str, head: dict, ascii_only: bool = False) -> None:
+    """A JSON object with the keys of ``head`` and, under ``entry``, the list of ``record`` (JSON text) of all rows in the table's order."""
+    first = json.dumps(head, ensure_ascii=ascii_only, indent=2)
+    first = "{" if not head else first[: -len("\n}")] + ","
+    ordered_file(rows, _pretty(ascii_only, 2)(record), path, f"{first}\n  {json.dumps(entry, ensure_ascii=ascii_only)}: [", "  ]\n}", ",")
 
 
 def single_record(row: DataFrame, path: str | Path, **extra) -> None:
@@ -108,12 +190,11 @@ def cleaned_rows(refs: DataFrame) -> DataFrame:
     return refs.select("ref_pos", F.to_json(F.map_concat(kept, texts)).alias("json"))
 
 
-def write_cleaned(doc: DataFrame, refs: DataFrame, path: str | Path | None, source: str | Path) -> Path:
+def write_cleaned(doc: DataFrame, refs: DataFrame, path: str | Path | None, source: str | Path) -> str | Path:
     """The traceability document with its cleaned references; named <source>_clean.json unless a path is given."""
-    out = Path(path) if path else Path(source).with_name(f"{Path(source).stem}_clean.json")
-    head = json.loads(doc.select(F.to_json("document").alias("j")).first().j)
-    rows = [json.loads(x.json) for x in cleaned_rows(refs).orderBy("ref_pos").collect()]
-    out.write_text(json.dumps({**head, "referencias": rows}, ensure_ascii=False, indent=2), encoding="utf-8")
+    out = path if path else Path(source).with_name(f"{Path(source).stem}_clean.json")
+    head = json.loads(doc.select(F.to_json("document").alias("j")).first().j)  # one record, without the list
+    single_document(cleaned_rows(refs).orderBy("ref_pos"), F.col("json"), out, "referencias", head)
     return out
 
 
