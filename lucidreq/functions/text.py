@@ -27,7 +27,8 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space, none at the ends; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"{WS}+", " "))
+    # Single spaces, which most are, stay as they are.
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"{WS}{{2,}}|{WS.replace('x{20}', 'x{1f}')}", " "))
 
 
 def tokens_en(text: Column) -> Column:
@@ -53,6 +54,28 @@ def syllables_en(token: Column) -> Column:
     return F.when(w == "", F.lit(0)).otherwise(F.greatest(F.lit(1), n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0)))
 
 
+def letters_en(tokens: Column) -> Column:
+    """The tokens' a-z in lower case, a space between tokens: what the counts of whole texts below are taken from."""
+    return F.regexp_replace(F.lower(F.array_join(tokens, " ")), "[^a-z ]", "")
+
+
+#: A word of :func:`letters_en` without a vowel, one whose final e is silent, and one of three syllables or more.
+_NO_VOWEL = "(?<![a-z])[^aeiouy ]++(?![a-z])"
+_SILENT_E = "[aeiouy]++[^aeiouy ]++[a-z]*e(?![a-z])"
+_THREE = "(?<![a-z])[^aeiouy ]*+(?:(?:[aeiouy]++[^aeiouy ]++){3}[aeiouy][a-z]*+|(?:[aeiouy]++[^aeiouy ]++){2}[aeiouy][a-z]*+(?<!e))"
+
+
+def syllable_total_en(letters: Column) -> Column:
+    """The sum of :func:`syllables_en` over all words of :func:`letters_en`, by three searches of the whole text."""
+    count = lambda p: F.regexp_count(letters, F.lit(p))
+    return count(VOWELS_EN) - count(_SILENT_E) + count(_NO_VOWEL)
+
+
+def polysyllables_en(letters: Column) -> Column:
+    """Words of three syllables or more."""
+    return F.regexp_count(letters, F.lit(_THREE))
+
+
 def syllables_es(token: Column) -> Column:
     w = F.regexp_replace(F.lower(token), "[^a-záéíóúüñ]", "")
     return F.when(w == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.regexp_count(w, F.lit(VOWELS_ES))))

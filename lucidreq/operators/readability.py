@@ -35,16 +35,16 @@ def readability_en(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS
     """Adds counts and FLESCH, FKGL, FOG, SMOG, ARI and Coleman-Liau; null text counts as empty."""
     df = df.withColumn("__t", T.squeeze(F.col(text)))
     df = df.withColumn("__k", T.tokens_en(F.col("__t")))
-    df = df.withColumn("__s", F.transform("__k", T.syllables_en))
+    df = df.withColumn("__l", T.letters_en(F.col("__k")))
     df = df.withColumns(
         {
             "words": F.size("__k"),
             "sentences": T.sentence_count(F.col("__t")),
             "chars": F.length(F.regexp_replace(F.array_join("__k", ""), "[^A-Za-z0-9]", "")),
-            "syllables": T.total(F.col("__s")),
-            "polysyllables": F.size(F.filter("__s", lambda x: x >= 3)),
+            "syllables": T.syllable_total_en(F.col("__l")),
+            "polysyllables": T.polysyllables_en(F.col("__l")),
         }
-    ).drop("__t", "__k", "__s")
+    ).drop("__t", "__k", "__l")
     w, s, c, y, p = (_d(x) for x in EN_COUNTS)
     metrics = {
         "flesch": F.lit(206.835) - F.lit(1.015) * (w / s) - F.lit(84.6) * (y / w),

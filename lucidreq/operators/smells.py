@@ -20,14 +20,25 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
 def phrase_count(text: Column, phrase: Column | str) -> Column:
     """Non-overlapping, case-sensitive occurrences."""
     p = F.lit(phrase) if isinstance(phrase, str) else phrase
-    return ((F.length(text) - F.length(F.replace(text, p, F.lit("")))) / F.length(p)).cast("int")
+    # Bytes, whose number is known, instead of characters, which would be counted.
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, p, F.lit("")))) / F.octet_length(p)).cast("int")
+
+
+def phrase_hits(text: Column, phrases: list[str]) -> Column:
+    """phrase and its count n of all distinct phrases that occur, sorted by phrase: one pass of counting for all rules."""
+    found = F.filter(F.array(*[F.lit(p) for p in sorted(set(phrases))]), lambda p: F.contains(text, p))
+    return F.transform(found, lambda p: F.struct(p.alias("phrase"), phrase_count(text, p).alias("n")))
+
+
+def hit_lines(hits: Column, phrases: list[str]) -> Column:
+    """Lines "phrase: n" of the hits that a rule's list has; null if it has none."""
+    own = F.filter(hits, lambda h: h["phrase"].isin(*sorted(set(phrases))))
+    return F.nullif(F.array_join(F.transform(own, lambda h: F.concat(h["phrase"], F.lit(": "), h["n"].cast("string"))), "\n"), F.lit(""))
 
 
 def counted_phrases(text: Column, phrases: list[str]) -> Column:
     """Lines "phrase: n" of the phrases that occur, sorted by phrase; null if none does. Only those that occur are counted."""
-    found = F.filter(F.array(*[F.lit(p) for p in sorted(set(phrases))]), lambda p: F.contains(text, p))
-    lines = F.transform(found, lambda p: F.concat(p, F.lit(": "), phrase_count(text, p).cast("string")))
-    return F.nullif(F.array_join(lines, "\n"), F.lit(""))
+    return hit_lines(phrase_hits(text, phrases), phrases)
 
 
 def ambiguous_words(text: Column) -> Column:
@@ -40,7 +51,8 @@ def subjectivity_score(text: Column) -> Column:
     """Stand-in for a sentiment model: the share of tokens that are single words of the subjectivity list, five times, at most 1."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"{T.WORD}+"), F.lit(0))
     n = F.size(words)
-    return F.when(n > 0, F.least(F.lit(1.0), F.size(F.filter(words, lambda x: x.isin(*L.SUBJECTIVITY))) * F.lit(5.0) / n)).otherwise(F.lit(0.0))
+    # A text that doesn't even hold a listed word as a part needs no words.
+    return F.when(contains_any(text, [p for p in L.SUBJECTIVITY if " " not in p]) & (n > 0), F.least(F.lit(1.0), F.size(F.filter(words, lambda x: x.isin(*L.SUBJECTIVITY))) * F.lit(5.0) / n)).otherwise(F.lit(0.0))
 
 
 _EXTRA: dict[str, Callable[[Column], Column]] = {}
@@ -69,7 +81,10 @@ def detect_smells(df: DataFrame, id_col: str = "req_id", text_col: str = "text",
         "Not a Requirement": F.when(~contains_any(text, L.REQUIREMENT), F.lit(True)),
     }
     if all_checks:
-        rules |= {header: counted_phrases(text, phrases) for header, phrases in L.COUNTERS.items()}
+        # The hits of all lists' phrases are found once, below the rules; the generator keeps them from being put into each rule.
+        every = sorted({p for phrases in L.COUNTERS.values() for p in phrases})
+        scored = scored.select("ID", "Requirement", "flesch", F.inline(F.array(F.struct(phrase_hits(text, every).alias("__hits")))))
+        rules |= {header: hit_lines(F.col("__hits"), phrases) for header, phrases in L.COUNTERS.items()}
     rules |= {header: rule(text) for header, rule in _EXTRA.items()}
     # A filter on computed columns would be pushed below them and compute every rule again; it isn't pushed below inline.
     out = scored.select("ID", "Requirement", F.inline(F.array(F.struct(*[v.alias(k) for k, v in rules.items()]))))

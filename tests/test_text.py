@@ -84,3 +84,19 @@ def test_cleaning_equals_sql(spark, texts):
     con.executemany("insert into d values (?, ?)", list(enumerate(texts)))
     sql = f"select i, case when c <> '' and not regexp_matches(c, '[.!?]$') then c || '.' else c end as c from (select i, {cleaning.sql('t')} as c from d) order by i"
     assert [(r.i, r.c) for r in rows.orderBy("i").collect()] == con.execute(sql).fetchall()
+
+
+def test_whole_text_counts_equal_those_of_single_tokens(spark):
+    """Syllables and long words by searches of the whole text, against the token-wise rule, on all short words and fuzzed texts."""
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    words = ["".join(w) for n in range(1, 7) for w in itertools.product("aeyb", repeat=n)]
+    texts = [(w,) for w in words] + [(" ".join("".join(r.choice("aeiouyzbcdéE1-./_ ") for _ in range(r.randrange(30))) for _ in range(6)),) for _ in range(2000)] + [("",), ("é 1 ½",), ("İzmir queue agree the",)]
+    df = spark.createDataFrame(texts, "t string").withColumn("k", T.tokens_en(F.col("t")))
+    df = df.select("t", F.transform("k", T.syllables_en).alias("s"), T.letters_en(F.col("k")).alias("l"))
+    bad = df.select("t", T.total(F.col("s")).alias("a"), T.syllable_total_en(F.col("l")).alias("b"), F.size(F.filter("s", lambda x: x >= 3)).alias("c"), T.polysyllables_en(F.col("l")).alias("d")).where("a <> b or c <> d")
+    assert bad.collect() == []
