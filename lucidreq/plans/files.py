@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import cleaning, consistency, readability, redundancy, smell_report, smells, vectors
 from ..sources import readers, writers
 from ..sources.json_document import read_document
+from ..sources.workbook import read_workbook, write_workbook
 from ..storage import materialize, scratch_path
 from . import catalog as C
 
@@ -120,6 +121,43 @@ def cleaned_file(spark, sf_dir):
     return out.crossJoin(F.broadcast(again.rest.select(F.get_json_object("value", "$.unknown").alias("unknown"))))  # one row
 
 
+def requirements_workbook(spark, sf_dir):
+    """A sheet of requirements; empty cells are null."""
+    rows = _docs(spark, sf_dir).orderBy("doc_id").select(
+        F.concat(F.lit("R"), _place()).alias("ID"), F.when(_place() % 4 != 0, F.concat(F.lit("title "), _place())).alias("Título"), (_place() % 7).alias("other"), F.when(_place() % 5 != 0, F.col("text")).alias("Texto")
+    )
+    path = f"{_folder(spark)}/requirements.xlsx"
+    write_workbook({"Hoja 1": rows}, path)
+    return readers.read_requirements(spark, path).select("pos", "id", "title", F.md5("text").alias("text_md5"))
+
+
+def references_workbook(spark, sf_dir):
+    """A sheet of references that lacks a column, which gets its default."""
+    rows = _docs(spark, sf_dir).orderBy("doc_id").select(F.concat(F.lit("es "), F.col("text")).alias("Texto"), F.concat(F.lit("law "), _place()).alias("Referencia_normativa"), _place().alias("ID"))
+    path = f"{_folder(spark)}/references.xlsx"
+    write_workbook({"Referencias": rows}, path)
+    return readers.read_references(spark, path).select("ref_pos", "id", "legal_reference", "original_language", F.md5("text").alias("text_md5"))
+
+
+def pairs_workbook(spark, sf_dir):
+    path = f"{_folder(spark)}/pairs.xlsx"
+    writers.write_pairs_workbook(C._pairs(spark, sf_dir, C.TOP_K)[1], path)
+    rows = read_workbook(spark, path, ["id_a", "id_b", "score", "rank_from_a", "rank_from_b"], place="line_no")
+    return rows.select("line_no", "id_a", "id_b", F.round(F.col("score").cast("double"), 6).alias("score"), F.col("rank_from_a").cast("int").alias("rank_from_a"), F.col("rank_from_b").cast("int").alias("rank_from_b"))
+
+
+def report_workbook(spark, sf_dir):
+    """The report's four sheets as (file, name, value)."""
+    rows = materialize(C._report(spark, sf_dir), "report")
+    path = f"{writers.write_report(rows, writers.local_path(_folder(spark)), 'smells', workbook=True)}/smells_report.xlsx"
+    sheet = lambda name, columns: read_workbook(spark, f"file:{path}", columns, sheet=name)
+    stats = sheet("SmellStats", ["smell", "count"]).select(F.lit("stats").alias("file"), F.col("smell").alias("name"), F.col("count").alias("value"))
+    by = sheet("ByRequirement", ["req_id", "issues_count", "negative_smells_list"]).select(F.lit("requirement").alias("file"), F.col("req_id").alias("name"), F.concat_ws("|", "issues_count", F.coalesce("negative_smells_list", F.lit(""))).alias("value"))
+    total = sheet("Summary", ["metric", "value"]).where(F.col("metric").isin("total_requirements", "total_issues", "clean_count", "issues_max", "issues_p90")).select(F.lit("summary").alias("file"), F.col("metric").alias("name"), "value")
+    notes = sheet("Notes", ["note"]).select(F.lit("notes").alias("file"), F.lit("").alias("name"), F.col("note").alias("value"))
+    return stats.unionByName(by).unionByName(total).unionByName(notes)
+
+
 # ------------------------------------------------------------------- smells
 
 
@@ -327,6 +365,10 @@ QUERIES = {
         references_file,
         references_file_in_use,
         cleaned_file,
+        requirements_workbook,
+        references_workbook,
+        pairs_workbook,
+        report_workbook,
         smell_rows_file,
         smell_messages,
         findings_file,
@@ -402,6 +444,10 @@ def oracle_sql() -> dict[str, str]:
         "references_file_in_use": f"SELECT {_pos()} AS ref_pos, 'G' || (doc_id % 50) AS id, 'law ' || doc_id AS legal_reference, {lang} AS original_language, md5('en ' || text) AS text_md5, 'en' AS used FROM documents",
         "cleaned_file": f"""{cleaned} SELECT {_pos()} AS ref_pos, 'G' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'note ' || doc_id END AS note,
             CASE WHEN lang = 'es' THEN md5(c) END AS es_md5, CASE WHEN lang <> 'es' THEN md5(c) END AS en_md5, 'kept' AS unknown FROM k""",
+        "requirements_workbook": f"SELECT {_pos()} AS pos, 'R' || doc_id AS id, CASE WHEN doc_id % 4 <> 0 THEN 'title ' || doc_id END AS title, CASE WHEN doc_id % 5 <> 0 THEN md5(text) END AS text_md5 FROM documents",
+        "references_workbook": f"SELECT {_pos()} AS ref_pos, doc_id::VARCHAR AS id, 'law ' || doc_id AS legal_reference, 'desconocido' AS original_language, md5('es ' || text) AS text_md5 FROM documents",
+        "pairs_workbook": f"WITH {C._TOP} SELECT (row_number() OVER (ORDER BY score DESC, pos_a, pos_b) - 1)::INT AS line_no, id_a, id_b, round(score, 6) AS score, rank_from_a, rank_from_b FROM r",
+        "report_workbook": " UNION ALL ".join(x for x in report_values if "'json'" not in x),
         "smell_rows_file": "SELECT 'R' || doc_id AS req_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL",
         "smell_messages": f"""WITH {C._findings_ctes().replace("< 30 AS", "AS flesch_score, coalesce(CASE WHEN words > 0 AND sentences > 0 THEN " + C._FLESCH + " END, 206.835::DOUBLE) < 30 AS")} SELECT "ID", md5(text) AS requirement_md5, CASE WHEN "Low Readability" THEN 'Flesch Reading Ease: ' || printf('%.2f', flesch_score) END AS readability,
             CASE WHEN subj_score > 0.5 THEN 'Subjectivity Score: ' || printf('%.2f', subj_score) END AS subjectivity FROM f WHERE {fired}""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from .json_document import Document, read_document
+from .workbook import read_workbook
 
 REQUIREMENT = "id string, titulo string, descripcion string"
 REFERENCE = "id string, referencia_normativa string, idioma_normativo_original string, texto_normativo_es string, texto_normativo_en string"
@@ -45,36 +46,19 @@ def read_requirements(spark: SparkSession, path: str) -> DataFrame:
     kind = path.lower().rsplit(".", 1)[-1]
     if kind == "json":
         return requirement_rows(read_catalog(spark, path, strict=False))
-    if kind in ("xlsx", "xls"):
-        return _workbook(spark, path, ["ID", "Título", "Texto"], ["id", "title", "text"], "pos")
+    if kind == "xlsx":
+        return read_workbook(spark, path, ["ID", "Título", "Texto"]).withColumnsRenamed({"ID": "id", "Título": "title", "Texto": "text"})
     raise ValueError(f"unknown kind of file: {path}")
 
 
-def _workbook(spark: SparkSession, path: str, names: list[str], renamed: list[str], pos: str, optional: dict[str, str] | None = None) -> DataFrame:
-    """A sheet small enough for a workbook, read on the driver; needs a workbook library for pandas."""
-    import pandas as pd
-
-    data = pd.read_excel(path, dtype=str)
-    lacking = [c for c in names if c not in data.columns]
-    if lacking:
-        raise ValueError(f"columns that the sheet lacks: {', '.join(lacking)}")
-    for c, default in (optional or {}).items():
-        if c not in data.columns:
-            data[c] = default
-    data = data[[*names, *(optional or {})]]
-    data.columns = [*renamed, *[c.lower() for c in (optional or {})]]
-    data.insert(0, pos, range(len(data)))
-    return spark.createDataFrame(data.astype(object).where(data.notna(), None))
-
-
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """Lenient: ref_pos, id, legal_reference, original_language, text in the original language.
 
     A missing language is "desconocido"; texts of unknown languages and null texts are empty.
     """
-    if path.lower().endswith((".xlsx", ".xls")):
-        out = _workbook(spark, path, ["ID", "Texto"], ["id", "text"], "ref_pos", {"Referencia_normativa": "", "Idioma_normativo_original": "desconocido"})
-        return out.withColumnsRenamed({"referencia_normativa": "legal_reference", "idioma_normativo_original": "original_language"})
+    if path.lower().endswith(".xlsx"):
+        out = read_workbook(spark, path, ["ID", "Texto"], {"Referencia_normativa": "", "Idioma_normativo_original": "desconocido"}, place="ref_pos")
+        return out.withColumnsRenamed({"ID": "id", "Texto": "text", "Referencia_normativa": "legal_reference", "Idioma_normativo_original": "original_language"})
     rows = _elements(read_document(spark, path, "referencias"), REFERENCE, "ref_pos")
     lang = F.coalesce("idioma_normativo_original", F.lit("desconocido"))
     text = F.when(lang == "es", F.col("texto_normativo_es")).when(lang == "en", F.col("texto_normativo_en"))

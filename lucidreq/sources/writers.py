@@ -8,7 +8,6 @@ through the driver.
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import uuid
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.redundancy import sorted_pairs
 from ..storage import materialize
+from .workbook import write_workbook
 
 
 def local_path(path: str | Path) -> str:
@@ -63,7 +63,7 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(sep=";", header=True).csv(path)
 
 
-def _renamed(spark: SparkSession, folder: str, path: str) -> None:
+def renamed(spark: SparkSession, folder: str, path: str) -> None:
     """The one part file of a folder becomes the file ``path``."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -73,6 +73,12 @@ def _renamed(spark: SparkSession, folder: str, path: str) -> None:
     fs.delete(hadoop(folder), True)
 
 
+def placed_path(path: str | Path) -> str:
+    """A path for Spark: plain ones and those of local files with the scheme of files."""
+    place = local_path(path)
+    return place if "://" in place else f"file:{Path(place).absolute()}"
+
+
 def ordered_file(rows: DataFrame, line: Column, path: str | Path, head: str | None = None, tail: str | None = None, between: str = "") -> None:
     """One file with ``head``, a line for each row in the table's order, and ``tail``; ``between`` ends all rows but the last.
 
@@ -87,11 +93,10 @@ def ordered_file(rows: DataFrame, line: Column, path: str | Path, head: str | No
     ends = [(at, text) for at, text in ((-1, head), ((1 << 63) - 1, tail)) if text is not None]
     if ends:
         spool = spool.unionByName(spark.createDataFrame(ends, "at long, line string"))
-    place = local_path(path)
-    place = place if "://" in place or place.startswith(("viewfs:", "hdfs:")) else f"file:{Path(place).absolute()}"
+    place = placed_path(path)
     folder = f"{place}.{uuid.uuid4().hex}"
     spool.repartition(1).sortWithinPartitions("at").select("line").write.text(folder)
-    _renamed(spark, folder, place)
+    renamed(spark, folder, place)
 
 
 def _number(c: Column) -> Column:
@@ -141,15 +146,10 @@ def matrix(cells: DataFrame) -> DataFrame:
     return cells.groupBy("pos_a", "id_a").pivot("pos_b").agg(F.first("score")).orderBy("pos_a")
 
 
-def single_xlsx(sheets: dict[str, DataFrame], path: str | Path) -> None:
-    """A workbook with one sheet for each table; needs a workbook library for pandas."""
-    import pandas as pd
-
-    held = io.BytesIO()
-    with pd.ExcelWriter(held) as book:
-        for name, df in sheets.items():
-            df.toPandas().to_excel(book, sheet_name=name, index=False)
-    _put(path, held.getvalue())
+def write_pairs_workbook(pairs: DataFrame, path: str | Path) -> None:
+    """The pairs by falling score, scores rounded to six decimals; without pairs the header alone."""
+    rows = sorted_pairs(pairs).select("id_a", "id_b", F.round("score", 6).alias("score"), "rank_from_a", "rank_from_b")
+    write_workbook({"Sheet1": rows}, path)
 
 
 def _pretty(ascii_only: bool, depth: int):
@@ -223,7 +223,7 @@ def write_report(rows: DataFrame, folder: str | Path, stem: str, workbook: bool
         notes=smell_report.NOTES,
     )
     if workbook:
-        single_xlsx(tables, out / f"{stem}_report.xlsx")
+        write_workbook(tables, out / f"{stem}_report.xlsx")
     else:
         for name, df in tables.items():
             single_csv(df, out / f"{stem}_{name}.csv")
