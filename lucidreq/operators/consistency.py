@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .skew import salted_join
 from .vectors import cosine
 
 
@@ -19,8 +20,8 @@ def best_by_similarity(requirements: DataFrame, references: DataFrame) -> DataFr
     refs = references.where(F.coalesce(T.strip(F.col("text")), F.lit("")) != "").select(
         F.col("id").alias("__id"), F.col("text").alias("__text"), "legal_reference", "original_language", "ref_pos", F.col("vec").alias("__vec")
     )
-    own = requirements.join(refs, F.col("id") == F.col("__id"), "left").withColumn("sim", F.when(F.col("__id").isNotNull(), cosine(F.col("vec"), F.col("__vec"))))
-    # Best first: an aggregation that combines before the shuffle, with the tie-break inside.
+    own = salted_join(requirements, refs, "id", "__id", "ref_pos", "left").withColumn("sim", F.when(F.col("__id").isNotNull(), cosine(F.col("vec"), F.col("__vec"))))
+    # Best first: each part of a hot id has its best, combined before the shuffle, with the tie-break inside.
     rank = F.struct((-F.round("sim", 12)).alias("s"), "ref_pos")
     best = own.groupBy("pos", "id", "title", "text").agg(
         F.count("__id").cast("int").alias("num_valid_references"), F.min_by(F.struct("sim", "legal_reference", "original_language", "__text"), F.when(F.col("__id").isNotNull(), rank)).alias("b")
@@ -77,7 +78,7 @@ def best_by_token_match(requirements: DataFrame, references: DataFrame, scorer=t
     """
     reqs = requirements.where(F.col("id").isNotNull() & F.col("text").isNotNull() & (T.strip(F.col("text")) != ""))
     refs = references.where(F.col("text").isNotNull()).select(F.col("id").alias("__id"), F.col("text").alias("__text"), "legal_reference", "ref_pos", F.col("tokens").alias("__tokens"))
-    own = reqs.join(refs, F.col("id") == F.col("__id")).withColumn("s", scorer(F.col("tokens"), F.col("__tokens")))
+    own = salted_join(reqs, refs, "id", "__id", "ref_pos", "inner").withColumn("s", scorer(F.col("tokens"), F.col("__tokens")))
     rank = F.struct((-F.round("s.f1", 12)).alias("f"), "ref_pos")
     best = own.groupBy("pos", "id", "title").agg(F.min_by(F.struct("s", "legal_reference", "__text"), rank).alias("b"))
     return best.select("pos", "id", "title", "b.s.precision", "b.s.recall", "b.s.f1", F.col("b.legal_reference").alias("best_legal_reference"), F.col("b.__text").alias("best_normative_excerpt"))

@@ -166,7 +166,8 @@ def smell_rows_file(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(F.concat(F.lit("R"), _place()).alias("Req Id"), F.when(_place() % 5 != 0, F.col("text")).alias("Body"))
     path = f"{_folder(spark)}/rows.json"
     writers.single_json(rows, path)
-    return readers.read_rows(spark, path, "Req Id", "Body").where("text is not null").select("req_id", F.md5("text").alias("text_md5"))
+    found = smells.detect_smells(readers.read_rows(spark, path, "Req Id", "Body"), all_checks=False, hide_clean=False)
+    return found.select(F.col("ID").alias("req_id"), F.md5("Requirement").alias("text_md5"))
 
 
 def smell_messages(spark, sf_dir):
@@ -309,10 +310,10 @@ def token_match_file(spark, sf_dir):
     """Requirements without id or with a blank text and references without text drop out."""
     docs = _docs(spark, sf_dir)
     reqs = docs.where(_place() % 4 == 0).select(
-        _place().alias("pos"), F.when(_place() % 12 != 0, _place() % 100).cast("string").alias("id"), F.lit("t").alias("title"), F.when(_place() % 20 == 4, F.lit(" \n")).when(_place() % 20 != 8, F.substring("text", 1, 200)).alias("text")
+        _place().alias("pos"), F.when(_place() % 12 != 0, _place() % 100).cast("string").alias("id"), F.lit("t").alias("title"), F.when(_place() % 20 == 4, F.lit(" \n")).when(_place() % 20 != 8, F.col("text")).alias("text")
     )
     refs = docs.where(_place() % 4 != 0).select(
-        _place().alias("ref_pos"), (_place() % 100 - _place() % 4).cast("string").alias("id"), F.when(_place() % 5 != 0, F.substring("text", 1, 200)).alias("text"), F.concat(F.lit("law "), _place()).alias("legal_reference")
+        _place().alias("ref_pos"), (_place() % 100 - _place() % 4).cast("string").alias("id"), F.when(_place() % 5 != 0, F.col("text")).alias("text"), F.concat(F.lit("law "), _place()).alias("legal_reference")
     )
     own = lambda d: d.withColumn("tokens", T.tokens_en(F.lower("text")))
     path = f"{_folder(spark)}/tokens.json"
@@ -343,18 +344,18 @@ def _toy_model():
 
 def encoded_texts(spark, sf_dir):
     """A model's token vectors: cut to the most tokens, pooled under the mask, scaled to length 1, in batches."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.trim(F.substring("text", 1, 300)).alias("text"))
+    docs = _docs(spark, sf_dir).select("doc_id", F.trim("text").alias("text"))
     coder = vectors.ModelEncoder(vectors.token_encoder(_toy_model, MAX_LENGTH), "array<double>", BATCH)
     out = coder.encode(docs, "text", "vec")
     return out.select("doc_id", *[F.round(F.get("vec", F.lit(k)), 9).alias(f"x{k}") for k in range(DIMS)])
 
 
 def defaults(spark, sf_dir):
-    """Names by language and purpose, and the lists that the report states."""
-    pairs = [("es", vectors.language_model("es")), ("en", vectors.language_model("en"))]
-    pairs += [("used " + str(x), "%s %s" % readers.resolve_language(*x)) for x in (("es", None), ("es", "en"), (None, "en"), ("en", "en"))]
-    pairs += [("excluded", ",".join(smell_report.excluded_fields())), ("names", ",".join(smell_report.parse_names(" b, ,a,b")))]
-    return spark.createDataFrame(pairs, "name string, value string")
+    """The language model that each language of the documents is given, and whether the language differs from one asked for; others have none."""
+    used = {lang: readers.resolve_language(lang, "en") for lang in vectors.LANGUAGE_MODELS}
+    langs = _docs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    pick = lambda value: F.coalesce(*[F.when(F.col("lang") == lang, F.lit(value(lang))) for lang in sorted(used)])
+    return langs.select("lang", "n", pick(vectors.language_model).alias("model"), pick(lambda x: used[x][0]).alias("used"), pick(lambda x: used[x][1]).alias("differs"))
 
 
 QUERIES = {
@@ -466,8 +467,8 @@ def oracle_sql() -> dict[str, str]:
         "metrics_file": f"SELECT 'C1' AS catalog_id, 'en' AS lang_used, {C.PAIR_THRESHOLD}::DOUBLE AS threshold, -1 AS top_k, id AS req_id, mean_sim, degree_t FROM ({base['requirement_metrics']})",
         "readability_file": f"SELECT doc_id::VARCHAR AS id, 'C1' AS catalog_id, words::BIGINT AS words, round(flesch, 6) AS flesch, round(fkgl, 6) AS flat_fkgl, sentences::BIGINT AS flat_sentences FROM ({base['readability_en']})",
         "similarity_file": f"SELECT * EXCLUDE (requirement_text) FROM ({base['best_reference_similarity']}) WHERE best_cosine_similarity IS NOT NULL",
-        "token_match_file": f"""WITH q AS (SELECT doc_id AS pos, (doc_id % 100)::VARCHAR AS id, CASE WHEN doc_id % 20 = 4 THEN ' ' || chr(10) WHEN doc_id % 20 <> 8 THEN substr(text, 1, 200) END AS text FROM documents WHERE doc_id % 4 = 0 AND doc_id % 12 <> 0),
-            ref AS (SELECT doc_id AS ref_pos, (doc_id % 100 - doc_id % 4)::VARCHAR AS id, substr(text, 1, 200) AS text FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0),
+        "token_match_file": f"""WITH q AS (SELECT doc_id AS pos, (doc_id % 100)::VARCHAR AS id, CASE WHEN doc_id % 20 = 4 THEN ' ' || chr(10) WHEN doc_id % 20 <> 8 THEN text END AS text FROM documents WHERE doc_id % 4 = 0 AND doc_id % 12 <> 0),
+            ref AS (SELECT doc_id AS ref_pos, (doc_id % 100 - doc_id % 4)::VARCHAR AS id, text FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0),
             j AS (SELECT q.pos, q.id, ref_pos, ref.text AS excerpt, regexp_extract_all(lower(q.text), '{T.TOKEN_EN}') AS a, regexp_extract_all(lower(ref.text), '{T.TOKEN_EN}') AS b FROM q JOIN ref USING (id) WHERE {C._strip('q.text')} <> '' AND ref.text IS NOT NULL),
             s AS (SELECT *, CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda t: list_contains(b, t))) / len(a) ELSE 0 END AS p, CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda t: list_contains(a, t))) / len(b) ELSE 0 END AS r FROM j),
             w AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(f, 12) DESC, ref_pos) AS rn FROM w)
@@ -475,9 +476,9 @@ def oracle_sql() -> dict[str, str]:
         "token_vectors_match": f"""WITH v AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS vec FROM embeddings), t AS (SELECT pos, {unit.format(v='[' + ', '.join(parts) + ']')} AS x FROM v),
             s AS (SELECT a.pos, {best.format(x='a.x', y='b.x')} AS p, {best.format(x='b.x', y='a.x')} AS r FROM t a JOIN t b ON b.pos = a.pos + 1)
             SELECT pos, round(p, 9) AS precision, round(r, 9) AS recall, round((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END - 0.1::DOUBLE) / (1 - 0.1::DOUBLE), 9) AS f1 FROM s""",
-        "encoded_texts": f"""WITH t AS (SELECT doc_id, list_transform(string_split(substr(trim(substr(text, 1, 300)), 1, {MAX_LENGTH}), ''), lambda x: unicode(x) % 50) AS c FROM documents),
+        "encoded_texts": f"""WITH t AS (SELECT doc_id, list_transform(string_split(substr(trim(text), 1, {MAX_LENGTH}), ''), lambda x: unicode(x) % 50) AS c FROM documents),
             p AS (SELECT doc_id, [{', '.join(pooled)}] AS x FROM t), n AS (SELECT doc_id, x, greatest(sqrt(list_dot_product(x, x)), 1e-12) AS l FROM p)
             SELECT doc_id, {', '.join(f'round(x[{d + 1}] / l, 9) AS x{d}' for d in range(DIMS))} FROM n""",
-        "defaults": "SELECT * FROM (VALUES ('es', 'es_core_news_sm'), ('en', 'en_core_web_sm'), ('used (''es'', None)', 'es False'), ('used (''es'', ''en'')', 'en True'), ('used (None, ''en'')', 'en False'), ('used (''en'', ''en'')', 'en False'), "
-        f"('excluded', {C._q(','.join(sorted(L.EXCLUDED)))}), ('names', 'b,a')) AS t(name, value)",
+        "defaults": """SELECT lang, count(*) AS n, CASE lang WHEN 'es' THEN 'es_core_news_sm' WHEN 'en' THEN 'en_core_web_sm' END AS model, CASE WHEN lang IN ('es', 'en') THEN 'en' END AS used,
+            CASE lang WHEN 'es' THEN true WHEN 'en' THEN false END AS differs FROM documents GROUP BY lang""",
     }

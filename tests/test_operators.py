@@ -131,6 +131,29 @@ def test_consistency(spark):
     assert [(r.pos, r.best_legal_reference) for r in best] == [(0, "L0")]
 
 
+def test_hot_ids_are_split(spark):
+    """One id with half of all references: the rows of the plain rule, and no part of the join over three times the median."""
+    import random
+
+    from lucidreq.operators.skew import salted_join
+
+    r = random.Random(5)
+    refs = [(k, "hot" if k % 2 else r.choice(["a", "b", None, f"n{r.randrange(300)}"]), f"t{k}", f"L{k}", "es", [float(r.randrange(1, 4)), float(r.randrange(4))]) for k in range(4000)]
+    reqs = [(k, i, "t", "x", [1.0, float(k)]) for k, i in enumerate(["hot", "a", "hot", "none", None, "b", *[f"n{k}" for k in range(100)]])]
+    left = spark.createDataFrame(reqs, "pos int, id string, title string, text string, vec array<double>")
+    right = spark.createDataFrame(refs, "ref_pos int, id string, text string, legal_reference string, original_language string, vec array<double>")
+    got = {x.pos: x for x in consistency.best_by_similarity(left, right).collect()}
+    cos = lambda v, w: sum(a * b for a, b in zip(v, w, strict=True)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5
+    for pos, i, _, _, v in reqs:
+        own = [x for x in refs if x[1] == i and i is not None]
+        best = min(own, key=lambda x: (-round(cos(v, x[5]), 12), x[0]), default=None)
+        assert (got[pos].num_valid_references, got[pos].best_legal_reference) == (len(own), best and best[3])
+    one = left.where("pos = 0").select("pos", "id")
+    parts = salted_join(one.withColumn("x", F.lit(1)), right.select(F.col("id").alias("__id"), "ref_pos"), "id", "__id", "ref_pos", "inner")
+    sizes = sorted(n for (n,) in parts.groupBy(F.pmod(F.xxhash64("ref_pos"), F.lit(32))).agg(F.count(F.lit(1)).alias("n")).select("n").collect())
+    assert sum(sizes) == 2000 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_greedy_match_of_one_hot_vectors_is_token_match(spark):
     df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0]], ["a", "b"], ["a"])], "x array<array<double>>, y array<array<double>>, s array<string>, t array<string>")
     row = df.select(consistency.greedy_match(F.col("x"), F.col("y")).alias("g"), consistency.token_match(F.col("s"), F.col("t")).alias("m")).first()
