@@ -21,10 +21,10 @@ def value(r, depth=0):
     return [value(r, depth + 1) for _ in range(r.randrange(4))] if depth < 2 else "z"
 
 
-@pytest.mark.parametrize("size, entry, indent", [(37, "list", None), (211, "list", 2), (97, None, 0), (10**6, None, None)])
+@pytest.mark.parametrize("size, entry, indent", [(101, "list", None), (311, "list", 2), (197, None, 0), (10**6, None, None)])
 def test_ranges(spark, tmp_path, size, entry, indent):
     r = random.Random(size)
-    items = [{"id": str(k), "t": value(r), "list": value(r)} if r.random() < 0.9 else r.choice([None, 1, "s}{", [1, {"a": 2}], []]) for k in range(30)]
+    items = [{"id": str(k), "t": value(r), "list": value(r)} if r.random() < 0.9 else r.choice([None, 1, "s}{", [1, {"a": 2}], []]) for k in range(24)]
     doc = {"catalog_id": "C", "meta": {"list": [{"q": 1}], "z": value(r)}, "other": [{"a": "}"}, value(r)], "list": items, "after": {"list": [1, {}]}}
     text = json.dumps(doc if entry else items, ensure_ascii=size % 2 == 0, indent=indent)
     path = tmp_path / "d.json"
@@ -46,7 +46,7 @@ def test_ranges(spark, tmp_path, size, entry, indent):
 
 def test_many_tasks_and_small_rows(spark, tmp_path):
     """Eight ranges are read by eight tasks, and no row is longer than an element."""
-    rows = spark.range(20_000).selectExpr("id", "repeat('text } ', 20) as t")
+    rows = spark.range(8_000).selectExpr("id", "repeat('text } ', 20) as t")
     writers.single_document(rows.orderBy("id"), F.to_json(F.struct("id", "t")), tmp_path / "big.json", "list", {"catalog_id": "C"})
     size = (tmp_path / "big.json").stat().st_size
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -57,7 +57,7 @@ def test_many_tasks_and_small_rows(spark, tmp_path):
         got = found.elements.selectExpr("place", "get_json_object(json, '$.id') as id", "length(json) as n").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert sorted((r.place, int(r.id)) for r in got) == [(k, k) for k in range(20_000)]
+    assert sorted((r.place, int(r.id)) for r in got) == [(k, k) for k in range(8_000)]
     assert max(r.n for r in got) < 300
 
 
