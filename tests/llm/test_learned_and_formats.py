@@ -479,6 +479,67 @@ def test_pages_keep_what_the_article_holds(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Readers' comments, however they are marked up.
+        ('<article><p>Own text, long.</p><article class="comment"><p>I agree, fully.</p></article></article>', "Own text, long."),
+        ('<article><p>Own text, long.</p><ol><li class="comment even" id="comment-7">I agree, fully.</li></ol></article>', "Own text, long."),
+        ('<article><p>Own text, long.</p><div class="commentSection"><p>I agree, fully.</p></div></article>', "Own text, long."),
+        ('<article><p>Own text, long.</p><section itemprop="comment"><p>I agree, fully.</p></section></article>', "Own text, long."),
+        # Adverts and notices of the site.
+        ('<article><p>Own text, long.</p><p class="advert">Buy this, now.</p><p class="cookie-notice">We use cookies, yes.</p></article>', "Own text, long."),
+        ('<article><p>Own text, long.</p><div class="adBox">Buy this, now.</div></article>', "Own text, long."),
+        ('<article><p>Own text, long.</p><div class="share"><a>Post</a> <a>Mail</a></div><div class="related"><a>Other news, here</a></div></article>', "Own text, long."),
+        # Names that only hold such a word, or also name a topic.
+        ('<article><p>Own text.</p><div class="market share"><p>The market share of the firm grew by a third in one year, to a half.</p></div></article>', "Own text.\nThe market share of the firm grew by a third in one year, to a half."),
+        ('<article><div class="tags-explained"><p>Own text, long.</p></div></article>', "Own text, long."),
+        ('<article><section class="related-work"><h2>Related work</h2><p>Others did this.</p></section></article>', "Related work\nOthers did this."),
+        ('<article><section id="search"><p>The search reads the index from its end, and stops where nothing is left of it.</p></section></article>', "The search reads the index from its end, and stops where nothing is left of it."),
+        ('<body><div class="header-image-story"><p>Own text, long.</p></div></body>', "Own text, long."),
+        ('<body><div class="has-sidebar"><p>Own text, long.</p></div></body>', "Own text, long."),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p class="tag">Own text, long.</p></article>', "Title\nOwn text, long."),
+        # Bare containers.
+        ("<body><div><a>Home</a> <a>About</a></div><div>Own text, long, of the page.</div><div>It goes on, so it does.</div><div>Copyright 2020 the firm.</div></body>", "Own text, long, of the page.\nIt goes on, so it does."),
+        # Other articles.
+        ('<article><p>Own text, long, of the page.</p></article><article class="teaser"><p>Another text, which is long as well.</p></article>', "Own text, long, of the page."),
+        ("<article><p>First part, of the page.</p></article><article><p>Second part, of the page.</p></article>", "First part, of the page.\nSecond part, of the page."),
+        ("<body><p><a>A paragraph, all of it a link.</a></p></body>", "A paragraph, all of it a link."),
+        ("<body><nav><a>Home</a></nav><div><a>Home</a> <a>About</a></div></body>", ""),
+    ],
+)
+def test_pages_by_names_and_ratios(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_generated_pages_without_loss():
+    """Every part of an article and no part beside it, on pages put together at random."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("stone river cold long north house walked seven".split()) for _ in range(n))
+    for _ in range(300):
+        own, html = [], []
+
+        def add(shape):
+            text = f"{words(rng.randint(14, 40)).capitalize()}, {words(4)}."
+            own.append(text)
+            return shape % text
+
+        innocent = ['<div class="market share"><p>%s</p></div>', '<section class="related-work"><p>%s</p></section>', '<section id="search"><p>%s</p></section>', '<p class="note">%s</p>', "<p>%s</p>", "<ul><li>%s</li></ul>", '<div class="tags-explained"><p>%s</p></div>', "<blockquote>%s</blockquote>"]
+        foreign = ['<article class="comment"><p>%s</p></article>', '<ul><li class="comment">%s</li></ul>', '<div class="commentList"><p>%s</p></div>', '<p class="advert">%s</p>', '<div class="adSlot">%s</div>', '<div class="cookieNotice"><p>%s</p></div>', '<aside>%s</aside>', '<div class="share"><a href="/">%s</a></div>', '<form><p>%s</p></form>', '<div class="newsletter-signup"><p>%s</p></div>']
+        for _ in range(rng.randint(3, 9)):
+            html.append(add(rng.choice(innocent)))
+            if rng.random() < 0.5:
+                html.append(rng.choice(foreign) % f"Strange {words(8)}, {words(3)}.")
+        holder = rng.choice(["<article>%s</article>", "<main>%s</main>", '<main><article class="post tag-news">%s</article></main>'])
+        page = f'<html><body><div class="top-nav"><a>{words(2)}</a></div>{holder % "".join(html)}<article class="teaser"><p>{words(30)}, {words(9)}.</p></article><footer>{words(9)}</footer></body></html>'
+        assert html_extract.main_text(page) == "\n".join(own)
+
+
+def test_extract_keeps_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "mine", "<p>A, b.</p>")], "`__page` long, `a.b` string, html string")
+    assert html_extract.extract(pages).collect() == [(1, "mine", "A, b.", 5)]
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>A, b.</p></article>", "x"), (1, "u", None, "y")], "page_id long, url string, html string, n_chars string")
     out = html_extract.extract(pages)
