@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .order_statistics import floor_percentile  # noqa: F401
 
 
 def is_present(df: DataFrame, name: str) -> Column:
@@ -109,16 +110,6 @@ def summary(rows: DataFrame) -> DataFrame:
     return main.withColumn("issues_p90", p90).drop(*[f"__upto{k}" for k in range(most + 1)])
 
 
-def floor_percentile(rows: DataFrame, value: str, p: float, name: str) -> DataFrame:
-    """One row with sorted(values)[int(p (n - 1))], null for no rows; the histogram is aggregated first."""
-    hist = rows.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    packed = hist.agg(F.sum("k").alias("n"), F.sort_array(F.collect_list(F.struct("v", "k"))).alias("h"))
-    at = (F.lit(p) * (F.col("n") - 1)).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(dict(rows.dtypes)[value]).alias("v"))
-    step = lambda a, x: F.struct((a["seen"] + x["k"]).alias("seen"), F.when(a["seen"] <= at, x["v"]).otherwise(a["v"]).alias("v"))
-    return packed.select(F.aggregate("h", start, step)["v"].alias(name))
-
-
 def summary_pairs(row: DataFrame) -> DataFrame:
     """The summary as metric, value rows."""
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in row.columns])).alias("p")).select("p.metric", "p.value")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import cleaning, consistency, readability, redundancy, smell_report, smells, vectors
+from ..operators import cleaning, consistency, order_statistics, readability, redundancy, smell_report, smells, vectors
 from ..sources import readers
 from ..storage import materialize
 
@@ -63,6 +63,22 @@ def readability_es(spark, sf_dir):
     return _rounded(readability.readability_es(docs).drop("text"), 6)
 
 
+#: Places that the order statistics report beside the median.
+QUANTILES = {"least": 0.0, "p10": 0.1, "p90": 0.9, "most": 1.0}
+_READABILITY = ["flesch", "fkgl", "fog", "smog", "ari", "coleman_liau"]
+_AMOUNTS = ["quantity", "amount", "discount"]
+
+
+def readability_statistics(spark, sf_dir):
+    """Median and floor percentiles of each index over the English documents that have it."""
+    return _rounded(order_statistics.order_statistics(readability_en(spark, sf_dir), _READABILITY, QUANTILES), 9)
+
+
+def amount_statistics(spark, sf_dir):
+    """The same of the amounts of a shop's sale lines, which have nulls and many ties."""
+    return _rounded(order_statistics.order_statistics(_table(spark, sf_dir, "sale_lines"), _AMOUNTS, QUANTILES), 9)
+
+
 # ------------------------------------------------------------------- smells
 
 
@@ -235,6 +251,8 @@ _QUERIES: dict[str, Callable] = {
     for f in (
         readability_en,
         readability_es,
+        readability_statistics,
+        amount_statistics,
         smell_findings,
         smell_subjectivity,
         smell_default_rules,
@@ -316,6 +334,13 @@ def _en_counts(source: str, keep: str) -> str:
 _FLESCH = f"206.835::DOUBLE - 1.015::DOUBLE * ({_W} / {_S}) - 84.6::DOUBLE * ({_Y} / {_W})"
 
 
+def _sql_order(columns: list[str], table: str) -> str:
+    places = ", ".join(f"x[1 + floor({p} * (n - 1))::BIGINT] AS {k}" for k, p in QUANTILES.items())
+    one = [f"SELECT '{c}' AS metric, count({c}) AS n, list_sort(list({c}::DOUBLE) FILTER ({c} IS NOT NULL)) AS x FROM t" for c in columns]
+    rounded = ", ".join(f"round({k}, 9) AS {k}" for k in QUANTILES)
+    return f"WITH t AS ({table}), v AS ({' UNION ALL '.join(one)}), q AS (SELECT metric, n, (x[1 + (n - 1) // 2] + x[1 + n // 2]) / 2 AS median, {places} FROM v) SELECT metric, n, round(median, 9) AS median, {rounded} FROM q"
+
+
 def _sql_readability_en() -> str:
     m = {
         "flesch": _FLESCH,
@@ -457,6 +482,8 @@ o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recal
     return {
         "readability_en": _sql_readability_en(),
         "readability_es": _sql_readability_es(),
+        "readability_statistics": _sql_order(_READABILITY, _sql_readability_en()),
+        "amount_statistics": _sql_order(_AMOUNTS, "SELECT * FROM sale_lines"),
         "smell_findings": _sql_smell_findings(),
         "smell_subjectivity": f"WITH {_REQ} SELECT req_id, round(CASE WHEN len({share}) > 0 THEN least(1::DOUBLE, len(list_filter({share}, lambda x: list_contains({_list(L.SUBJECTIVITY)}, x))) * 5::DOUBLE / len({share})) ELSE 0 END, 9) AS subjectivity FROM r",
         "smell_default_rules": f"""WITH {_findings_ctes()} SELECT "ID", "Ambiguity Detected" AS ambiguity, coalesce("Security Related", false) AS security, coalesce("Not a Requirement", false) AS not_a_requirement FROM f

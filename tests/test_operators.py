@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lucidreq.operators import consistency, redundancy, smell_report, smells, vectors
+from lucidreq.operators import consistency, order_statistics, redundancy, smell_report, smells, vectors
 from lucidreq.operators.graph import connected_components, merged_components
 from lucidreq.sources import readers, writers
 
@@ -35,7 +35,42 @@ def test_smells_default_rules_and_extra_rule(spark):
 @pytest.mark.parametrize("n, at", [(1, 0), (5, 3), (7, 5), (11, 9)])
 def test_floor_percentile(spark, n, at):
     df = spark.createDataFrame([(i * 2,) for i in range(n)], "v int")
-    assert smell_report.floor_percentile(df, "v", 0.9, "p").first().p == at * 2
+    assert order_statistics.floor_percentile(df, "v", 0.9, "p").first().p == at * 2
+
+
+def test_order_statistics_of_many_values(spark):
+    """Doubles with ties, both zeros, nulls and extreme sizes, and longs beyond the precision of doubles, against a sort."""
+    import numpy as np
+
+    x = F.rand(3)
+    rows = spark.range(150_000).select(
+        F.when(x < 0.1, F.lit(None)).when(x < 0.4, F.lit(1.5)).when(x < 0.41, F.lit(-0.0)).when(x < 0.7, F.exp(F.randn(5) * 90)).otherwise(-F.exp(F.randn(6))).alias("a.x"),
+        (F.lit(2**60) + F.pmod(F.col("id") * 7919, F.lit(20_011))).alias("big"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    rows = rows.persist()
+    try:
+        got = {r.metric: r for r in order_statistics.order_statistics(rows, ["a.x", "big", "none"], {"low": 0.05, "p90": 0.9, "most": 1.0}).collect()}
+        own = np.sort(np.array([r[0] for r in rows.select("`a.x`").where("`a.x` is not null").collect()]))
+        n = len(own)
+        assert got["a.x"].n == n
+        assert [got["a.x"].low, got["a.x"].p90, got["a.x"].most] == [own[int(0.05 * (n - 1))], own[int(0.9 * (n - 1))], own[-1]]
+        assert got["a.x"].median == (own[(n - 1) // 2] + own[n // 2]) / 2
+        big = np.sort(np.array([r[0] for r in rows.select("big").collect()]))
+        places = [0, 23_456, 75_000, 149_999]
+        found = order_statistics.values_at(rows, {"big": places}, {"big": 150_000})
+        assert [found[("big", k)] for k in places] == [int(big[k]) for k in places]
+        assert tuple(got["none"]) == ("none", 0, None, None, None, None)
+    finally:
+        rows.unpersist()
+
+
+def test_order_statistics_of_little(spark):
+    rows = spark.createDataFrame([(float("nan"),), (2.0,), (None,), (1.0,)], "v double")
+    r = order_statistics.order_statistics(rows, ["v"], {"p0": 0.0, "p1": 1.0}).first()
+    assert (r.n, r.median, r.p0) == (3, 2.0, 1.0) and math.isnan(r.p1)
+    assert order_statistics.order_statistics(rows.where("false"), ["v"], {"p": 0.9}).collect() == [("v", 0, None, None)]
+    assert order_statistics.floor_percentile(rows.where("false"), "v", 0.9, "p").first().p is None
 
 
 def test_report(spark):
