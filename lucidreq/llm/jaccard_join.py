@@ -247,10 +247,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = jaccard_components(docs)
     first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th")).alias("k"))
     keep = first.select("k.doc_id", "k.th").unionAll(rows.where("component is null").select("doc_id", "th").distinct())
-    keep = keep.select(F.col("doc_id").alias("__k"), F.col("th").alias("__t"))
-    own = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__h": F.xxhash64(text_or_empty())})
-    out = own.join(keep, same(F.col("__d"), F.col("__k")) & (F.col("__h") == F.col("__t")))
-    return out.dropDuplicates(["__d", "__h"]).select(*docs.columns)
+    # The input's columns travel in one struct, so no name of theirs can clash.
+    keep = keep.select(F.col("doc_id").alias("k"), F.col("th").alias("t"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_or_empty()).alias("h"))
+    out = own.join(keep, same(F.col("d"), F.col("k")) & (F.col("h") == F.col("t")))
+    return out.dropDuplicates(["d", "h"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

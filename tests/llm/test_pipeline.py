@@ -183,3 +183,13 @@ def test_very_long_texts(spark, docs_of):
     tk = word_tokenizer.WordTokenizer(word_tokenizer.default_path()).tk
     tokens = {x.doc_id: x.n_tokens for x in token_output.encode_corpus(docs.where("doc_id in (1, 3, 5, 7)")).collect()}
     assert tokens == {d: len(tk.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows if d in (1, 3, 5, 7)}
+
+
+def test_join_stage_keeps_names_of_any_kind(spark):
+    from lucidreq.llm import jaccard_join
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "mine", 5, "k"), (2, text, "yours", 6, "k"), (3, None, "n", 7, None)], "doc_id long, text string, `__d` string, `__h` int, `__k.x` string")
+    out = jaccard_join.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, text, "mine", 5, "k"), (3, None, "n", 7, None)]
