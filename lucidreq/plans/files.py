@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import cleaning, consistency, readability, redundancy, smell_report, smells, vectors
+from ..operators import cleaning, consistency, readability, redundancy, smell_report, smells, token_matrices, vectors
 from ..sources import readers, writers
 from ..sources.json_document import read_document
 from ..sources.workbook import read_workbook, write_workbook
@@ -335,6 +335,14 @@ def token_vectors_match(spark, sf_dir):
     return C._rounded(scored.select("pos", "s.precision", "s.recall", consistency.rescaled(F.col("s.f1"), 0.1).alias("f1")), 9)
 
 
+def ragged_vectors_match(spark, sf_dir):
+    """The same as products of matrices, with one to eight tokens on either side."""
+    v = C.vectors_of(spark, sf_dir).select("pos", "vec")
+    some = lambda c, k: F.slice(_tokens(c), 1, (k % 8 + 1).cast("int"))
+    pairs = v.join(v.select((F.col("pos") - 1).alias("pos"), F.col("vec").alias("next")), "pos").select("pos", some("vec", F.col("pos")).alias("a"), some("next", F.col("pos") * 3 + 1).alias("b"))
+    return C._rounded(token_matrices.match_pairs(pairs, "a", "b").select("pos", "match.precision", "match.recall", "match.f1"), 9)
+
+
 def _toy_model():
     """Token ids are characters' code points; a token's vector is what remains of its id."""
     import numpy as np
@@ -386,6 +394,7 @@ QUERIES = {
         similarity_file,
         token_match_file,
         token_vectors_match,
+        ragged_vectors_match,
         encoded_texts,
         defaults,
     )
@@ -476,6 +485,10 @@ def oracle_sql() -> dict[str, str]:
         "token_vectors_match": f"""WITH v AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS vec FROM embeddings), t AS (SELECT pos, {unit.format(v='[' + ', '.join(parts) + ']')} AS x FROM v),
             s AS (SELECT a.pos, {best.format(x='a.x', y='b.x')} AS p, {best.format(x='b.x', y='a.x')} AS r FROM t a JOIN t b ON b.pos = a.pos + 1)
             SELECT pos, round(p, 9) AS precision, round(r, 9) AS recall, round((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END - 0.1::DOUBLE) / (1 - 0.1::DOUBLE), 9) AS f1 FROM s""",
+        "ragged_vectors_match": f"""WITH v AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS vec FROM embeddings), t AS (SELECT pos, {unit.format(v='[' + ', '.join(parts) + ']')} AS x FROM v),
+            w AS (SELECT a.pos, a.x[1:a.pos % 8 + 1] AS x, b.x[1:(a.pos * 3 + 1) % 8 + 1] AS y FROM t a JOIN t b ON b.pos = a.pos + 1),
+            s AS (SELECT pos, {best.format(x='x', y='y')} AS p, {best.format(x='y', y='x')} AS r FROM w)
+            SELECT pos, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM s""",
         "encoded_texts": f"""WITH t AS (SELECT doc_id, list_transform(string_split(substr(trim(text), 1, {MAX_LENGTH}), ''), lambda x: unicode(x) % 50) AS c FROM documents),
             p AS (SELECT doc_id, [{', '.join(pooled)}] AS x FROM t), n AS (SELECT doc_id, x, greatest(sqrt(list_dot_product(x, x)), 1e-12) AS l FROM p)
             SELECT doc_id, {', '.join(f'round(x[{d + 1}] / l, 9) AS x{d}' for d in range(DIMS))} FROM n""",

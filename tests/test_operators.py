@@ -38,6 +38,31 @@ def test_floor_percentile(spark, n, at):
     assert order_statistics.floor_percentile(df, "v", 0.9, "p").first().p == at * 2
 
 
+def test_matrices_match_as_the_column_expression_does(spark):
+    """Ragged sides, empty and null ones, columns of any name; and real sizes against the plain formula."""
+    import random
+
+    import numpy as np
+
+    from lucidreq.operators import token_matrices
+
+    rng = random.Random(2)
+    side = lambda: rng.choice([None, []]) if rng.random() < 0.2 else [[rng.uniform(-1, 1) for _ in range(5)] for _ in range(rng.randint(1, 6))]
+    rows = spark.createDataFrame([(i, "x", side(), side()) for i in range(60)], "`a.b` int, row string, a array<array<float>>, b array<array<float>>")
+    want = {r[0]: r[1] for r in rows.select("`a.b`", consistency.greedy_match(F.col("a"), F.col("b"))).collect()}
+    out = token_matrices.match_pairs(rows.repartition(3), "a", "b")
+    assert out.columns == ["a.b", "row", "match"]
+    for r in out.collect():
+        assert r["row"] == "x" and tuple(r["match"]) == pytest.approx(tuple(want[r["a.b"]]), abs=1e-9)
+    assert token_matrices.match_pairs(rows.where("false"), "a", "b").count() == 0
+    gen = np.random.default_rng(1)
+    a, b = gen.normal(size=(256, 768)), gen.normal(size=(8200, 768))
+    p, r, _ = token_matrices.match(a, b)
+    assert (p, r) == pytest.approx(((a @ b.T).max(axis=1).mean(), (a @ b.T).max(axis=0).mean()))
+    with pytest.raises(Exception, match="one length"):
+        token_matrices.match_pairs(spark.createDataFrame([([[1.0], [1.0, 2.0]], [[1.0]])], "a array<array<double>>, b array<array<double>>"), "a", "b").collect()
+
+
 def test_order_statistics_of_many_values(spark):
     """Doubles with ties, both zeros, nulls and extreme sizes, and longs beyond the precision of doubles, against a sort."""
     import numpy as np
