@@ -102,6 +102,25 @@ def _count(rows: DataFrame, open_: list[_Place], ends: list[tuple]) -> None:
         p.narrow(a, b, got[f"u{i}"], got[f"a{i}"], got[f"m{i}"], got[f"b{i}"])
 
 
+def _finish(rows: DataFrame, column: str, left: list[_Place]) -> None:
+    """Counts the values in a column's last brackets in one pass; places that share a bracket share its counts."""
+    brackets = list({(p.low, p.high): p for p in left}.values())
+    if not brackets:
+        return
+    held = F.array_compact(F.array(*[F.when(p.within(), F.lit(i)) for i, p in enumerate(brackets)]))
+    counts = rows.select(F.col(column).alias("v"), F.explode(held).alias("i")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("k"))
+    lists: dict[tuple, list] = {(p.low, p.high): [] for p in brackets}
+    for i, v, k in counts.orderBy("i", "v").collect():  # FEW rows at most for each bracket
+        lists[(brackets[i].low, brackets[i].high)].append((v, k))
+    for p in left:
+        seen = p.below
+        for v, k in lists[(p.low, p.high)]:
+            seen += k
+            if p.place < seen:
+                p.found = v
+                break
+
+
 def values_at(rows: DataFrame, places: dict[str, list[int]], sizes: dict[str, int]) -> dict[tuple[str, int], object]:
     """The values at 0-based places among each column's sorted values.
 
@@ -114,14 +133,8 @@ def values_at(rows: DataFrame, places: dict[str, list[int]], sizes: dict[str, in
         if not open_:
             break
         _count(rows, open_, _split(rows, open_))
-    for p in [p for p in states.values() if not p.done]:
-        seen = p.below
-        counts = rows.where(p.within()).groupBy(F.col(p.column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        for v, k in counts.orderBy("v").collect():  # FEW rows at most
-            seen += k
-            if p.place < seen:
-                p.found = v
-                break
+    for column in places:
+        _finish(rows, column, [p for p in states.values() if p.column == column and not p.done])
     return {key: p.found for key, p in states.items()}
 
 

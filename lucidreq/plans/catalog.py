@@ -71,12 +71,12 @@ _AMOUNTS = ["quantity", "amount", "discount"]
 
 def readability_statistics(spark, sf_dir):
     """Median and floor percentiles of each index over the English documents that have it."""
-    return _rounded(order_statistics.order_statistics(readability_en(spark, sf_dir), _READABILITY, QUANTILES), 9)
+    return order_statistics.order_statistics(readability_en(spark, sf_dir), _READABILITY, QUANTILES)
 
 
 def amount_statistics(spark, sf_dir):
     """The same of the amounts of a shop's sale lines, which have nulls and many ties."""
-    return _rounded(order_statistics.order_statistics(_table(spark, sf_dir, "sale_lines"), _AMOUNTS, QUANTILES), 9)
+    return order_statistics.order_statistics(_table(spark, sf_dir, "sale_lines"), _AMOUNTS, QUANTILES)
 
 
 # ------------------------------------------------------------------- smells
@@ -337,8 +337,7 @@ _FLESCH = f"206.835::DOUBLE - 1.015::DOUBLE * ({_W} / {_S}) - 84.6::DOUBLE * ({_
 def _sql_order(columns: list[str], table: str) -> str:
     places = ", ".join(f"x[1 + floor({p} * (n - 1))::BIGINT] AS {k}" for k, p in QUANTILES.items())
     one = [f"SELECT '{c}' AS metric, count({c}) AS n, list_sort(list({c}::DOUBLE) FILTER ({c} IS NOT NULL)) AS x FROM t" for c in columns]
-    rounded = ", ".join(f"round({k}, 9) AS {k}" for k in QUANTILES)
-    return f"WITH t AS ({table}), v AS ({' UNION ALL '.join(one)}), q AS (SELECT metric, n, (x[1 + (n - 1) // 2] + x[1 + n // 2]) / 2 AS median, {places} FROM v) SELECT metric, n, round(median, 9) AS median, {rounded} FROM q"
+    return f"WITH t AS ({table}), v AS ({' UNION ALL '.join(one)}) SELECT metric, n, (x[1 + (n - 1) // 2] + x[1 + n // 2]) / 2 AS median, {places} FROM v"
 
 
 def _sql_readability_en() -> str:
