@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lemmas
 from ..functions import lexicons as L
+from ..functions import opinions as O
 from ..functions import text as T
-from ..operators import cleaning, consistency, order_statistics, readability, redundancy, smell_report, smells, vectors
+from ..operators import cleaning, consistency, order_statistics, readability, redundancy, smell_report, smells, subjectivity, vectors
 from ..sources import readers
 from ..storage import materialize
 
@@ -92,6 +94,23 @@ def smell_subjectivity(spark, sf_dir):
     return rows.select("req_id", F.round(smells.subjectivity_score(F.col("text")), 9).alias("subjectivity"))
 
 
+_OPINIONS = ["is not very good", "isn't slow, but nice", "as fast as possible", "extremely easy; never obvious", "similar", "", "not intuitive and slightly better"]
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    """English documents that open with an opinion or none."""
+    docs = _table(spark, sf_dir, "documents").where("lang = 'en'")
+    return docs.select("doc_id", F.concat(F.lit("It "), _pick(_OPINIONS, F.col("doc_id")), F.lit(" "), F.col("text")).alias("text"))
+
+
+def subjectivity_in_context(spark, sf_dir):
+    """Opinions of each text, weighed by degrees and negations before them, and whether the smell rule would fire."""
+    rows = _judged(spark, sf_dir).select("doc_id", subjectivity.opinions(F.col("text")).alias("found"))
+    rows = rows.withColumn("score", F.round(subjectivity.mean_weight(F.col("found")), 9))
+    words = F.array_join(F.transform("found", lambda o: o["word"]), " ")
+    return rows.select("doc_id", F.size("found").alias("opinions"), words.alias("words"), F.col("score").alias("subjectivity"), (F.col("score") > L.SUBJECTIVITY_ABOVE).alias("subjective"))
+
+
 def smell_default_rules(spark, sf_dir):
     out = smells.detect_smells(requirements(spark, sf_dir), all_checks=False)
     return out.select("ID", F.col("`Ambiguity Detected`").alias("ambiguity"), F.coalesce("`Security Related`", F.lit(False)).alias("security"), F.coalesce("`Not a Requirement`", F.lit(False)).alias("not_a_requirement"))
@@ -198,6 +217,26 @@ def preprocessed_texts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", vectors.preprocess(F.col("text"), STOP_WORDS).alias("words"))
 
 
+#: Spanish words that the lemmas leave out, as STOP_WORDS are in English.
+STOP_WORDS_ES = ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "una", "para", "al", "lo", "como"]
+_INFLECTED = {
+    "en": ["The user's requests aren't processed", "Well-known policies, e.g. 3.5 criteria", "Storing/creating cities stopped", "", "Children were using boxes"],
+    "es": ["Las obligaciones están definidas", "Los responsables informarán (art. 5) de los fines", "Procesando datos personales", "", "Estos países"],
+}
+
+
+def _inflected(spark, sf_dir, lang: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").where(F.col("lang") == lang)
+    return docs.select("doc_id", "lang", F.concat(_pick(_INFLECTED[lang], F.col("doc_id")), F.lit(" "), F.col("text")).alias("text"))
+
+
+def lemmatised_texts(spark, sf_dir):
+    """Lemmas of English and Spanish texts without stop words, each by its language's rules."""
+    one = lambda lang, stop: _inflected(spark, sf_dir, lang).select("doc_id", "lang", lemmas.lemmas(F.col("text"), lang, stop).alias("k"))
+    both = one("en", STOP_WORDS).unionByName(one("es", STOP_WORDS_ES))
+    return both.select("doc_id", "lang", F.size("k").alias("n_words"), F.array_join("k", " ").alias("lemmas"))
+
+
 def hashed_texts(spark, sf_dir):
     """The stand-in encoder's vectors of all documents, and their norms (1, or 0 for texts without words)."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -255,6 +294,7 @@ _QUERIES: dict[str, Callable] = {
         amount_statistics,
         smell_findings,
         smell_subjectivity,
+        subjectivity_in_context,
         smell_default_rules,
         report_by_requirement,
         report_stats,
@@ -272,6 +312,7 @@ _QUERIES: dict[str, Callable] = {
         similarity_cells,
         pooled_vectors,
         preprocessed_texts,
+        lemmatised_texts,
         hashed_texts,
         best_reference_similarity,
         best_reference_tokens,
@@ -340,6 +381,47 @@ def _sql_order(columns: list[str], table: str) -> str:
     return f"WITH t AS ({table}), v AS ({' UNION ALL '.join(one)}) SELECT metric, n, (x[1 + (n - 1) // 2] + x[1 + n // 2]) / 2 AS median, {places} FROM v"
 
 
+def _chosen(values: list[str]) -> str:
+    return f"{_list(values)}[doc_id % {len(values)} + 1]"
+
+
+def _values(table: dict) -> str:
+    return ", ".join(f"({_q(k)}, {_q(v) if isinstance(v, str) else f'{v}::DOUBLE'})" for k, v in table.items())
+
+
+def _sql_subjectivity() -> str:
+    low = f"lower(regexp_replace('It ' || {_chosen(_OPINIONS)} || ' ' || text, '{T.WS}+|_', ' ', 'g'))"
+    for phrase, joined in subjectivity.PHRASES.items():
+        low = f"replace({low}, {_q(phrase)}, {_q(joined)})"
+    low = f"replace({low}, '’', {_q(chr(39))})"
+    negative = f"t.w IN ({', '.join(map(_q, O.NEGATIONS))}) OR t.w LIKE {_q('%' + O.NEGATED_END)}"
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all({low}, {_q(subjectivity.TOKEN)}) AS k FROM documents WHERE lang = 'en'),
+  t AS (SELECT doc_id, unnest(k) AS w, unnest(range(len(k))) AS i FROM d),
+  weight(w, x) AS (VALUES {_values(O.WEIGHTS)}), degree(w, x) AS (VALUES {_values(O.DEGREES)}),
+  o AS (SELECT doc_id, i, w, x FROM t JOIN weight USING (w)),
+  c AS (SELECT o.doc_id, o.i, o.w, o.x, t.i AS j, {negative} AS negative, degree.x AS degree, t.w IN ({", ".join(map(_q, O.BREAKS))}) AS ends
+          FROM o LEFT JOIN t ON t.doc_id = o.doc_id AND t.i BETWEEN o.i - {O.SCOPE} AND o.i - 1 LEFT JOIN degree ON degree.w = t.w),
+  s AS (SELECT *, coalesce(max(CASE WHEN ends THEN j END) OVER (PARTITION BY doc_id, i), -1) AS border FROM c),
+  g AS (SELECT doc_id, i, w, least(1, any_value(x) * coalesce(arg_max(degree, j) FILTER (j > border AND degree IS NOT NULL), 1))
+          * CASE WHEN coalesce(bool_or(negative) FILTER (j > border), false) THEN {O.NEGATED}::DOUBLE ELSE 1 END AS x FROM s GROUP BY doc_id, i, w),
+  a AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS words, round(avg(x), 9) AS score FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::INT AS opinions, coalesce(words, '') AS words, coalesce(score, 0) AS subjectivity, coalesce(score, 0) > {L.SUBJECTIVITY_ABOVE} AS subjective FROM documents LEFT JOIN a USING (doc_id) WHERE lang = 'en'"""
+
+
+def _sql_lemmas() -> str:
+    def one(lang: str, stop: list[str]) -> str:
+        rules = " ".join(f"WHEN w LIKE {_q('%' + r.ending)} AND length(w) >= {len(r.ending) + r.least} THEN substr(w, 1, length(w) - {len(r.ending)}) || {_q(r.to)}" for r in lemmas.RULES[lang])
+        text = _squeeze(f"{_chosen(_INFLECTED[lang])} || ' ' || text")
+        return f"""(WITH d AS (SELECT doc_id, regexp_extract_all({text}, {_q(lemmas.token_pattern(lang))}) AS k FROM documents WHERE lang = '{lang}'),
+  t AS (SELECT doc_id, unnest(k) AS w, unnest(range(len(k))) AS i FROM d),
+  l AS (SELECT doc_id, i, replace(lower(w), '’', {_q(chr(39))}) AS w FROM t), x(w, own) AS (VALUES {_values(lemmas.EXCEPTIONS[lang])}),
+  r AS (SELECT doc_id, i, coalesce(own, CASE {rules} ELSE w END) AS w FROM l LEFT JOIN x USING (w) WHERE regexp_matches(w, {_q(lemmas.WORDLIKE)}) AND w NOT IN ({", ".join(map(_q, stop))})),
+  a AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS s FROM r GROUP BY doc_id)
+SELECT doc_id, lang, coalesce(n, 0)::INT AS n_words, coalesce(s, '') AS lemmas FROM documents LEFT JOIN a USING (doc_id) WHERE lang = '{lang}')"""
+
+    return one("en", STOP_WORDS) + " UNION ALL " + one("es", STOP_WORDS_ES)
+
+
 def _sql_readability_en() -> str:
     m = {
         "flesch": _FLESCH,
@@ -485,6 +567,7 @@ o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recal
         "amount_statistics": _sql_order(_AMOUNTS, "SELECT * FROM sale_lines"),
         "smell_findings": _sql_smell_findings(),
         "smell_subjectivity": f"WITH {_REQ} SELECT req_id, round(CASE WHEN len({share}) > 0 THEN least(1::DOUBLE, len(list_filter({share}, lambda x: list_contains({_list(L.SUBJECTIVITY)}, x))) * 5::DOUBLE / len({share})) ELSE 0 END, 9) AS subjectivity FROM r",
+        "subjectivity_in_context": _sql_subjectivity(),
         "smell_default_rules": f"""WITH {_findings_ctes()} SELECT "ID", "Ambiguity Detected" AS ambiguity, coalesce("Security Related", false) AS security, coalesce("Not a Requirement", false) AS not_a_requirement FROM f
             WHERE "Ambiguity Detected" IS NOT NULL OR "Low Readability" OR subj_score > 0.5 OR "Security Related" IS NOT NULL OR "Not a Requirement" IS NOT NULL""",
         "report_by_requirement": f"WITH {_report_ctes()} SELECT * FROM b",
@@ -511,6 +594,7 @@ o AS (SELECT id, 'item' AS title, round(p, 9) AS precision, round(r, 9) AS recal
         "similarity_cells": f"WITH {_VEC} SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.vec, b.vec), 6) AS score FROM v a CROSS JOIN v b",
         "pooled_vectors": f"WITH {_VEC}, m AS (SELECT id, [{', '.join(pool)}] AS x FROM v), n AS (SELECT id, x, greatest(sqrt(list_dot_product(x, x)), 1e-12) AS l FROM m) SELECT id, {', '.join(f'round(x[{d + 1}] / l, 9) AS x{d}' for d in range(8))} FROM n",
         "preprocessed_texts": f"SELECT doc_id, array_to_string({words}, ' ') AS words FROM documents",
+        "lemmatised_texts": _sql_lemmas(),
         "hashed_texts": f"""WITH c AS (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}+'), lambda x: (('0x' || substr(md5(x), 1, 15))::BIGINT % {HASHED} + 1) * CASE WHEN substr(md5(x), 16, 1) >= '8' THEN 1 ELSE -1 END) AS h FROM documents),
             s AS (SELECT doc_id, [{", ".join(f"len(list_filter(h, lambda v: v = {k + 1})) - len(list_filter(h, lambda v: v = -{k + 1}))" for k in range(HASHED))}]::DOUBLE[] AS x FROM c),
             n AS (SELECT doc_id, x, sqrt(list_dot_product(x, x)) AS l FROM s)
