@@ -72,15 +72,20 @@ RULES = {
 }
 
 
-def token_pattern(lang: str) -> str:
-    """In order: abbreviations, numbers with inner marks, words with inner apostrophes, any other mark."""
+def word_pattern(lang: str) -> str:
+    """In order: abbreviations, numbers with inner marks, words with inner apostrophes."""
     short = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else "[.]" for c in a) for a in ABBREVIATIONS[lang])
-    return rf"(?:{short})|\p{{N}}+(?:[.,:]\p{{N}}+)*|[\p{{L}}\p{{M}}_][\p{{L}}\p{{M}}\p{{N}}_]*(?:['’][\p{{L}}\p{{M}}]+)*|[^\p{{L}}\p{{M}}\p{{N}}_ ]"
+    return rf"(?:{short})|\p{{N}}+(?:[.,:]\p{{N}}+)*|[\p{{L}}\p{{M}}_][\p{{L}}\p{{M}}\p{{N}}_]*(?:['’][\p{{L}}\p{{M}}]+)*"
+
+
+def token_pattern(lang: str) -> str:
+    """Words, then any other mark."""
+    return word_pattern(lang) + rf"|[^\p{{L}}\p{{M}}\p{{N}}_{T.WS[1:-1]}]"
 
 
 def tokens(text: Column, lang: str) -> Column:
     """All tokens of a text in order, marks too; none for null. Hyphens, slashes and marks at either end part words."""
-    return F.regexp_extract_all(T.squeeze(text), F.lit(token_pattern(lang)), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(token_pattern(lang)), F.lit(0))
 
 
 def _rewritten(word: Column, rules: list[Rule]) -> Column:
@@ -111,8 +116,10 @@ def lemmas(text: Column, lang: str, stop_words: list[str] = (), rules: list[Rule
     """Lemmas of a text's words and numbers in order, without marks and stop words (judged before they are rewritten)."""
     rules = RULES[lang] if rules is None else rules
     exceptions = EXCEPTIONS[lang] if exceptions is None else exceptions
-    low = F.transform(tokens(text, lang), lambda t: F.replace(F.lower(t), F.lit("’"), F.lit("'")))
-    words = F.filter(low, lambda t: t.rlike(WORDLIKE) & (~t.isin(*stop_words) if stop_words else F.lit(True)))
+    low = F.replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit("’"), F.lit("'"))
+    words = F.regexp_extract_all(low, F.lit(word_pattern(lang)), F.lit(0))
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
     return F.transform(words, lambda w: lemma(w, rules, exceptions))
 
 
