@@ -6,7 +6,9 @@ words lose case and outer punctuation. Windows of five template tokens are
 hash-joined with the windows of the benchmark's items; hits on one diagonal grow
 into runs, in which every token is compared and the slots must be consistent:
 one value of the item always stands for one value of the document and back. So a
-copy with other numbers or names is caught, and a chance mix of them isn't.
+copy with other numbers or names is caught, and a chance mix of them isn't. Items so
+full of placeholders that no such window has enough words of its own are joined on
+longer windows, from one word to the second word after it, whatever lies between.
 
 The benchmark's windows are the hash side. They are sent to the workers only up
 to ``MAX_ITEM_TOKENS`` tokens at a time; a larger benchmark takes several passes.
@@ -116,6 +118,30 @@ def windows(tokens: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Odd, so that its powers have inverses modulo 2**64: the hash of a stretch comes from two sums of a text's prefixes.
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+#: The template token of marks alone.
+_MARKS = np.uint64(_packed("", 0) >> 4)
+
+
+def spans(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and hashes of the stretches that begin and end with a word, hold ``LEAST_WORDS`` of them and are longer than a window.
+
+    Marks that stand alone aren't words here: arithmetic is no question's wording.
+    """
+    words = np.flatnonzero((tokens > NAME) & (tokens != _MARKS))
+    first, last = words[: len(words) - LEAST_WORDS + 1], words[LEAST_WORDS - 1 :]
+    first, last = first[last - first >= WINDOW], last[last - first >= WINDOW]
+    if not len(first):
+        return first, np.zeros(0, np.uint64)
+    powers = lambda base: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(tokens) - 1, base))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * powers(_BASE))])
+    return first, (sums[last + 1] - sums[first]) * powers(_INVERSE)[first]
+
+
 def _bare(word: str) -> str:
     return _EDGE.sub("", word).lower()
 
@@ -130,12 +156,14 @@ class Items:
 
     Items in which no window may start a match (fewer than five words, or too few
     that are no placeholders) are met by windows that hold the item's own values;
-    of an item of fewer than five words the window is the whole item.
+    of an item of fewer than five words the window is the whole item. Those of five
+    words or more are met by their spans too, whose values may all be others.
     """
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         canon = Canonical()
         self.plain: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
+        self.spans: dict[int, list[tuple[int, int]]] = {}
         self.ids, self.words, self.tokens, hashes, owner, pos = [], [], [], [], [], []
         for i, text in rows:
             words, tokens = canon(text or "")
@@ -146,6 +174,8 @@ class Items:
                 size, own = min(WINDOW, len(words)), _verbatim(words, tokens)
                 for k in range(len(own) - size + 1):
                     self.plain.setdefault(size, {}).setdefault(tuple(own[k : k + size]), []).append((len(self.ids), k))
+                for k, x in zip(*(a.tolist() for a in spans(tokens))):
+                    self.spans.setdefault(x, []).append((len(self.ids), k))
             hashes.append(h)
             owner.append(np.full(len(h), len(self.ids)))
             pos.append(np.arange(len(h)))
@@ -157,6 +187,7 @@ class Items:
         order = np.argsort(h, kind="stable")
         order = order[np.searchsorted(h[order], 1) :]
         self.hash, self.owner, self.pos = h[order], cat(owner, np.int64)[order], cat(pos, np.int64)[order]
+        self.span_hashes = np.array(sorted(self.spans), dtype=np.uint64)
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.hash & np.uint64((1 << 22) - 1)] = True
 
@@ -171,6 +202,10 @@ class Items:
             for size, seeds in self.plain.items():
                 for p in range(len(doc) - size + 1):
                     diagonals.update((item, p - k) for item, k in seeds.get(tuple(doc[p : p + size]), ()))
+        if self.spans:
+            first, h_spans = spans(tokens)
+            for p, x in zip(*(a[np.isin(h_spans, self.span_hashes)].tolist() for a in (first, h_spans))):
+                diagonals.update((item, p - k) for item, k in self.spans[x])
         if not len(at) and not diagonals:
             return []
         a, b = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
@@ -226,8 +261,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_tokens: int = MAX_ITEM
     """The rows of ``docs`` with hits (or another ``name``): array of (item_id, run, cover), best first.
 
     Null and empty texts, and items without words, give no hits. Items of fewer
-    than five words, or without a window of enough plain words, need a window with
-    their own values to start a match. Repeated rows are judged alike. A column named
+    than five words, or with fewer than three that are no placeholders, need a window
+    with their own values to start a match. Repeated rows are judged alike. A column named
     hits is replaced. No shuffle of the documents; where the benchmark takes several
     passes, each is written before the next, so a worker holds one pass's items.
     """

@@ -173,7 +173,13 @@ def test_decontaminate(docs_of, spark):
     "item, text, found",
     [
         ("Add 12, 47 and 90 to 33.", "they say: Add 12, 47 and 90 to 33. And more", True),
-        ("Add 12, 47 and 90 to 33.", "they say: Add 13, 48 and 91 to 34. And more", False),
+        # The same question with other numbers; then one number stands for two, another order of words, and a part of it.
+        ("Add 12, 47 and 90 to 33.", "they say: Add 13, 48 and 91 to 34. And more", True),
+        ("Add 12, 47 and 90 to 33.", "they say: Add 13, 48 and 13 to 34. And more", False),
+        ("Add 12, 47 and 90 to 33.", "they say: Add 13, 48 to 91 and 34. And more", False),
+        ("Add 12, 47 and 90 to 33.", "they say: 48 and 91 to 34. And more", False),
+        ("Sum 1 2 3 4 5 plus 6 7 8 9 10 minus 11 12 13 14 15", "so: Sum 21 22 23 24 25 plus 26 27 28 29 30 minus 31 32 33 34 35", True),
+        ("12 47 59 and 3 or 4", "so 13 48 61 and 5 or 6", False),
         ("Who wrote Hamlet?", "a list. Who wrote Hamlet? Someone did", True),
         ("Who wrote Hamlet?", "a list. Who wrote Faust? Someone did", False),
         ("12 47", "there were 12 47 of them", True),
@@ -202,6 +208,10 @@ def plain_hits(items, text):
                 part = pairs[at : at + size]
                 if all(own[a] == tokens[b] for a, b in part):
                     meets |= plain([own[a] for a, _ in part]) if seeded else all(bare(own_words[a]) == bare(words[b]) for a, b in part)
+            there_is = dict(pairs)
+            stops = [k for k, t in enumerate(own) if t > 4 and t != decontaminate._MARKS] if not seeded and len(own) >= 5 else []
+            for a, c in zip(stops, stops[decontaminate.LEAST_WORDS - 1 :]):
+                meets |= all(k in there_is and own[k] == tokens[there_is[k]] for k in range(a, c + 1))
             run: list = []
             for a, b in [*pairs, (None, None)] if meets else []:
                 if a is not None and own[a] == tokens[b]:
