@@ -1,6 +1,7 @@
 """Pruned comparison of vectors: equal to all products, and few of them on clustered vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lucidreq.operators import redundancy
@@ -83,3 +84,29 @@ def test_pivots_and_nothing(spark):
     assert redundancy.similar_pairs(table(spark, []), 0.5).count() == 0
     assert redundancy.neighbour_ranks(table(spark, [None]), 3).count() == 0
     assert redundancy.similar_pairs(table(spark, [np.zeros(3), np.zeros(3)]), 0.0).count() == 1
+
+
+def test_blocks_are_sent_once_to_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(V, "GROUPS", 3)
+    vec = clustered(7, 2, 120, spread=2.0)
+    blocks = V.blocks_of(table(spark, vec), block=4)
+    pairs = V.block_pairs(blocks, np.full(len(blocks.cells), -np.inf))
+
+    class Count(V.Work):
+        def met(self, own, others):
+            yield pa.RecordBatch.from_arrays([pa.array([own.number]), pa.array([len(others)])], names=["x", "n"])
+
+    rows = V.on_tiles(blocks, pairs, False, Count, "x long, n long").collect()
+    n = blocks.table.count()
+    assert sum(r.n for r in rows) == n * (n + 1) // 2 and len(rows) <= 3 * n
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.35, -0.5])
+def test_links_say_what_all_pairs_say(spark, threshold):
+    for vec in (clustered(8, 9, 14), odd(9)):
+        v = table(spark, vec)
+        pairs = redundancy.redundant_pairs(v, threshold, block=8)
+        got = redundancy.links(v, threshold, block=8)
+        for f in (redundancy.requirement_metrics, redundancy.clusters, redundancy.redundancy_summary):
+            assert sorted(map(repr, f(v, got).collect())) == sorted(map(repr, f(v, pairs).collect()))
+    assert redundancy.links(table(spark, []), 0.5).forest.count() == 0
