@@ -55,6 +55,24 @@ def subjectivity_score(text: Column) -> Column:
     return F.when(contains_any(text, [p for p in L.SUBJECTIVITY if " " not in p]) & (n > 0), F.least(F.lit(1.0), F.size(F.filter(words, lambda x: x.isin(*L.SUBJECTIVITY))) * F.lit(5.0) / n)).otherwise(F.lit(0.0))
 
 
+def two_decimals(value: Column) -> Column:
+    """A number with two decimals, rounded by its exact binary value, halves to the even digit; Java's formats round its shortest decimal form."""
+    low, half = F.lit((1 << 30) - 1), 1 << 29
+
+    def text(v: Column) -> Column:
+        whole = F.floor(F.abs(v))
+        # The fraction in units of 2^-60: whole for all doubles that can be near half a hundredth. A hundred times that in two words.
+        m = ((F.abs(v) - whole) * F.lit(float(1 << 60))).cast("long")
+        rest = m.bitwiseAND(low) * 100
+        high = F.shiftright(m, 30) * 100 + F.shiftright(rest, 30)
+        cents, over = F.shiftright(high, 30), high.bitwiseAND(low)
+        up = (over > half) | ((over == half) & ((rest.bitwiseAND(low) > 0) | (cents % 2 == 1)))
+        total = whole * 100 + cents + up.cast("long")
+        return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+
+    return F.transform(F.array(value), text)[0]
+
+
 _EXTRA: dict[str, Callable[[Column], Column]] = {}
 
 
@@ -75,8 +93,8 @@ def detect_smells(df: DataFrame, id_col: str = "req_id", text_col: str = "text",
     s = subjectivity(text)
     rules = {
         "Ambiguity Detected": ambiguous_words(text),
-        "Low Readability": F.when(flesch < L.LOW_READABILITY_BELOW, F.concat(F.lit("Flesch Reading Ease: "), F.format_string("%.2f", flesch))),
-        "Subjectivity Detected": F.when(s > L.SUBJECTIVITY_ABOVE, F.concat(F.lit("Subjectivity Score: "), F.format_string("%.2f", s))),
+        "Low Readability": F.when(flesch < L.LOW_READABILITY_BELOW, F.concat(F.lit("Flesch Reading Ease: "), two_decimals(flesch))),
+        "Subjectivity Detected": F.when(s > L.SUBJECTIVITY_ABOVE, F.concat(F.lit("Subjectivity Score: "), two_decimals(s))),
         "Security Related": F.when(contains_any(text, L.SECURITY), F.lit(True)),
         "Not a Requirement": F.when(~contains_any(text, L.REQUIREMENT), F.lit(True)),
     }

@@ -303,3 +303,9 @@ def test_rows_findings_and_writers(spark, tmp_path):
     assert (m.catalog_id, m.top_k, m.degree_t) == ("C", -1, 0)
     writers.single_record(redundancy.redundancy_summary(v, redundancy.redundant_pairs(v)), tmp_path / "s.json", params={"threshold": 0.9})
     assert json.loads((tmp_path / "s.json").read_text())["params"] == {"threshold": 0.9}
+
+
+def test_two_decimals_follow_the_exact_value(spark):
+    values = [0.125, 0.375, 0.715, 0.555, 0.545, 1.005, -3.145, 29.995, 0.996, -0.001, 0.005, 0.015, 0.0, 1.0, -12.5, 0.1 + 0.2, 28.275, 2.675]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", smells.two_decimals(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.v:.2f}" for r in got]
