@@ -186,7 +186,9 @@ def read_document(spark: SparkSession, path: str, entry: str | None = None) -> D
     """The list under the key ``entry`` of the document's object (or the document itself, if it is a list), element by element.
 
     Elements keep their text as written; values that aren't objects are elements
-    too. Splits follow ``spark.sql.files.maxPartitionBytes``. A text that isn't one complete document fails.
+    too. A folder of documents, as the writers make of many rows, is read as one: the lists follow each other in the order
+    of the files' names, the rest is that of the first. Splits follow ``spark.sql.files.maxPartitionBytes``. A text that
+    isn't one complete document fails.
     """
     pieces = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     ranges = sorted(_ranges(pieces).collect(), key=lambda r: (r.file, r.block))  # a few numbers for each range
@@ -237,16 +239,16 @@ def read_document(spark: SparkSession, path: str, entry: str | None = None) -> D
     values = F.udf(values_of, "array<string>", useArrow=True)
     listed = materialize(listed.select("file", "block", "seq", F.posexplode(values("text")).alias("k", "json")), "json-elements")
     counts = listed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each range
-    before, base = {}, {}
+    before, base = 0, {}
     for r in sorted(counts, key=lambda r: (r.file, r.block)):
-        base[r.file, r.block] = before.get(r.file, 0)
-        before[r.file] = before.get(r.file, 0) + r.n
+        base[r.file, r.block] = before
+        before += r.n
     offset = spark.createDataFrame([(f, b, n) for (f, b), n in base.items()], "file string, block long, base long")
     from pyspark.sql import Window
 
     own_place = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq", "k")) - 1  # a range's elements
     placed = listed.withColumn("own", own_place).join(F.broadcast(offset), ["file", "block"]).select((F.col("base") + F.col("own")).cast("int").alias("place"), "json")
-    rest = own.where("not in_list and kind not in ('open', 'close')")
+    rest = own.where("not in_list and kind not in ('open', 'close')").where(F.col("file") == F.lit(order[0][0] if order else ""))
     text = rest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "block", "seq", "text"))), lambda x: x["text"]), "").alias("value"))
     whole_text = F.expr("substring(value, 1, char_length(value) - 1)") if open_end else F.col("value")
     text = text.select(F.regexp_replace(whole_text, "^\\x{feff}", "").alias("value"))
