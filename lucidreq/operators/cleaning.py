@@ -53,32 +53,44 @@ STEPS: list[tuple[str, str]] = [
 
 #: What a text must hold for a step to change it, where a step has such a character: the steps' places and any of these.
 _DASHES = ["-", "\u2013", "\u2014"]
-NEEDS: dict[int, list[str]] = {0: ["**"], 2: ["["], 3: _DASHES, 4: _DASHES, 5: ["("], 6: [_OPEN], 7: [_OPEN], 8: [_SHUT], 11: [":", ";"], 14: [")"], 15: ["("], 17: ["\n", "\r"], 18: _DASHES, 19: _DASHES, 20: _DASHES, 21: [";"], 22: [";"], 23: [";"], 24: [":"], 27: ["(", "["], 29: [":"], 30: [".."]}
+NEEDS: dict[int, list[str]] = {0: ["**"], 2: ["["], 3: _DASHES, 4: _DASHES, 5: ["("], 6: [_OPEN], 7: [_OPEN], 8: [_SHUT], 11: [":", ";"], 14: [")"], 15: ["("], 17: ["\n", "\r"], 18: _DASHES, 19: _DASHES, 20: _DASHES, 21: [";"], 22: [";"], 23: [";"], 24: [":"], 26: [" ,", " .", " :", " )"], 27: ["(", "["], 28: [",.", ", ."], 29: [":.", ": ."], 30: [".."]}  # from step 26 on all white space is single spaces
 
 
-def clean_text(c: Column) -> Column:
-    """Null becomes empty; a text that is left ends in a full stop, exclamation or question mark.
+#: White space that few texts hold; without any, ``\s`` finds the same as WS, and the same replacements take a fraction of the time.
+RARE = [chr(k) for k in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+PLAIN = [(pattern.replace(NS, r"\S").replace(S, r"\s"), replacement) for pattern, replacement in STEPS]
+PLAIN[25] = (r"\s{2,}|[^\S ]", " ")  # leaves single spaces where they are
+
+
+def _holds(t: Column, some: list[str]) -> Column:
+    held = F.contains(t, F.lit(some[0]))
+    for x in some[1:]:
+        held = held | F.contains(t, F.lit(x))
+    return held
+
 
-    Each step's input is bound once, so a step that can't change a text costs a search for a character.
-    """
-    out = F.coalesce(c.cast("string"), F.lit(""))
+def _chain(t: Column, steps: list[tuple[str, str]]) -> Column:
+    """All steps in their order; each one's input is bound once, so a step that can't change a text costs a search for a character."""
 
     def step(k: int, pattern: str, replacement: str):
         def run(t: Column) -> Column:
             new = F.regexp_replace(t, pattern, replacement)
-            some = NEEDS.get(k)
-            if not some:
-                return new
-            held = F.contains(t, F.lit(some[0]))
-            for x in some[1:]:
-                held = held | F.contains(t, F.lit(x))
-            return F.when(held, new).otherwise(t)
+            if k == len(steps) - 1:
+                return F.trim(t)  # all white space is spaces by now
+            return F.when(_holds(t, NEEDS[k]), new).otherwise(t) if k in NEEDS else new
 
         return run
 
-    out = F.array(out)
-    for k, (pattern, replacement) in enumerate(STEPS):
+    out = F.array(t)
+    for k, (pattern, replacement) in enumerate(steps):
         out = F.transform(out, step(k, pattern, replacement))
+    return out[0]
+
+
+def clean_text(c: Column) -> Column:
+    """Null becomes empty; a text that is left ends in a full stop, exclamation or question mark."""
+    out = F.array(F.coalesce(c.cast("string"), F.lit("")))
+    out = F.transform(out, lambda t: F.when(_holds(t, RARE), _chain(t, STEPS)).otherwise(_chain(t, PLAIN)))
     return F.transform(out, lambda t: F.when((t != "") & ~t.rlike(r"[.!?]\z"), F.concat(t, F.lit("."))).otherwise(t))[0]
 
 
