@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .skew import salted_join
+from .token_overlap import best_overlaps
 from .vectors import cosine
 
+#: Pairs of a requirement and a reference, for each row of either, up to which a row is made for each pair.
+FEW_PAIRS = 4
+
 
 def best_by_similarity(requirements: DataFrame, references: DataFrame) -> DataFrame:
     """Each requirement with its reference of largest cosine, the first of equals, and how many it has.
@@ -77,13 +81,27 @@ def best_by_token_match(requirements: DataFrame, references: DataFrame, scorer=t
     without text drop out; the first of equal references wins.
     """
     reqs = requirements.where(F.col("id").isNotNull() & F.col("text").isNotNull() & (T.strip(F.col("text")) != ""))
-    refs = references.where(F.col("text").isNotNull()).select(F.col("id").alias("__id"), F.col("text").alias("__text"), "legal_reference", "ref_pos", F.col("tokens").alias("__tokens"))
-    own = salted_join(reqs, refs, "id", "__id", "ref_pos", "inner").withColumn("s", scorer(F.col("tokens"), F.col("__tokens")))
+    refs = references.where(F.col("text").isNotNull())
     rank = F.struct((-F.round("s.f1", 12)).alias("f"), "ref_pos")
-    best = own.groupBy("pos", "id", "title").agg(F.min_by(F.struct("s", "legal_reference", "__text"), rank).alias("b"))
+    if scorer is token_match and _many_pairs(reqs, refs):
+        found = best_overlaps(reqs, refs).groupBy("pos", "id", "title").agg(F.min_by(F.struct("s", "ref_pos"), rank).alias("b"))
+        texts = refs.select("id", "ref_pos", "legal_reference", F.col("text").alias("__text")).dropDuplicates(["id", "ref_pos"])
+        best = found.withColumn("ref_pos", F.col("b.ref_pos")).join(texts, ["id", "ref_pos"]).select("pos", "id", "title", F.struct("b.s", "legal_reference", "__text").alias("b"))
+    else:
+        refs = refs.select(F.col("id").alias("__id"), F.col("text").alias("__text"), "legal_reference", "ref_pos", F.col("tokens").alias("__tokens"))
+        own = salted_join(reqs, refs, "id", "__id", "ref_pos", "inner").withColumn("s", scorer(F.col("tokens"), F.col("__tokens")))
+        best = own.groupBy("pos", "id", "title").agg(F.min_by(F.struct("s", "legal_reference", "__text"), rank).alias("b"))
     return best.select("pos", "id", "title", "b.s.precision", "b.s.recall", "b.s.f1", F.col("b.legal_reference").alias("best_legal_reference"), F.col("b.__text").alias("best_normative_excerpt"))
 
 
+def _many_pairs(reqs: DataFrame, refs: DataFrame) -> bool:
+    """Whether the pairs with equal ids are many more than the rows; one row of counts."""
+    counts = reqs.select("id", F.lit(1).alias("q"), F.lit(0).alias("r")).unionByName(refs.where("id is not null").select("id", F.lit(0).alias("q"), F.lit(1).alias("r")))
+    counts = counts.groupBy("id").agg(F.sum("q").alias("q"), F.sum("r").alias("r"))
+    n = counts.agg(F.sum(F.col("q").cast("double") * F.col("r")).alias("pairs"), F.sum(F.col("q") + F.col("r")).alias("rows")).first()
+    return (n.pairs or 0) > FEW_PAIRS * (n.rows or 0)
+
+
 def series(df: DataFrame, order: str, values: list[str]) -> DataFrame:
     """place (from 1, in the given order), metric, value: the lines of a plot; rows without a value drop out."""
     from .redundancy import numbered
