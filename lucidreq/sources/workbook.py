@@ -6,7 +6,9 @@ them through the archive. The archive's bytes leave that task through Spark's te
 (the writer puts one after each piece), so the file can lie in any store that Spark reaches; a comment of
 one line feed makes the archive end in one.
 
-A sheet holds at most ROWS rows. Cells are written as text, numbers or booleans, and null as an empty cell;
+A sheet holds at most ROWS rows, and more than ``writers.PART_BYTES`` of XML are too much for a task: such tables become a folder of
+workbooks, each complete in itself, with all sheets and their first rows and consecutive rows of the tables, each written by a task of
+its own. The reader takes a folder as one workbook. Cells are written as text, numbers or booleans, and null as an empty cell;
 characters that XML can't hold are written as _xHHHH_, and read back.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
+#: Rows that stay together, as a power of two.
+CHUNK_BITS = 10
 #: Fixed values of the format: rows of a sheet, namespaces, parts of the archive.
 ROWS = 1_048_576
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -122,8 +126,8 @@ def _archive(names: list[str]):
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str | Path) -> None:
-    """One workbook with a sheet for each table, its columns' names in the first row, its rows in the table's order."""
-    from .writers import placed_path, renamed
+    """One workbook with a sheet for each table, its columns' names in the first row, its rows in the table's order; a folder of such if it is too large."""
+    from . import writers
 
     spark = next(iter(sheets.values())).sparkSession
 
@@ -138,16 +142,40 @@ def write_workbook(sheets: dict[str, DataFrame], path: str | Path) -> None:
 
         return run
 
-    lines = spark.createDataFrame([(k, -1, _row(list(df.columns))) for k, df in enumerate(sheets.values())], "sheet int, at long, xml string")
+    lines = spark.createDataFrame([], "sheet int, at long, xml string")
     for k, df in enumerate(sheets.values()):
         own = F.struct(*[(F.col(f"`{c}`") if t in ("double", "float", "boolean") else F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, (c, t) in enumerate(df.dtypes)])
-        spool = materialize(df.select(F.monotonically_increasing_id().alias("at"), own.alias("r")), "sheet-rows")
-        lines = lines.unionByName(spool.select(F.lit(k).alias("sheet"), "at", formatted([t for _, t in df.dtypes])("r").alias("xml")))
-    place = placed_path(path)
-    pieces = lines.repartition(1).sortWithinPartitions("sheet", "at").select("sheet", "xml").mapInArrow(_archive(list(sheets)), "piece binary")
+        rows = df.select(F.monotonically_increasing_id().alias("at"), own.alias("r"))
+        spool = materialize(rows.select("at", formatted([t for _, t in df.dtypes])("r").alias("xml")), "sheet-rows")
+        lines = lines.unionByName(spool.select(F.lit(k).alias("sheet"), "at", "xml"))
+    lines = lines.withColumn("chunk", F.shiftrightunsigned("at", CHUNK_BITS))
+    # A row for each chunk.
+    sizes = lines.groupBy("sheet", "chunk").agg(F.sum(F.octet_length("xml")).alias("n"), F.count(F.lit(1)).alias("rows")).orderBy("sheet", "chunk").collect()
+    part, filled, now, rows, dealt = 0, 0, None, 0, []
+    for r in sizes:
+        if r.sheet != now:
+            now, rows = r.sheet, 0
+        if (filled and filled + r.n > writers.PART_BYTES) or rows + r.rows > ROWS - 1:
+            part, filled, rows = part + 1, 0, 0
+        filled, rows = filled + r.n, rows + r.rows
+        dealt.append((r.sheet, r.chunk, part))
+    lines = lines.join(F.broadcast(spark.createDataFrame(dealt, "sheet int, chunk long, part int")), ["sheet", "chunk"]).select("part", "sheet", "at", "xml")
+    heads = [(p, k, -1, _row(list(df.columns))) for p in range(part + 1) for k, df in enumerate(sheets.values())]
+    lines = lines.unionByName(spark.createDataFrame(heads, "part int, sheet int, at long, xml string"))
+    place = writers.placed_path(path)
+    pieces = lines.repartitionById(part + 1, F.col("part")).sortWithinPartitions("sheet", "at").select("sheet", "xml").mapInArrow(_archive(list(sheets)), "piece binary")
     folder = f"{place}.parts"
     pieces.select(F.col("piece").cast("string").alias("value")).write.mode("overwrite").text(folder)
-    renamed(spark, folder, place)
+    if not part:
+        writers.renamed(spark, folder, place)
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(hadoop(folder)) if x.getPath().getName().startswith("part-"))
+    for k, name in enumerate(names):
+        fs.rename(hadoop(f"{folder}/{name}"), hadoop(f"{folder}/part-{k:05d}.xlsx"))
+    fs.delete(hadoop(place), True)
+    fs.rename(hadoop(folder), hadoop(place))
 
 
 def _rows(data: bytes, sheet: str | None) -> Iterator[list[str | None]]:
@@ -190,7 +218,7 @@ def _rows(data: bytes, sheet: str | None) -> Iterator[list[str | None]]:
 
 
 def read_workbook(spark: SparkSession, path: str, names: list[str], optional: dict[str, str] | None = None, sheet: str | None = None, place: str = "pos") -> DataFrame:
-    """place and the named columns, as text, of a sheet (the first unless named) of the workbook; a workbook is a task's.
+    """place and the named columns, as text, of a sheet (the first unless named) of the workbook, or of a folder of workbooks in the order of their names; a workbook is a task's.
 
     Columns are found by the first row; ``optional`` ones get their default where the sheet lacks them.
     Empty cells are null, rows without any value are left out. Lacking columns fail.
@@ -199,7 +227,7 @@ def read_workbook(spark: SparkSession, path: str, names: list[str], optional: di
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["content"]:
+            for file, data in zip(batch["path"], batch["content"], strict=True):
                 rows = _rows(data, sheet)
                 head = next(rows, [])
                 lacking = [n for n in names if n not in head]
@@ -209,12 +237,22 @@ def read_workbook(spark: SparkSession, path: str, names: list[str], optional: di
                 out, k = [], 0
                 for r in rows:
                     if any(v is not None for v in r):
-                        out.append((k, *[(optional or {})[n] if i is None else r[i] if i < len(r) else None for n, i in zip(wanted, at, strict=True)]))
+                        out.append((file, k, *[(optional or {})[n] if i is None else r[i] if i < len(r) else None for n, i in zip(wanted, at, strict=True)]))
                         k += 1
                     if len(out) == 1000:
-                        yield pd.DataFrame(out, columns=[place, *wanted])
+                        yield pd.DataFrame(out, columns=["__file", place, *wanted])
                         out = []
-                yield pd.DataFrame(out, columns=[place, *wanted])
-
-    schema = f"{place} int, " + ", ".join(f"`{n}` string" for n in wanted)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+                yield pd.DataFrame(out, columns=["__file", place, *wanted])
+
+    schema = f"__file string, {place} int, " + ", ".join(f"`{n}` string" for n in wanted)
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return rows.drop("__file")
+    rows = materialize(rows, "workbooks")
+    before, base = 0, []
+    for r in rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).orderBy("__file").collect():  # a row for each workbook
+        base.append((r["__file"], before))
+        before += r.n
+    rows = rows.join(F.broadcast(spark.createDataFrame(base, "__file string, __base int")), "__file")
+    return rows.withColumn(place, F.col(place) + F.col("__base")).drop("__file", "__base")

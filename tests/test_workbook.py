@@ -5,7 +5,11 @@ import zipfile
 
 import pytest
 
+from lucidreq.plans import registry
 from lucidreq.sources import workbook as W
+from lucidreq.sources import writers
+
+from .conftest import DATA, duck_rows, rows_of
 
 
 def test_round_trip(spark, tmp_path):
@@ -39,3 +43,28 @@ def test_shared_strings_and_gaps(spark, tmp_path):
     (tmp_path / "s.xlsx").write_bytes(held.getvalue())
     rows = W.read_workbook(spark, str(tmp_path / "s.xlsx"), ["ID", "Texto"]).collect()
     assert [(r.pos, r.ID, r.Texto) for r in rows] == [(0, None, "é"), (1, "7", "f")]
+
+
+def test_large_tables_become_a_folder(spark, tmp_path, monkeypatch):
+    """Neither a task nor a sheet has to hold a table whole."""
+    monkeypatch.setattr(W, "CHUNK_BITS", 4)
+    few = spark.createDataFrame([("a", 1), (None, 2)], "name string, k int")
+    for rows, size, least in ((W.ROWS, 20000, 3), (101, 1 << 30, 10)):
+        monkeypatch.setattr(writers, "PART_BYTES", size)
+        monkeypatch.setattr(W, "ROWS", rows)
+        path = tmp_path / f"w{rows}.xlsx"
+        W.write_workbook({"Few": few.orderBy("k"), "Many": spark.range(1000).repartition(7).selectExpr("id", "repeat('x', cast(id % 90 as int)) as text").orderBy("id")}, path)
+        files = sorted(path.iterdir())
+        files = [f for f in files if f.suffix == ".xlsx"]
+        assert len(files) >= least and all(zipfile.ZipFile(f).testzip() is None for f in files)
+        assert all(sum(1 for _ in W._rows(f.read_bytes(), "Many")) <= rows for f in files)
+        back = W.read_workbook(spark, str(path), ["id", "text"], sheet="Many", place="line").orderBy("line").collect()
+        assert [(r.line, r.id, r.text) for r in back] == [(k, str(k), "x" * (k % 90)) for k in range(1000)]
+        assert [(r.pos, r.name, r.k) for r in W.read_workbook(spark, str(path), ["name", "k"]).orderBy("pos").collect()] == [(0, "a", "1"), (1, None, "2")]
+
+
+@pytest.mark.parametrize("name", ["requirements_workbook", "references_workbook", "report_workbook"])
+def test_workbooks_in_parts_equal_sql(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(writers, "PART_BYTES", 20000)
+    monkeypatch.setattr(W, "CHUNK_BITS", 3)
+    assert rows_of(registry.queries()[name](spark, f"{DATA}/sf0.001")) == duck_rows(duck, registry.oracle_sql()[name])
