@@ -110,3 +110,16 @@ def test_links_say_what_all_pairs_say(spark, threshold):
         for f in (redundancy.requirement_metrics, redundancy.clusters, redundancy.redundancy_summary):
             assert sorted(map(repr, f(v, got).collect())) == sorted(map(repr, f(v, pairs).collect()))
     assert redundancy.links(table(spark, []), 0.5).forest.count() == 0
+
+
+def test_cells_are_the_whole_matrix(spark):
+    """Every cell once, those of missing vectors (without a score) and of vectors that aren't numbers too."""
+    vec = [*odd(10), np.full(5, np.nan)]
+    for rows in (vec, [None, None], []):
+        got = redundancy.similarity_cells(table(spark, rows), block=8).collect()
+        want = {(f"i{p}", f"i{q}"): None if v is None or w is None else float(np.dot(v, w)) for p, v in enumerate(rows) for q, w in enumerate(rows)}
+        assert len(got) == len(want) and {(r.id_a, r.id_b) for r in got} == set(want)
+        assert all((r.pos_a, r.pos_b) == (int(r.id_a[1:]), int(r.id_b[1:])) for r in got)
+        for r in got:
+            x = want[r.id_a, r.id_b]
+            assert r.score == x or abs(r.score - x) < 1e-9 or (np.isnan(x) and np.isnan(r.score))
