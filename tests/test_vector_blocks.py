@@ -123,3 +123,25 @@ def test_cells_are_the_whole_matrix(spark):
         for r in got:
             x = want[r.id_a, r.id_b]
             assert r.score == x or abs(r.score - x) < 1e-9 or (np.isnan(x) and np.isnan(r.score))
+
+
+def test_both_orders_meet_in_one_tile(spark, monkeypatch):
+    monkeypatch.setattr(V, "GROUPS", 3)
+    blocks = V.blocks_of(table(spark, clustered(11, 2, 60, spread=2.0)), block=4)
+    pairs = V.block_pairs(blocks, np.full(len(blocks.cells), -np.inf), True)
+
+    class Count(V.Search):
+        def met(self, own, others, there, back):
+            yield pa.RecordBatch.from_arrays([pa.array([len(others)]), pa.array([sum(there) + sum(back)])], names=["met", "ways"])
+
+    rows = V.on_tiles(blocks, pairs, True, Count, "met long, ways long").collect()
+    n = blocks.table.count()
+    assert sum(r.met for r in rows) == n * (n + 1) // 2 and sum(r.ways for r in rows) == n * n and len(rows) <= 3 * n
+
+
+def test_floats_travel_as_floats(spark):
+    vec = clustered(12, 6, 14).astype(np.float32)
+    doubles = table(spark, vec)
+    floats = doubles.withColumn("vec", doubles.vec.cast("array<float>"))
+    assert "vec:array<float>" in dict(V.blocks_of(floats, block=8).table.dtypes)["rows"]
+    assert sorted(redundancy.similar_pairs(floats, 0.35, block=8).collect()) == sorted(redundancy.similar_pairs(doubles, 0.35, block=8).collect())
