@@ -145,3 +145,43 @@ def test_floats_travel_as_floats(spark):
     floats = doubles.withColumn("vec", doubles.vec.cast("array<float>"))
     assert "vec:array<float>" in dict(V.blocks_of(floats, block=8).table.dtypes)["rows"]
     assert sorted(redundancy.similar_pairs(floats, 0.35, block=8).collect()) == sorted(redundancy.similar_pairs(doubles, 0.35, block=8).collect())
+
+
+def shuffled(spark, run):
+    """Rows and bytes that the stages of ``run`` shuffle."""
+    new, lists = spark._sc._gateway.new_array, spark._jvm.java.util.ArrayList
+    stages = lambda: spark._jsc.sc().statusStore().stageList(None, False, False, new(spark._jvm.double, 0), lists())
+    last = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = stages()
+    ran = [s for s in map(ran.apply, range(ran.size())) if s.stageId() > last]
+    return sum(s.shuffleWriteRecords() for s in ran), sum(s.shuffleWriteBytes() for s in ran)
+
+
+def test_bounds_are_sent_a_fixed_number_of_times(spark):
+    """Not once for each cell that a block's own can reach."""
+    blocks = V.blocks_of(table(spark, clustered(13, 40, 12, spread=1.0)), block=4)
+    n = blocks.table.count()
+    assert len(blocks.cells) > 4 * V.SALT
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, _ = shuffled(spark, lambda: V.block_pairs(blocks, np.full(len(blocks.cells), -np.inf)).count())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows <= 2 * V.SALT * n + 100
+
+
+def test_a_block_is_sent_to_as_many_tiles_as_there_are_groups(spark, monkeypatch):
+    monkeypatch.setattr(V, "GROUPS", 3)
+    vec = np.random.default_rng(14).normal(size=(240, 512))
+    blocks = V.blocks_of(table(spark, vec), block=8)
+    pairs = V.block_pairs(blocks, np.full(len(blocks.cells), -np.inf))
+    pairs = spark.createDataFrame(pairs.collect(), pairs.schema)
+
+    class Nothing(V.Work):
+        def met(self, own, others):
+            yield from ()
+
+    _, sent = shuffled(spark, lambda: V.on_tiles(blocks, pairs, False, Nothing, "x long").count())
+    assert blocks.groups == 3 and sent < 3.5 * vec.nbytes
