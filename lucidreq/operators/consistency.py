@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import materialize
 from .skew import salted_join
 from .token_overlap import best_overlaps
 from .vectors import cosine
@@ -85,8 +86,10 @@ def best_by_token_match(requirements: DataFrame, references: DataFrame, scorer=t
     rank = F.struct((-F.round("s.f1", 12)).alias("f"), "ref_pos")
     if scorer is token_match and _many_pairs(reqs, refs):
         found = best_overlaps(reqs, refs).groupBy("pos", "id", "title").agg(F.min_by(F.struct("s", "ref_pos"), rank).alias("b"))
-        texts = refs.select("id", "ref_pos", "legal_reference", F.col("text").alias("__text")).dropDuplicates(["id", "ref_pos"])
-        best = found.withColumn("ref_pos", F.col("b.ref_pos")).join(texts, ["id", "ref_pos"]).select("pos", "id", "title", F.struct("b.s", "legal_reference", "__text").alias("b"))
+        # Written, so that Spark knows their size: the texts that nobody chose stay where they are if the chosen keys fit a broadcast.
+        found = materialize(found.select("pos", "id", "title", "b.s", "b.ref_pos"), "token-matches")
+        texts = refs.select("id", "ref_pos", "legal_reference", F.col("text").alias("__text")).join(found.select("id", "ref_pos"), ["id", "ref_pos"], "left_semi")
+        best = found.join(texts.dropDuplicates(["id", "ref_pos"]), ["id", "ref_pos"]).select("pos", "id", "title", F.struct("s", "legal_reference", "__text").alias("b"))
     else:
         refs = refs.select(F.col("id").alias("__id"), F.col("text").alias("__text"), "legal_reference", "ref_pos", F.col("tokens").alias("__tokens"))
         own = salted_join(reqs, refs, "id", "__id", "ref_pos", "inner").withColumn("s", scorer(F.col("tokens"), F.col("__tokens")))
