@@ -89,6 +89,8 @@ def best_by_token_match(requirements: DataFrame, references: DataFrame, scorer=t
         # Written, so that Spark knows their size: the texts that nobody chose stay where they are if the chosen keys fit a broadcast.
         found = materialize(found.select("pos", "id", "title", "b.s", "b.ref_pos"), "token-matches")
         texts = refs.select("id", "ref_pos", "legal_reference", F.col("text").alias("__text")).join(found.select("id", "ref_pos"), ["id", "ref_pos"], "left_semi")
+        # A text comes once for each requirement that chose it, so partitions as small as what is shuffled would be too few.
+        texts = texts.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "ref_pos")
         best = found.join(texts.dropDuplicates(["id", "ref_pos"]), ["id", "ref_pos"]).select("pos", "id", "title", F.struct("s", "legal_reference", "__text").alias("b"))
     else:
         refs = refs.select(F.col("id").alias("__id"), F.col("text").alias("__text"), "legal_reference", "ref_pos", F.col("tokens").alias("__tokens"))

@@ -71,3 +71,20 @@ def test_nothing_of_the_matrix_is_shuffled(spark):
     query = registry.queries()["matrix_file"]
     _, sent = shuffled(spark, lambda: query(spark, f"{DATA}/sf0.001").write.format("noop").mode("overwrite").save())
     assert sent < 4 * 500 * 500
+
+
+def test_lines_wait_in_groups_of_few_rows(spark, tmp_path, monkeypatch):
+    """A reader takes up to 4096 rows of a group at once, however little compressed ones take."""
+    import pyarrow.parquet as pq
+    import pyspark.sql.functions as F
+
+    spools, inner = [], writers.materialize
+    monkeypatch.setattr(writers, "materialize", lambda *a: spools.append(inner(*a)) or spools[-1])
+    rows = spark.range(0, 5000, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 2000)).alias("line"))
+    writers.ordered_file(rows, F.col("line"), tmp_path / "lines")
+    (spool,) = spools
+    for f in os.listdir(spool.scratch):
+        if f.endswith(".parquet"):
+            meta = pq.ParquetFile(f"{spool.scratch}/{f}").metadata
+            assert all(meta.row_group(k).num_rows <= 1024 for k in range(meta.num_row_groups))
+    assert len((tmp_path / "lines").read_text().splitlines()) == 5000

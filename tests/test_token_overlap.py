@@ -74,3 +74,9 @@ def test_packs_are_sent_and_texts_that_nobody_chose_are_not(spark):
     rows = []
     _, sent = shuffled(spark, lambda: rows.extend(consistency.best_by_token_match(reqs, refs).collect()))
     assert len(rows) == 40 and sent < 1_500_000
+
+
+def test_results_stay_in_partitions(spark):
+    """Few chosen texts come in many results; adaptive execution may not put them into one partition for the texts' size."""
+    reqs, refs = sides(spark)
+    assert consistency.best_by_token_match(reqs, refs).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
