@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 #: Bytes of text that a part of a side holds, and what a row counts beside its text; bytes of tokens that a task packs at once.
 PART, ROW, PACK = 32 << 20, 2048, 64 << 20
 #: Tokens that are dense columns; scores of a step.
-DENSE, STEP = 512, 1 << 19
+DENSE, STEP = 512, 1 << 18
 #: Scores nearer to the best than this may be equal to it at twelve decimals.
 NEAR = 2e-12
 
@@ -170,7 +170,10 @@ def _packed(rows: DataFrame) -> DataFrame:
         held, filled = [], 0
 
         def records() -> Iterator[pa.RecordBatch]:
+            nonlocal filled
             table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()  # copied
+            filled = 0
             ids = table.column(0).combine_chunks().dictionary_encode()
             id_of, part = ids.indices.to_numpy(), table.column(1).to_numpy()
             order = np.lexsort((part, id_of))
@@ -187,7 +190,6 @@ def _packed(rows: DataFrame) -> DataFrame:
                 filled += batch.nbytes
             if filled > PACK:
                 yield from records()
-                held, filled = [], 0
         if held:
             yield from records()
 
